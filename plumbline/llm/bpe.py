@@ -110,7 +110,8 @@ class WordBpe:
         """Encodes the words that are not known yet; afterwards ``known`` has them all."""
         if len(self.known) > self.most_words:
             self.known.clear()
-        new = list(set(words) - self.known.keys())
+        known = self.known
+        new = [w for w in set(words) if w not in known]
         plain = [w for w in new if w not in self.special]
         for w in new:
             if w in self.special:
@@ -265,8 +266,9 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 counts, ids_digest, text_digest = [], [], []
                 for ws in words:
                     raws = [known[w] for w in ws]
-                    for raw in set(raws) - shown.keys():
-                        shown[raw] = show(raw)
+                    for raw in set(raws):
+                        if raw not in shown:
+                            shown[raw] = show(raw)
                     pairs = [shown[raw] for raw in raws]
                     counts.append(sum(map(len, raws)) // 4)
                     ids_digest.append(sha256(" ".join([p[0] for p in pairs]).encode()).hexdigest())
