@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, packing, pii, token_counts
+from plumbline.llm import bpe, classifier, jaccard, neighbours, packing, pii, quality_rules, substrings, suffixes, token_counts
 from plumbline.llm.rows import table
 
 
@@ -13,17 +13,59 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", classifier.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= classifier.CUTOFF).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_digest(substrings.kept_words(table(spark, sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, numerator=90, denominator=100)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return verdicts.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.kept_digest(suffixes.kept_bytes(table(spark, sf_dir, "documents")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_pii, op6_bpe, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_quality_classifier,
+        op3_pii,
+        op4_collision_counting,
+        op5_super_kmers,
+        op6_bpe,
+        op7_ngram_jaccard,
+        op8_quality_rules,
+        op9_suffix_arrays,
+        op10_token_counts,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
