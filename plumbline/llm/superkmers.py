@@ -123,18 +123,20 @@ class GramFilter:
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def repeated_grams(batches: DataFrame, grams_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], buckets: int) -> GramFilter:
+def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], buckets: int) -> GramFilter:
     """Counts minimisers of all documents by bucket and marks those met again.
 
-    ``grams_of`` gives an Arrow batch's minimiser hashes. A batch sends each
+    ``grams_of()``, called once a task, gives what yields an Arrow batch's minimiser hashes. A batch sends each
     hash once, with its count. What reaches the driver is the filter alone, of
     ``FILTER_BITS`` twice, however large the corpus.
     """
     bits = int(np.log2(buckets))
 
     def make():
+        of = grams_of()
+
         def step(batch):
-            for grams in grams_of(batch):
+            for grams in of(batch):
                 if not len(grams):
                     continue
                 found, counts = np.unique(grams, return_counts=True)
