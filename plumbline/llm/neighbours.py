@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOP = 20
-PROJECTIONS = 48
+PROJECTIONS = 128
 #: Share of the windows that a vector must lie in to be verified.
-COLLISIONS = 0.6
+COLLISIONS = 0.75
 #: Half width of the first windows, for unit queries and vectors of length 1; and their growth.
-FIRST_WIDTH, GROWTH = 0.35, 1.4
+FIRST_WIDTH, GROWTH = 1.2, 1.1
 #: Collided vectors that end a query's search in a block, for each neighbour asked for; a share of the block in any case.
-ENOUGH, ENOUGH_SHARE = 10, 0.02
+ENOUGH, ENOUGH_SHARE = 15, 0.15
 #: Vectors of a block, and what a task holds of either side about.
 BLOCK, GROUP_VECTORS, GROUP_QUERIES = 8192, 65_536, 8192
 SEED = 7
@@ -53,16 +53,24 @@ class Block:
     def __init__(self, unit: np.ndarray, vectors: np.ndarray, owners: list[np.ndarray], directions: np.ndarray):
         self.vectors, self.owners = vectors, owners
         numbers = unit @ directions
-        self.order = np.argsort(numbers, axis=0, kind="stable").T.copy()
-        self.numbers = np.take_along_axis(numbers, self.order.T, 0).T.copy()
+        order = np.argsort(numbers, axis=0, kind="stable")
+        self.numbers = np.take_along_axis(numbers, order, 0).T.copy()
+        self.order = order.T.astype(np.int32)
 
     def candidates(self, at: np.ndarray, least: int, enough: int) -> np.ndarray:
-        """Vectors that collide with the query in ``least`` windows or more, after as many rehashings as ``enough`` of them take."""
+        """Vectors that collide with the query in ``least`` windows or more, after as many rehashings as ``enough`` of them take.
+
+        A wider window counts only what it adds at its two ends.
+        """
         width, n = FIRST_WIDTH, len(self.vectors)
+        low = high = [row.searchsorted(x) for row, x in zip(self.numbers, at)]
+        seen = np.zeros(n, np.int64)
         while True:
-            low = [np.searchsorted(row, x - width) for row, x in zip(self.numbers, at)]
-            high = [np.searchsorted(row, x + width, "right") for row, x in zip(self.numbers, at)]
-            seen = np.bincount(np.concatenate([row[a:b] for row, a, b in zip(self.order, low, high)]), minlength=n)
+            lower = [row.searchsorted(x - width) for row, x in zip(self.numbers, at)]
+            higher = [row.searchsorted(x + width, "right") for row, x in zip(self.numbers, at)]
+            added = [row[a:b] for row, a, b in zip(self.order, lower, low)] + [row[a:b] for row, a, b in zip(self.order, high, higher)]
+            seen += np.bincount(np.concatenate(added), minlength=n)
+            low, high = lower, higher
             found = np.flatnonzero(seen >= least)
             if len(found) >= min(enough, n):
                 return found
