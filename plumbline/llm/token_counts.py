@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.bpe import token_lengths
+from plumbline.llm.rows import saved
 
 #: Lengths summed together first, so that no window spans all lengths row by row.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, path: str | None = None, extra: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,8 +59,12 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, extra: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``context_limits`` of the documents' encoded lengths."""
-    return context_limits(length_histogram(docs, path, extra, id_col, text_col))
+    """``context_limits`` of the documents' encoded lengths.
+
+    The histogram is written once, since its blocks and its cells both need it
+    and texts should be encoded once.
+    """
+    return context_limits(saved(length_histogram(docs, path, extra, id_col, text_col)))
 
 
 def quantile_length(limits: DataFrame, q: float) -> DataFrame:
