@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file with word ends."""
 
-    def __init__(self, spec: bytes, most_words: int = 400_000):
+    def __init__(self, spec: bytes, most_words: int = 500_000):
         self.spec, self.most_words = spec, most_words
         parsed = json.loads(spec)
         vocab: dict[str, int] = parsed["model"]["vocab"]
@@ -71,6 +72,8 @@ class WordBpe:
         #: A merge that only joins older symbols never undercuts the round's rank.
         self.all_at_once = bool(np.all(np.maximum(made[left], made[right]) < np.arange(len(product)))) and len(set(product.tolist())) == len(product)
         self.known: dict[str, bytes] = {}
+        #: Of a word's ids: their decimal form and their decoded form.
+        self.shown: dict[bytes, tuple[str, str]] = {}
 
     # -- text to words ------------------------------------------------------
 
@@ -181,6 +184,12 @@ class WordBpe:
         return " ".join([self.token[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def encoder(spec: bytes) -> WordBpe:
+    """One encoder for all tasks of a worker, so that later tasks know the words of earlier ones."""
+    return WordBpe(spec)
+
+
 def batches_of_text(batch: pa.RecordBatch, most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """doc_id and text of an Arrow batch in parts of bounded size."""
     ids, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -203,7 +212,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     spec = share_tokenizer(docs.sparkSession, path)
 
     def make():
-        bpe = WordBpe(spec.value)
+        bpe = encoder(spec.value)
 
         def step(batch):
             for ids, values in batches_of_text(batch):
@@ -224,7 +233,7 @@ def token_lengths(docs: DataFrame, path: str | None = None, extra: int = 0, id_c
     spec = share_tokenizer(docs.sparkSession, path)
 
     def make():
-        bpe = WordBpe(spec.value)
+        bpe = encoder(spec.value)
 
         def step(batch):
             for ids, values in batches_of_text(batch):
@@ -249,8 +258,8 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     def make():
         from hashlib import sha256
 
-        bpe = WordBpe(spec.value, most_words=250_000)
-        shown: dict[bytes, tuple[str, str]] = {}
+        bpe = encoder(spec.value)
+        shown = bpe.shown
 
         def show(raw: bytes) -> tuple[str, str]:
             ids = np.frombuffer(raw, "<u4").tolist()

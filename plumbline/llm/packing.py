@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.bpe import WordBpe, batches_of_text, share_tokenizer
+from plumbline.llm.bpe import batches_of_text, encoder, share_tokenizer
 from plumbline.llm.rows import map_batches, saved, texts
 
 CAPACITY = 4096
@@ -95,7 +95,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     spec = share_tokenizer(docs.sparkSession, path)
 
     def make():
-        bpe, end, width = WordBpe(spec.value), end_id.to_bytes(4, "little"), 4 * capacity
+        bpe, end, width = encoder(spec.value), end_id.to_bytes(4, "little"), 4 * capacity
 
         def step(batch):
             for ids, values in batches_of_text(batch):
