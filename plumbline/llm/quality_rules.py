@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.llm.rows import saved
+
 
 #: ASCII white space: what words are split at.
 SPACE = " \t\n\x0b\f\r"
@@ -39,7 +41,7 @@ GRID = {
     "dup_line_share": (0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
 }
 #: Each rule may reject this share of a stratum's good documents, so all rules together five times as much.
-MOST_REJECTED = 0.01
+MOST_REJECTED = 0.02
 #: Probability that any cutoff in use breaks its bound.
 LEVEL = 0.05
 
@@ -200,10 +202,14 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, most_rejected: float
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), most_rejected: float = MOST_REJECTED, level: float = LEVEL) -> DataFrame:
     """Counts, rule shares, ``base_failed`` and ``kept`` of every row of ``docs``.
 
-    Texts are read twice: for the cutoffs and for the verdicts. Rows that
-    repeat are judged each; without labels no rule but the base ones rejects.
+    Cutoffs and verdicts both need the counts. These are written once if they
+    are all that is asked for; with columns to ``keep``, such as the text, they
+    are counted twice instead. Rows that repeat are judged each; without labels
+    no rule but the base ones rejects.
     """
     values = rule_values(text_counts(docs, id_col, text_col, (lang_col, *keep))).withColumn("stratum", stratum(f"_keep_{lang_col}"))
+    if not keep:
+        values = saved(values)
     # One row a stratum of STRATA at most.
     cutoffs = F.broadcast(certified_cutoffs(values, labels, most_rejected, level))
     over = reduce(lambda a, b: a | b, (F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False)) for rule in GRID))
