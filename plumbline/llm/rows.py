@@ -25,14 +25,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``texts`` with ``okey`` (the id, null last) and ``thash`` (of the text).
+    """``texts`` with ``okey`` (the id, null last) and ``thash`` (32 bits of the text).
 
     The two together name a document: rows that repeat an id and its text are
     one document, rows that repeat an id with another text are two.
     """
     return texts(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("okey"),
-        F.xxhash64("text").alias("thash"),
+        F.hash("text").alias("thash"),
         "doc_id",
         "text",
     )

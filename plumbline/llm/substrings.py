@@ -19,7 +19,6 @@ from plumbline.llm.rows import keyed_texts, map_batches, utf8
 
 #: Words of a window, and of the gram whose least hash is its minimiser.
 WINDOW, GRAM = 20, 8
-BUCKETS = 256
 MOST_WORDS = 500_000
 
 
@@ -57,44 +56,41 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
         return of
 
-    marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams, BUCKETS))
+    marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams))
 
     def make():
         hashes, seen = WordHashes(), marks.value
         # Any earlier place covers all words of an equal string.
-        sender = sk.Sender(lambda place, known: known < place)
+        sender = sk.Sender(sk.bucket_bits(seen.total), window, lambda place, known: known < place)
 
         def step(batch):
             okeys, thashes = batch.column("okey").to_pylist(), batch.column("thash").to_pylist()
             for part in sk.parts_of([t.split() for t in utf8(batch.column("text"))], window):
                 found, words = _super_kmers(part, hashes, window, gram)
                 chosen = np.flatnonzero(seen.read(seen.repeated, found.gram))
-                if not len(chosen):
-                    continue
                 often = seen.read(seen.frequent, found.gram[chosen]).tolist()
                 starts = (np.cumsum(part.lengths()) - part.lengths()).tolist()
-                routes = found.gram[chosen].view(np.int64).tolist()
-                for first, n, piece, route, by_window in zip(found.first[chosen].tolist(), found.windows[chosen].tolist(), found.doc[chosen].tolist(), routes, often):
-                    doc, start = part.doc[piece], part.offset[piece] + first - starts[piece]
+                for first, n, piece, route, by_window in zip(*(c[chosen].tolist() for c in (found.first, found.windows, found.doc, found.gram)), often):
+                    doc = part.doc[piece]
+                    place = (okeys[doc], thashes[doc], part.offset[piece] + first - starts[piece])
+                    packed = b" ".join(words[first : first + n + window - 1])
                     if by_window:
-                        for i in range(n):
-                            sender.add(None, okeys[doc], thashes[doc], start + i, 1, b" ".join(words[first + i : first + i + window]), window)
+                        sender.add_windows(place, [b" ".join(words[first + i : first + i + window]) for i in range(n)], packed)
                     else:
-                        sender.add(route, okeys[doc], thashes[doc], start, n, b" ".join(words[first : first + n + window - 1]), window)
-                if sender.rows:
-                    yield sender.take()
+                        sender.add(route, place, n, packed)
+            if sender.rows or sender.known:
+                yield sender.take()
 
         return step
 
-    sent = map_batches(docs, make, sk.ROWS)
-    return sk.covered_ranges(sent, lambda got: later_windows(got, window))
+    return sk.covered_ranges(map_batches(docs, make, sk.SENT), lambda got: later_windows(got, window))
 
 
 def later_windows(got: sk.Received, window: int) -> Iterator[tuple[int, int, int, int]]:
     """Ranges of words in windows that another place before has too: windows sorted by hash, equal neighbours compared word by word."""
     first_of: dict[bytes, int] = {}
     rows = []
-    place = list(zip(got.okey.tolist(), got.thash.tolist(), (s[0] for s in got.starts)))
+    place = list(zip(got.okey.tolist(), got.thash.tolist(), got.start.tolist()))
     for i, packed in enumerate(got.packed):
         j = first_of.setdefault(packed, i)
         if place[j] < place[i]:
@@ -116,7 +112,7 @@ def later_windows(got: sk.Received, window: int) -> Iterator[tuple[int, int, int
     head = np.append(True, group[order][1:] != group[order][:-1])
     first = np.empty(len(order), np.int64)
     first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    start = np.array([place[i][2] for i in rows], np.int64)[owner] + within
+    start = got.start[rows][owner] + within
     okey, thash = got.okey[rows][owner], got.thash[rows][owner]
     later = (okey[first] != okey) | (thash[first] != thash) | (start[first] != start)
     for begin, end in sk.runs(later):

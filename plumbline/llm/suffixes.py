@@ -23,7 +23,6 @@ from plumbline.llm.rows import NULL_ID, keyed_texts, map_batches, utf8
 
 #: Bytes of a match, and of the gram whose least hash is a window's minimiser.
 LENGTH, GRAM = 50, 20
-BUCKETS = 256
 #: Bytes of strings that get one suffix array.
 BATCH_BYTES = 1 << 20
 
@@ -89,11 +88,9 @@ def earlier_documents(got: sk.Received, length: int) -> Iterator[tuple[int, int,
         for i, begin, end in zip(batch, [0, *edges], edges):
             if marks[begin:end].any():
                 covered[i] = list(sk.runs(marks[begin:end]))
-    for i, okey, thash, starts, n in zip(which, got.okey.tolist(), got.thash.tolist(), got.starts, got.windows.tolist()):
-        parts = [(0, n)] if okey > owner[i] else covered[i]
-        for start in starts:
-            for begin, end in parts:
-                yield okey, thash, start + begin, start + end - 1 + length
+    for i, okey, thash, start, n in zip(which, got.okey.tolist(), got.thash.tolist(), got.start.tolist(), got.windows.tolist()):
+        for begin, end in [(0, n)] if okey > owner[i] else covered[i]:
+            yield okey, thash, start + begin, start + end - 1 + length
 
 
 def scanned(strings: list[bytes], owner: np.ndarray, windows: np.ndarray, length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -144,37 +141,35 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
         return of
 
-    marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams, BUCKETS))
+    marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams))
 
     def make():
         seen = marks.value
         # Only a smaller id covers an equal string.
-        sender = sk.Sender(lambda place, known: known[0] < place[0])
+        sender = sk.Sender(sk.bucket_bits(seen.total), length, lambda place, known: known[0] < place[0])
 
         def step(batch):
             okeys, thashes = batch.column("okey").to_pylist(), batch.column("thash").to_pylist()
             for part in sk.parts_of(utf8(batch.column("text")), length):
                 found = super_kmers(part)
                 chosen = np.flatnonzero(seen.read(seen.repeated, found.gram))
-                if not len(chosen):
-                    continue
                 flat = b"".join(part.tokens)
                 often = seen.read(seen.frequent, found.gram[chosen]).tolist()
                 starts = (np.cumsum(part.lengths()) - part.lengths()).tolist()
-                routes = found.gram[chosen].view(np.int64).tolist()
-                for first, n, piece, route, by_window in zip(found.first[chosen].tolist(), found.windows[chosen].tolist(), found.doc[chosen].tolist(), routes, often):
-                    doc, start = part.doc[piece], part.offset[piece] + first - starts[piece]
+                for first, n, piece, route, by_window in zip(*(c[chosen].tolist() for c in (found.first, found.windows, found.doc, found.gram)), often):
+                    doc = part.doc[piece]
+                    place = (okeys[doc], thashes[doc], part.offset[piece] + first - starts[piece])
+                    packed = flat[first : first + n + length - 1]
                     if by_window:
-                        for i in range(n):
-                            sender.add(None, okeys[doc], thashes[doc], start + i, 1, flat[first + i : first + i + length], length)
+                        sender.add_windows(place, [packed[i : i + length] for i in range(n)], packed)
                     else:
-                        sender.add(route, okeys[doc], thashes[doc], start, n, flat[first : first + n + length - 1], length)
-                if sender.rows:
-                    yield sender.take()
+                        sender.add(route, place, n, packed)
+            if sender.rows or sender.known:
+                yield sender.take()
 
         return step
 
-    return sk.covered_ranges(map_batches(docs, make, sk.ROWS), lambda got: earlier_documents(got, length))
+    return sk.covered_ranges(map_batches(docs, make, sk.SENT), lambda got: earlier_documents(got, length))
 
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -187,7 +182,7 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col:
     plain = keyed_texts(docs, id_col, text_col)
     held = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("okey"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("thash"),
+        F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("thash"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *(F.col(c).alias(f"_keep_{c}") for c in keep),

@@ -12,11 +12,11 @@ The search has three passes:
    frequent ones are marked in a ``GramFilter``: bits by hash class, of fixed
    size. With classes shared by several grams it lets more pass than it must;
    results do not depend on it.
-2. Each super-k-mer that passes travels as one packed string to the task that
+2. Each super-k-mer that passes travels as one packed string to the bucket that
    its minimiser leads to; those of frequent minimisers travel window by
    window, led by the window's own hash, so that no minimiser gathers a large
-   part of the corpus in one task. Equal strings are combined before.
-3. The receiving task compares windows exactly and returns covered ranges.
+   part of the corpus in one bucket. Equal strings are combined before.
+3. In its bucket windows are compared exactly; covered ranges return.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.rows import arrow_batch, map_batches
+from plumbline.llm.rows import map_batches
 
 U = np.uint64
 MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -42,7 +43,7 @@ FILTER_BITS = 26
 FREQUENT_SHARE, LEAST_FREQUENT = 1 / 4096, 1000
 #: Gram hashes are counted by this many bytes beside the bucket's bits.
 KEY_BYTES = 5
-MOST_COMBINED = 300_000
+MOST_COMBINED = 150_000
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,10 +113,11 @@ def super_kmers(grams: np.ndarray, lengths: np.ndarray, k: int, g: int) -> Super
 
 @dataclass
 class GramFilter:
-    """Marks of gram hash classes: met more than once, and frequent."""
+    """Marks of gram hash classes: met more than once, and frequent; and how many grams were counted."""
 
     repeated: np.ndarray
     frequent: np.ndarray
+    total: int
 
     @staticmethod
     def read(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -123,14 +125,18 @@ class GramFilter:
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], buckets: int) -> GramFilter:
+def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]]) -> GramFilter:
     """Counts minimisers of all documents by bucket and marks those met again.
 
+    There are more buckets than shuffle partitions, so that a bucket is as
+    small as a partition of the session is meant to be.
+
     ``grams_of()``, called once a task, gives what yields an Arrow batch's minimiser hashes. A batch sends each
     hash once, with its count. What reaches the driver is the filter alone, of
     ``FILTER_BITS`` twice, however large the corpus.
     """
-    bits = int(np.log2(buckets))
+    bits = max(8, int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
+    buckets = 1 << bits
 
     def make():
         of = grams_of()
@@ -173,16 +179,21 @@ def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.Recor
             marks[place[chosen]] = 1
             return np.packbits(marks, bitorder="little").tobytes()
 
-        return pa.table({"bucket": group.column("bucket")[:1].cast(pa.int32()), "repeated": pa.array([packed(total > 1)], pa.binary()), "frequent": pa.array([packed(total >= least)], pa.binary())})
+        return pa.table({
+            "bucket": group.column("bucket")[:1].cast(pa.int32()),
+            "repeated": pa.array([packed(total > 1)], pa.binary()),
+            "frequent": pa.array([packed(total >= least)], pa.binary()),
+            "total": pa.array([int(counts.sum())], pa.int64()),
+        })
 
     counted = map_batches(batches, make, "bucket int, keys binary, counts binary")
-    rows = counted.groupBy("bucket").applyInArrow(mark_bucket, "bucket int, repeated binary, frequent binary").toPandas()
+    rows = counted.groupBy("bucket").applyInArrow(mark_bucket, "bucket int, repeated binary, frequent binary, total long").toPandas()
     marks = [np.zeros(1 << FILTER_BITS >> 3, np.uint8) for _ in range(2)]
     width = 1 << slice_bits >> 3
     for row in rows.itertuples():
         for all_bits, own in zip(marks, (row.repeated, row.frequent)):
             all_bits[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(own, np.uint8)
-    return GramFilter(*marks)
+    return GramFilter(*marks, int(rows.total.sum()))
 
 
 # -- pass 2 -----------------------------------------------------------------
@@ -222,108 +233,143 @@ def parts_of(documents: list, k: int) -> Iterator[Part]:
         yield part
 
 
-ROWS = "route long, okey long, thash long, starts array<int>, windows int, packed binary"
+SENT = "bucket int, known boolean, blob binary"
+#: Bytes of super-k-mers, as sent, that a receiving group holds about.
+GROUP_BYTES, SENT_BYTES = 8_000_000, 70
+
+
+def bucket_bits(total: int) -> int:
+    """Buckets for so many super-k-mers, so that a bucket's size does not grow with the corpus."""
+    return max(6, (total * SENT_BYTES // GROUP_BYTES).bit_length())
+
+
+@dataclass
+class Received:
+    """Super-k-mers of whole routes, in order of document and start."""
+
+    okey: np.ndarray
+    thash: np.ndarray
+    start: np.ndarray
+    windows: np.ndarray
+    packed: list[bytes]
 
 
 class Sender:
-    """Collects a task's rows of ``ROWS``; a row without a string is a range of tokens that is already known to go."""
+    """Gathers a batch's super-k-mers by bucket; a bucket travels as one compressed blob of columns.
 
-    def __init__(self, later: Callable[[tuple, tuple], bool]):
-        self.later = later
+    Of equal strings in a task the earliest travels. The others are known to be
+    covered: their ranges of tokens travel alone, to any bucket.
+    """
+
+    def __init__(self, bits: int, k: int, later: Callable[[tuple, tuple], bool]):
+        self.bits, self.k, self.later = bits, k, later
         self.earliest: dict[bytes, tuple] = {}
+        self.press = zstandard.ZstdCompressor(level=3)
         self.clear()
 
     def clear(self) -> None:
         self.rows: list[tuple] = []
+        self.known: list[list[int]] = []
 
-    def add(self, route: int | None, okey: int, thash: int, start: int, windows: int, packed: bytes, k: int) -> None:
-        """Of equal strings in a task the earliest travels; the others are known to be covered."""
-        place = (okey, thash, start)
+    def is_known(self, packed: bytes, place: tuple, windows: int) -> bool:
         known = self.earliest.get(packed)
         if known is not None and self.later(place, known):
-            self.rows.append((thash, okey, thash, [start], windows + k - 1, None))
-            return
+            okey, thash, start = place
+            end = start + windows + self.k - 1
+            last = self.known[-1] if self.known else None
+            if last and last[0] == okey and last[1] == thash and last[2] <= start <= last[3]:
+                last[3] = max(last[3], end)
+            else:
+                self.known.append([okey, thash, start, end])
+            return True
         if known is None or place < known:
             if len(self.earliest) >= MOST_COMBINED:
                 self.earliest.clear()
             self.earliest[packed] = place
-        if route is None:
-            route = xxhash.xxh3_64_intdigest(packed) - (1 << 63)
-        self.rows.append((route, okey, thash, [start], windows, packed))
+        return False
+
+    def add(self, route: int, place: tuple, windows: int, packed: bytes) -> None:
+        """``route``: the minimiser's hash."""
+        if not self.is_known(packed, place, windows):
+            self.rows.append((route >> (64 - self.bits), *place, windows, packed))
+
+    def add_windows(self, place: tuple, windows: list[bytes], packed: bytes) -> None:
+        """Each window by its own hash, unless the whole is known."""
+        if self.is_known(packed, place, len(windows)):
+            return
+        for i, window in enumerate(windows):
+            self.add(xxhash.xxh3_64_intdigest(window), (*place[:2], place[2] + i), 1, window)
 
     def take(self) -> dict:
-        route, okey, thash, starts, windows, packed = zip(*self.rows)
+        self.rows.sort(key=lambda r: r[0])
+        bucket, known, blob = [], [], []
+        at = 0
+        while at < len(self.rows):
+            end = at
+            while end < len(self.rows) and self.rows[end][0] == self.rows[at][0]:
+                end += 1
+            _, okey, thash, start, windows, packed = zip(*self.rows[at:end])
+            bucket.append(self.rows[at][0])
+            known.append(False)
+            blob.append(self.press.compress(pack_columns(okey, thash, start, windows, list(map(len, packed))) + b"".join(packed)))
+            at = end
+        if self.known:
+            okey, thash, start, end = zip(*self.known)
+            bucket.append(okey[0] % (1 << self.bits))
+            known.append(True)
+            blob.append(self.press.compress(pack_columns(okey, thash, start, end, end)))
         self.clear()
-        return {
-            "route": pa.array(route, pa.int64()),
-            "okey": pa.array(okey, pa.int64()),
-            "thash": pa.array(thash, pa.int64()),
-            "starts": pa.array(starts, pa.list_(pa.int32())),
-            "windows": pa.array(windows, pa.int32()),
-            "packed": pa.array(packed, pa.binary()),
-        }
+        return {"bucket": pa.array(bucket, pa.int32()), "known": pa.array(known, pa.bool_()), "blob": pa.array(blob, pa.binary())}
 
 
-# -- pass 3 -----------------------------------------------------------------
+def pack_columns(okey, thash, *rest) -> bytes:
+    columns = [np.array(okey, "<i8"), np.array(thash, "<i4"), *(np.array(c, "<u4") for c in rest)]
+    return len(okey).to_bytes(4, "little") + b"".join(c.tobytes() for c in columns)
 
-RANGES = "okey long, thash long, ranges binary"
-#: Bytes of strings that a task compares at once, if its routes allow.
-FLUSH_BYTES = 6_000_000
 
+def unpack_columns(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    n, at, out = int.from_bytes(blob[:4], "little"), 4, []
+    for kind in ("<i8", "<i4", "<u4", "<u4", "<u4"):
+        out.append(np.frombuffer(blob, kind, n, at).astype(np.int64))
+        at += out[-1].size * int(kind[2])
+    return out, blob[at:]
 
-@dataclass
-class Received:
-    """Super-k-mers with whole routes, in order of document and start."""
 
-    okey: np.ndarray
-    thash: np.ndarray
-    starts: list[list[int]]
-    windows: np.ndarray
-    packed: list[bytes]
+# -- pass 3 -----------------------------------------------------------------
 
+RANGES = "okey long, thash int, ranges binary"
 
-def covered_ranges(sent: DataFrame, cover: Callable[[Received], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
-    """Brings equal routes together and applies ``cover`` to whole routes; (okey, thash, ranges) with ranges as pairs of 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("route", "okey", "thash", "starts", "windows", "packed"))))
-            known = [(r[1], r[2], r[3][0], r[3][0] + r[4]) for r in rows if r[5] is None]
-            if known:
-                yield ranges_batch(known)
-            for row in rows:
-                if row[5] is None:
-                    continue
-                if size >= FLUSH_BYTES and row[0] != held[-1][0]:
-                    if found := list(cover(received(held))):
-                        yield ranges_batch(found)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
-        if held and (found := list(cover(received(held)))):
-            yield ranges_batch(found)
 
-    return sent.repartition("route").sortWithinPartitions("route").mapInArrow(run, RANGES)
+def covered_ranges(sent: DataFrame, cover: Callable[[Received], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
+    """Brings equal routes together, bucket by bucket, and applies ``cover``; (okey, thash, ranges) with ranges as pairs of 32-bit numbers."""
 
+    def of_bucket(group: pa.Table) -> pa.Table:
+        unpack, found, parts = zstandard.ZstdDecompressor(), [], []
+        for known, blob in zip(group.column("known").to_pylist(), group.column("blob").to_pylist()):
+            columns, strings = unpack_columns(unpack.decompress(blob))
+            if known:
+                found += zip(*(c.tolist() for c in columns[:4]))
+            else:
+                ends = np.cumsum(columns[4]).tolist()
+                parts.append((*columns[:4], [strings[a:b] for a, b in zip([0, *ends], ends)]))
+        if parts:
+            okey, thash, start, windows = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            packed = [s for p in parts for s in p[4]]
+            order = np.lexsort((start, thash, okey))
+            found += cover(Received(okey[order], thash[order], start[order], windows[order], [packed[i] for i in order.tolist()]))
+        return ranges_table(found)
 
-def received(rows: list[tuple]) -> Received:
-    rows.sort(key=lambda r: (r[1], r[2], r[3]))
-    _, okey, thash, starts, windows, packed = zip(*rows)
-    return Received(np.array(okey, np.int64), np.array(thash, np.int64), list(starts), np.array(windows, np.int64), list(packed))
+    return sent.groupBy("bucket").applyInArrow(of_bucket, RANGES)
 
 
-def ranges_batch(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+def ranges_table(found: list[tuple[int, int, int, int]]) -> pa.Table:
     """One row a document, with all its ranges."""
     by_doc: dict[tuple[int, int], list[int]] = {}
     for okey, thash, begin, end in found:
         by_doc.setdefault((okey, thash), []).extend((begin, end))
-    return arrow_batch({
+    return pa.table({
         "okey": pa.array([k[0] for k in by_doc], pa.int64()),
-        "thash": pa.array([k[1] for k in by_doc], pa.int64()),
+        "thash": pa.array([k[1] for k in by_doc], pa.int32()),
         "ranges": pa.array([np.array(v, "<u4").tobytes() for v in by_doc.values()], pa.binary()),
     })
 
