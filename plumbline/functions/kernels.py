@@ -1,0 +1,36 @@
+"""Numeric kernels of the detector's forward pass, small and in numpy. Weights come from the caller."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def layer_norm(x: np.ndarray, scale: np.ndarray, shift: np.ndarray, epsilon: float = 1e-5) -> np.ndarray:
+    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + epsilon) * scale + shift
+
+
+def self_attention(x: np.ndarray, wq: np.ndarray, wk: np.ndarray, wv: np.ndarray, wo: np.ndarray, heads: int = 8) -> np.ndarray:
+    """[tokens, d] with square weights; d is a multiple of ``heads``."""
+    n, d = x.shape
+    q, k, v = (np.swapaxes((x @ w).reshape(n, heads, d // heads), 0, 1) for w in (wq, wk, wv))
+    mixed = softmax(q @ np.swapaxes(k, 1, 2) / np.sqrt(d // heads)) @ v
+    return np.swapaxes(mixed, 0, 1).reshape(n, d) @ wo
+
+
+def film(x: np.ndarray, text: np.ndarray, w_scale: np.ndarray, w_shift: np.ndarray) -> np.ndarray:
+    """Scales and shifts image tokens by the mean text token."""
+    mean = text.mean(0)
+    return x * (1 + mean @ w_scale) + mean @ w_shift
+
+
+def mean_pool(x: np.ndarray) -> np.ndarray:
+    return x.mean(0)
+
+
+def silu(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.exp(-x))
