@@ -19,7 +19,7 @@ from plumbline.llm.rows import keyed_texts, map_batches, utf8
 
 #: Words of a window, and of the gram whose least hash is its minimiser.
 WINDOW, GRAM = 20, 8
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -51,7 +51,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         hashes = WordHashes()
 
         def of(batch):
-            for part in sk.parts_of([t.split() for t in utf8(batch.column("text"))], window):
+            for part in sk.parts_of((t.split() for t in utf8(batch.column("text"))), window):
                 yield _super_kmers(part, hashes, window, gram)[0].gram
 
         return of
@@ -65,7 +65,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
         def step(batch):
             okeys, thashes = batch.column("okey").to_pylist(), batch.column("thash").to_pylist()
-            for part in sk.parts_of([t.split() for t in utf8(batch.column("text"))], window):
+            for part in sk.parts_of((t.split() for t in utf8(batch.column("text"))), window):
                 found, words = _super_kmers(part, hashes, window, gram)
                 chosen = np.flatnonzero(seen.read(seen.repeated, found.gram))
                 often = seen.read(seen.frequent, found.gram[chosen]).tolist()
@@ -78,6 +78,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                         sender.add_windows(place, [b" ".join(words[first + i : first + i + window]) for i in range(n)], packed)
                     else:
                         sender.add(route, place, n, packed)
+                if sender.full():
+                    yield sender.take()
             if sender.rows or sender.known:
                 yield sender.take()
 

@@ -24,7 +24,7 @@ from plumbline.llm.rows import NULL_ID, keyed_texts, map_batches, utf8
 #: Bytes of a match, and of the gram whose least hash is a window's minimiser.
 LENGTH, GRAM = 50, 20
 #: Bytes of strings that get one suffix array.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def byte_grams(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -164,6 +164,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         sender.add_windows(place, [packed[i : i + length] for i in range(n)], packed)
                     else:
                         sender.add(route, place, n, packed)
+                if sender.full():
+                    yield sender.take()
             if sender.rows or sender.known:
                 yield sender.take()
 

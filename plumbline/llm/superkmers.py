@@ -21,7 +21,7 @@ The search has three passes:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +43,7 @@ FILTER_BITS = 26
 FREQUENT_SHARE, LEAST_FREQUENT = 1 / 4096, 1000
 #: Gram hashes are counted by this many bytes beside the bucket's bits.
 KEY_BYTES = 5
-MOST_COMBINED = 150_000
+MOST_COMBINED = 100_000
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,8 +214,8 @@ class Part:
         return np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
 
 
-def parts_of(documents: list, k: int) -> Iterator[Part]:
-    """``documents``: sequences of tokens. Those with no window are left out."""
+def parts_of(documents: Iterable, k: int) -> Iterator[Part]:
+    """``documents``: sequences of tokens, taken one by one. Those with no window are left out."""
     part, size = Part([], [], []), 0
     for doc, tokens in enumerate(documents):
         for offset in range(0, len(tokens) - k + 1, PART_TOKENS):
@@ -235,7 +235,9 @@ def parts_of(documents: list, k: int) -> Iterator[Part]:
 
 SENT = "bucket int, known boolean, blob binary"
 #: Bytes of super-k-mers, as sent, that a receiving group holds about.
-GROUP_BYTES, SENT_BYTES = 8_000_000, 70
+GROUP_BYTES, SENT_BYTES = 3_000_000, 70
+#: Bytes of strings that a sender gathers before it sends.
+SEND_BYTES = 8_000_000
 
 
 def bucket_bits(total: int) -> int:
@@ -270,6 +272,10 @@ class Sender:
     def clear(self) -> None:
         self.rows: list[tuple] = []
         self.known: list[list[int]] = []
+        self.size = 0
+
+    def full(self) -> bool:
+        return self.size >= SEND_BYTES or len(self.known) >= MOST_COMBINED
 
     def is_known(self, packed: bytes, place: tuple, windows: int) -> bool:
         known = self.earliest.get(packed)
@@ -292,6 +298,7 @@ class Sender:
         """``route``: the minimiser's hash."""
         if not self.is_known(packed, place, windows):
             self.rows.append((route >> (64 - self.bits), *place, windows, packed))
+            self.size += len(packed)
 
     def add_windows(self, place: tuple, windows: list[bytes], packed: bytes) -> None:
         """Each window by its own hash, unless the whole is known."""
