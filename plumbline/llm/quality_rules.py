@@ -207,7 +207,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     are counted twice instead. Rows that repeat are judged each; without labels
     no rule but the base ones rejects.
     """
-    values = rule_values(text_counts(docs, id_col, text_col, (lang_col, *keep))).withColumn("stratum", stratum(f"_keep_{lang_col}"))
+    held = tuple(dict.fromkeys((lang_col, *keep)))
+    values = rule_values(text_counts(docs, id_col, text_col, held)).withColumn("stratum", stratum(f"_keep_{lang_col}"))
     if not keep:
         values = saved(values)
     # One row a stratum of STRATA at most.

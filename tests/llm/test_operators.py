@@ -269,7 +269,7 @@ def test_cleaned_keeps_columns_and_characters(spark):
 def test_levels_merge_geometrically():
     rng, levels, seen = np.random.default_rng(4), suffixes.Levels(), {}
     for doc in range(200):
-        words = np.unique(rng.integers(0, 3000, 40)).astype("S6")
+        words = np.unique(rng.integers(0, 3000, 40).astype("S6"))
         known = levels.scan(words)
         assert [seen.get(w, NULL) for w in words.tolist()] == known.tolist()
         levels.add(words, np.minimum(known, doc))
