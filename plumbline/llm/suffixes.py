@@ -1,8 +1,11 @@
 """Removal of byte strings that earlier documents have too, by suffix arrays in logarithmic levels.
 
 Suffixes meet by minimiser (``superkmers``), so each task owns a part of the
-suffixes of the whole corpus. There, documents arrive in the order of their
-ids, batch by batch. A batch gets a suffix array (its suffixes in order of
+suffixes of the whole corpus. Of every super-k-mer with a repeated minimiser a
+64-bit hash travels with its place, and tells which documents have it whole.
+Its bytes travel as well, once a task, if the minimiser has different
+super-k-mers, which may share shorter strings. Of these a suffix array is made:
+documents arrive in the order of their ids, batch by batch. A batch gets a suffix array (its suffixes in order of
 their first ``length`` bytes), which is merge-scanned against the levels that
 hold all earlier batches; a match names the earliest document. Then the batch
 becomes a level itself, and levels of equal size merge, so that there are
@@ -12,9 +15,11 @@ logarithmically many and each suffix moves logarithmically often.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ from plumbline.llm.rows import NULL_ID, keyed_texts, map_batches, utf8
 LENGTH, GRAM = 50, 20
 #: Bytes of strings that get one suffix array.
 BATCH_BYTES = 1 << 18
+#: Documents that are cut into parts together, and rows that a sender gathers.
+SLICE_ROWS, SEND_ROWS = 512, 1_000_000
 
 
 def byte_grams(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -73,26 +80,6 @@ def distinct(strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return strings[head], np.minimum.reduceat(docs, head)
 
 
-def earlier_documents(got: sk.Received, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Byte ranges covered by strings that a document with a smaller id has too."""
-    # Equal super-k-mers first: all but those of the first document are covered whole.
-    number: dict[bytes, int] = {}
-    which = [number.setdefault(p, len(number)) for p in got.packed]
-    strings = list(number)
-    owner = np.full(len(strings), NULL_ID, np.int64)
-    np.minimum.at(owner, which, got.okey)
-    windows = np.array([len(p) - length + 1 for p in strings], np.int64)
-    covered: list[list[tuple[int, int]]] = [[] for _ in strings]
-    for batch, marks, counts in scanned(strings, owner, windows, length):
-        edges = np.cumsum(counts).tolist()
-        for i, begin, end in zip(batch, [0, *edges], edges):
-            if marks[begin:end].any():
-                covered[i] = list(sk.runs(marks[begin:end]))
-    for i, okey, thash, start, n in zip(which, got.okey.tolist(), got.thash.tolist(), got.start.tolist(), got.windows.tolist()):
-        for begin, end in [(0, n)] if okey > owner[i] else covered[i]:
-            yield okey, thash, start + begin, start + end - 1 + length
-
-
 def scanned(strings: list[bytes], owner: np.ndarray, windows: np.ndarray, length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Batches of strings by document, with a mark for each window that an earlier document has."""
     if len(strings) < 2:
@@ -127,51 +114,224 @@ def scanned(strings: list[bytes], owner: np.ndarray, windows: np.ndarray, length
             levels.add(known, before)
 
 
+def window_hashes(grams: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Hashes of the strings of ``length`` bytes that start at ``at``, from the hashes of the grams that cover them."""
+    return reduce(sk.mix, (grams[at + o] for o in [*range(0, length - gram, gram), length - gram]))
+
+
+class Sender:
+    """A batch's super-k-mers by bucket: hash, place, and the bytes where they are needed.
+
+    Of those that are equal in a batch only the least document's travel. The
+    others are known to be covered: their ranges travel instead, to any bucket.
+    """
+
+    FIELDS = (("string", "<u8"), ("okey", "<i8"), ("thash", "<i4"), ("start", "<u4"), ("windows", "<u4"), ("bytes", "<u4"))
+
+    def __init__(self, bits: int, length: int, gram: int, marks: sk.GramFilter):
+        self.bits, self.length, self.gram, self.marks = bits, length, gram, marks
+        self.press = zstandard.ZstdCompressor(level=3)
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.known: list[tuple[np.ndarray, ...]] = []
+        self.flats: list[bytes] = []
+        self.rows = self.size = 0
+
+    def add(self, okeys: np.ndarray, thashes: np.ndarray, part: sk.Part) -> None:
+        length, gram = self.length, self.gram
+        flat, grams, found, string = hashed(part, length, gram)
+        chosen = np.flatnonzero(self.marks.read(self.marks.repeated, found.gram))
+        if not len(chosen):
+            return
+        first, windows, route, string = found.first[chosen], found.windows[chosen], found.gram[chosen], string[chosen]
+        piece = found.doc[chosen]
+        doc = np.array(part.doc)[piece]
+        starts = np.cumsum(part.lengths()) - part.lengths()
+        start = np.array(part.offset)[piece] + first - starts[piece]
+        often = self.marks.read(self.marks.frequent, route)
+        needed = self.marks.read(self.marks.varied, route) & ~often
+        place = np.where(needed, first + self.size, -1)
+        rows = (route, string, okeys[doc], thashes[doc], start, windows, place)
+        if often.any():
+            # Those of frequent minimisers go window by window, each by its own hash.
+            plain, rows = tuple(c[~often] for c in rows), self.unknown(tuple(c[often] for c in rows), first[often])
+            _, _, okey, thash, start, windows, _, first = rows
+            owner = np.repeat(np.arange(len(first)), windows)
+            within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            own = window_hashes(grams, first[owner] + within, length, gram)
+            one = np.ones(len(owner), np.int64)
+            single = (own, own, okey[owner], thash[owner], start[owner] + within, one, -one)
+            rows = tuple(np.concatenate(pair) for pair in zip(plain, single))
+        self.columns.append(rows)
+        self.rows += len(rows[0])
+        self.flats.append(flat)
+        self.size += len(flat)
+
+    def unknown(self, rows: tuple[np.ndarray, ...], *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of equal strings the rows of the least document; the others' ranges are noted as known."""
+        _, string, okey, thash, start, windows, _ = rows
+        order = np.lexsort((okey, string))
+        head = np.append(True, string[order][1:] != string[order][:-1])
+        least = okey[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
+        later = np.zeros(len(order), bool)
+        later[order] = okey[order] > least
+        if later.any():
+            self.known.append((okey[later], thash[later], start[later], (start + windows)[later] + self.length - 1))
+        return tuple(c[~later] for c in (*rows, *more))
+
+    def take(self) -> Iterator[dict]:
+        """What was gathered, a blob of columns for each bucket."""
+        bucket, known, blob = [], [], []
+        if self.columns:
+            rows = self.unknown(tuple(np.concatenate(c) for c in zip(*self.columns)))
+            where = (rows[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+            order = np.lexsort((rows[4], rows[3], rows[2], where))
+            where, (_, string, okey, thash, start, windows, place) = where[order], (c[order] for c in rows)
+            # The bytes of a string travel with one of its rows.
+            _, one = np.unique(string, return_index=True)
+            lone = np.zeros(len(string), bool)
+            lone[one] = True
+            size = np.where(lone & (place >= 0), windows + self.length - 1, 0)
+            flat = b"".join(self.flats)
+            ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)) if len(where) else []
+            begin = 0
+            for end in ends:
+                at = slice(begin, end)
+                values = zip(self.FIELDS, (string, okey, thash, start, windows, size))
+                sent = [flat[p : p + n] for p, n in zip(place[at].tolist(), size[at].tolist()) if n]
+                bucket.append(int(where[begin]))
+                known.append(False)
+                blob.append(self.press.compress(b"".join([int(end - begin).to_bytes(4, "little"), *(c[at].astype(kind).tobytes() for (_, kind), c in values), *sent])))
+                begin = end
+        if self.known:
+            ranges = merged(*(np.concatenate(c) for c in zip(*self.known)))
+            for key, table in enumerate(range(0, len(ranges[0]), 4096)):
+                columns = [c[table : table + 4096] for c in ranges]
+                bucket.append(int(columns[0][0]) % (1 << self.bits))
+                known.append(True)
+                blob.append(self.press.compress(b"".join(c.astype("<i8").tobytes() for c in columns)))
+        self.clear()
+        if bucket:
+            yield {"bucket": pa.array(bucket, pa.int32()), "known": pa.array(known, pa.bool_()), "blob": pa.array(blob, pa.binary())}
+
+
+def hashed(part: sk.Part, length: int, gram: int) -> tuple[bytes, np.ndarray, sk.SuperKmers, np.ndarray]:
+    """A part's bytes, gram hashes, super-k-mers, and the hashes of these."""
+    flat = b"".join(part.tokens)
+    grams = byte_grams(np.frombuffer(flat, np.uint8), gram)
+    found = sk.super_kmers(grams, part.lengths(), length, gram)
+    # A super-k-mer is shorter than two windows, so its first and its last cover it.
+    ends = (window_hashes(grams, at, length, gram) for at in (found.first, found.first + found.windows - 1))
+    return flat, grams, found, sk.mix(sk.mix(*ends), found.windows.astype(np.uint64))
+
+
+def parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, sk.Part]]:
+    """Parts of a batch with the ``okey`` and ``thash`` of the documents that they number."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        some = batch.slice(at, SLICE_ROWS)
+        okeys, thashes = (some.column(c).to_numpy() if c in some.schema.names else None for c in ("okey", "thash"))
+        for part in sk.parts_of(utf8(some.column("text")), length):
+            yield okeys, thashes, part
+
+
+def merged(okey: np.ndarray, thash: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges by document and begin; those that meet the one before, or overlap it, are one."""
+    if not len(okey):
+        return okey, thash, begin, end
+    order = np.lexsort((begin, thash, okey))
+    okey, thash, begin, end = okey[order], thash[order], begin[order], end[order]
+    fresh = np.append(True, (okey[1:] != okey[:-1]) | (thash[1:] != thash[:-1]) | (begin[1:] > end[:-1]))
+    head = np.flatnonzero(fresh)
+    return okey[head], thash[head], begin[head], np.maximum.reduceat(end, head)
+
+
+def covered_by_earlier(group: pa.Table, length: int) -> pa.Table:
+    """A bucket's ranges of bytes that a document with a smaller id has too; one row a document."""
+    unpack = zstandard.ZstdDecompressor()
+    rows, ranges, strings = [], [], []
+    for known, blob in zip(group.column("known").to_pylist(), group.column("blob").to_pylist()):
+        raw = unpack.decompress(blob)
+        if known:
+            ranges.append(tuple(np.frombuffer(raw, "<i8").reshape(4, -1)))
+            continue
+        n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
+        for _, kind in Sender.FIELDS:
+            column = np.frombuffer(raw, kind, n, at)
+            columns.append(column if kind == "<u8" else column.astype(np.int64))
+            at += column.nbytes
+        rows.append(columns)
+        ends = at + np.cumsum(columns[-1])
+        strings += [raw[e - s : e] if s else b"" for e, s in zip(ends.tolist(), columns[-1].tolist())]
+    if rows:
+        string, okey, thash, start, windows, size = (np.concatenate(c) for c in zip(*rows))
+        distinct_strings, which = np.unique(string, return_inverse=True)
+        owner = np.full(len(distinct_strings), NULL_ID, np.int64)
+        np.minimum.at(owner, which, okey)
+        later = okey > owner[which]
+        ranges.append((okey[later], thash[later], start[later], (start + windows)[later] + length - 1))
+        # Of the least documents' strings the parts that still earlier documents have in other strings.
+        sent = np.flatnonzero(size)
+        _, one = np.unique(which[sent], return_index=True)
+        sent = sent[one]
+        found = []
+        for batch, marks, counts in scanned([strings[i] for i in sent.tolist()], owner[which[sent]], windows[sent], length):
+            # Runs of marks, each within its string: string, begin, end.
+            row = np.repeat(np.arange(len(batch)), counts)
+            base = np.cumsum(counts) - counts
+            same = np.append(False, row[1:] == row[:-1])
+            begin = np.flatnonzero(marks & ~(same & np.append(False, marks[:-1])))
+            end = np.flatnonzero(marks & ~np.append(same[1:] & marks[1:], False)) + 1
+            found.append((which[sent][np.array(batch)[row[begin]]], begin - base[row[begin]], end - base[row[begin]]))
+        if found:
+            of, begin, end = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(of, kind="stable")
+            of, begin, end = of[order], begin[order], end[order]
+            rest = np.flatnonzero(~later)
+            low, high = np.searchsorted(of, which[rest], "left"), np.searchsorted(of, which[rest], "right")
+            row = np.repeat(rest, high - low)
+            at = np.arange(len(row)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+            ranges.append((okey[row], thash[row], start[row] + begin[at], start[row] + end[at] - 1 + length))
+    okey, thash, begin, end = merged(*(np.concatenate(c) for c in zip(*ranges)))
+    pairs = np.column_stack([begin, end]).astype("<u4")
+    head = np.flatnonzero(np.append(True, (okey[1:] != okey[:-1]) | (thash[1:] != thash[:-1]))) if len(okey) else np.zeros(0, np.int64)
+    until = np.append(head[1:], len(okey))
+    return pa.table({
+        "okey": pa.array(okey[head], pa.int64()),
+        "thash": pa.array(thash[head], pa.int32()),
+        "ranges": pa.array([pairs[a:b].tobytes() for a, b in zip(head.tolist(), until.tolist())], pa.binary()),
+    })
+
+
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(okey, thash, ranges): the byte ranges of ``keyed_texts`` that earlier documents have too."""
-
-    def super_kmers(part):
-        flat = np.frombuffer(b"".join(part.tokens), np.uint8)
-        return sk.super_kmers(byte_grams(flat, gram), part.lengths(), length, gram)
+    if not 8 <= gram <= length:
+        raise ValueError(f"no grams of {gram} bytes for strings of {length}")
 
     def grams():
         def of(batch):
-            for part in sk.parts_of(utf8(batch.column("text")), length):
-                yield super_kmers(part).gram
+            for _, _, part in parts(batch, length):
+                _, _, found, string = hashed(part, length, gram)
+                yield found.gram, string
 
         return of
 
     marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams))
 
     def make():
-        seen = marks.value
-        # Only a smaller id covers an equal string.
-        sender = sk.Sender(sk.bucket_bits(seen.total), length, lambda place, known: known[0] < place[0])
+        sender = Sender(sk.bucket_bits(marks.value.total), length, gram, marks.value)
 
         def step(batch):
-            okeys, thashes = batch.column("okey").to_pylist(), batch.column("thash").to_pylist()
-            for part in sk.parts_of(utf8(batch.column("text")), length):
-                found = super_kmers(part)
-                chosen = np.flatnonzero(seen.read(seen.repeated, found.gram))
-                flat = b"".join(part.tokens)
-                often = seen.read(seen.frequent, found.gram[chosen]).tolist()
-                starts = (np.cumsum(part.lengths()) - part.lengths()).tolist()
-                for first, n, piece, route, by_window in zip(*(c[chosen].tolist() for c in (found.first, found.windows, found.doc, found.gram)), often):
-                    doc = part.doc[piece]
-                    place = (okeys[doc], thashes[doc], part.offset[piece] + first - starts[piece])
-                    packed = flat[first : first + n + length - 1]
-                    if by_window:
-                        sender.add_windows(place, [packed[i : i + length] for i in range(n)], packed)
-                    else:
-                        sender.add(route, place, n, packed)
-                if sender.full():
-                    yield sender.take()
-            if sender.rows or sender.known:
-                yield sender.take()
+            for part in parts(batch, length):
+                sender.add(*part)
+                if sender.rows >= SEND_ROWS:
+                    yield from sender.take()
+            yield from sender.take()
 
         return step
 
-    return sk.covered_ranges(map_batches(docs, make, sk.SENT), lambda got: earlier_documents(got, length))
+    return map_batches(docs, make, sk.SENT).groupBy("bucket").applyInArrow(lambda group: covered_by_earlier(group, length), sk.RANGES)
 
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -9,8 +9,8 @@ lead to an equal window elsewhere.
 The search has three passes:
 
 1. ``repeated_grams`` counts minimisers in buckets of their hash. Repeated and
-   frequent ones are marked in a ``GramFilter``: bits by hash class, of fixed
-   size. With classes shared by several grams it lets more pass than it must;
+   frequent ones, and those of different super-k-mers where that is asked for,
+   are marked in a ``GramFilter``: bits by hash class, of fixed size. With classes shared by several grams it lets more pass than it must;
    results do not depend on it.
 2. Each super-k-mer that passes travels as one packed string to the bucket that
    its minimiser leads to; those of frequent minimisers travel window by
@@ -37,12 +37,14 @@ U = np.uint64
 MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Low bits of a gram's sort value that hold its position in a batch.
 POSITION_BITS = U(26)
-#: Bits of each filter map: 16 MB together.
+#: Bits of each filter map: 8 MB each.
 FILTER_BITS = 26
-#: A minimiser is frequent from this share of all super-k-mers on, and never below this count.
-FREQUENT_SHARE, LEAST_FREQUENT = 1 / 4096, 1000
+#: A minimiser is frequent from this share of all super-k-mers on, but never below the first count and always above the second.
+FREQUENT_SHARE, LEAST_FREQUENT, MOST_FREQUENT = 1 / 4096, 1000, 20_000
 #: Gram hashes are counted by this many bytes beside the bucket's bits.
 KEY_BYTES = 5
+#: Bytes of a super-k-mer's hash that tell it from others of its minimiser.
+CHECK_BYTES = 5
 MOST_COMBINED = 100_000
 
 
@@ -113,10 +115,11 @@ def super_kmers(grams: np.ndarray, lengths: np.ndarray, k: int, g: int) -> Super
 
 @dataclass
 class GramFilter:
-    """Marks of gram hash classes: met more than once, and frequent; and how many grams were counted."""
+    """Marks of gram hash classes: met more than once, frequent, met in different super-k-mers; and how many grams were counted."""
 
     repeated: np.ndarray
     frequent: np.ndarray
+    varied: np.ndarray
     total: int
 
     @staticmethod
@@ -125,15 +128,28 @@ class GramFilter:
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]]) -> GramFilter:
+def high_bytes(values: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """The ``width`` bytes below the highest ``shift`` bits, one row a value."""
+    return ((values << U(shift)) >> U(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def from_bytes(blobs: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel()
+
+
+def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator]]) -> GramFilter:
     """Counts minimisers of all documents by bucket and marks those met again.
 
     There are more buckets than shuffle partitions, so that a bucket is as
     small as a partition of the session is meant to be.
 
-    ``grams_of()``, called once a task, gives what yields an Arrow batch's minimiser hashes. A batch sends each
-    hash once, with its count. What reaches the driver is the filter alone, of
-    ``FILTER_BITS`` twice, however large the corpus.
+    ``grams_of()``, called once a task, gives what yields an Arrow batch's
+    minimiser hashes, or pairs of these and their super-k-mers' hashes. A batch
+    sends each once, with its count. What reaches the driver is the filter
+    alone, of ``FILTER_BITS`` three times, however large the corpus.
     """
     bits = max(8, int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
     buckets = 1 << bits
@@ -143,55 +159,65 @@ def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.Recor
 
         def step(batch):
             for grams in of(batch):
+                checks = None
+                if isinstance(grams, tuple):
+                    grams, checks = grams
                 if not len(grams):
                     continue
-                found, counts = np.unique(grams, return_counts=True)
+                if checks is None:
+                    found, counts = np.unique(grams, return_counts=True)
+                else:
+                    order = np.lexsort((checks, grams))
+                    grams, checks = grams[order], checks[order]
+                    head = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (checks[1:] != checks[:-1])))
+                    found, checks, counts = grams[head], high_bytes(checks[head], 0, CHECK_BYTES), np.diff(np.append(head, len(grams)))
                 bucket = (found >> U(64 - bits)).astype(np.int64)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                keys = ((found << U(bits)) >> U(64 - 8 * KEY_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                keys = high_bytes(found, bits, KEY_BYTES)
                 counts = np.minimum(counts, 65535).astype("<u2")
                 present = np.flatnonzero(edges[1:] > edges[:-1])
-                yield {
-                    "bucket": pa.array(present, pa.int32()),
-                    "keys": pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in present], pa.binary()),
-                    "counts": pa.array([counts[edges[b] : edges[b + 1]].tobytes() for b in present], pa.binary()),
-                }
+
+                def cut(column):
+                    return pa.array([None if column is None else column[edges[b] : edges[b + 1]].tobytes() for b in present], pa.binary())
+
+                yield {"bucket": pa.array(present, pa.int32()), "keys": cut(keys), "checks": cut(checks), "counts": cut(counts)}
 
         return step
 
     slice_bits = FILTER_BITS - bits
 
     def mark_bucket(group):
-        raw = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
-        keys = np.zeros((len(raw), 8), np.uint8)
-        keys[:, :KEY_BYTES] = raw
-        keys = keys.view("<u8").ravel()
+        keys = from_bytes(group.column("keys").to_pylist(), KEY_BYTES)
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u2").astype(np.int64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        checks = from_bytes(blobs, CHECK_BYTES) if None not in (blobs := group.column("checks").to_pylist()) else np.zeros(len(keys), np.uint64)
+        order = np.lexsort((checks, keys))
+        keys, counts, checks = keys[order], counts[order], checks[order]
         edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         total = np.add.reduceat(counts, edge)
-        least = max(LEAST_FREQUENT, FREQUENT_SHARE * buckets * counts.sum())
+        kinds = np.add.reduceat(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])).astype(np.int64), edge)
+        least = min(max(LEAST_FREQUENT, FREQUENT_SHARE * buckets * counts.sum()), MOST_FREQUENT)
         place = (keys[edge] >> U(8 * KEY_BYTES - slice_bits)).astype(np.int64)
 
         def packed(chosen):
             marks = np.zeros(1 << slice_bits, np.uint8)
             marks[place[chosen]] = 1
-            return np.packbits(marks, bitorder="little").tobytes()
+            return pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())
 
         return pa.table({
             "bucket": group.column("bucket")[:1].cast(pa.int32()),
-            "repeated": pa.array([packed(total > 1)], pa.binary()),
-            "frequent": pa.array([packed(total >= least)], pa.binary()),
+            "repeated": packed(total > 1),
+            "frequent": packed(total >= least),
+            "varied": packed(kinds > 1),
             "total": pa.array([int(counts.sum())], pa.int64()),
         })
 
-    counted = map_batches(batches, make, "bucket int, keys binary, counts binary")
-    rows = counted.groupBy("bucket").applyInArrow(mark_bucket, "bucket int, repeated binary, frequent binary, total long").toPandas()
-    marks = [np.zeros(1 << FILTER_BITS >> 3, np.uint8) for _ in range(2)]
+    counted = map_batches(batches, make, "bucket int, keys binary, checks binary, counts binary")
+    schema = "bucket int, repeated binary, frequent binary, varied binary, total long"
+    rows = counted.groupBy("bucket").applyInArrow(mark_bucket, schema).toPandas()
+    marks = [np.zeros(1 << FILTER_BITS >> 3, np.uint8) for _ in range(3)]
     width = 1 << slice_bits >> 3
     for row in rows.itertuples():
-        for all_bits, own in zip(marks, (row.repeated, row.frequent)):
+        for all_bits, own in zip(marks, (row.repeated, row.frequent, row.varied)):
             all_bits[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(own, np.uint8)
     return GramFilter(*marks, int(rows.total.sum()))
 
