@@ -140,8 +140,8 @@ def from_bytes(blobs: list[bytes], width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator]]) -> GramFilter:
-    """Counts minimisers of all documents by bucket and marks those met again.
+def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator]], repeats: int = 2) -> GramFilter:
+    """Counts minimisers of all documents by bucket and marks those met again (``repeats`` times or more).
 
     There are more buckets than shuffle partitions, so that a bucket is as
     small as a partition of the session is meant to be.
@@ -205,7 +205,7 @@ def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.Recor
 
         return pa.table({
             "bucket": group.column("bucket")[:1].cast(pa.int32()),
-            "repeated": packed(total > 1),
+            "repeated": packed(total >= repeats),
             "frequent": packed(total >= least),
             "varied": packed(kinds > 1),
             "total": pa.array([int(counts.sum())], pa.int64()),
