@@ -190,17 +190,19 @@ def encoder(spec: bytes) -> WordBpe:
     return WordBpe(spec)
 
 
-def batches_of_text(batch: pa.RecordBatch, most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def batches_of_text(batch: pa.RecordBatch, most_chars: int = 4_000_000, most_rows: int = 1024) -> Iterator[tuple[list, list[str]]]:
     """doc_id and text of an Arrow batch in parts of bounded size."""
-    ids, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-    start = size = 0
-    for i, value in enumerate(values):
-        size += len(value)
-        if size > most_chars:
-            yield ids[start : i + 1], values[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(ids):
-        yield ids[start:], values[start:]
+    for at in range(0, batch.num_rows, most_rows):
+        some = batch.slice(at, most_rows)
+        ids, values = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+        start = size = 0
+        for i, value in enumerate(values):
+            size += len(value)
+            if size > most_chars:
+                yield ids[start : i + 1], values[start : i + 1]
+                start, size = i + 1, 0
+        if start < len(ids):
+            yield ids[start:], values[start:]
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

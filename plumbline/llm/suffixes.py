@@ -30,8 +30,10 @@ from plumbline.llm.rows import NULL_ID, keyed_texts, map_batches, utf8
 LENGTH, GRAM = 50, 20
 #: Bytes of strings that get one suffix array.
 BATCH_BYTES = 1 << 18
-#: Documents that are cut into parts together, and rows that a sender gathers.
-SLICE_ROWS, SEND_ROWS = 512, 1_000_000
+#: Documents that are cut into parts together, and rows (about 40 bytes each, and as many again while they are sorted) that a sender gathers.
+SLICE_ROWS, SEND_ROWS = 512, 800_000
+#: Bytes of text that it holds beside them.
+SEND_BYTES = 1 << 26
 
 
 def byte_grams(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -153,7 +155,7 @@ class Sender:
         often = self.marks.read(self.marks.frequent, route)
         needed = self.marks.read(self.marks.varied, route) & ~often
         place = np.where(needed, first + self.size, -1)
-        rows = (route, string, okeys[doc], thashes[doc], start, windows, place)
+        rows = (route, string, okeys[doc], thashes[doc], start.astype(np.uint32), windows.astype(np.int32), place.astype(np.int32))
         if often.any():
             # Those of frequent minimisers go window by window, each by its own hash.
             plain, rows = tuple(c[~often] for c in rows), self.unknown(tuple(c[often] for c in rows), first[often])
@@ -161,8 +163,8 @@ class Sender:
             owner = np.repeat(np.arange(len(first)), windows)
             within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             own = window_hashes(grams, first[owner] + within, length, gram)
-            one = np.ones(len(owner), np.int64)
-            single = (own, own, okey[owner], thash[owner], start[owner] + within, one, -one)
+            one = np.ones(len(owner), np.int32)
+            single = (own, own, okey[owner], thash[owner], (start[owner] + within).astype(np.uint32), one, -one)
             rows = tuple(np.concatenate(pair) for pair in zip(plain, single))
         self.columns.append(rows)
         self.rows += len(rows[0])
@@ -178,14 +180,17 @@ class Sender:
         later = np.zeros(len(order), bool)
         later[order] = okey[order] > least
         if later.any():
-            self.known.append((okey[later], thash[later], start[later], (start + windows)[later] + self.length - 1))
+            begin = start[later].astype(np.int64)
+            self.known.append((okey[later], thash[later], begin, begin + windows[later] + self.length - 1))
         return tuple(c[~later] for c in (*rows, *more))
 
     def take(self) -> Iterator[dict]:
         """What was gathered, a blob of columns for each bucket."""
         bucket, known, blob = [], [], []
         if self.columns:
-            rows = self.unknown(tuple(np.concatenate(c) for c in zip(*self.columns)))
+            rows = tuple(np.concatenate(c) for c in zip(*self.columns))
+            self.columns = []
+            rows = self.unknown(rows)
             where = (rows[0] >> np.uint64(64 - self.bits)).astype(np.int64)
             order = np.lexsort((rows[4], rows[3], rows[2], where))
             where, (_, string, okey, thash, start, windows, place) = where[order], (c[order] for c in rows)
@@ -325,7 +330,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         def step(batch):
             for part in parts(batch, length):
                 sender.add(*part)
-                if sender.rows >= SEND_ROWS:
+                if sender.rows >= SEND_ROWS or sender.size >= SEND_BYTES:
                     yield from sender.take()
             yield from sender.take()
 
