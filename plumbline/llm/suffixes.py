@@ -339,9 +339,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return map_batches(docs, make, sk.SENT).groupBy("bucket").applyInArrow(lambda group: covered_by_earlier(group, length), sk.RANGES)
 
 
-def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary), and the columns ``keep`` of ``docs`` as ``_keep_*``.
 
+    ``as_text``: ``kept`` is a string, without characters of which only some bytes stay.
+
     Null and empty texts have no bytes; matches never cross documents. Rows
     that repeat an id, with the same text or another, do not remove each other's
     bytes: only a smaller id does. A null id is greater than every other.
@@ -356,7 +358,7 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col:
     )
     both = sk.with_ranges(held, repeated_bytes(plain, length, gram)).drop("okey", "thash")
     names = [f"_keep_{c}" for c in keep]
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    schema = ", ".join([f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}", *(f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
 
     def make():
         def step(batch):
@@ -377,7 +379,7 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col:
                 "n_bytes": pa.array(n_bytes, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "n_spans": pa.array(n_spans, pa.int64()),
-                "kept": pa.array(kept, pa.binary()),
+                "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
                 **{c: batch.column(c) for c in names},
             }
 
@@ -398,9 +400,8 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Da
     stay null; documents of which nothing is left go, those without a text
     before stay. ``n_chars``, where there is one, follows the text.
     """
-    out = kept_bytes(docs, length, text_col=text_col, keep=tuple(docs.columns))
-    whole = F.pandas_udf(lambda column: column.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
-    text = F.when(F.col("n_removed") > 0, whole("kept")).otherwise(F.col(f"_keep_{text_col}"))
+    out = kept_bytes(docs, length, text_col=text_col, keep=tuple(docs.columns), as_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"_keep_{text_col}"))
     out = out.withColumn("_text", text).where((F.col("n_removed") == 0) | (F.length(F.trim("_text")) > 0))
     new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
