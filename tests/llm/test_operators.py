@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, classifier, components, jaccard, neighbours, packing, pii, quality_rules, queries, substrings, suffixes, superkmers, token_counts
 from tests.conftest import SF
+from tests.llm.conftest import passage
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 NULL = (1 << 63) - 1
@@ -349,6 +350,20 @@ def test_chains_and_a_large_group_of_near_copies(spark):
         assert {tuple(r) for r in jaccard.near_duplicates(docs, n, num, den).collect()} == plain_components(rows, n, num, den)
 
 
+def test_frequent_passages_with_rare_additions(spark):
+    """A copy with rare additions asks for fewer shared shingles than its frequent passage alone, and shares no more."""
+    rows = []
+    for i, added in enumerate((1, 6, 10, 12, 13)):
+        frequent = passage(100 + i, 52)
+        rows += [(100 * i, frequent), (100 * i + 1, frequent + " " + passage(200 + i, added))]
+        rows += [(100 * i + 2 + j, frequent + " " + passage(1000 + 20 * i + j, 350)) for j in range(20)]
+    rows += [(10_000 + i, passage(10_000 + i, 8)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = plain_components(rows, 5, 4, 5)
+    assert {d for d, _, c in expected if d != c} == {1, 101, 201, 301}
+    assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == expected
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, plain_rows):
     found = jaccard.near_duplicates(odd_docs).collect()
     assert len(found) == len(plain_rows)
