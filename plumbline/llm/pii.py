@@ -32,6 +32,16 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9.-])")
 DIGITS = re.compile("[0-9]")
+#: Letters and digits of an account number, by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 #: Words near a span that speak for its kind.
 CONTEXT = {
@@ -63,6 +73,26 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: to the length of their country, if words that follow are in the match, or else the whole match."""
+    m = IBAN.search(text)
+    while m:
+        found = m[0].replace(" ", "")
+        length = IBAN_LENGTHS.get(found[:2], len(found))
+        # Matches are short, so that searching them again takes linear time.
+        at = m.start() + 1
+        end, left = m.start(), length
+        while left and end < m.end():
+            left -= text[end] != " "
+            end += 1
+        for end, account in ((end, found[:length]), (m.end(), found)):
+            if (end == m.end() or text[end] == " ") and mod97(account):
+                yield m.start(), end
+                at = end
+                break
+        m = IBAN.search(text, at)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the local part, an @ and the domain: from each @ to both sides, in linear time."""
     done, at = 0, text.find("@")
@@ -100,12 +130,10 @@ def scored_spans(text: str, least_score: float = LEAST_SCORE) -> list[Span]:
     spans = [(a, b, kind, _score(text, a, b, kind, kind == "card")) for a, b, kind in base_spans(text)]
     taken = [(a, b) for a, b, _, _ in spans]
     extra = []
-    for kind, pattern, check in (("iban", IBAN, mod97), ("national_id", NATIONAL_ID, None), ("local_phone", LOCAL_PHONE, None)):
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if check and not check(m[0].replace(" ", "")):
-                continue
-            score = _score(text, a, b, kind, check is not None)
+    matches = ((kind, (m.span() for m in pattern.finditer(text))) for kind, pattern in (("national_id", NATIONAL_ID), ("local_phone", LOCAL_PHONE)))
+    for kind, places in (("iban", accounts(text)), *matches):
+        for a, b in places:
+            score = _score(text, a, b, kind, kind == "iban")
             if score >= least_score and all(b <= x or a >= y for x, y in taken):
                 extra.append((a, b, kind, score))
                 taken.append((a, b))

@@ -180,6 +180,16 @@ def test_added_kinds_need_a_checksum_or_context():
     assert pii.mask("mail a@b.cd now") == "mail [EMAIL] now"
 
 
+def test_account_numbers_end_before_a_following_word():
+    for account in ("ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "BE68539007547034", "SE45 5000 0000 0583 9825 7466"):
+        for after in ("", " BIC", " EUR", " 12", " CODE", " CODE EUR", ", EUR", " Euro"):
+            assert pii.joined(pii.scored_spans(account + after)) == f"iban:0:{len(account)}", account + after
+            assert pii.mask(f"to {account}{after}") == f"to [IBAN]{after}"
+    assert pii.mask("ES91 2100 0418 4502 0005 1332 BE68 5390 0754 7034") == "[IBAN] [IBAN]"
+    assert pii.mask("AB12 3456 7891 BE68 5390 0754 7034") == "AB12 3456 7891 [IBAN]"
+    assert pii.scored_spans("BE68 5390 0754 7035 EUR") == [] and pii.scored_spans("BE68539007547034EUR") == []
+
+
 def test_long_runs_take_linear_time():
     assert pii.base_spans("a" * 300_000 + "1" * 300_000 + "1." * 100_000 + "@" * 1000) is not None
 
