@@ -485,6 +485,22 @@ def test_recall(spark):
         assert r.score == pytest.approx(float((data[r.query_id] * data[r.vec_id]).sum()), abs=1e-12)
 
 
+@pytest.mark.parametrize("sf, every", [("sf0.1", 20), ("check_l", 1000)])
+def test_recall_on_larger_tables(spark, sf, every):
+    """sf0.1 has 2,000 vectors, just where the floor of the candidates ends; check_l fills whole blocks."""
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    data = vectors.toPandas().sort_values("vec_id")
+    assert len(data) >= (2000 if sf == "sf0.1" else 4 * neighbours.BLOCK)
+    ids, x = data.vec_id.to_numpy(), np.stack(data.embedding.to_numpy()).astype(float)
+    found = neighbours.nearest(vectors, vectors.where(F.col("vec_id") % every == 0)).toPandas()
+    assert set(found.query_id) == set(ids[ids % every == 0])
+    hits = []
+    for q, own in found.groupby("query_id"):
+        score = np.where(ids == q, -np.inf, x @ x[np.searchsorted(ids, q)])
+        hits.append(len(set(own.vec_id) & set(ids[np.argsort(-score, kind="stable")[:20]])) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_odd_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (9, [2.0, 0.0]), (8, [2.0, 0.0]), (10, [0.5, 9.0]), (11, [1.0, 2.0, 3.0]), (None, [5.0, 5.0])]
