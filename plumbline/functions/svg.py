@@ -19,12 +19,12 @@ BOX = "x0 double, y0 double, x1 double, y1 double"
 
 
 def elements_of(svg: str | None) -> list[tuple]:
-    """(ord, d, semantic_id, instance_id) of every element with path data and a semantic id, in document order; none if it is no XML."""
+    """(ord, d, semantic_id, instance_id, the root's viewBox) of every element with path data and a semantic id, in document order; none if it is no XML."""
     try:
         root = ElementTree.fromstring(svg or "")
     except ElementTree.ParseError:
         return []
-    found = ((i, e.get("d"), e.get("semantic-id"), e.get("instance-id")) for i, e in enumerate(root.iter()))
+    found = ((i, e.get("d"), e.get("semantic-id"), e.get("instance-id"), root.get("viewBox")) for i, e in enumerate(root.iter()))
     return [row for row in found if row[1] is not None and row[2] is not None]
 
 
@@ -35,20 +35,25 @@ def view_box(svg: str | None) -> str | None:
         return None
 
 
-def elements(docs: DataFrame, id_col: str = "scene_id", svg_col: str = "svg") -> DataFrame:
-    """One row for each usable element; ids parsed, a missing or empty instance id is -1, a semantic id that is no number drops the row."""
+def elements(docs: DataFrame, id_col: str = "scene_id", svg_col: str = "svg", view: bool = False) -> DataFrame:
+    """One row for each usable element; ids parsed, a missing or empty instance id is -1, a semantic id that is no number drops the row.
+
+    ``view``: with the size of the drawing's own viewBox, ``view_w`` and ``view_h``.
+    """
 
     def parse(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: [dict(zip(("ord", "d", "semantic_id", "instance_id"), row)) for row in elements_of(s)])
+        return column.map(lambda s: [dict(zip(("ord", "d", "semantic_id", "instance_id", "view_box"), row)) for row in elements_of(s)])
 
-    parsed = F.pandas_udf(parse, "array<struct<ord:int,d:string,semantic_id:string,instance_id:string>>")
+    parsed = F.pandas_udf(parse, "array<struct<ord:int,d:string,semantic_id:string,instance_id:string,view_box:string>>")
     rows = docs.select(F.col(id_col), F.explode(parsed(F.col(svg_col))).alias("e")).select(id_col, "e.*")
+    sizes = [size.alias(name) for size, name in zip(view_size(F.col("view_box")), ("view_w", "view_h"))] if view else []
     return rows.select(
         id_col,
         "ord",
         "d",
         F.col("semantic_id").try_cast("int").alias("sid"),
         F.coalesce(F.nullif(F.col("instance_id"), F.lit("")).try_cast("int"), F.lit(-1)).alias("iid"),
+        *sizes,
     ).where("sid is not null")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.dims import class_dim
@@ -11,31 +11,42 @@ from plumbline.functions.geometry import to_pixel
 MIN_SIZE = 8
 
 
-def pixel_boxes(boxes: DataFrame, width: int, height: int, view_w: float, view_h: float, min_size: int = MIN_SIZE) -> DataFrame:
-    """Boxes in view units to whole pixels: truncated, each corner clamped on its own side, small ones dropped."""
-    sx, sy = width / view_w, height / view_h
+def scale(size: int | str, view: float | str) -> float | Column:
+    """Pixels a view unit; null if the view is empty. A string names a column."""
+    if isinstance(size, str) or isinstance(view, str):
+        return F.try_divide(*(F.col(x) if isinstance(x, str) else F.lit(x) for x in (size, view)))
+    return size / view
+
+
+def pixel_boxes(boxes: DataFrame, width: int | str, height: int | str, view_w: float | str, view_h: float | str, min_size: int = MIN_SIZE) -> DataFrame:
+    """Boxes in view units to whole pixels: truncated, each corner clamped on its own side, small ones dropped. Sizes may be names of columns."""
+    sx, sy = scale(width, view_w), scale(height, view_h)
+    width, height = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (width, height))
     return (
         boxes.withColumn("px0", F.greatest(F.lit(0), to_pixel(F.col("x0"), sx)))
         .withColumn("py0", F.greatest(F.lit(0), to_pixel(F.col("y0"), sy)))
-        .withColumn("px1", F.least(F.lit(width), to_pixel(F.col("x1"), sx)))
-        .withColumn("py1", F.least(F.lit(height), to_pixel(F.col("y1"), sy)))
+        .withColumn("px1", F.least(width, to_pixel(F.col("x1"), sx)))
+        .withColumn("py1", F.least(height, to_pixel(F.col("y1"), sy)))
+        # A null scale has no pixels: greatest and least skip nulls.
+        .where(F.lit(sx).isNotNull() & F.lit(sy).isNotNull())
         .where((F.col("px1") - F.col("px0") >= min_size) & (F.col("py1") - F.col("py0") >= min_size))
     )
 
 
-def instances(paths: DataFrame, stuff_by_class: bool = False) -> DataFrame:
+def instances(paths: DataFrame, stuff_by_class: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Union of the boxes of an instance's paths.
 
     Paths without an instance (-1) stay apart, or, with ``stuff_by_class``,
     merge by class. ``ord`` is the first path's. One shuffle by scene, class
-    and instance, with partial minima and maxima before it.
+    and instance, with partial minima and maxima before it. ``keep``: columns
+    with one value a scene.
     """
     keys = ["scene_id", "sid", "iid"]
     alone = F.when(F.col("iid") == -1, F.col("ord")) if not stuff_by_class else F.lit(None).cast("int")
     return (
         paths.withColumn("own", alone)
         .groupBy(*keys, "own")
-        .agg(F.min("ord").alias("ord"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        .agg(F.min("ord").alias("ord"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *(F.first(c).alias(c) for c in keep))
         .drop("own")
     )
 
@@ -50,11 +61,12 @@ def named(boxes: DataFrame) -> DataFrame:
     )
 
 
-def annotated(paths: DataFrame, width: int, height: int, view_w: float, view_h: float, mode: str = "by_path", min_size: int = MIN_SIZE) -> DataFrame:
+def annotated(paths: DataFrame, width: int | str, height: int | str, view_w: float | str, view_h: float | str, mode: str = "by_path", min_size: int = MIN_SIZE) -> DataFrame:
     """Labelled instance boxes. ``by_path``: every stuff path alone, unknown classes kept, at least ``min_size`` pixels.
-    ``by_class``: stuff merged by class, unknown classes dropped, any area."""
+    ``by_class``: stuff merged by class, unknown classes dropped, any area. Sizes may be names of columns, with one value a scene."""
     if mode not in ("by_path", "by_class"):
         raise ValueError(f"unknown mode {mode!r}")
     merged = mode == "by_class"
-    boxes = named(pixel_boxes(instances(paths, merged), width, height, view_w, view_h, 1 if merged else min_size))
+    sizes = tuple(c for c in (width, height, view_w, view_h) if isinstance(c, str))
+    boxes = named(pixel_boxes(instances(paths, merged, sizes), width, height, view_w, view_h, 1 if merged else min_size).drop(*sizes))
     return boxes.where("class_id >= 0") if merged else boxes

@@ -12,12 +12,20 @@ from plumbline.operators import annotate
 DOCS = "scene_id long, svg string"
 
 
-def annotated(docs: DataFrame, width: int, height: int, view_w: float = 100.0, view_h: float = 100.0, min_size: int = annotate.MIN_SIZE) -> DataFrame:
-    """Labelled boxes of the drawings in ``docs`` (scene_id, svg)."""
-    return annotate.annotated(svg.with_boxes(svg.elements(docs)), width, height, view_w, view_h, min_size=min_size)
+def annotated(docs: DataFrame, width: int, height: int, view_w: float | None = None, view_h: float | None = None, min_size: int = annotate.MIN_SIZE, sizes: DataFrame | None = None) -> DataFrame:
+    """Labelled boxes of the drawings in ``docs`` (scene_id, svg), each scaled by its own viewBox where ``view_w`` or ``view_h`` is not given.
+
+    ``sizes`` (scene_id, width, height) has each drawing's image size, in place
+    of ``width`` and ``height``; a drawing without one has no boxes.
+    """
+    paths = svg.with_boxes(svg.elements(docs, view=True))
+    if sizes is not None:
+        known = sizes.where("width is not null and height is not null").dropDuplicates(["scene_id"])
+        paths, width, height = paths.join(known.select("scene_id", F.col("width").alias("img_w"), F.col("height").alias("img_h")), "scene_id"), "img_w", "img_h"
+    return annotate.annotated(paths, width, height, "view_w" if view_w is None else view_w, "view_h" if view_h is None else view_h, min_size=min_size)
 
 
-def run_incrementally(spark: SparkSession, source: str, target: str, checkpoint: str, width: int, height: int, min_size: int = annotate.MIN_SIZE) -> StreamingQuery:
+def run_incrementally(spark: SparkSession, source: str, target: str, checkpoint: str, width: int, height: int, min_size: int = annotate.MIN_SIZE, sizes: DataFrame | None = None) -> StreamingQuery:
     """Annotates what arrives in ``source`` (Parquet of ``DOCS``) and appends to ``target``; what is done is never done again.
 
     A scene's drawing arrives in one piece, so each micro-batch is complete in
@@ -27,7 +35,7 @@ def run_incrementally(spark: SparkSession, source: str, target: str, checkpoint:
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates(["scene_id"])
-        boxes = annotated(fresh, width, height, min_size=min_size).withColumn("min_size", F.lit(min_size))
+        boxes = annotated(fresh, width, height, min_size=min_size, sizes=sizes).withColumn("min_size", F.lit(min_size))
         boxes.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(DOCS).parquet(source)

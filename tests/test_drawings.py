@@ -209,6 +209,23 @@ def test_incremental_build_does_each_drawing_once(spark, tmp_path):
     assert 0 < first < both.count() == catalog.QUERIES["instance_union"](spark, SF).count()
 
 
+def test_each_drawing_has_its_own_view_and_image(spark, tmp_path):
+    path = '<path d="M 5 5 L 25 45" semantic-id="1" instance-id="1"/>'
+    views = {1: 'viewBox="0 0 100 100"', 2: 'viewBox="10 10 50 50"', 3: "", 4: 'viewBox="0 0"', 5: 'viewBox="0 0 0 0"', 6: 'viewBox="0 0 50 100"'}
+    docs = spark.createDataFrame([(i, f"<svg {v}>{path}</svg>") for i, v in views.items()], build.DOCS)
+
+    def pixels(df):
+        return {r.scene_id: (r.px0, r.py0, r.px1, r.py1) for r in df.collect()}
+
+    plain = (50, 100, 250, 900)
+    assert pixels(build.annotated(docs, 1000, 2000)) == {1: plain, 2: (100, 200, 500, 1800), 3: plain, 4: plain, 6: (100, 100, 500, 900)}
+    sizes = spark.createDataFrame([(1, 100, 200), (2, 100, 100), (3, None, 100)], "scene_id long, width int, height int")
+    source, target, done = (str(tmp_path / n) for n in ("in", "out", "done"))
+    docs.write.parquet(source)
+    build.run_incrementally(spark, source, target, done, 1000, 2000, sizes=sizes).awaitTermination()
+    assert pixels(spark.read.parquet(target)) == {1: (5, 10, 25, 90), 2: (10, 10, 50, 90)}
+
+
 def test_kernels():
     rng = np.random.default_rng(0)
     x, w = rng.standard_normal((5, 16)), [rng.standard_normal((16, 16)) for _ in range(4)]
