@@ -9,19 +9,23 @@ from pyspark.sql.window import Window
 from plumbline.functions.dims import CLASS_IDS
 
 BATCH = 4
+#: Positions of a class that one task ranks.
+RANK_BLOCK = 65_536
 
 
-def with_index(df: DataFrame, block: list[str], within: list[str], name: str = "idx") -> DataFrame:
-    """Gapless position in the order of ``block`` and then ``within``, from 0.
+def with_index(df: DataFrame, block: list[str], within: list[str], name: str = "idx", apart: tuple[str, ...] = ()) -> DataFrame:
+    """Gapless position in the order of ``block`` and then ``within``, from 0; for each value of ``apart`` by itself.
 
     Blocks are counted first, so that no task sorts more than a block's rows;
     only the counts, one row a block, are ordered together.
     """
-    counts = df.groupBy(*block).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*block, before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*block).orderBy(*within)).cast("long") - 1
-    return df.withColumn("_inside", inside).join(starts, block).withColumn(name, F.col("_before") + F.col("_inside")).drop("_inside", "_before")
+    keys = [*apart, *block]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*apart).orderBy(*block) if apart else Window.orderBy(*block)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*within)).cast("long") - 1
+    return df.withColumn("_inside", inside).join(starts, keys).withColumn(name, F.col("_before") + F.col("_inside")).drop("_inside", "_before")
 
 
 def expanded(boxes: DataFrame) -> DataFrame:
@@ -52,8 +56,10 @@ def weighted_draws(samples: DataFrame, power: float = 0.5) -> DataFrame:
     """As many draws with replacement as samples: first a class by its total weight, then a member of it uniformly.
 
     Members are found by (class, rank), an equi-join. ``samples`` has idx.
+    A class is ranked in blocks of positions.
     """
-    ranked = samples.select("idx", "class_id", (F.row_number().over(Window.partitionBy("class_id").orderBy("idx")) - 1).cast("long").alias("rank"))
+    blocks = samples.select("idx", "class_id", F.expr(f"idx div {RANK_BLOCK}").alias("_block"))
+    ranked = with_index(blocks, ["_block"], ["idx"], "rank", apart=("class_id",)).drop("_block")
     per_class = samples.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("w", F.col("n") * F.pow(F.col("n").cast("double"), F.lit(-power)))
     order = Window.orderBy("class_id")
     cdf = per_class.select(

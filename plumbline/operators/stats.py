@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Scene ids whose running sums one task takes.
+SCENE_BLOCK = 4096
+
 
 def rare_and_common(samples: DataFrame, k: int = 5) -> DataFrame:
     """The k classes with the fewest and the most samples; ties by first position. ``samples`` has idx."""
@@ -41,9 +44,17 @@ def run_totals(boxes: DataFrame) -> DataFrame:
 
 
 def progress(boxes: DataFrame) -> DataFrame:
-    """Running instances of a source folder in order of the scenes."""
-    order = Window.partitionBy("source_dir").orderBy("scene_id").rowsBetween(Window.unboundedPreceding, 0)
-    return boxes.select("source_dir", "scene_id", F.sum("n").over(order).cast("long").alias("running"), F.count("*").over(order).alias("done"))
+    """Running instances of a source folder in order of the scenes: of a block of scene ids, on top of the blocks before it."""
+    blocks = boxes.select("source_dir", "scene_id", "n", F.expr(f"scene_id div {SCENE_BLOCK}").alias("_block"))
+    totals = blocks.groupBy("source_dir", "_block").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("source_dir").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("source_dir").alias("_dir"), F.col("_block").alias("_of"), F.sum("_n").over(earlier).alias("_n_before"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"))
+    order = Window.partitionBy("source_dir", "_block").orderBy("scene_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = blocks.select("source_dir", "scene_id", "_block", F.sum("n").over(order).alias("_n"), F.count("*").over(order).alias("_rows"))
+    # Null keys are a folder and a block as well.
+    found = inside.join(starts, F.col("source_dir").eqNullSafe(F.col("_dir")) & F.col("_block").eqNullSafe(F.col("_of")))
+    running = F.coalesce(F.col("_n") + F.col("_n_before"), "_n", "_n_before")
+    return found.select("source_dir", "scene_id", running.cast("long").alias("running"), (F.col("_rows") + F.col("_rows_before")).alias("done"))
 
 
 def best_so_far(metrics: DataFrame, keys: list[str]) -> DataFrame:

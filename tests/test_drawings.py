@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import re
 import struct
 import tarfile
 import zipfile
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import dims, geometry, kernels, svg, text
-from plumbline.operators import annotate, decode, losses, samples, targets
+from plumbline.operators import annotate, decode, losses, samples, stats, targets
 from plumbline.plans import catalog
 from plumbline.sources import files
 from plumbline.streaming import build
@@ -226,6 +227,36 @@ def test_each_drawing_has_its_own_view_and_image(spark, tmp_path):
     assert pixels(spark.read.parquet(target)) == {1: (5, 10, 25, 90), 2: (10, 10, 50, 90)}
 
 
+def window_keys(df):
+    """The keys by which each window of a plan deals its rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [re.findall(r"[a-z_]+(?=#)", keys) for keys in re.findall(r"^[\s:+-]*Window \[.*\], \[([^\]]*)\], \[[^\]]*\]$", plan, re.M)]
+
+
+def test_ranks_and_sums_go_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(samples, "RANK_BLOCK", 10, raising=False)
+    monkeypatch.setattr(stats, "SCENE_BLOCK", 10, raising=False)
+    rows = [(i, i * 7 % 40 % 3) for i in range(200)]
+    drawn = samples.weighted_draws(spark.createDataFrame(rows, "idx long, class_id int").repartition(3))
+    assert ["class_id", "_block"] in window_keys(drawn)
+    of_class = dict(rows)
+    found = drawn.collect()
+    assert sorted(r.draw for r in found) == list(range(200)) and all(of_class[r.pick] == r.class_id for r in found)
+    positions = samples.with_index(spark.createDataFrame(rows, "idx long, class_id int").withColumn("b", F.expr("idx div 10")), ["b"], ["idx"], "rank", apart=("class_id",))
+    members = {c: [i for i, k in rows if k == c] for c in range(3)}
+    assert all(members[r.class_id][r.rank] == r.idx for r in positions.collect())
+
+    scenes = [(d, s, n) for d in ("a", "b", None) for s, n in [(None, 4), *((i * 3, i % 5 or None) for i in range(-30, 60))]] + [("c", 1, None), ("c", 40, None), ("c", 90, 2)]
+    out = stats.progress(spark.createDataFrame(scenes, "source_dir string, scene_id long, n long").repartition(4))
+    assert ["source_dir", "_block"] in window_keys(out)
+    expected, totals = set(), {}
+    for d, s, n in sorted(scenes, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+        total, done = totals.get(d, (None, 0))
+        totals[d] = (total if n is None else (total or 0) + n, done + 1)
+        expected.add((d, s, *totals[d]))
+    assert {tuple(r) for r in out.collect()} == expected
+
+
 def test_kernels():
     rng = np.random.default_rng(0)
     x, w = rng.standard_normal((5, 16)), [rng.standard_normal((16, 16)) for _ in range(4)]
