@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A null document id sorts after every other id.
+#: Stands for a null document id, beside a mark that it is null: it sorts after every other id.
 NULL_ID = (1 << 63) - 1
 
 
@@ -25,17 +26,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``texts`` with ``okey`` (the id, null last) and ``thash`` (32 bits of the text).
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``texts`` with ``okey`` (the id) and ``nul`` (the id is null, ``okey`` the greatest); the columns ``keep`` as ``_keep_*``.
 
-    The two together name a document: rows that repeat an id and its text are
-    one document, rows that repeat an id with another text are two.
+    Rows that repeat an id and its text are one document, rows that repeat an
+    id with another text are two.
     """
-    return texts(docs, id_col, text_col).select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("okey"),
-        F.hash("text").alias("thash"),
-        "doc_id",
-        "text",
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("okey"),
+        F.col(id_col).cast("long").isNull().alias("nul"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *(F.col(c).alias(f"_keep_{c}") for c in keep),
     )
 
 
@@ -69,15 +70,29 @@ def utf8(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder, lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session
-    without one (a local test) gets a folder of its own.
+    Only a session of one machine may be without one, as in tests; it gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, lineage cut; Spark may clean it up once ``df`` is gone (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that this engine has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

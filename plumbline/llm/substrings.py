@@ -1,13 +1,11 @@
 """Removal of word windows that occur earlier, by super-k-mer partitioning.
 
 Consecutive windows with the same minimiser travel as one packed string to the
-task of that minimiser, where sorting counts windows exactly (``superkmers``).
+bucket of that minimiser, where sorting counts windows exactly (``superkmers``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import superkmers as sk
-from plumbline.llm.rows import keyed_texts, map_batches, utf8
+from plumbline.llm.rows import keyed_texts, saved
 
 #: Words of a window, and of the gram whose least hash is its minimiser.
 WINDOW, GRAM = 20, 8
@@ -35,135 +33,73 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _super_kmers(part: sk.Part, hashes: WordHashes, window: int, gram: int) -> tuple[sk.SuperKmers, list[bytes]]:
-    words = [w for piece in part.tokens for w in piece]
-    return sk.super_kmers(sk.gram_hashes(hashes.of(words), gram), part.lengths(), window, gram), words
+class WordStrings(sk.Strings):
+    """Words as tokens; a window also counts if it starts earlier in its document."""
 
+    within, spacing = True, 42
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(okey, thash, ranges): the word ranges of ``keyed_texts`` that a window covers which starts earlier.
+    def __init__(self, length: int, gram: int, frequent: int = sk.FREQUENT):
+        super().__init__(length, gram, frequent)
+        self.hashes = WordHashes()
+
+    def tokens(self, text: bytes) -> list[bytes]:
+        return text.split()
+
+    def flat(self, pieces: list[list[bytes]]) -> list[bytes]:
+        return [w for piece in pieces for w in piece]
+
+    def grams(self, flat: list[bytes]) -> np.ndarray:
+        return sk.gram_hashes(self.hashes.of(flat), self.gram)
+
+    def packed(self, flat: list[bytes], begin: int, end: int) -> bytes:
+        return b" ".join(flat[begin:end])
+
+    def windows(self, packed: bytes) -> list[bytes]:
+        words = packed.split(b" ")
+        return [b" ".join(words[i : i + self.length]) for i in range(len(words) - self.length + 1)]
+
+    def numbers(self, strings: list[bytes]) -> np.ndarray:
+        number: dict[bytes, int] = {}
+        return np.array([number.setdefault(w, len(number)) for s in strings for w in s.split(b" ")], np.int64)
+
+    def window_hashes(self, numbers: np.ndarray) -> np.ndarray:
+        ids = numbers.astype(np.uint64)
+        return sk.gram_hashes(sk.mix(ids, ids + np.uint64(1)), self.length)
 
-    Earlier: at a smaller id, or in the same document at an earlier word; rows
-    that repeat an id with another text are ordered by the text's hash.
-    """
 
-    def grams():
-        hashes = WordHashes()
-
-        def of(batch):
-            for part in sk.parts_of((t.split() for t in utf8(batch.column("text"))), window):
-                yield _super_kmers(part, hashes, window, gram)[0].gram
-
-        return of
-
-    marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams))
-
-    def make():
-        hashes, seen = WordHashes(), marks.value
-        # Any earlier place covers all words of an equal string.
-        sender = sk.Sender(sk.bucket_bits(seen.total), window, lambda place, known: known < place)
-
-        def step(batch):
-            okeys, thashes = batch.column("okey").to_pylist(), batch.column("thash").to_pylist()
-            for part in sk.parts_of((t.split() for t in utf8(batch.column("text"))), window):
-                found, words = _super_kmers(part, hashes, window, gram)
-                chosen = np.flatnonzero(seen.read(seen.repeated, found.gram))
-                often = seen.read(seen.frequent, found.gram[chosen]).tolist()
-                starts = (np.cumsum(part.lengths()) - part.lengths()).tolist()
-                for first, n, piece, route, by_window in zip(*(c[chosen].tolist() for c in (found.first, found.windows, found.doc, found.gram)), often):
-                    doc = part.doc[piece]
-                    place = (okeys[doc], thashes[doc], part.offset[piece] + first - starts[piece])
-                    packed = b" ".join(words[first : first + n + window - 1])
-                    if by_window:
-                        sender.add_windows(place, [b" ".join(words[first + i : first + i + window]) for i in range(n)], packed)
-                    else:
-                        sender.add(route, place, n, packed)
-                if sender.full():
-                    yield sender.take()
-            if sender.rows or sender.known:
-                yield sender.take()
-
-        return step
-
-    return sk.covered_ranges(map_batches(docs, make, sk.SENT), lambda got: later_windows(got, window))
-
-
-def later_windows(got: sk.Received, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges of words in windows that another place before has too: windows sorted by hash, equal neighbours compared word by word."""
-    first_of: dict[bytes, int] = {}
-    rows = []
-    place = list(zip(got.okey.tolist(), got.thash.tolist(), got.start.tolist()))
-    for i, packed in enumerate(got.packed):
-        j = first_of.setdefault(packed, i)
-        if place[j] < place[i]:
-            yield (*place[i], place[i][2] + int(got.windows[i]) + window - 1)
-        else:
-            rows.append(i)
-    words = [w for i in rows for w in got.packed[i].split(b" ")]
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    counts = got.windows[rows]
-    base = np.cumsum(counts + window - 1) - (counts + window - 1)
-    owner = np.repeat(np.arange(len(rows)), counts)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = base[owner] + within
-    hashes = sk.gram_hashes(sk.mix(ids.astype(np.uint64), np.uint64(len(ids)) + ids.astype(np.uint64)), window)
-    group = exact_groups(ids, at, hashes[at], window)
-    order = np.argsort(group, kind="stable")
-    # Rows are in order of place, so the first window of a group is the earliest.
-    head = np.append(True, group[order][1:] != group[order][:-1])
-    first = np.empty(len(order), np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    start = got.start[rows][owner] + within
-    okey, thash = got.okey[rows][owner], got.thash[rows][owner]
-    later = (okey[first] != okey) | (thash[first] != thash) | (start[first] != start)
-    for begin, end in sk.runs(later):
-        # A run may go on into the next row; cut it there.
-        for a, b in _cut(owner, begin, end):
-            yield int(okey[a]), int(thash[a]), int(start[a]), int(start[b - 1]) + window
-
-
-def _cut(owner: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    edges = [begin, *(begin + 1 + np.flatnonzero(owner[begin + 1 : end] != owner[begin : end - 1])).tolist(), end]
-    return zip(edges, edges[1:])
-
-
-def exact_groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
-    """A number for each window, the same for equal windows only."""
-    _, group = np.unique(hashes, return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    pairs = np.flatnonzero(group[order][1:] == group[order][:-1])
-    a, b = at[order[pairs]], at[order[pairs + 1]]
-    if all(np.array_equal(ids[a + i], ids[b + i]) for i in range(window)):
-        return group
-    # Two different windows share a hash: sort the windows themselves.
-    return np.unique(ids[at[:, None] + np.arange(window)], axis=0, return_inverse=True)[1].ravel()
-
-
-def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", strings: sk.Strings | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, text): each row's words that stay, joined by one space.
 
-    Null and empty texts have no words. Rows that repeat an id and its text are
-    one document and get the same result each. Texts under ``window`` words stay whole.
+    A word goes if a window of ``window`` words covers it which starts earlier
+    too: at a smaller id, or in the same document at an earlier word. Rows that repeat an
+    id with another text are ordered by their texts; rows that repeat an id and its text are
+    one document and get the same result each. A null id is later than every
+    other. Null and empty texts have no words, texts under ``window`` words stay
+    whole, and a text of any length is taken whole. Other columns of ``docs``
+    are not read, whatever their names; an empty table gives no rows.
     """
+    kind = strings or WordStrings(window, gram)
     plain = keyed_texts(docs, id_col, text_col)
-    both = sk.with_ranges(plain, repeated_windows(plain, window, gram))
-
-    def make():
-        def step(batch):
-            texts = []
-            n_words, n_removed = [], []
-            for raw, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist()):
-                words = raw.split()
-                gone = sk.covered(len(words), ranges)
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n_removed[-1] else words))
-            yield {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string())}
-
-        return step
-
-    return map_batches(both.select("doc_id", "text", "ranges"), make, "doc_id long, n_words long, n_removed long, text string")
+    layout = sk.Layout.of(plain, kind, sk.text_bytes(plain))
+    asked = saved(sk.shared_places(sk.sampled(plain, kind, layout), kind, layout)).union(sk.whole_copies(plain, layout))
+    texts = sk.pressed(plain, layout, [])
+
+    def apply(table: pa.Table, raws: list[bytes], ranges: list[np.ndarray]) -> dict:
+        kept, n_words, n_removed = [], [], []
+        for raw, pairs in zip(raws, ranges):
+            words = raw.split()
+            gone = sk.covered(len(words), pairs)
+            n_words.append(len(words))
+            n_removed.append(int(gone.sum()))
+            kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n_removed[-1] else words))
+        return {
+            "doc_id": sk.doc_ids(table),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "text": pa.array(kept, pa.binary()).cast(pa.string()),
+        }
+
+    return sk.with_ranges(texts, sk.covered_ranges(texts, asked, kind, layout), apply, "doc_id long, n_words long, n_removed long, text string")
 
 
 def kept_digest(kept: DataFrame) -> DataFrame:

@@ -1,39 +1,38 @@
-"""Removal of byte strings that earlier documents have too, by suffix arrays in logarithmic levels.
-
-Suffixes meet by minimiser (``superkmers``), so each task owns a part of the
-suffixes of the whole corpus. Of every super-k-mer with a repeated minimiser a
-64-bit hash travels with its place, and tells which documents have it whole.
-Its bytes travel as well, once a task, if the minimiser has different
-super-k-mers, which may share shorter strings. Of these a suffix array is made:
-documents arrive in the order of their ids, batch by batch. A batch gets a suffix array (its suffixes in order of
-their first ``length`` bytes), which is merge-scanned against the levels that
-hold all earlier batches; a match names the earliest document. Then the batch
-becomes a level itself, and levels of equal size merge, so that there are
-logarithmically many and each suffix moves logarithmically often.
+"""Removal of byte strings that earlier documents have too, by a logarithmic family of suffix arrays.
+
+A ``SuffixIndex`` holds levels. A level is a Parquet table, by bucket, of the
+suffixes that start at minimisers (``superkmers``): each with its document and
+its place there, sorted by its leading ``GRAM`` bytes (by their hash, of which
+the bucket holds the high bits). Any two documents with a string of
+``LENGTH`` bytes in common have suffixes there that start with the same
+minimiser within it, so no other suffixes are needed.
+
+New documents come in batches. A batch's suffixes are sorted into an array of
+their own, which is merge-scanned against all levels: the places in
+documents where a suffix of the batch and one of another document start alike
+are noted. Then the batch becomes a level; levels that are not twice as large as the
+next merge, so that there are logarithmically many and each suffix moves
+logarithmically often. What the scans have noted is settled by bytes: the
+strings around these places meet by minimiser, and equal ones are compared
+byte by byte before a range is taken for covered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import superkmers as sk
-from plumbline.llm.rows import NULL_ID, keyed_texts, map_batches, utf8
+from plumbline.llm.rows import NULL_ID, dropped, keyed_texts, saved, shared_folder
 
 #: Bytes of a match, and of the gram whose least hash is a window's minimiser.
 LENGTH, GRAM = 50, 20
-#: Bytes of strings that get one suffix array.
-BATCH_BYTES = 1 << 18
-#: Documents that are cut into parts together, and rows (about 40 bytes each, and as many again while they are sorted) that a sender gathers.
-SLICE_ROWS, SEND_ROWS = 512, 800_000
-#: Bytes of text that it holds beside them.
-SEND_BYTES = 1 << 26
+#: Batches, by id, that a table of documents is taken in.
+BATCHES = 3
 
 
 def byte_grams(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -41,351 +40,222 @@ def byte_grams(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
     n = len(flat) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    eights = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,)).copy()
-    h = eights[:n] * sk.MIX_A
-    for at in [*range(8, gram - 8, 8), gram - 8] if gram > 8 else []:
+    words = eights(flat)
+    h = words[:n] * sk.MIX_A
+    for at in offsets(gram)[1:]:
         h ^= h >> np.uint64(32)
-        h += eights[at : at + n]
+        h += words[at : at + n]
         h *= sk.MIX_B
     h ^= h >> np.uint64(29)
     return h * sk.MIX_A
 
 
-class Levels:
-    """Suffix arrays of all suffixes so far, each with the earliest document of every distinct suffix start."""
+def eights(flat: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on, as one number."""
+    return np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,)).copy()
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def scan(self, strings: np.ndarray) -> np.ndarray:
-        """For each of the sorted ``strings`` the least document that has it, or ``NULL_ID``."""
-        out = np.full(len(strings), NULL_ID, np.int64)
-        for known, docs in self.levels:
-            at = np.minimum(np.searchsorted(known, strings), len(known) - 1)
-            hit = known[at] == strings
-            out[hit] = np.minimum(out[hit], docs[at[hit]])
-        return out
+def offsets(length: int) -> list[int]:
+    """Where eights start that cover ``length`` bytes."""
+    return sorted({*range(0, length - 7, 8), length - 8})
 
-    def add(self, strings: np.ndarray, docs: np.ndarray) -> None:
-        """A new level of sorted distinct ``strings``; levels that are not twice as large as the next merge with it."""
-        self.levels.append((strings, docs))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, a_docs), (b, b_docs) = self.levels.pop(), self.levels.pop()
-            both, docs = np.concatenate([b, a]), np.concatenate([b_docs, a_docs])
-            order = np.argsort(both, kind="stable")
-            self.levels.append(distinct(both[order], docs[order]))
-
-
-def distinct(strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted strings the distinct ones, each with its least document."""
-    head = np.flatnonzero(np.append(True, strings[1:] != strings[:-1]))
-    return strings[head], np.minimum.reduceat(docs, head)
-
-
-def scanned(strings: list[bytes], owner: np.ndarray, windows: np.ndarray, length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Batches of strings by document, with a mark for each window that an earlier document has."""
-    if len(strings) < 2:
-        return
-    levels = Levels()
-    order = np.argsort(owner, kind="stable").tolist()
-    at = 0
-    while at < len(order):
-        end, size = at, 0
-        while end < len(order) and size < BATCH_BYTES:
-            size += len(strings[order[end]])
-            end += 1
-        batch = order[at:end]
-        at = end
-        flat = np.frombuffer(b"".join([strings[i] for i in batch]), np.uint8)
-        counts = windows[batch]
-        base = np.cumsum(counts + length - 1) - (counts + length - 1)
-        row = np.repeat(np.arange(len(batch)), counts)
-        place = base[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        docs = owner[batch][row]
-        suffixes = np.ndarray((len(flat) - length + 1,), f"S{length}", flat, strides=(1,))[place]
-        array = np.argsort(suffixes, kind="stable")
-        ordered = suffixes[array]
-        head = np.append(True, ordered[1:] != ordered[:-1])
-        group = np.cumsum(head) - 1
-        known, least = distinct(ordered, docs[array])
-        before = np.minimum(levels.scan(known), least)
-        marks = np.empty(len(array), bool)
-        marks[array] = before[group] < docs[array]
-        yield batch, marks, counts
-        if at < len(order):
-            levels.add(known, before)
-
-
-def window_hashes(grams: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Hashes of the strings of ``length`` bytes that start at ``at``, from the hashes of the grams that cover them."""
-    return reduce(sk.mix, (grams[at + o] for o in [*range(0, length - gram, gram), length - gram]))
-
-
-class Sender:
-    """A batch's super-k-mers by bucket: hash, place, and the bytes where they are needed.
-
-    Of those that are equal in a batch only the least document's travel. The
-    others are known to be covered: their ranges travel instead, to any bucket.
-    """
 
-    FIELDS = (("string", "<u8"), ("okey", "<i8"), ("thash", "<i4"), ("start", "<u4"), ("windows", "<u4"), ("bytes", "<u4"))
-
-    def __init__(self, bits: int, length: int, gram: int, marks: sk.GramFilter):
-        self.bits, self.length, self.gram, self.marks = bits, length, gram, marks
-        self.press = zstandard.ZstdCompressor(level=3)
-        self.clear()
-
-    def clear(self) -> None:
-        self.columns: list[tuple[np.ndarray, ...]] = []
-        self.known: list[tuple[np.ndarray, ...]] = []
-        self.flats: list[bytes] = []
-        self.rows = self.size = 0
-
-    def add(self, okeys: np.ndarray, thashes: np.ndarray, part: sk.Part) -> None:
-        length, gram = self.length, self.gram
-        flat, grams, found, string = hashed(part, length, gram)
-        chosen = np.flatnonzero(self.marks.read(self.marks.repeated, found.gram))
-        if not len(chosen):
-            return
-        first, windows, route, string = found.first[chosen], found.windows[chosen], found.gram[chosen], string[chosen]
-        piece = found.doc[chosen]
-        doc = np.array(part.doc)[piece]
-        starts = np.cumsum(part.lengths()) - part.lengths()
-        start = np.array(part.offset)[piece] + first - starts[piece]
-        often = self.marks.read(self.marks.frequent, route)
-        needed = self.marks.read(self.marks.varied, route) & ~often
-        place = np.where(needed, first + self.size, -1)
-        rows = (route, string, okeys[doc], thashes[doc], start.astype(np.uint32), windows.astype(np.int32), place.astype(np.int32))
-        if often.any():
-            # Those of frequent minimisers go window by window, each by its own hash.
-            plain, rows = tuple(c[~often] for c in rows), self.unknown(tuple(c[often] for c in rows), first[often])
-            _, _, okey, thash, start, windows, _, first = rows
-            owner = np.repeat(np.arange(len(first)), windows)
-            within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            own = window_hashes(grams, first[owner] + within, length, gram)
-            one = np.ones(len(owner), np.int32)
-            single = (own, own, okey[owner], thash[owner], (start[owner] + within).astype(np.uint32), one, -one)
-            rows = tuple(np.concatenate(pair) for pair in zip(plain, single))
-        self.columns.append(rows)
-        self.rows += len(rows[0])
-        self.flats.append(flat)
-        self.size += len(flat)
-
-    def unknown(self, rows: tuple[np.ndarray, ...], *more: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of equal strings the rows of the least document; the others' ranges are noted as known."""
-        _, string, okey, thash, start, windows, _ = rows
-        order = np.lexsort((okey, string))
-        head = np.append(True, string[order][1:] != string[order][:-1])
-        least = okey[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
-        later = np.zeros(len(order), bool)
-        later[order] = okey[order] > least
-        if later.any():
-            begin = start[later].astype(np.int64)
-            self.known.append((okey[later], thash[later], begin, begin + windows[later] + self.length - 1))
-        return tuple(c[~later] for c in (*rows, *more))
-
-    def take(self) -> Iterator[dict]:
-        """What was gathered, a blob of columns for each bucket."""
-        bucket, known, blob = [], [], []
-        if self.columns:
-            rows = tuple(np.concatenate(c) for c in zip(*self.columns))
-            self.columns = []
-            rows = self.unknown(rows)
-            where = (rows[0] >> np.uint64(64 - self.bits)).astype(np.int64)
-            order = np.lexsort((rows[4], rows[3], rows[2], where))
-            where, (_, string, okey, thash, start, windows, place) = where[order], (c[order] for c in rows)
-            # The bytes of a string travel with one of its rows.
-            _, one = np.unique(string, return_index=True)
-            lone = np.zeros(len(string), bool)
-            lone[one] = True
-            size = np.where(lone & (place >= 0), windows + self.length - 1, 0)
-            flat = b"".join(self.flats)
-            ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)) if len(where) else []
-            begin = 0
-            for end in ends:
-                at = slice(begin, end)
-                values = zip(self.FIELDS, (string, okey, thash, start, windows, size))
-                sent = [flat[p : p + n] for p, n in zip(place[at].tolist(), size[at].tolist()) if n]
-                bucket.append(int(where[begin]))
-                known.append(False)
-                blob.append(self.press.compress(b"".join([int(end - begin).to_bytes(4, "little"), *(c[at].astype(kind).tobytes() for (_, kind), c in values), *sent])))
-                begin = end
-        if self.known:
-            ranges = merged(*(np.concatenate(c) for c in zip(*self.known)))
-            for key, table in enumerate(range(0, len(ranges[0]), 4096)):
-                columns = [c[table : table + 4096] for c in ranges]
-                bucket.append(int(columns[0][0]) % (1 << self.bits))
-                known.append(True)
-                blob.append(self.press.compress(b"".join(c.astype("<i8").tobytes() for c in columns)))
-        self.clear()
-        if bucket:
-            yield {"bucket": pa.array(bucket, pa.int32()), "known": pa.array(known, pa.bool_()), "blob": pa.array(blob, pa.binary())}
-
-
-def hashed(part: sk.Part, length: int, gram: int) -> tuple[bytes, np.ndarray, sk.SuperKmers, np.ndarray]:
-    """A part's bytes, gram hashes, super-k-mers, and the hashes of these."""
-    flat = b"".join(part.tokens)
-    grams = byte_grams(np.frombuffer(flat, np.uint8), gram)
-    found = sk.super_kmers(grams, part.lengths(), length, gram)
-    # A super-k-mer is shorter than two windows, so its first and its last cover it.
-    ends = (window_hashes(grams, at, length, gram) for at in (found.first, found.first + found.windows - 1))
-    return flat, grams, found, sk.mix(sk.mix(*ends), found.windows.astype(np.uint64))
-
-
-def parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, sk.Part]]:
-    """Parts of a batch with the ``okey`` and ``thash`` of the documents that they number."""
-    for at in range(0, batch.num_rows, SLICE_ROWS):
-        some = batch.slice(at, SLICE_ROWS)
-        okeys, thashes = (some.column(c).to_numpy() if c in some.schema.names else None for c in ("okey", "thash"))
-        for part in sk.parts_of(utf8(some.column("text")), length):
-            yield okeys, thashes, part
-
-
-def merged(okey: np.ndarray, thash: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ranges by document and begin; those that meet the one before, or overlap it, are one."""
-    if not len(okey):
-        return okey, thash, begin, end
-    order = np.lexsort((begin, thash, okey))
-    okey, thash, begin, end = okey[order], thash[order], begin[order], end[order]
-    fresh = np.append(True, (okey[1:] != okey[:-1]) | (thash[1:] != thash[:-1]) | (begin[1:] > end[:-1]))
-    head = np.flatnonzero(fresh)
-    return okey[head], thash[head], begin[head], np.maximum.reduceat(end, head)
-
-
-def covered_by_earlier(group: pa.Table, length: int) -> pa.Table:
-    """A bucket's ranges of bytes that a document with a smaller id has too; one row a document."""
-    unpack = zstandard.ZstdDecompressor()
-    rows, ranges, strings = [], [], []
-    for known, blob in zip(group.column("known").to_pylist(), group.column("blob").to_pylist()):
-        raw = unpack.decompress(blob)
-        if known:
-            ranges.append(tuple(np.frombuffer(raw, "<i8").reshape(4, -1)))
-            continue
-        n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
-        for _, kind in Sender.FIELDS:
-            column = np.frombuffer(raw, kind, n, at)
-            columns.append(column if kind == "<u8" else column.astype(np.int64))
-            at += column.nbytes
-        rows.append(columns)
-        ends = at + np.cumsum(columns[-1])
-        strings += [raw[e - s : e] if s else b"" for e, s in zip(ends.tolist(), columns[-1].tolist())]
-    if rows:
-        string, okey, thash, start, windows, size = (np.concatenate(c) for c in zip(*rows))
-        distinct_strings, which = np.unique(string, return_inverse=True)
-        owner = np.full(len(distinct_strings), NULL_ID, np.int64)
-        np.minimum.at(owner, which, okey)
-        later = okey > owner[which]
-        ranges.append((okey[later], thash[later], start[later], (start + windows)[later] + length - 1))
-        # Of the least documents' strings the parts that still earlier documents have in other strings.
-        sent = np.flatnonzero(size)
-        _, one = np.unique(which[sent], return_index=True)
-        sent = sent[one]
-        found = []
-        for batch, marks, counts in scanned([strings[i] for i in sent.tolist()], owner[which[sent]], windows[sent], length):
-            # Runs of marks, each within its string: string, begin, end.
-            row = np.repeat(np.arange(len(batch)), counts)
-            base = np.cumsum(counts) - counts
-            same = np.append(False, row[1:] == row[:-1])
-            begin = np.flatnonzero(marks & ~(same & np.append(False, marks[:-1])))
-            end = np.flatnonzero(marks & ~np.append(same[1:] & marks[1:], False)) + 1
-            found.append((which[sent][np.array(batch)[row[begin]]], begin - base[row[begin]], end - base[row[begin]]))
-        if found:
-            of, begin, end = (np.concatenate(c) for c in zip(*found))
-            order = np.argsort(of, kind="stable")
-            of, begin, end = of[order], begin[order], end[order]
-            rest = np.flatnonzero(~later)
-            low, high = np.searchsorted(of, which[rest], "left"), np.searchsorted(of, which[rest], "right")
-            row = np.repeat(rest, high - low)
-            at = np.arange(len(row)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
-            ranges.append((okey[row], thash[row], start[row] + begin[at], start[row] + end[at] - 1 + length))
-    okey, thash, begin, end = merged(*(np.concatenate(c) for c in zip(*ranges)))
-    pairs = np.column_stack([begin, end]).astype("<u4")
-    head = np.flatnonzero(np.append(True, (okey[1:] != okey[:-1]) | (thash[1:] != thash[:-1]))) if len(okey) else np.zeros(0, np.int64)
-    until = np.append(head[1:], len(okey))
-    return pa.table({
-        "okey": pa.array(okey[head], pa.int64()),
-        "thash": pa.array(thash[head], pa.int32()),
-        "ranges": pa.array([pairs[a:b].tobytes() for a, b in zip(head.tolist(), until.tolist())], pa.binary()),
-    })
-
-
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(okey, thash, ranges): the byte ranges of ``keyed_texts`` that earlier documents have too."""
-    if not 8 <= gram <= length:
-        raise ValueError(f"no grams of {gram} bytes for strings of {length}")
-
-    def grams():
-        def of(batch):
-            for _, _, part in parts(batch, length):
-                _, _, found, string = hashed(part, length, gram)
-                yield found.gram, string
-
-        return of
-
-    marks = docs.sparkSession.sparkContext.broadcast(sk.repeated_grams(docs.select("text"), grams))
-
-    def make():
-        sender = Sender(sk.bucket_bits(marks.value.total), length, gram, marks.value)
-
-        def step(batch):
-            for part in parts(batch, length):
-                sender.add(*part)
-                if sender.rows >= SEND_ROWS or sender.size >= SEND_BYTES:
-                    yield from sender.take()
-            yield from sender.take()
-
-        return step
-
-    return map_batches(docs, make, sk.SENT).groupBy("bucket").applyInArrow(lambda group: covered_by_earlier(group, length), sk.RANGES)
-
-
-def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+class ByteStrings(sk.Strings):
+    """Bytes of UTF-8 as tokens; matches lie in different documents."""
+
+    within, spacing = False, 16
+
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, frequent: int = sk.FREQUENT):
+        if not 8 <= gram <= length:
+            raise ValueError(f"no grams of {gram} bytes for strings of {length}")
+        super().__init__(length, gram, frequent)
+
+    def tokens(self, text: bytes) -> bytes:
+        return text
+
+    def flat(self, pieces: list[bytes]) -> bytes:
+        return b"".join(pieces)
+
+    def grams(self, flat: bytes) -> np.ndarray:
+        return byte_grams(np.frombuffer(flat, np.uint8), self.gram)
+
+    def packed(self, flat: bytes, begin: int, end: int) -> bytes:
+        return flat[begin:end]
+
+    def windows(self, packed: bytes) -> list[bytes]:
+        return [packed[i : i + self.length] for i in range(len(packed) - self.length + 1)]
+
+    def numbers(self, strings: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(strings), np.uint8)
+
+    def window_hashes(self, numbers: np.ndarray) -> np.ndarray:
+        return byte_grams(numbers, self.length)
+
+    def equal(self, numbers: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(a):
+            return np.zeros(0, bool)
+        words = eights(numbers)
+        return np.logical_and.reduce([words[a + i] == words[b + i] for i in offsets(self.length)])
+
+
+LEVEL_KINDS = ("<u4", "<i8", "<u4")
+
+
+class SuffixIndex:
+    """Levels of sorted suffixes in ``folder``, and the places that scans have noted."""
+
+    SCANNED = "kind string, key int, blob binary"
+
+    def __init__(self, spark: SparkSession, folder: str, kind: sk.Strings, layout: sk.Layout):
+        self.spark, self.folder, self.kind, self.layout = spark, folder.rstrip("/"), kind, layout
+        #: Size and table of each level, the largest first.
+        self.levels: list[tuple[int, str]] = []
+        self.scans: list[str] = []
+
+    def rows(self, path: str, kind: str) -> DataFrame:
+        return self.spark.read.schema(self.SCANNED).parquet(path).where(F.col("kind") == kind)
+
+    def add(self, docs: DataFrame, size: int, last: bool = False) -> None:
+        """Scans the batch ``docs`` (``keyed_texts``, of any ids) of ``size`` bytes, and makes it a level, unless it is the ``last``."""
+        merge, total = len(self.levels), size
+        while merge and self.levels[merge - 1][0] < 2 * total:
+            merge -= 1
+            total += self.levels[merge][0]
+        kind, layout = self.kind, self.layout
+        arrays = sk.sampled(docs, kind, layout).select("bucket", F.lit(-1).alias("level"), "blob")
+        for i, (_, path) in enumerate(self.levels):
+            arrays = arrays.union(self.rows(path, "level").select(F.col("key").alias("bucket"), F.lit(i).alias("level"), "blob"))
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        scanned = arrays.groupBy("bucket").applyInArrow(lambda group: scan(group, kind, layout, merge, last), self.SCANNED)
+        scanned.write.partitionBy("kind").parquet(path)
+        self.scans.append(path)
+        if not last:
+            for _, old in self.levels[merge:]:
+                dropped(self.spark, f"{old}/kind=level")
+            self.levels[merge:] = [(total, path)]
+
+    def noted(self) -> DataFrame:
+        """``superkmers.ASKED``: the places of all documents so far whose suffix starts like another document's."""
+        found = [self.rows(path, "noted").select(F.col("key").alias("part"), F.lit(False).alias("copies"), "blob") for path in self.scans]
+        out = found[0]
+        for more in found[1:]:
+            out = out.union(more)
+        return out
+
+    def drop(self) -> None:
+        dropped(self.spark, self.folder)
+
+
+def scan(group: pa.Table, kind: sk.Strings, layout: sk.Layout, merge: int, last: bool) -> pa.Table:
+    """A bucket of a batch, sorted and merged past the levels' arrays: places to note, and the array of the levels from ``merge`` on with the batch."""
+    levels: dict[int, list[bytes]] = {}
+    for level, blob in zip(group.column("level").to_pylist(), group.column("blob").to_pylist()):
+        levels.setdefault(level, []).append(blob)
+    bucket = int(group.column("bucket")[0].as_py())
+    arrays, of_level = [], []
+    for level in sorted(levels, key=lambda x: (x < 0, x)):
+        if level < 0:
+            rest, okey, place = sk.placed(levels[level])
+            order = np.lexsort((place, okey, rest))
+            rest, okey, place = rest[order], okey[order], place[order]
+        else:
+            (delta, okey, place), _ = sk.unpack(levels[level][0], LEVEL_KINDS)
+            rest = np.cumsum(delta, dtype=np.uint32)
+        arrays.append((rest, okey, place))
+        of_level.append(np.full(len(rest), level))
+    rest, okey, place = (np.concatenate(c) for c in zip(*arrays))
+    # Sorted arrays behind each other: a stable sort merges their runs.
+    order = np.argsort(rest, kind="stable")
+    rest, okey, place, level = rest[order], okey[order], place[order], np.concatenate(of_level)[order]
+    fresh = level < 0
+    runs = sk.Runs.of(rest, okey, kind.within)
+    # What the runs were before this batch: the same without its suffixes.
+    old = np.flatnonzero(~fresh)
+    before = sk.Runs.of(rest[old], okey[old], kind.within)
+    run = np.repeat(np.arange(len(runs.head)), runs.size)
+    was, old_size = np.zeros(len(runs.head), bool), np.zeros(len(runs.head), np.int64)
+    if len(old):
+        at = run[old[before.head]]
+        was[at], old_size[at] = before.several, before.size
+    often = runs.size >= kind.frequent
+    # Old places were noted when their run first had several documents, and again when these became very many.
+    again = ~was | (often & (old_size < kind.frequent))
+    chosen = runs.several[run] & (fresh | again[run])
+    # A run without new suffixes tells nothing new.
+    has_new = np.zeros(len(runs.head), bool)
+    has_new[run[fresh]] = True
+    chosen &= has_new[run]
+    parts, blobs = sk.asked_rows(okey[chosen], place[chosen], often[run[chosen]], layout)
+    kinds, keys = ["noted"] * len(parts), parts
+    if not last:
+        kept = fresh | (level >= merge)
+        if kept.any():
+            kinds, keys = [*kinds, "level"], [*keys, bucket]
+            blobs.append(sk.pack(zip((sk.steps(rest[kept]), okey[kept], place[kept]), LEVEL_KINDS)))
+    return pa.table({"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def noted_places(plain: DataFrame, kind: sk.Strings, layout: sk.Layout, n_bytes: int, batches: int) -> DataFrame:
+    """What an index notes of ``keyed_texts`` that come to it in ``batches`` by id."""
+    spark = plain.sparkSession
+    edges = plain.agg(F.percentile_approx("okey", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    edges = sorted(set(edges or []) - {NULL_ID})
+    index = SuffixIndex(spark, f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}", kind, layout)
+    for low, high in zip([None, *edges], [*edges, None]):
+        batch = plain
+        if low is not None:
+            batch = batch.where(F.col("okey") > low)
+        if high is not None:
+            batch = batch.where(F.col("okey") <= high)
+        index.add(batch, max(n_bytes // (len(edges) + 1), 1), last=high is None)
+    noted = saved(index.noted())
+    index.drop()
+    return noted
+
+
+def kept_bytes(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+    keep: tuple[str, ...] = (), as_text: bool = False, batches: int = BATCHES, strings: sk.Strings | None = None,
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary), and the columns ``keep`` of ``docs`` as ``_keep_*``.
 
     ``as_text``: ``kept`` is a string, without characters of which only some bytes stay.
 
-    Null and empty texts have no bytes; matches never cross documents. Rows
-    that repeat an id, with the same text or another, do not remove each other's
-    bytes: only a smaller id does. A null id is greater than every other.
+    Null and empty texts have no bytes; matches never cross documents, and a
+    text of any length is taken whole. Rows that repeat an id, with the same
+    text or another, do not remove each other's bytes: only a smaller id does. A
+    null id is greater than every other. An empty table gives no rows.
     """
+    kind = strings or ByteStrings(length, gram)
     plain = keyed_texts(docs, id_col, text_col)
-    held = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("okey"),
-        F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("thash"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        *(F.col(c).alias(f"_keep_{c}") for c in keep),
-    )
-    both = sk.with_ranges(held, repeated_bytes(plain, length, gram)).drop("okey", "thash")
+    n_bytes = sk.text_bytes(plain)
+    layout = sk.Layout.of(plain, kind, n_bytes)
+    asked = noted_places(plain, kind, layout, n_bytes, batches).union(sk.whole_copies(plain, layout))
     names = [f"_keep_{c}" for c in keep]
+    texts = sk.pressed(keyed_texts(docs, id_col, text_col, keep), layout, names)
     schema = ", ".join([f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}", *(f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
 
-    def make():
-        def step(batch):
-            kept, n_bytes, n_removed, n_spans = [], [], [], []
-            for raw, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist()):
-                n_bytes.append(len(raw))
-                if not ranges:
-                    kept.append(raw)
-                    n_removed.append(0)
-                    n_spans.append(0)
-                    continue
-                gone = sk.covered(len(raw), ranges)
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-                n_removed.append(len(raw) - len(kept[-1]))
-                n_spans.append(len(list(sk.runs(gone))))
-            yield {
-                "doc_id": batch.column("doc_id"),
-                "n_bytes": pa.array(n_bytes, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
-                "n_spans": pa.array(n_spans, pa.int64()),
-                "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
-                **{c: batch.column(c) for c in names},
-            }
-
-        return step
-
-    return map_batches(both, make, schema)
+    def apply(table: pa.Table, raws: list[bytes], ranges: list[np.ndarray]) -> dict:
+        kept, n_spans = [], []
+        for raw, pairs in zip(raws, ranges):
+            if len(pairs):
+                gone = sk.covered(len(raw), pairs)
+                n_spans.append(sum(1 for _ in sk.runs(gone)))
+                raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            else:
+                n_spans.append(0)
+            kept.append(raw)
+        n_bytes = np.fromiter(map(len, raws), np.int64, len(raws))
+        return {
+            "doc_id": sk.doc_ids(table),
+            "n_bytes": pa.array(n_bytes),
+            "n_removed": pa.array(n_bytes - np.fromiter(map(len, kept), np.int64, len(kept))),
+            "n_spans": pa.array(n_spans, pa.int64()),
+            "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+            **{c: table.column(c) for c in names},
+        }
+
+    return sk.with_ranges(texts, sk.covered_ranges(texts, asked, kind, layout), apply, schema)
 
 
 def kept_digest(kept: DataFrame) -> DataFrame:
@@ -400,10 +270,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Da
     stay null; documents of which nothing is left go, those without a text
     before stay. ``n_chars``, where there is one, follows the text.
     """
-    out = kept_bytes(docs, length, text_col=text_col, keep=tuple(docs.columns), as_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"_keep_{text_col}"))
-    out = out.withColumn("_text", text).where((F.col("n_removed") == 0) | (F.length(F.trim("_text")) > 0))
-    new = {text_col: F.col("_text")}
+    others = tuple(c for c in docs.columns if c != text_col)
+    mark = "is_null" + "_" * max(map(len, docs.columns))
+    out = kept_bytes(docs.withColumn(mark, F.col(text_col).isNull()), length, text_col=text_col, keep=(*others, mark), as_text=True)
+    out = out.where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
+    new = {text_col: F.when(~F.col(f"_keep_{mark}"), F.col("kept"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("_text")).otherwise(F.col("_keep_n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new.get(c, F.col(f"_keep_{c}")).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("_keep_n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"_keep_{c}").alias(c) for c in docs.columns))

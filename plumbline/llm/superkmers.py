@@ -1,28 +1,34 @@
 """Windows of k tokens that occur again, found through super-k-mers.
 
-Tokens are words or bytes, given as 64-bit hashes. A window's minimiser is its
-gram of g tokens with the least hash, the leftmost on ties; consecutive windows
-with the same minimiser make a super-k-mer. Equal windows have equal
-minimisers, so a gram that is the minimiser of one super-k-mer only cannot
-lead to an equal window elsewhere.
-
-The search has three passes:
-
-1. ``repeated_grams`` counts minimisers in buckets of their hash. Repeated and
-   frequent ones, and those of different super-k-mers where that is asked for,
-   are marked in a ``GramFilter``: bits by hash class, of fixed size. With classes shared by several grams it lets more pass than it must;
-   results do not depend on it.
-2. Each super-k-mer that passes travels as one packed string to the bucket that
-   its minimiser leads to; those of frequent minimisers travel window by
-   window, led by the window's own hash, so that no minimiser gathers a large
-   part of the corpus in one bucket. Equal strings are combined before.
-3. In its bucket windows are compared exactly; covered ranges return.
+Tokens are words or bytes. A window's minimiser is its gram of g tokens with
+the least hash, the leftmost on ties; consecutive windows with the same
+minimiser make a super-k-mer. Equal windows have equal minimisers, so a gram
+that is the minimiser of super-k-mers of one document only cannot lead to an
+equal window in another. The search has four steps:
+
+1. ``sampled``: of each document the place of every distinct minimiser travels
+   to the bucket of the minimiser's hash: some six bytes, no text.
+2. ``shared_places``, or an index of such places (``suffixes``): where a
+   bucket has a minimiser in several documents, their places go to the part of
+   the corpus that holds the documents' texts.
+3. ``sent_strings``: the super-k-mers at these places travel as packed strings to the
+   bucket of their minimiser; those of minimisers that very many documents
+   have travel window by window, led by the window's own hash, so that no
+   minimiser gathers a large part of the corpus in one bucket. Of equal strings
+   in a part the earliest travels alone.
+4. ``covered_ranges``: in a bucket equal windows meet, are compared token by token, and the
+   ranges that they cover return to the texts.
+
+Hashes only bring windows together: every range that is returned rests on equal
+tokens. Rows that are whole copies of an earlier document's text are settled
+before, by the SHA-256 of the text, and send no strings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +37,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.rows import map_batches
+from plumbline.llm.rows import NULL_ID, map_batches, saved, utf8
 
 U = np.uint64
 MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Low bits of a gram's sort value that hold its position in a batch.
 POSITION_BITS = U(26)
-#: Bits of each filter map: 8 MB each.
-FILTER_BITS = 26
-#: A minimiser is frequent from this share of all super-k-mers on, but never below the first count and always above the second.
-FREQUENT_SHARE, LEAST_FREQUENT, MOST_FREQUENT = 1 / 4096, 1000, 20_000
-#: Gram hashes are counted by this many bytes beside the bucket's bits.
-KEY_BYTES = 5
-#: Bytes of a super-k-mer's hash that tell it from others of its minimiser.
-CHECK_BYTES = 5
-MOST_COMBINED = 100_000
+#: Bytes of compressed text that a part of the corpus holds about, and minimisers that a bucket holds.
+PART_BYTES, BUCKET_SAMPLES = 6_000_000, 1 << 18
+#: Documents that have a minimiser from which on its super-k-mers travel window by window.
+FREQUENT = 2000
+#: Minimisers, and super-k-mers, that a task gathers before it sends.
+SEND_ROWS, SEND_STRINGS = 800_000, 400_000
+#: Documents whose tokens are looked at together, where they come from a table.
+SLICE_ROWS = 512
+#: Bit of a document's flags that says that its id is null; the others tell texts with the same id apart.
+NULL_FLAG = 1 << 31
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,6 +73,13 @@ def gram_hashes(tokens: np.ndarray, g: int) -> np.ndarray:
     return mix(h[: len(h) - (g - size)], h[g - size :]) if size < g else h
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Minimisers' hashes, which are small ones, spread over all 64 bits, one to one."""
+    h = (h ^ (h >> U(32))) * MIX_B
+    h = (h ^ (h >> U(29))) * MIX_A
+    return h ^ (h >> U(32))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     size, v = 1, values
     while size * 2 <= width:
@@ -107,122 +121,8 @@ def super_kmers(grams: np.ndarray, lengths: np.ndarray, k: int, g: int) -> Super
     # A super-k-mer ends where the next starts or its document's windows end.
     doc = np.searchsorted(starts, first, "right") - 1
     until = np.minimum(np.append(first[1:], n), starts[doc] + lengths[doc] - k + 1)
-    return SuperKmers(first, until - first, doc, grams[least[first].astype(np.int64)])
-
-
-# -- pass 1 -----------------------------------------------------------------
-
-
-@dataclass
-class GramFilter:
-    """Marks of gram hash classes: met more than once, frequent, met in different super-k-mers; and how many grams were counted."""
-
-    repeated: np.ndarray
-    frequent: np.ndarray
-    varied: np.ndarray
-    total: int
-
-    @staticmethod
-    def read(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        at = (gram >> U(64 - FILTER_BITS)).astype(np.int64)
-        return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def high_bytes(values: np.ndarray, shift: int, width: int) -> np.ndarray:
-    """The ``width`` bytes below the highest ``shift`` bits, one row a value."""
-    return ((values << U(shift)) >> U(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-
+    return SuperKmers(first, until - first, doc, spread(grams[least[first].astype(np.int64)]))
 
-def from_bytes(blobs: list[bytes], width: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").ravel()
-
-
-def repeated_grams(batches: DataFrame, grams_of: Callable[[], Callable[[pa.RecordBatch], Iterator]], repeats: int = 2) -> GramFilter:
-    """Counts minimisers of all documents by bucket and marks those met again (``repeats`` times or more).
-
-    There are more buckets than shuffle partitions, so that a bucket is as
-    small as a partition of the session is meant to be.
-
-    ``grams_of()``, called once a task, gives what yields an Arrow batch's
-    minimiser hashes, or pairs of these and their super-k-mers' hashes. A batch
-    sends each once, with its count. What reaches the driver is the filter
-    alone, of ``FILTER_BITS`` three times, however large the corpus.
-    """
-    bits = max(8, int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
-    buckets = 1 << bits
-
-    def make():
-        of = grams_of()
-
-        def step(batch):
-            for grams in of(batch):
-                checks = None
-                if isinstance(grams, tuple):
-                    grams, checks = grams
-                if not len(grams):
-                    continue
-                if checks is None:
-                    found, counts = np.unique(grams, return_counts=True)
-                else:
-                    order = np.lexsort((checks, grams))
-                    grams, checks = grams[order], checks[order]
-                    head = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (checks[1:] != checks[:-1])))
-                    found, checks, counts = grams[head], high_bytes(checks[head], 0, CHECK_BYTES), np.diff(np.append(head, len(grams)))
-                bucket = (found >> U(64 - bits)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                keys = high_bytes(found, bits, KEY_BYTES)
-                counts = np.minimum(counts, 65535).astype("<u2")
-                present = np.flatnonzero(edges[1:] > edges[:-1])
-
-                def cut(column):
-                    return pa.array([None if column is None else column[edges[b] : edges[b + 1]].tobytes() for b in present], pa.binary())
-
-                yield {"bucket": pa.array(present, pa.int32()), "keys": cut(keys), "checks": cut(checks), "counts": cut(counts)}
-
-        return step
-
-    slice_bits = FILTER_BITS - bits
-
-    def mark_bucket(group):
-        keys = from_bytes(group.column("keys").to_pylist(), KEY_BYTES)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u2").astype(np.int64)
-        checks = from_bytes(blobs, CHECK_BYTES) if None not in (blobs := group.column("checks").to_pylist()) else np.zeros(len(keys), np.uint64)
-        order = np.lexsort((checks, keys))
-        keys, counts, checks = keys[order], counts[order], checks[order]
-        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        total = np.add.reduceat(counts, edge)
-        kinds = np.add.reduceat(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])).astype(np.int64), edge)
-        least = min(max(LEAST_FREQUENT, FREQUENT_SHARE * buckets * counts.sum()), MOST_FREQUENT)
-        place = (keys[edge] >> U(8 * KEY_BYTES - slice_bits)).astype(np.int64)
-
-        def packed(chosen):
-            marks = np.zeros(1 << slice_bits, np.uint8)
-            marks[place[chosen]] = 1
-            return pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())
-
-        return pa.table({
-            "bucket": group.column("bucket")[:1].cast(pa.int32()),
-            "repeated": packed(total >= repeats),
-            "frequent": packed(total >= least),
-            "varied": packed(kinds > 1),
-            "total": pa.array([int(counts.sum())], pa.int64()),
-        })
-
-    counted = map_batches(batches, make, "bucket int, keys binary, checks binary, counts binary")
-    schema = "bucket int, repeated binary, frequent binary, varied binary, total long"
-    rows = counted.groupBy("bucket").applyInArrow(mark_bucket, schema).toPandas()
-    marks = [np.zeros(1 << FILTER_BITS >> 3, np.uint8) for _ in range(3)]
-    width = 1 << slice_bits >> 3
-    for row in rows.itertuples():
-        for all_bits, own in zip(marks, (row.repeated, row.frequent, row.varied)):
-            all_bits[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(own, np.uint8)
-    return GramFilter(*marks, int(rows.total.sum()))
-
-
-# -- pass 2 -----------------------------------------------------------------
 
 #: Tokens of a part of a batch, and of a part of a long document.
 PART_TOKENS = 1_000_000
@@ -259,152 +159,569 @@ def parts_of(documents: Iterable, k: int) -> Iterator[Part]:
         yield part
 
 
-SENT = "bucket int, known boolean, blob binary"
-#: Bytes of super-k-mers, as sent, that a receiving group holds about.
-GROUP_BYTES, SENT_BYTES = 3_000_000, 70
-#: Bytes of strings that a sender gathers before it sends.
-SEND_BYTES = 8_000_000
+class Strings:
+    """What tokens are: of texts, windows of ``length`` tokens with minimisers of ``gram``."""
+
+    #: Whether a window also counts as repeated if it starts earlier in the same document.
+    within = False
+    #: Bytes of text for each minimiser, about.
+    spacing = 16
+
+    def __init__(self, length: int, gram: int, frequent: int = FREQUENT):
+        self.length, self.gram, self.frequent = length, gram, frequent
 
+    def tokens(self, text: bytes):
+        """The tokens of a text, a sequence."""
+        raise NotImplementedError
 
-def bucket_bits(total: int) -> int:
-    """Buckets for so many super-k-mers, so that a bucket's size does not grow with the corpus."""
-    return max(6, (total * SENT_BYTES // GROUP_BYTES).bit_length())
+    def flat(self, pieces: list):
+        """Sequences behind each other."""
+        raise NotImplementedError
+
+    def grams(self, flat) -> np.ndarray:
+        """Hash of every run of ``gram`` tokens."""
+        raise NotImplementedError
+
+    def packed(self, flat, begin: int, end: int) -> bytes:
+        """The tokens from ``begin`` to ``end`` as one string."""
+        raise NotImplementedError
+
+    def windows(self, packed: bytes) -> list[bytes]:
+        """The windows of a packed string."""
+        raise NotImplementedError
+
+    def numbers(self, strings: list[bytes]) -> np.ndarray:
+        """The tokens of packed strings behind each other, as numbers."""
+        raise NotImplementedError
+
+    def window_hashes(self, numbers: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def equal(self, numbers: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the windows that start at ``a`` and at ``b`` are the same."""
+        return np.logical_and.reduce([numbers[a + i] == numbers[b + i] for i in range(self.length)]) if len(a) else np.zeros(0, bool)
 
 
 @dataclass
-class Received:
-    """Super-k-mers of whole routes, in order of document and start."""
+class Found:
+    """Super-k-mers of some documents: tokens, and of each the document's row, first token there and here, number in its document, windows, minimiser."""
 
-    okey: np.ndarray
-    thash: np.ndarray
+    flat: object
+    row: np.ndarray
     start: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
     windows: np.ndarray
-    packed: list[bytes]
+    gram: np.ndarray
 
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order by minimiser and document, and the heads of these groups in it."""
+        order = np.argsort(self.gram, kind="stable")
+        gram, row = self.gram[order], self.row[order]
+        return order, np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])) if len(order) else np.zeros(0, bool))
 
-class Sender:
-    """Gathers a batch's super-k-mers by bucket; a bucket travels as one compressed blob of columns.
 
-    Of equal strings in a task the earliest travels. The others are known to be
-    covered: their ranges of tokens travel alone, to any bucket.
-    """
+def found_in(kind: Strings, texts: list[bytes]) -> Iterator[Found]:
+    seen = np.zeros(len(texts), np.int64)
+    for part in parts_of(map(kind.tokens, texts), kind.length):
+        flat, lengths = kind.flat(part.tokens), part.lengths()
+        own = super_kmers(kind.grams(flat), lengths, kind.length, kind.gram)
+        row = np.array(part.doc, np.int64)[own.doc]
+        start = np.array(part.offset, np.int64)[own.doc] + own.first - (np.cumsum(lengths) - lengths)[own.doc]
+        counts = np.bincount(row, minlength=len(texts))
+        place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row] + seen[row]
+        seen += counts
+        yield Found(flat, row, start, own.first, place, own.windows, own.gram)
 
-    def __init__(self, bits: int, k: int, later: Callable[[tuple, tuple], bool]):
-        self.bits, self.k, self.later = bits, k, later
-        self.earliest: dict[bytes, tuple] = {}
-        self.press = zstandard.ZstdCompressor(level=3)
-        self.clear()
 
-    def clear(self) -> None:
-        self.rows: list[tuple] = []
-        self.known: list[list[int]] = []
-        self.size = 0
-
-    def full(self) -> bool:
-        return self.size >= SEND_BYTES or len(self.known) >= MOST_COMBINED
-
-    def is_known(self, packed: bytes, place: tuple, windows: int) -> bool:
-        known = self.earliest.get(packed)
-        if known is not None and self.later(place, known):
-            okey, thash, start = place
-            end = start + windows + self.k - 1
-            last = self.known[-1] if self.known else None
-            if last and last[0] == okey and last[1] == thash and last[2] <= start <= last[3]:
-                last[3] = max(last[3], end)
-            else:
-                self.known.append([okey, thash, start, end])
-            return True
-        if known is None or place < known:
-            if len(self.earliest) >= MOST_COMBINED:
-                self.earliest.clear()
-            self.earliest[packed] = place
-        return False
-
-    def add(self, route: int, place: tuple, windows: int, packed: bytes) -> None:
-        """``route``: the minimiser's hash."""
-        if not self.is_known(packed, place, windows):
-            self.rows.append((route >> (64 - self.bits), *place, windows, packed))
-            self.size += len(packed)
-
-    def add_windows(self, place: tuple, windows: list[bytes], packed: bytes) -> None:
-        """Each window by its own hash, unless the whole is known."""
-        if self.is_known(packed, place, len(windows)):
-            return
-        for i, window in enumerate(windows):
-            self.add(xxhash.xxh3_64_intdigest(window), (*place[:2], place[2] + i), 1, window)
-
-    def take(self) -> dict:
-        self.rows.sort(key=lambda r: r[0])
-        bucket, known, blob = [], [], []
-        at = 0
-        while at < len(self.rows):
-            end = at
-            while end < len(self.rows) and self.rows[end][0] == self.rows[at][0]:
-                end += 1
-            _, okey, thash, start, windows, packed = zip(*self.rows[at:end])
-            bucket.append(self.rows[at][0])
-            known.append(False)
-            blob.append(self.press.compress(pack_columns(okey, thash, start, windows, list(map(len, packed))) + b"".join(packed)))
-            at = end
-        if self.known:
-            okey, thash, start, end = zip(*self.known)
-            bucket.append(okey[0] % (1 << self.bits))
-            known.append(True)
-            blob.append(self.press.compress(pack_columns(okey, thash, start, end, end)))
-        self.clear()
-        return {"bucket": pa.array(bucket, pa.int32()), "known": pa.array(known, pa.bool_()), "blob": pa.array(blob, pa.binary())}
+# -- blobs: columns of numbers, byte by byte, and what follows -----------------
+
+
+def pack(columns: Iterable[tuple[np.ndarray, str]], tail: bytes = b"") -> bytes:
+    """``columns`` with their types; compressed."""
+    out = []
+    for values, kind in columns:
+        column = np.ascontiguousarray(values).astype(kind)
+        out += [len(column).to_bytes(4, "little"), column.view(np.uint8).reshape(-1, column.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out) + tail)
+
+
+def unpack(blob: bytes, kinds: Iterable[str]) -> tuple[list[np.ndarray], bytes]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    for kind in kinds:
+        n, width = int.from_bytes(raw[at : at + 4], "little"), np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at + 4).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += 4 + n * width
+    return out, raw[at:]
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of sorted values, undone by ``np.cumsum``."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def slices_of(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal sorted keys."""
+    if len(keys):
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(keys)]):
+            yield int(keys[a]), slice(a, b)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Buckets (2 to the power ``bits``) of minimisers, and parts of the corpus by document id."""
+
+    bits: int
+    parts: int
+
+    @staticmethod
+    def of(docs: DataFrame, kind: Strings, n_bytes: int) -> Layout:
+        """For so many bytes of text: buckets and parts of a size that does not grow, and some for each shuffle partition."""
+        least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Layout(max(n_bytes // kind.spacing // BUCKET_SAMPLES, least).bit_length(), max(2 * n_bytes // (5 * PART_BYTES), least))
 
+    def part(self, okeys: np.ndarray) -> np.ndarray:
+        h = okeys.view(U)
+        return (mix(h, mix(h, h)) % U(self.parts)).astype(np.int64)
 
-def pack_columns(okey, thash, *rest) -> bytes:
-    columns = [np.array(okey, "<i8"), np.array(thash, "<i4"), *(np.array(c, "<u4") for c in rest)]
-    return len(okey).to_bytes(4, "little") + b"".join(c.tobytes() for c in columns)
+    def bucket(self, gram: np.ndarray) -> np.ndarray:
+        return (gram >> U(64 - self.bits)).astype(np.int64)
 
 
-def unpack_columns(blob: bytes) -> tuple[list[np.ndarray], bytes]:
-    n, at, out = int.from_bytes(blob[:4], "little"), 4, []
-    for kind in ("<i8", "<i4", "<u4", "<u4", "<u4"):
-        out.append(np.frombuffer(blob, kind, n, at).astype(np.int64))
-        at += out[-1].size * int(kind[2])
-    return out, blob[at:]
+# -- 1: places of minimisers --------------------------------------------------
 
+PLACES = "bucket int, blob binary"
+PLACE_KINDS = ("<u4", "<i8", "<u4")
 
-# -- pass 3 -----------------------------------------------------------------
 
-RANGES = "okey long, thash int, ranges binary"
+def sampled(docs: DataFrame, kind: Strings, layout: Layout) -> DataFrame:
+    """``PLACES``: of each document of ``keyed_texts`` every distinct minimiser once: 32 bits below the bucket's, id, number."""
 
+    def make():
+        def step(batch):
+            held, n = [], 0
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(at, SLICE_ROWS)
+                okeys = some.column("okey").to_numpy()
+                for found in found_in(kind, utf8(some.column("text"))):
+                    order, head = found.groups()
+                    one = order[head]
+                    held.append((found.gram[one], okeys[found.row[one]], found.place[one]))
+                    n += len(one)
+                    if n >= SEND_ROWS:
+                        yield sent(held)
+                        held, n = [], 0
+            if n:
+                yield sent(held)
+
+        def sent(held):
+            gram, okey, place = (np.concatenate(c) for c in zip(*held))
+            bucket = layout.bucket(gram)
+            order = np.lexsort((place, okey, bucket))
+            bucket, okey, place = bucket[order], okey[order], place[order]
+            rest = ((gram[order] << U(layout.bits)) >> U(32)).astype("<u4")
+            cut = list(slices_of(bucket))
+            blobs = [pack(zip((rest[s], steps(okey[s]), place[s]), PLACE_KINDS)) for _, s in cut]
+            return {"bucket": pa.array([b for b, _ in cut], pa.int32()), "blob": pa.array(blobs, pa.binary())}
+
+        return step
+
+    return map_batches(docs.select("okey", "text"), make, PLACES)
+
+
+def placed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, id and number of all places in ``blobs``."""
+    columns = [unpack(b, PLACE_KINDS)[0] for b in blobs]
+    return tuple(np.concatenate([c[i] if i != 1 else np.cumsum(c[i]) for c in columns]) for i in range(3))
+
+
+# -- 2: places whose minimiser is in several documents --------------------------
+
+ASKED = "part int, copies boolean, blob binary"
+ASKED_KINDS = ("<i8", "<u4", "u1")
+
+
+@dataclass
+class Runs:
+    """Runs of equal sorted minimisers: heads, sizes, and whether their documents are several."""
 
-def covered_ranges(sent: DataFrame, cover: Callable[[Received], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
-    """Brings equal routes together, bucket by bucket, and applies ``cover``; (okey, thash, ranges) with ranges as pairs of 32-bit numbers."""
+    head: np.ndarray
+    size: np.ndarray
+    several: np.ndarray
+
+    @staticmethod
+    def of(rest: np.ndarray, okey: np.ndarray, within: bool) -> Runs:
+        head = np.flatnonzero(np.append(True, rest[1:] != rest[:-1])) if len(rest) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(rest)))
+        most = np.maximum.reduceat(okey, head) if len(head) else okey
+        # Rows without an id share the greatest one with a legal id, and may be several.
+        several = (np.minimum.reduceat(okey, head) < most if len(head) else okey > 0) | ((size > 1) & (within | (most == NULL_ID)))
+        return Runs(head, size, several)
+
+
+def asked_rows(okey: np.ndarray, place: np.ndarray, often: np.ndarray, layout: Layout) -> tuple[list[int], list[bytes]]:
+    part = layout.part(okey)
+    order = np.lexsort((place, okey, part))
+    part, okey, place, often = part[order], okey[order], place[order], often[order]
+    cut = list(slices_of(part))
+    return [p for p, _ in cut], [pack(zip((steps(okey[s]), place[s], often[s]), ASKED_KINDS)) for _, s in cut]
+
+
+def shared_places(places: DataFrame, kind: Strings, layout: Layout) -> DataFrame:
+    """``ASKED``: by part of the corpus, the places whose minimiser is in several documents, and whether in very many."""
 
     def of_bucket(group: pa.Table) -> pa.Table:
-        unpack, found, parts = zstandard.ZstdDecompressor(), [], []
-        for known, blob in zip(group.column("known").to_pylist(), group.column("blob").to_pylist()):
-            columns, strings = unpack_columns(unpack.decompress(blob))
-            if known:
-                found += zip(*(c.tolist() for c in columns[:4]))
-            else:
-                ends = np.cumsum(columns[4]).tolist()
-                parts.append((*columns[:4], [strings[a:b] for a, b in zip([0, *ends], ends)]))
-        if parts:
-            okey, thash, start, windows = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            packed = [s for p in parts for s in p[4]]
-            order = np.lexsort((start, thash, okey))
-            found += cover(Received(okey[order], thash[order], start[order], windows[order], [packed[i] for i in order.tolist()]))
-        return ranges_table(found)
-
-    return sent.groupBy("bucket").applyInArrow(of_bucket, RANGES)
-
-
-def ranges_table(found: list[tuple[int, int, int, int]]) -> pa.Table:
-    """One row a document, with all its ranges."""
-    by_doc: dict[tuple[int, int], list[int]] = {}
-    for okey, thash, begin, end in found:
-        by_doc.setdefault((okey, thash), []).extend((begin, end))
-    return pa.table({
-        "okey": pa.array([k[0] for k in by_doc], pa.int64()),
-        "thash": pa.array([k[1] for k in by_doc], pa.int32()),
-        "ranges": pa.array([np.array(v, "<u4").tobytes() for v in by_doc.values()], pa.binary()),
-    })
+        rest, okey, place = placed(group.column("blob").to_pylist())
+        order = np.argsort(rest, kind="stable")
+        rest, okey, place = rest[order], okey[order], place[order]
+        runs = Runs.of(rest, okey, kind.within)
+        chosen = np.repeat(runs.several, runs.size)
+        often = np.repeat(runs.size >= kind.frequent, runs.size)
+        parts, blobs = asked_rows(okey[chosen], place[chosen], often[chosen], layout)
+        return pa.table({"part": pa.array(parts, pa.int32()), "copies": pa.array([False] * len(parts), pa.bool_()), "blob": pa.array(blobs, pa.binary())})
+
+    return places.groupBy("bucket").applyInArrow(of_bucket, ASKED)
+
+
+def copy_mark(okey: int, nul: bool, digest: bytes) -> bytes:
+    return okey.to_bytes(8, "little", signed=True) + bytes([bool(nul)]) + digest
+
+
+def whole_copies(docs: DataFrame, layout: Layout) -> DataFrame:
+    """``ASKED``: the SHA-256 of the text of rows of ``keyed_texts`` whose text a smaller id has too; found by a join of digests."""
+    digests = saved(docs.select("nul", "okey", F.unhex(F.sha2("text", 256)).alias("digest")))
+    place = F.struct("nul", "okey")
+    several = digests.groupBy("digest").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
+    copies = digests.join(several, "digest").where(place > F.col("least")).select("okey", "nul", "digest").distinct()
+
+    def make():
+        def step(batch):
+            okey = batch.column("okey").to_numpy()
+            marks = [copy_mark(*row) for row in zip(okey.tolist(), batch.column("nul").to_pylist(), batch.column("digest").to_pylist())]
+            yield {"part": pa.array(layout.part(okey), pa.int32()), "copies": pa.array([True] * len(okey), pa.bool_()), "blob": pa.array(marks, pa.binary())}
+
+        return step
+
+    return map_batches(copies, make, ASKED)
+
+
+# -- 3: strings ---------------------------------------------------------------
+
+SENT = "bucket int, blob binary"
+STRING_KINDS = ("<u4", "<u4", "<u4", "<i8", "<u4", "<u4")
+RANGE_KINDS = ("<i8", "<u4", "<u4", "<u4")
+
+
+def pressed(docs: DataFrame, layout: Layout, keep: list[str]) -> DataFrame:
+    """``keyed_texts`` by part of the corpus, the text compressed, with the columns ``keep``."""
+
+    def make():
+        press = zstandard.ZstdCompressor(level=3)
+
+        def step(batch):
+            body = pa.array([press.compress(t) for t in utf8(batch.column("text"))], pa.binary())
+            yield {"part": pa.array(layout.part(batch.column("okey").to_numpy()), pa.int32()), "okey": batch.column("okey"), "nul": batch.column("nul"), "body": body, **{c: batch.column(c) for c in keep}}
+
+        return step
+
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_batches(docs.select("okey", "nul", "text", *keep), make, f"part int, okey long, nul boolean, body binary{kept}")
+
+
+class Texts:
+    """The documents of a part of the corpus: texts, ids, flags (null id, and which of several texts of an id), and rank by id."""
+
+    def __init__(self, table: pa.Table):
+        unpress = zstandard.ZstdDecompressor()
+        self.texts = [unpress.decompress(b) for b in table.column("body").to_pylist()]
+        self.okey = table.column("okey").to_numpy().astype(np.int64)
+        nul = table.column("nul").to_numpy().astype(np.int64)
+        by_id: dict[tuple[int, int], set[bytes]] = {}
+        ids = list(zip(self.okey.tolist(), nul.tolist()))
+        for i, text in zip(ids, self.texts):
+            by_id.setdefault(i, set()).add(text)
+        number = {(i, text): n for i, texts in by_id.items() if len(texts) > 1 for n, text in enumerate(sorted(texts))}
+        self.flag = nul * NULL_FLAG + np.array([number.get(x, 0) for x in zip(ids, self.texts)] if number else 0, np.int64)
+        self.rank = ranks(self.okey, self.flag)
+
+
+def ranks(okey: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """Numbers that order ids, null last; equal for equal ids."""
+    nul = flag >= NULL_FLAG
+    order = np.lexsort((okey, nul))
+    fresh = np.append(False, (okey[order][1:] != okey[order][:-1]) | (nul[order][1:] != nul[order][:-1])) if len(order) else np.zeros(0, bool)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def is_later(kind: Strings, number: np.ndarray, rank: np.ndarray, flag: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of places of strings with these numbers, those that an earlier place of the same string covers wholly."""
+    order = np.lexsort((start, flag, rank, number))
+    head = np.append(True, number[order][1:] != number[order][:-1]) if len(order) else np.zeros(0, bool)
+    first = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = rank[order] > rank[first]
+    if kind.within:
+        # Rows that repeat a document have the same place twice.
+        out[order] |= (flag[order] != flag[first]) | (start[order] != start[first])
+    return out
+
+
+class Sender:
+    """Gathers a part's strings with their places, and sends them by bucket."""
+
+    def __init__(self, kind: Strings, layout: Layout, docs: Texts):
+        self.kind, self.layout, self.docs = kind, layout, docs
+        self.known: list[tuple[np.ndarray, ...]] = []
+        self.buckets: list[int] = []
+        self.blobs: list[bytes] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.rows: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, found: Found, chosen: np.ndarray, often: np.ndarray) -> None:
+        number, first = self.number, found.first[chosen]
+        ends = (first + found.windows[chosen] + self.kind.length - 1).tolist()
+        ids = [number.setdefault(self.kind.packed(found.flat, a, b), len(number)) for a, b in zip(first.tolist(), ends)]
+        self.rows.append((np.array(ids, np.int64), found.row[chosen], found.start[chosen], found.windows[chosen], found.gram[chosen], often[chosen]))
+        if len(number) >= SEND_STRINGS:
+            self.send()
+
+    def cover(self, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        self.known.append((self.docs.okey[row], self.docs.flag[row], begin, end))
+
+    def unknown(self, number: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Which places are not covered by an earlier one of the same string here; the others are known."""
+        later = is_later(self.kind, number, self.docs.rank[row], self.docs.flag[row], start)
+        self.cover(row[later], start[later], (start + windows)[later] + self.kind.length - 1)
+        return ~later
+
+    def send(self) -> None:
+        if self.rows:
+            number, row, start, windows, gram, often = (np.concatenate(c) for c in zip(*self.rows))
+            strings = list(self.number)
+            self.clear()
+            left = self.unknown(number, row, start, windows)
+            whole, cut = np.flatnonzero(left & ~often), np.flatnonzero(left & often)
+            self.blob(strings, number[whole], row[whole], start[whole], windows[whole], gram[whole])
+            if len(cut):
+                self.send_windows(strings, number[cut], row[cut], start[cut])
+
+    def send_windows(self, strings: list[bytes], number: np.ndarray, row: np.ndarray, start: np.ndarray) -> None:
+        own: dict[bytes, int] = {}
+        windows = {n: [own.setdefault(w, len(own)) for w in self.kind.windows(strings[n])] for n in np.unique(number).tolist()}
+        counts = np.array([len(windows[n]) for n in number.tolist()])
+        each = np.repeat(np.arange(len(number)), counts)
+        within = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids, one = np.concatenate([windows[n] for n in number.tolist()]), np.ones(len(each), np.int64)
+        row, start = row[each], start[each] + within
+        left = self.unknown(ids, row, start, one)
+        gram = np.fromiter(map(xxhash.xxh3_64_intdigest, own), U, len(own))
+        self.blob(list(own), ids[left], row[left], start[left], one[left], gram[ids[left]])
+
+    def blob(self, strings: list[bytes], number: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, gram: np.ndarray) -> None:
+        """Strings in the order of their minimisers, each once a bucket, and their places."""
+        bucket = self.layout.bucket(gram)
+        order = np.lexsort((start, row, number, gram))
+        number, row, start, windows = number[order], row[order], start[order], windows[order]
+        for b, s in slices_of(bucket[order]):
+            head = np.append(True, number[s][1:] != number[s][:-1])
+            texts = [strings[n] for n in number[s][head].tolist()]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            at, doc = np.cumsum(head) - 1, row[s]
+            columns = (sizes, windows[s][head], steps(at), self.docs.okey[doc], self.docs.flag[doc], start[s])
+            self.buckets.append(b)
+            self.blobs.append(pack(zip(columns, STRING_KINDS), b"".join(texts)))
+
+    def result(self, part: int) -> pa.Table:
+        self.send()
+        if self.known:
+            # A bucket below zero holds what needs no other part's strings.
+            self.buckets.append(-1 - part)
+            self.blobs.append(pack_ranges(*merged(*(np.concatenate(c) for c in zip(*self.known)))))
+        return pa.table({"bucket": pa.array(self.buckets, pa.int32()), "blob": pa.array(self.blobs, pa.binary())})
+
+
+def sent_strings(kind: Strings, layout: Layout, table: pa.Table, asked: pa.Table) -> pa.Table:
+    """``SENT``: the strings of a part of the corpus at the places asked for."""
+    docs = Texts(table)
+    sender = Sender(kind, layout, docs)
+    wanted, copies = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))], set()
+    for is_copies, blob in zip(asked.column("copies").to_pylist(), asked.column("blob").to_pylist()):
+        if is_copies:
+            copies.add(blob)
+        else:
+            okey, place, often = unpack(blob, ASKED_KINDS)[0]
+            wanted.append((np.cumsum(okey), place.astype(np.int64), often))
+    texts = list(docs.texts)
+    if copies:
+        for i, (okey, flag, text) in enumerate(zip(docs.okey.tolist(), docs.flag.tolist(), docs.texts)):
+            if copy_mark(okey, flag >= NULL_FLAG, sha256(text).digest()) in copies:
+                texts[i] = b""
+                if (n := len(kind.tokens(text))) >= kind.length:
+                    sender.cover(np.array([i]), np.array([0]), np.array([n]))
+    okey, place, often = (np.concatenate(c) for c in zip(*wanted))
+    # Rows of the ids; an id with several texts has several.
+    by_id = np.argsort(docs.okey, kind="stable")
+    low, high = np.searchsorted(docs.okey[by_id], okey, "left"), np.searchsorted(docs.okey[by_id], okey, "right")
+    each = np.repeat(np.arange(len(okey)), high - low)
+    row = by_id[np.arange(len(each)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)] if len(each) else each
+    codes = (row << 32) | place[each]
+    often_codes = codes[often[each] > 0]
+    for found in found_in(kind, texts):
+        own = (found.row << 32) | found.place
+        order, head = found.groups()
+        if not len(order):
+            continue
+        size = np.diff(np.append(head, len(order)))
+
+        def of_groups(marks):
+            out = np.empty(len(order), bool)
+            out[order] = np.repeat(np.logical_or.reduceat(marks[order], head), size)
+            return out
+
+        chosen, frequent = of_groups(np.isin(own, codes)), of_groups(np.isin(own, often_codes))
+        if kind.within:
+            again = np.empty(len(order), bool)
+            again[order] = np.repeat(size > 1, size)
+            chosen |= again
+        if chosen.any():
+            sender.add(found, chosen, frequent)
+    return sender.result(int(table.column("part")[0].as_py()) if table.num_rows else 0)
+
+
+# -- 4: windows that occur earlier ----------------------------------------------
+
+RANGES = "part int, blob binary"
+
+
+def merged(okey: np.ndarray, flag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges by document and begin; those that meet the one before, or overlap it, are one."""
+    order = np.lexsort((begin, flag, okey))
+    okey, flag, begin, end = okey[order], flag[order], begin[order], end[order]
+    if not len(okey):
+        return okey, flag, begin, end
+    doc = np.cumsum(np.append(False, (okey[1:] != okey[:-1]) | (flag[1:] != flag[:-1])))
+    # The furthest end so far of the same document: documents are set apart by more than any end.
+    apart = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + doc * apart) - doc * apart
+    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (begin[1:] > reach[:-1])))
+    return okey[head], flag[head], begin[head], np.maximum.reduceat(end, head)
+
+
+def pack_ranges(okey: np.ndarray, flag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    return pack(zip((steps(okey), flag, begin, end), RANGE_KINDS))
+
+
+def exact_groups(hashes: np.ndarray, at: np.ndarray, length: int, numbers: np.ndarray, equal: Callable) -> np.ndarray:
+    """A number for each window, the same for equal windows only: windows with one hash are compared token by token."""
+    order = np.argsort(hashes, kind="stable")
+    fresh = np.append(True, hashes[order][1:] != hashes[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    pairs = np.flatnonzero(~fresh)
+    unlike = pairs[~equal(numbers, at[order[pairs - 1]], at[order[pairs]])]
+    if len(unlike):
+        # Different windows share a hash: of these groups the windows themselves are sorted.
+        some = np.flatnonzero(np.isin(group, group[order[unlike]]))
+        group[some] = len(group) + np.unique(numbers[at[some][:, None] + np.arange(length)], axis=0, return_inverse=True)[1].ravel()
+    return group
+
+
+def covered_here(kind: Strings, layout: Layout, group: pa.Table) -> pa.Table:
+    """``RANGES``: of a bucket's strings the ranges of tokens in windows that start earlier too."""
+    buckets, blobs = group.column("bucket").to_pylist(), group.column("blob").to_pylist()
+    if buckets[0] < 0:
+        return pa.table({"part": pa.array([-1 - b for b in buckets], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    numbers_of: dict[bytes, int] = {}
+    windows_of, rows = [], []
+    for blob in blobs:
+        (size, windows, at, *place), tail = unpack(blob, STRING_KINDS)
+        ends = np.cumsum(size.astype(np.int64)).tolist()
+        ids = np.array([numbers_of.setdefault(tail[a:b], len(numbers_of)) for a, b in zip([0, *ends], ends)], np.int64)
+        windows_of.append((ids, windows))
+        rows.append((ids[np.cumsum(at.astype(np.int64))], *(c.astype(np.int64) for c in place)))
+    number, okey, flag, start = (np.concatenate(c) for c in zip(*rows))
+    strings, windows = list(numbers_of), np.zeros(len(numbers_of), np.int64)
+    for ids, n in windows_of:
+        windows[ids] = n
+    rank = ranks(okey, flag)
+    later = is_later(kind, number, rank, flag, start)
+    ranges = [(okey[later], flag[later], start[later], (start + windows[number])[later] + kind.length - 1)]
+    # Of the earliest places' strings, each once, the windows that still earlier ones have.
+    rest = np.flatnonzero(~later)
+    rest = rest[np.lexsort((start[rest], flag[rest], rank[rest]))]
+    _, one = np.unique(number[rest], return_index=True)
+    one = rest[np.sort(one)]
+    own = number[one]
+    counts = windows[own]
+    row = np.repeat(np.arange(len(own)), counts)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    base = np.cumsum(counts + kind.length - 1) - (counts + kind.length - 1)
+    numbers = kind.numbers([strings[n] for n in own.tolist()])
+    at = base[row] + within
+    same = exact_groups(kind.window_hashes(numbers)[at], at, kind.length, numbers, kind.equal)
+    order = np.argsort(same, kind="stable")
+    head = np.append(True, same[order][1:] != same[order][:-1])
+    # Windows are in order of place, so the first of a group is the earliest.
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    marks = np.zeros(len(order), bool)
+    marks[order] = ~head if kind.within else rank[one][row[order]] > rank[one][row[first]]
+    fresh = np.append(True, row[1:] != row[:-1])
+    begin = np.flatnonzero(marks & (fresh | ~np.append(False, marks[:-1])))
+    end = np.flatnonzero(marks & np.append(fresh[1:] | ~marks[1:], True)) + 1
+    # Runs of such windows, for each place of their string that is left.
+    of, begin, end = own[row[begin]], within[begin], within[end - 1] + kind.length
+    order = np.argsort(of, kind="stable")
+    of, begin, end = of[order], begin[order], end[order]
+    low, high = np.searchsorted(of, number[rest], "left"), np.searchsorted(of, number[rest], "right")
+    each = np.repeat(rest, high - low)
+    run = np.arange(len(each)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+    ranges.append((okey[each], flag[each], start[each] + begin[run], start[each] + end[run]))
+    okey, flag, begin, end = merged(*(np.concatenate(c) for c in zip(*ranges)))
+    part = layout.part(okey)
+    order = np.argsort(part, kind="stable")
+    okey, flag, begin, end = okey[order], flag[order], begin[order], end[order]
+    cut = list(slices_of(part[order]))
+    return pa.table({"part": pa.array([p for p, _ in cut], pa.int32()), "blob": pa.array([pack_ranges(okey[s], flag[s], begin[s], end[s]) for _, s in cut], pa.binary())})
+
+
+def covered_ranges(texts: DataFrame, asked: DataFrame, kind: Strings, layout: Layout) -> DataFrame:
+    """``RANGES``: of ``pressed`` texts the ranges of tokens that lie in windows which start earlier too."""
+    sent = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda a, b: sent_strings(kind, layout, a, b), SENT)
+    return sent.groupBy("bucket").applyInArrow(lambda group: covered_here(kind, layout, group), RANGES)
+
+
+def with_ranges(texts: DataFrame, ranges: DataFrame, apply: Callable[[pa.Table, list[bytes], list[np.ndarray]], dict], schema: str) -> DataFrame:
+    """``apply`` on the rows of each part of ``pressed`` texts: the rows, their texts, and of each its ranges (pairs of numbers in rows)."""
+
+    def of_part(table: pa.Table, found: pa.Table) -> pa.Table:
+        docs = Texts(table)
+        columns = [unpack(b, RANGE_KINDS)[0] for b in found.column("blob").to_pylist()]
+        okey, flag, begin, end = (np.concatenate([np.zeros(0, np.int64), *(np.cumsum(c[i]) if not i else c[i].astype(np.int64) for c in columns)]) for i in range(4))
+        order = np.lexsort((flag, okey))
+        pairs = np.column_stack([begin[order], end[order]])
+        fresh = np.append(True, (okey[order][1:] != okey[order][:-1]) | (flag[order][1:] != flag[order][:-1])) if len(order) else np.zeros(0, bool)
+        head = np.flatnonzero(fresh)
+        own = {d: pairs[a:b] for d, a, b in zip(zip(okey[order][head].tolist(), flag[order][head].tolist()), head.tolist(), [*head[1:].tolist(), len(order)])}
+        none = np.zeros((0, 2), np.int64)
+        out = apply(table, docs.texts, [own.get(d, none) for d in zip(docs.okey.tolist(), docs.flag.tolist())])
+        return pa.table({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in out.items()})
+
+    return texts.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(of_part, schema)
+
+
+def doc_ids(table: pa.Table) -> pa.Array:
+    return pa.array(table.column("okey").to_numpy(), pa.int64(), mask=table.column("nul").to_numpy())
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def runs(marks: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -413,16 +730,9 @@ def runs(marks: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[::2].tolist(), edges[1::2].tolist())
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``docs`` with all ranges of each document, ``ranges`` array<binary>, null if there are none."""
-    return docs.join(ranges.groupBy("okey", "thash").agg(F.collect_list("ranges").alias("ranges")), ["okey", "thash"], "left")
-
-
-def covered(n: int, ranges: list[bytes] | None) -> np.ndarray:
+def covered(n: int, pairs: np.ndarray) -> np.ndarray:
     """Marks of the n tokens that lie in a range."""
     marks = np.zeros(n + 1, np.int32)
-    if ranges:
-        pairs = np.frombuffer(b"".join(ranges), "<u4").astype(np.int64)
-        np.add.at(marks, pairs[::2], 1)
-        np.add.at(marks, pairs[1::2], -1)
+    np.add.at(marks, pairs[:, 0], 1)
+    np.add.at(marks, pairs[:, 1], -1)
     return np.cumsum(marks[:-1]) > 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, classifier, components, jaccard, neighbours, packing, pii, quality_rules, queries, substrings, suffixes, superkmers, token_counts
+from plumbline.llm.rows import keyed_texts
 from tests.conftest import SF
 from tests.llm.conftest import passage
 
@@ -244,7 +245,27 @@ def test_words_that_occur_earlier(odd_docs, plain_rows):
 
 def test_words_on_the_table(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    assert counted(substrings.kept_digest(substrings.kept_words(documents))) == Counter(plain_words(rows, 20).values())
+    expected = Counter(plain_words(rows, 20).values())
+    for strings in (None, substrings.WordStrings(20, 8, frequent=2), FewHashesOfWords(20, 8)):
+        assert counted(substrings.kept_digest(substrings.kept_words(documents, strings=strings))) == expected
+
+
+class FewHashesOfWords(substrings.WordStrings):
+    """Hashes that bring unlike windows together."""
+
+    def grams(self, flat):
+        return super().grams(flat) % np.uint64(5)
+
+    def window_hashes(self, numbers):
+        return super().window_hashes(numbers) % np.uint64(3)
+
+
+class FewHashesOfBytes(suffixes.ByteStrings):
+    def grams(self, flat):
+        return super().grams(flat) % np.uint64(5)
+
+    def window_hashes(self, numbers):
+        return super().window_hashes(numbers) % np.uint64(3)
 
 
 def plain_bytes(rows, length):
@@ -277,24 +298,65 @@ def test_cleaned_keeps_columns_and_characters(spark):
     assert rows == {1: ("a" + shared, 41), 2: ("tail", 4), 4: (None, 0), 5: ("", 0)}
 
 
-def test_levels_merge_geometrically():
-    rng, levels, seen = np.random.default_rng(4), suffixes.Levels(), {}
-    for doc in range(200):
-        words = np.unique(rng.integers(0, 3000, 40).astype("S6"))
-        known = levels.scan(words)
-        assert [seen.get(w, NULL) for w in words.tolist()] == known.tolist()
-        levels.add(words, np.minimum(known, doc))
-        for w in words.tolist():
-            seen.setdefault(w, doc)
-        sizes = [len(s) for s, _ in levels.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+def test_bytes_with_few_hashes_and_frequent_minimisers(documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    expected = plain_bytes(rows, 50)
+    for strings, batches in ((FewHashesOfBytes(), 1), (FewHashesOfBytes(frequent=2), 2), (suffixes.ByteStrings(frequent=2), 5)):
+        assert counted(suffixes.kept_digest(suffixes.kept_bytes(documents, strings=strings, batches=batches))) == expected
+
+
+def test_unlike_bytes_with_equal_hashes_stay(spark):
+    """Two strings made to share a hash of their eights."""
+    rows = [(1, "qwyL19S83w v the endQLLiCMuioNzmkanF2DF8GqbmAAuqO9"), (2, "zFfrUx1NnOqU the endQLLiCMuioNzmkanF2DF8GqbmAAuqO9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(suffixes.kept_digest(suffixes.kept_bytes(docs))) == plain_bytes(rows, 50)
 
 
-def test_frequent_grams_travel_by_window(documents, monkeypatch):
-    monkeypatch.setattr(superkmers, "LEAST_FREQUENT", 2)
-    monkeypatch.setattr(superkmers, "FREQUENT_SHARE", 0)
+def test_an_index_takes_batches_in_any_number(spark, documents, tmp_path):
+    """Levels stay twice as large as the next, and what scans of several batches note settles as in one run."""
+    plain = keyed_texts(documents)
+    kind, layout = suffixes.ByteStrings(), superkmers.Layout(5, 7)
+    index = suffixes.SuffixIndex(spark, str(tmp_path), kind, layout)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    assert counted(suffixes.kept_digest(suffixes.kept_bytes(documents))) == plain_bytes(rows, 50)
+    # Later ids first: an index takes batches of any ids.
+    for i in (3, 1, 0, 2, 4):
+        index.add(plain.where(F.pmod("okey", F.lit(5)) == i), 100)
+        sizes = [n for n, _ in index.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == 100 * len(index.scans)
+    level = index.rows(index.levels[-1][1], "level").collect()
+    for row in level:
+        (steps, okeys, _), _ = superkmers.unpack(row.blob, suffixes.LEVEL_KINDS)
+        assert len(steps) == len(okeys) > 0
+    texts = superkmers.pressed(plain, layout, [])
+    ranges = superkmers.covered_ranges(texts, index.noted(), kind, layout)
+
+    def apply(table, raws, pairs):
+        return {"doc_id": table.column("okey"), "n": [int(superkmers.covered(len(t), p).sum()) for t, p in zip(raws, pairs)]}
+
+    found = Counter({(r.doc_id, r.n) for r in superkmers.with_ranges(texts, ranges, apply, "doc_id long, n long").collect()})
+    assert found == Counter({(r[0], r[2]) for r in plain_bytes(rows, 50)})
+
+
+def test_documents_longer_than_a_part(spark):
+    """Words and bytes of a document that is cut, with repeats across the cut and in another document."""
+    n = superkmers.PART_TOKENS
+    words = [f"{i:x}" for i in range(n + 5000)]
+    words[n - 10 : n + 30] = words[100:140]
+    words[n + 3000 : n + 3060] = words[n - 5 : n + 55]
+    text = " ".join(words)
+    rows = [(1, text), (2, "some words before " + text[n - 200 : n + 300] + " and after " + " ".join(words[n + 4000 : n + 4100]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert counted(substrings.kept_digest(substrings.kept_words(docs))) == Counter(plain_words(rows, 20).values())
+    assert counted(suffixes.kept_digest(suffixes.kept_bytes(docs))) == plain_bytes(rows, 50)
+
+
+def test_the_greatest_id_and_none_are_two(spark):
+    """A row without an id is later than the greatest legal one."""
+    shared = passage(1, 60)
+    rows = [(NULL, shared), (None, shared), (None, "more " + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (substrings.kept_words(docs), suffixes.kept_bytes(docs)):
+        assert {(r[0], r[2] > 0) for r in found.collect()} == {(NULL, False), (None, True)}
 
 
 def test_long_documents_are_cut(monkeypatch):
@@ -307,10 +369,17 @@ def test_long_documents_are_cut(monkeypatch):
 
 def test_different_windows_with_one_hash_are_told_apart():
     ids = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
-    group = substrings.exact_groups(ids, np.array([0, 3, 6]), np.zeros(3, np.uint64), 3)
+    kind = substrings.WordStrings(3, 2)
+    group = superkmers.exact_groups(np.zeros(3, np.uint64), np.array([0, 3, 6]), 3, ids, kind.equal)
     assert group[0] == group[2] != group[1]
 
 
+def test_ranges_merge_by_document():
+    okey, flag = np.array([5, 1, 1, 1, 5]), np.array([0, 0, 0, 1, 0])
+    found = superkmers.merged(okey, flag, np.array([7, 4, 0, 0, 1]), np.array([9, 6, 4, 2, 8]))
+    assert [list(c) for c in found] == [[1, 1, 5], [0, 1, 0], [0, 0, 1], [6, 2, 9]]
+
+
 # -- near duplicates --------------------------------------------------------
 
 
