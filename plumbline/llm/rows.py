@@ -96,3 +96,24 @@ def dropped(spark: SparkSession, folder: str) -> None:
     """Removes a folder that this engine has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of one key that go to one task, and keys that may have more.
+KEY_ROWS, MOST_HOT_KEYS = 10_000, 100_000
+
+
+def even_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one`` (a row a key) on ``key``; keys of very many rows are dealt to several tasks.
+
+    ``rows`` is read twice, so it should be written. The hot keys that are
+    broadcast are at most ``MOST_HOT_KEYS``, since each has more rows than that share of all.
+    """
+    n = rows.count()
+    least = max(KEY_ROWS, n // MOST_HOT_KEYS)
+    if n <= least:
+        return rows.join(one, key, how)
+    hot = rows.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).cast("int").alias("_deals"))
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, key, "left").withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
+    copied = one.join(hot, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(copied, [key, "_deal"], how).drop("_deal")

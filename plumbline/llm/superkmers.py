@@ -44,7 +44,7 @@ MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Low bits of a gram's sort value that hold its position in a batch.
 POSITION_BITS = U(26)
 #: Bytes of compressed text that a part of the corpus holds about, and minimisers that a bucket holds.
-PART_BYTES, BUCKET_SAMPLES = 6_000_000, 1 << 18
+PART_BYTES, BUCKET_SAMPLES = 4_000_000, 1 << 18
 #: Documents that have a minimiser from which on its super-k-mers travel window by window.
 FREQUENT = 2000
 #: Minimisers, and super-k-mers, that a task gathers before it sends.
@@ -278,8 +278,8 @@ class Layout:
 
     @staticmethod
     def of(docs: DataFrame, kind: Strings, n_bytes: int) -> Layout:
-        """For so many bytes of text: buckets and parts of a size that does not grow, and some for each shuffle partition."""
-        least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        """For so many bytes of text: buckets and parts of a size that does not grow, one for each shuffle partition at least."""
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return Layout(max(n_bytes // kind.spacing // BUCKET_SAMPLES, least).bit_length(), max(2 * n_bytes // (5 * PART_BYTES), least))
 
     def part(self, okeys: np.ndarray) -> np.ndarray:

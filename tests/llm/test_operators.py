@@ -443,6 +443,28 @@ def test_frequent_passages_with_rare_additions(spark):
     assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == expected
 
 
+@pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 4, 5)])
+def test_copies_near_the_threshold(spark, n, num, den):
+    """Groups whose members are nearly similar: edits from few words, cuts and additions, so that rounds by hubs and neighbours leave links."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(4):
+        base = passage(50 + group, 110).split()
+        for i in range(70):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(1, 6))):
+                words[at] = f"e{rng.integers(0, 3)}"
+            if i % 5 == 0:
+                words = words[int(rng.integers(0, 12)) :]
+            if i % 7 == 0:
+                words += [f"t{rng.integers(0, 4)}" for _ in range(int(rng.integers(1, 10)))]
+            rows.append((int(rng.integers(0, 10**6)) * 1000 + len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = plain_components(rows, n, num, den)
+    assert 8 < len({c for _, _, c in expected})
+    assert {tuple(r) for r in jaccard.near_duplicates(docs, n, num, den).collect()} == expected
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, plain_rows):
     found = jaccard.near_duplicates(odd_docs).collect()
     assert len(found) == len(plain_rows)
