@@ -99,7 +99,7 @@ def dropped(spark: SparkSession, folder: str) -> None:
 
 
 #: Rows of one key that go to one task, and keys that may have more.
-KEY_ROWS, MOST_HOT_KEYS = 10_000, 100_000
+KEY_ROWS, MOST_HOT_KEYS = 50_000, 100_000
 
 
 def even_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
