@@ -35,7 +35,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>, dim, norm): vectors that are not null, empty or zero and hold finite numbers only. Null ids are left out."""
+    """(vec_id, v array<double>, dim, peak: the greatest component without sign): vectors that are not null, empty or zero and hold finite numbers only. Null ids are left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     return (
@@ -43,7 +43,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .where(F.coalesce(ok, F.lit(False)))
         .withColumn("dim", F.size("v"))
-        .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+        .withColumn("peak", F.array_max(F.transform("v", F.abs)))
     )
 
 
@@ -72,13 +72,18 @@ class Block:
             seen += np.bincount(np.concatenate(added), minlength=n)
             low, high = lower, higher
             found = np.flatnonzero(seen >= least)
-            if len(found) >= min(enough, n):
+            # Windows that hold all numbers cannot grow.
+            if len(found) >= min(enough, n) or all(a == 0 and b == n for a, b in zip(low, high)):
                 return found
             width *= GROWTH
 
 
-def search_group(data: pd.DataFrame, queries: pd.DataFrame, top: int, longest: float) -> pd.DataFrame:
-    """The ``top`` nearest of ``data`` for each query, of those found; ties to the smaller id, the query's own row left out."""
+def search_group(data: pd.DataFrame, queries: pd.DataFrame, top: int, peak: float) -> pd.DataFrame:
+    """The ``top`` nearest of ``data`` for each query, of those found; ties to the smaller id, the query's own row left out.
+
+    Projections are of vectors divided by ``peak`` (the greatest component of
+    all), and of queries divided by their own, so that no square overflows.
+    """
     if data.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     data = data.sort_values("vec_id", kind="stable")
@@ -89,10 +94,14 @@ def search_group(data: pd.DataFrame, queries: pd.DataFrame, top: int, longest: f
     owners = np.split(ids[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which))[:-1])
     owners = [o[: top + 1] for o in owners]
     x = x[first]
-    lift = np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))
+    scaled = x / peak
+    squares = (scaled**2).sum(1)
+    longest = np.sqrt(squares.max())
+    lift = np.sqrt(np.maximum(longest**2 - squares, 0))
     directions = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
-    unit = np.column_stack([x, lift]) / longest
-    numbers = (q / np.sqrt((q**2).sum(1, keepdims=True))) @ directions[:-1]
+    unit = np.column_stack([scaled, lift]) / longest
+    q_scaled = q / np.abs(q).max(1, keepdims=True)
+    numbers = (q_scaled / np.sqrt((q_scaled**2).sum(1, keepdims=True))) @ directions[:-1]
     best: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     least = int(np.ceil(COLLISIONS * PROJECTIONS))
     for at in range(0, len(x), BLOCK):
@@ -101,7 +110,10 @@ def search_group(data: pd.DataFrame, queries: pd.DataFrame, top: int, longest: f
         for i, (vector, query_id) in enumerate(zip(q, query_ids)):
             found = block.candidates(numbers[i], least, enough)
             # Summed row by row, so that equal vectors score equally wherever they stand.
-            score = (block.vectors[found] * vector).sum(1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (block.vectors[found] * vector).sum(1)
+            # Products beyond the range of numbers of either sign cancel to no number: the farthest.
+            score = np.where(np.isnan(score), -np.inf, score)
             if len(found) > top + 1:
                 bound = np.partition(score, len(score) - top - 1)[len(score) - top - 1]
                 found, score = found[score >= bound], score[score >= bound]
@@ -117,15 +129,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str
     with its own sorted arrays, and queries in blocks visit every group.
     Vectors of another dimension than a query's are not compared with it.
     Rows that repeat a vec_id with the same vector count once; a query that
-    repeats is answered once. An empty table gives no rows.
+    repeats is answered once. Components may be of any finite size; products
+    beyond the range of numbers score infinity. Null and zero vectors, and those
+    with null or non-finite components, take no part; other columns are not read. An empty table gives no rows.
     """
     data, asked = (usable(df, id_col, vector_col).dropDuplicates(["vec_id", "v"]) for df in (vectors, queries))
-    size = data.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()
+    size = data.agg(F.count("*").alias("n"), F.max("peak").alias("peak")).first()
     n_queries = asked.count()
     groups, blocks = -(-size.n // GROUP_VECTORS) or 1, -(-n_queries // GROUP_QUERIES) or 1
     # Small tables are dealt finer, to use the tasks there are; ever more groups would only repeat the queries.
     groups, blocks = max(groups, min(4, size.n // 2000 or 1)), max(blocks, min(6, n_queries // 100 or 1))
-    longest = float(size.longest or 1.0)
+    peak = float(size.peak or 1.0)
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -135,7 +149,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, id_col: str
     found = (
         left.groupBy("g", "b", "dim")
         .cogroup(right.groupBy("g", "b", "dim"))
-        .applyInPandas(lambda a, b: search_group(a, b, top, longest), FOUND)
+        .applyInPandas(lambda a, b: search_group(a, b, top, peak), FOUND)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -13,6 +13,7 @@ operations; no Python runs on executors.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Callable
 from functools import reduce
@@ -159,11 +160,29 @@ def stratum(column: str) -> Column:
     return F.when(F.col(column).isin(*STRATA[:-1]), F.col(column)).otherwise(F.lit(STRATA[-1]))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series from 20 on."""
+    x = F.greatest(n.cast("double"), F.lit(1.0))
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    small = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(20)))
+    return F.when(n < 20, F.element_at(small, F.least(n, F.lit(19)).cast("int") + 1)).otherwise(series)
+
+
 def binomial_log_cdf(n: Column, k: Column, p: float) -> Column:
-    """ln P(Bin(n, p) <= k) for k < n p, summed downwards from the largest term so that nothing underflows."""
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    choose = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((n - i + 1) / i))
-    tail = F.aggregate(steps, F.lit(1.0), lambda s, j: 1 + s * j / (n - j + 1) * F.lit((1 - p) / p))
+    """ln P(Bin(n, p) <= k) for k < n p, summed downwards from the largest term so that nothing underflows.
+
+    Terms fall as a normal density's do; those beyond ten deviations change no digit and are left out.
+    """
+    deviations = F.ceil(10 * F.sqrt(n * F.lit(p * (1 - p)))).cast("long") + 50
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.greatest(F.least(k, deviations), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    choose = log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(a, i):
+        term = a["term"] * (k - i + 1) / (n - k + i) * F.lit((1 - p) / p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    tail = F.aggregate(steps, start, add, lambda a: a["sum"])
     return n * F.log(F.lit(1 - p)) + k * F.log(F.lit(p / (1 - p))) + choose + F.log(tail)
 
 
@@ -172,12 +191,13 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, most_rejected: float
 
     ``values``: doc_id, stratum, base_failed and the rules' shares. ``labels``:
     doc_id and quality; null labels are left out, of several labels of a document
-    the lowest counts. Documents that fail the base rules are left out, since
+    the lowest counts. A document is drawn once: of rows that repeat its id the one
+    of the least values counts. Documents that fail the base rules are left out, since
     no cutoff decides on them.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    holdout = values.select("doc_id", "stratum", "base_failed", *GRID).join(marks, "doc_id")
-    # Not a filter: the optimizer would move it down and evaluate the counts twice.
+    drawn = values.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("stratum", "base_failed", *GRID)).alias("row")).select("doc_id", "row.*")
+    holdout = drawn.join(marks, "doc_id")
     good, bad = ~F.col("base_failed") & (F.col("quality") == 1), ~F.col("base_failed") & (F.col("quality") == 0)
     cells = [(rule, i, cut) for rule, cuts in GRID.items() for i, cut in enumerate(cuts)]
     wide = holdout.groupBy("stratum").agg(
@@ -202,15 +222,14 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, most_rejected: float
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), most_rejected: float = MOST_REJECTED, level: float = LEVEL) -> DataFrame:
     """Counts, rule shares, ``base_failed`` and ``kept`` of every row of ``docs``.
 
-    Cutoffs and verdicts both need the counts. These are written once if they
-    are all that is asked for; with columns to ``keep``, such as the text, they
-    are counted twice instead. Rows that repeat are judged each; without labels
-    no rule but the base ones rejects.
+    Cutoffs and verdicts both need the counts, so these are written once, with
+    the columns to ``keep`` beside them. Rows that repeat are judged each; without labels
+    no rule but the base ones rejects. Null and empty texts have no words and fail; other
+    columns are not read, whatever their names; an empty table gives no rows.
     """
     held = tuple(dict.fromkeys((lang_col, *keep)))
     values = rule_values(text_counts(docs, id_col, text_col, held)).withColumn("stratum", stratum(f"_keep_{lang_col}"))
-    if not keep:
-        values = saved(values)
+    values = saved(values)
     # One row a stratum of STRATA at most.
     cutoffs = F.broadcast(certified_cutoffs(values, labels, most_rejected, level))
     over = reduce(lambda a, b: a | b, (F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False)) for rule in GRID))
@@ -220,5 +239,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
     out = judged(docs, labels, keep=tuple(docs.columns), **options)
-    # Whole, for the same reason: a part of it would be moved down.
-    return out.where(F.when(F.col("kept"), True).otherwise(False)).select(*(F.col(f"_keep_{c}").alias(c) for c in docs.columns))
+    return out.where("kept").select(*(F.col(f"_keep_{c}").alias(c) for c in docs.columns))

@@ -380,6 +380,22 @@ def test_ranges_merge_by_document():
     assert [list(c) for c in found] == [[1, 1, 5], [0, 1, 0], [0, 0, 1], [6, 2, 9]]
 
 
+def test_vectors_of_any_size(spark):
+    """Very large and very small components end, and the nearest are those of brute force."""
+    rng = np.random.default_rng(2)
+    for scale in (1e200, 1e-200, 1e300, 1.0):
+        vectors = rng.standard_normal((40, 8)) * scale * np.where(np.arange(40) % 3, 1.0, 1e-3)[:, None]
+        rows = [(i, v.tolist(), 1.0, "x") for i, v in enumerate(vectors)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, query_id string")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), top=5).collect()}
+        for q in (0, 20):
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (vectors * vectors[q]).sum(1)
+            score = np.where(np.isnan(score), -np.inf, score)
+            near = [i for i in np.lexsort((np.arange(40), -score)).tolist() if i != q][:5]
+            assert [got[q, k + 1][0] for k in range(5)] == near
+
+
 # -- near duplicates --------------------------------------------------------
 
 
@@ -523,6 +539,9 @@ def test_cutoffs_bound_false_rejection(spark):
     values = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, symbol_share double, capital_share double, bang_share double, repeat_share double, dup_line_share double")
     marks = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(5020)] + [(None, 1), (3, None)], "doc_id long, quality int")
     found = {r.stratum: r for r in quality_rules.certified_cutoffs(values, marks).collect()}
+    # Rows that repeat a document are one draw.
+    again = quality_rules.certified_cutoffs(values.union(values.where("doc_id % 10 = 1")), marks)
+    assert {r.stratum: r.asDict() for r in again.collect()} == {k: r.asDict() for k, r in found.items()}
     # Every cutoff below 0.4 catches the bad ones; too few German rows to certify anything.
     assert set(found) == {"en"} and found["en"].cut_symbol_share == 0.3 and found["en"].cut_bang_share is None
 

@@ -53,3 +53,15 @@ def test_stages(spark, tmp_path):
     assert max(r[1] for r in sizes) <= 4096
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in before.collect()}
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_run_on_odd_and_on_empty_tables(spark, odd_docs, tmp_path):
+    """Nulls, repeated rows, ties, long texts and clashing columns pass through; an empty table gives an empty result."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, docs in (("odd", odd_docs), ("empty", odd_docs.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        packed = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        kept = {r.doc_id for r in quality_rules.filtered(docs, labels).collect()}
+        assert {r.doc_id for r in packed} <= kept
+        assert bool(packed) == bool(kept)
