@@ -15,16 +15,18 @@ TOP, LEAST_SCORE = 50, 0.3
 def local_maxima(cells: DataFrame, grid: int = GRID) -> DataFrame:
     """Cells whose score is the greatest of their 3 x 3 surroundings; equal neighbours all stay.
 
-    Every cell sends its score to its nine neighbours' keys; the greatest by
-    key, combined before the shuffle, meets the cell by equality.
+    Every cell sends its score to its nine neighbours' keys, and all it has to
+    its own: one aggregate, which stays in place for cells that are dealt by image and class.
     """
     near = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    sent = cells.select("scene_id", "class_id", "y", "x", "score", F.explode(near).alias("n")).select(
-        "scene_id", "class_id", (F.col("y") + F.col("n.dy")).alias("y"), (F.col("x") + F.col("n.dx")).alias("x"), "score"
-    )
+    others = [c for c in cells.columns if c not in (*KEYS, "score")]
+    sent = cells.select("*", F.explode(near).alias("_n")).select(
+        "scene_id", "class_id", (F.col("y") + F.col("_n.dy")).alias("y"), (F.col("x") + F.col("_n.dx")).alias("x"), "score",
+        F.when((F.col("_n.dy") == 0) & (F.col("_n.dx") == 0), F.struct("score", *others)).alias("_own"),
+    )
     sent = sent.where(F.col("x").between(0, grid - 1) & F.col("y").between(0, grid - 1))
-    best = sent.groupBy(*KEYS).agg(F.max("score").alias("best"))
-    return cells.join(best, KEYS).where("score = best").drop("best")
+    best = sent.groupBy(*KEYS).agg(F.max("score").alias("_best"), F.max("_own").alias("_own"))
+    return best.where("_own is not null and _own.score = _best").select(*KEYS, "_own.*").select(*cells.columns)
 
 
 def ranked(peaks: DataFrame, top: int = TOP, least_score: float = LEAST_SCORE, grid: int = GRID) -> DataFrame:

@@ -25,31 +25,47 @@ def matched(preds: DataFrame, heat: DataFrame, centres: DataFrame) -> DataFrame:
     return preds.join(targets, KEYS, "full").fillna(zero)
 
 
-def focal_sums(cells: DataFrame, keys: list[str], cells_of_sample: int = GRID * GRID) -> DataFrame:
-    """Sums of the focal terms over the dense grid of all samples of a group, from its listed cells only.
-
-    An unlisted cell has score 0 and target 0, so it adds a constant.
-    """
+def _focal_terms() -> dict[str, Column]:
     p = F.greatest(F.lit(LEAST_P), F.least(F.lit(1 - LEAST_P), F.col("score")))
     positive = F.col("heat") == 1.0
     pos = F.when(positive, F.log(p) * (1 - p) * (1 - p)).otherwise(0.0)
     neg = F.when(~positive, F.log(1 - p) * p * p * F.pow(1 - F.col("heat"), F.lit(4.0))).otherwise(0.0)
-    unlisted = math.log(1 - LEAST_P) * LEAST_P**2
-    sums = cells.groupBy(*keys).agg(
-        F.sum(pos).alias("pos"),
-        F.sum(neg).alias("listed"),
-        F.count("*").alias("n_listed"),
-        F.sum(positive.cast("long")).alias("num_pos"),
-        F.count_distinct("scene_id", "class_id").alias("n_samples"),
-    )
+    return {"pos": pos, "listed": neg, "n_listed": F.lit(1), "num_pos": positive.cast("long")}
+
+
+def _l1_terms() -> dict[str, Column]:
+    def both(a, ta, b, tb):
+        return (smooth_l1(F.col(a), F.col(ta)) + smooth_l1(F.col(b), F.col(tb))) * F.col("mask")
+
+    return {"size": both("w", "tw", "h", "th"), "offset": both("dx", "tdx", "dy", "tdy"), "channels": F.col("mask") * 2}
+
+
+def _sums(cells: DataFrame, keys: list[str], terms: dict[str, Column]) -> DataFrame:
+    """Sums of ``terms`` by sample, which cells dealt by image and class have in place, and then by group."""
+    samples = list(dict.fromkeys([*keys, "scene_id", "class_id"]))
+    by_sample = cells.groupBy(*samples).agg(*(F.sum(c).alias(f"sum_{name}") for name, c in terms.items()))
+    return by_sample.groupBy(*keys).agg(*(F.sum(f"sum_{name}").alias(name) for name in terms), F.count("*").alias("n_samples"))
+
+
+def _dense(sums: DataFrame, cells_of_sample: int) -> DataFrame:
+    """An unlisted cell has score 0 and target 0, so it adds a constant."""
     total = F.col("n_samples") * cells_of_sample
-    return sums.select(*keys, "pos", (F.col("listed") + (total - F.col("n_listed")) * F.lit(unlisted)).alias("neg"), "num_pos", total.alias("n_cells"))
+    unlisted = math.log(1 - LEAST_P) * LEAST_P**2
+    return sums.withColumn("neg", F.col("listed") + (total - F.col("n_listed")) * F.lit(unlisted)).withColumn("n_cells", total)
+
+
+def focal_sums(cells: DataFrame, keys: list[str], cells_of_sample: int = GRID * GRID) -> DataFrame:
+    """Sums of the focal terms over the dense grid of all samples of a group, from its listed cells only."""
+    return _dense(_sums(cells, keys, _focal_terms()), cells_of_sample).select(*keys, "pos", "neg", "num_pos", "n_cells")
+
+
+def _focal() -> Column:
+    return F.when(F.col("num_pos") == 0, -F.col("neg") / F.col("n_cells")).otherwise(-(F.col("pos") + F.col("neg")) / F.col("num_pos"))
 
 
 def focal(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Without positives the mean over all cells, else the sum for each positive."""
-    loss = F.when(F.col("num_pos") == 0, -F.col("neg") / F.col("n_cells")).otherwise(-(F.col("pos") + F.col("neg")) / F.col("num_pos"))
-    return sums.select(*keys, loss.alias("focal"), "num_pos")
+    return sums.select(*keys, _focal().alias("focal"), "num_pos")
 
 
 def smooth_l1(pred: Column, target: Column) -> Column:
@@ -59,17 +75,17 @@ def smooth_l1(pred: Column, target: Column) -> Column:
 
 def masked_l1(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Smooth L1 of size and offset over centre cells; both channels count in the divisor."""
+    return _sums(cells, keys, _l1_terms()).select(*keys, *(c.alias(name) for name, c in _l1().items()))
 
-    def mean(a, ta, b, tb):
-        total = (smooth_l1(F.col(a), F.col(ta)) + smooth_l1(F.col(b), F.col(tb))) * F.col("mask")
-        return F.sum(total) / (F.sum(F.col("mask") * 2) + DIVISOR_EPSILON)
 
-    return cells.groupBy(*keys).agg(mean("w", "tw", "h", "th").alias("size_l1"), mean("dx", "tdx", "dy", "tdy").alias("offset_l1"))
+def _l1() -> dict[str, Column]:
+    return {f"{part}_l1": F.col(part) / (F.col("channels") + DIVISOR_EPSILON) for part in ("size", "offset")}
 
 
-def total_loss(focal_rows: DataFrame, l1: DataFrame, keys: list[str]) -> DataFrame:
-    both = focal_rows.join(l1, keys)
-    return both.select(*keys, (FOCAL_WEIGHT * F.col("focal") + SIZE_WEIGHT * F.col("size_l1") + OFFSET_WEIGHT * F.col("offset_l1")).alias("loss"), "focal", "size_l1", "offset_l1", "num_pos")
+def total_loss(cells: DataFrame, keys: list[str], cells_of_sample: int = GRID * GRID) -> DataFrame:
+    """Weighted sum of the three losses, all from one pass over the cells."""
+    sums = _dense(_sums(cells, keys, _focal_terms() | _l1_terms()), cells_of_sample).withColumns(_l1())
+    return sums.withColumn("focal", _focal()).select(*keys, (FOCAL_WEIGHT * F.col("focal") + SIZE_WEIGHT * F.col("size_l1") + OFFSET_WEIGHT * F.col("offset_l1")).alias("loss"), "focal", "size_l1", "offset_l1", "num_pos")
 
 
 def epoch_means(by_batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -99,3 +99,15 @@ def every_class(samples: DataFrame) -> DataFrame:
     """Each image with each of the 35 classes: the grid that inference runs over."""
     classes = F.array(*(F.struct(F.lit(i).alias("class_id"), F.lit(name).alias("class_name")) for name, i in CLASS_IDS.items()))
     return samples.select("scene_id").distinct().select("scene_id", F.explode(classes).alias("c")).select("scene_id", "c.class_id", "c.class_name")
+
+
+def required(indexed: DataFrame) -> DataFrame:
+    """``indexed``, or an error if it has no rows."""
+    if indexed.isEmpty():
+        raise ValueError("no samples: the index is empty")
+    return indexed
+
+
+def first_samples(indexed: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` samples by ``idx``; all of them if ``limit`` is 0 or less, or more than there are."""
+    return indexed.where(F.col("idx") < limit) if limit > 0 else indexed

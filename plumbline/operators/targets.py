@@ -43,25 +43,47 @@ def projected(boxes: DataFrame, width: int, height: int, image_size: int = IMAGE
     )
 
 
-def heat_cells(centres: DataFrame, grid: int = GRID) -> DataFrame:
-    """Largest Gaussian of any instance in each covered cell.
+def by_sample(centres: DataFrame) -> DataFrame:
+    """``centres`` dealt by image and class: what follows of cells needs no shuffle of cells."""
+    return centres.repartition("scene_id", "class_id")
 
-    An instance is expanded by two ranges around its centre, so that cells
-    meet by an equality on (image, class, y, x), with maxima taken before the shuffle.
-    """
+
+def _spread(centres: DataFrame, *kept: str) -> DataFrame:
+    """An instance's cells, by two ranges around its centre, so that cells meet by an equality."""
     span = F.sequence(-F.col("radius"), F.col("radius"))
-    rows = centres.select("scene_id", "class_id", "radius", "x", "y", F.explode(span).alias("gy")).select("*", F.explode(span).alias("gx"))
-    cells = rows.select("scene_id", "class_id", (F.col("y") + F.col("gy")).alias("y"), (F.col("x") + F.col("gx")).alias("x"), gaussian(F.col("gx"), F.col("gy"), F.col("radius")).alias("v"))
-    return cells.where(F.col("x").between(0, grid - 1) & F.col("y").between(0, grid - 1)).groupBy(*KEYS).agg(F.max("v").alias("heat"))
+    rows = centres.select("scene_id", "class_id", "radius", "x", "y", *kept, F.explode(span).alias("gy")).select("*", F.explode(span).alias("gx"))
+    return rows.withColumns({"y": F.col("y") + F.col("gy"), "x": F.col("x") + F.col("gx"), "v": gaussian(F.col("gx"), F.col("gy"), F.col("radius"))})
 
 
-def centre_cells(centres: DataFrame) -> DataFrame:
-    """Size, offset and mask of each centre cell. Where centres collide the largest area wins, the later one on a tie of 32-bit areas."""
+def _inside(cells: DataFrame, grid: int) -> DataFrame:
+    return cells.where(F.col("x").between(0, grid - 1) & F.col("y").between(0, grid - 1))
+
+
+def _winner(columns: tuple[str, ...], when=None):
+    """Of the centres in a cell the one of the largest area, the later one on a tie of 32-bit areas."""
     place = F.struct((F.col("w") * F.col("h")).cast("float").alias("area"), "ord")
-    won = F.max_by(F.struct("w", "h", "dx", "dy", "radius", "ord"), place)
+    return F.max_by(F.struct(*columns), place if when is None else F.when(when, place))
+
+
+def heat_cells(centres: DataFrame, grid: int = GRID) -> DataFrame:
+    """Largest Gaussian of any instance in each covered cell."""
+    return _inside(_spread(centres), grid).groupBy(*KEYS).agg(F.max("v").alias("heat"))
+
+
+def centre_cells(centres: DataFrame) -> DataFrame:
+    """Size, offset and mask of each centre cell, of the centre that wins it."""
+    won = _winner(("w", "h", "dx", "dy", "radius", "ord"))
     return centres.groupBy(*KEYS).agg(won.alias("c"), F.count("*").alias("n_centres")).select(*KEYS, "c.*", "n_centres", F.lit(1.0).alias("mask"))
 
 
+def target_cells(centres: DataFrame, grid: int = GRID) -> DataFrame:
+    """``heat_cells`` with ``centre_cells``' w, h, dx, dy and mask (null, and 0, where no centre lies), in one aggregate."""
+    centre = (F.col("gx") == 0) & (F.col("gy") == 0)
+    won = _winner(("w", "h", "dx", "dy"), centre)
+    cells = _inside(_spread(centres, "w", "h", "dx", "dy", "ord"), grid).groupBy(*KEYS).agg(F.max("v").alias("heat"), won.alias("c"), F.max(centre.cast("double")).alias("mask"))
+    return cells.select(*KEYS, "heat", "c.*", "mask")
+
+
 def kept_boxes(centres: DataFrame) -> DataFrame:
     """All valid boxes of a sample, also those that lost their cell, in order."""
     rows = F.sort_array(F.collect_list(F.struct("ord", "ix0", "iy0", "ix1", "iy1")))

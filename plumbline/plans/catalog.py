@@ -10,6 +10,7 @@ from plumbline.functions.dims import class_dim, prompt
 from plumbline.operators import annotate, decode, losses, samples, stats, targets
 from plumbline.plans.scene import IMAGE_H, IMAGE_W, VIEW, paths, source_dir, table
 from plumbline.sources import files
+from plumbline.streaming import build
 
 SCENE_BLOCK = 64
 
@@ -28,44 +29,52 @@ def _samples(spark, sf_dir):
 
 
 def _centres(spark, sf_dir):
-    return targets.projected(_boxes(spark, sf_dir), IMAGE_W, IMAGE_H)
+    return targets.by_sample(targets.projected(_boxes(spark, sf_dir), IMAGE_W, IMAGE_H))
 
 
 def _heat(spark, sf_dir):
     return targets.heat_cells(_centres(spark, sf_dir))
 
 
-def _preds(spark, sf_dir):
-    """Predictions of the fixture: damped heat, sizes and offsets off by a known rule."""
+def _predicted():
+    """Predictions of the fixture from target cells: damped heat, sizes and offsets off by a known rule."""
     noise = ((F.col("scene_id") * 131 + F.col("class_id") * 17 + F.col("y") * 448 + F.col("x") * 13) % 1000) / 1000.0
-    won = targets.centre_cells(_centres(spark, sf_dir)).select(*targets.KEYS, "w", "h", "dx", "dy")
-    return _heat(spark, sf_dir).join(won, list(targets.KEYS), "left").select(
-        *targets.KEYS,
-        (F.col("heat") * (0.5 + 0.5 * noise)).alias("score"),
-        (F.coalesce("w", F.lit(0.0)) * 1.5 + 0.25).alias("w"),
-        (F.coalesce("h", F.lit(0.0)) * 0.5 + 0.25).alias("h"),
-        (F.coalesce("dx", F.lit(0.5)) * 0.5).alias("dx"),
-        (F.coalesce("dy", F.lit(0.5)) * 0.5).alias("dy"),
-    )
+    return {
+        "score": F.col("heat") * (0.5 + 0.5 * noise),
+        "w": F.coalesce("w", F.lit(0.0)) * 1.5 + 0.25,
+        "h": F.coalesce("h", F.lit(0.0)) * 0.5 + 0.25,
+        "dx": F.coalesce("dx", F.lit(0.5)) * 0.5,
+        "dy": F.coalesce("dy", F.lit(0.5)) * 0.5,
+    }
 
 
-def _cells(spark, sf_dir):
-    won = targets.centre_cells(_centres(spark, sf_dir))
-    cells = losses.matched(_preds(spark, sf_dir), _heat(spark, sf_dir), won)
-    return cells.withColumn("epoch", F.col("scene_id") % 7).withColumn("batch_id", F.col("scene_id"))
+def _preds(spark, sf_dir):
+    return targets.target_cells(_centres(spark, sf_dir)).select(*targets.KEYS, *(c.alias(name) for name, c in _predicted().items()))
 
 
 BATCH_KEYS = ["epoch", "batch_id"]
 
 
+def _in_batches(cells):
+    return cells.withColumn("epoch", F.col("scene_id") % 7).withColumn("batch_id", F.col("scene_id"))
+
+
+def _cells(spark, sf_dir):
+    """Predictions beside their targets, both from one pass over the centres."""
+    cells = targets.target_cells(_centres(spark, sf_dir))
+    wanted = {f"t{c}": F.coalesce(c, F.lit(0.0)) for c in ("w", "h", "dx", "dy")}
+    return _in_batches(cells.select(*targets.KEYS, "heat", "mask", *(c.alias(name) for name, c in (wanted | _predicted()).items())))
+
+
 def _focal(spark, sf_dir):
-    return losses.focal(losses.focal_sums(_cells(spark, sf_dir), BATCH_KEYS), BATCH_KEYS)
+    """Predictions and targets as two tables that meet cell by cell."""
+    centres = _centres(spark, sf_dir)
+    cells = _in_batches(losses.matched(_preds(spark, sf_dir), targets.heat_cells(centres), targets.centre_cells(centres)))
+    return losses.focal(losses.focal_sums(cells, BATCH_KEYS), BATCH_KEYS)
 
 
 def _losses(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    focal = losses.focal(losses.focal_sums(cells, BATCH_KEYS), BATCH_KEYS)
-    return losses.total_loss(focal, losses.masked_l1(cells, BATCH_KEYS), BATCH_KEYS)
+    return losses.total_loss(_cells(spark, sf_dir), BATCH_KEYS)
 
 
 def _metrics(spark, sf_dir):
@@ -311,13 +320,44 @@ def query_all_class_grid(spark, sf_dir):
 
 
 def query_class_routing(spark, sf_dir):
-    """Each sample through its class's kernel (here: a code), batch by batch, so that no task gathers a class."""
+    """Each sample with the code of its class's kernel."""
+    return _samples(spark, sf_dir).select("idx", "class_id", (F.col("idx") * 35 + F.col("class_id")).alias("code"))
+
+
+def query_subset_weights(spark, sf_dir):
+    """The first 100 samples with the weights that they have among all."""
+    indexed = _samples(spark, sf_dir)
+    return rounded(samples.first_samples(samples.required(samples.weights(indexed)), 100), "weight").select("idx", "class_id", "weight")
+
+
+def query_files_per_folder(spark, sf_dir):
+    return files.files_per_folder(_crops(spark, sf_dir))
+
+
+def _view_size():
+    return 100 * (1 + F.col("scene_id") % 2)
+
+
+def drawing_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Image headers and drawings (path, content) of sizes that differ; some drawings are empty, some have no image."""
+    documents = svg_documents(spark, sf_dir)
+    view = F.concat_ws(" ", F.lit('<svg viewBox="0 0'), _view_size(), F.concat(_view_size(), F.lit('">')))
+    body = F.when(F.col("scene_id") % 7 == 0, "<g></g></svg>").otherwise(F.regexp_replace("svg", "^<svg[^>]*>", ""))
+    path = F.concat(F.lit("scans/"), source_dir(), F.lit("/"), F.col("scene_id").cast("string"))
+    drawings = documents.select(F.concat(path, F.lit(".svg")).alias("path"), F.concat(view, body).cast("binary").alias("content"))
+    number = lambda c: F.lpad(F.hex(c), 8, "0")
+    width, height = 512 + 256 * (F.col("scene_id") % 4), 384 + 128 * (F.col("scene_id") % 3)
+    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(width), number(height), F.lit("0803000000")))
+    images = documents.where("scene_id % 11 <> 0").select(F.concat(path, F.lit(".png")).alias("path"), header.alias("content"))
+    return images, drawings
 
-    def route(batches):
-        for batch in batches:
-            yield batch.assign(code=batch.idx * 35 + batch.class_id)[["idx", "class_id", "code"]]
 
-    return _samples(spark, sf_dir).select("idx", "class_id").mapInPandas(route, "idx long, class_id int, code long")
+def query_annotate_files(spark, sf_dir):
+    """Files to scenes: image and drawing paired, each drawing scaled by its own viewBox and image size, scenes without boxes kept."""
+    scenes = files.paired(*drawing_files(spark, sf_dir)).withColumn("scene_id", F.col("stem").cast("long"))
+    boxes = build.annotated(scenes.select("scene_id", "svg"), 0, 0, sizes=scenes.select("scene_id", "width", "height"))
+    area = F.aggregate(F.coalesce("instances", F.array().cast("array<struct<ord:int,class_name:string,class_id:int,iid:int,px0:int,py0:int,px1:int,py1:int>>")), F.lit(0).cast("long"), lambda a, b: a + (b["px1"] - b["px0"]) * (b["py1"] - b["py0"]))
+    return files.scene_metadata(scenes.select("scene_id", "source_dir", "width", "height"), boxes).select("scene_id", "source_dir", "width", "height", F.col("num_instances").cast("long").alias("num_instances"), area.alias("area"))
 
 
 def query_pixel_denorm(spark, sf_dir):

@@ -79,10 +79,17 @@ STEPS = {
         s.scene_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT scene_id FROM paths) s LEFT JOIN (SELECT scene_id, count(*) AS n FROM boxes GROUP BY 1) b USING (scene_id)""",
     "crops": """SELECT 'crops/' || CASE WHEN o_orderkey % 50 = 0 THEN 'original' ELSE CASE o_custkey % 9 WHEN 0 THEN 'class_06' WHEN 1 THEN 'class_08' WHEN 2 THEN 'class_10' WHEN 3 THEN 'class_25' WHEN 4 THEN 'class_32'
         WHEN 5 THEN 'class_35' WHEN 6 THEN 'wall' WHEN 7 THEN 'door_single' ELSE 'class_060' END || '_' || CAST(o_orderkey % 1000 AS VARCHAR) END || '.png' AS path, o_orderkey FROM orders""",
+    "file_boxes": """SELECT *, greatest(0, CAST(trunc(x0 * (width / view)) AS INTEGER)) AS px0, greatest(0, CAST(trunc(y0 * (height / view)) AS INTEGER)) AS py0,
+        least(width, CAST(trunc(x1 * (width / view)) AS INTEGER)) AS px1, least(height, CAST(trunc(y1 * (height / view)) AS INTEGER)) AS py1
+        FROM (SELECT *, 512 + 256 * (scene_id % 4) AS width, 384 + 128 * (scene_id % 3) AS height, 100 * (1 + scene_id % 2)::DOUBLE AS view FROM unions WHERE scene_id % 7 <> 0)""",
     "names": "SELECT path, o_orderkey, regexp_extract(path, '([^/]+)\\.[^./]+$', 1) AS name FROM crops",
 }
 
 
+#: Steps that others name twice.
+ONCE = ("boxes", "centres", "heat", "winners", "preds", "cells")
+
+
 def sql(query: str) -> str:
     """``query`` after the steps that it needs, in order."""
     needed: set[str] = set()
@@ -94,7 +101,7 @@ def sql(query: str) -> str:
             text += STEPS[step]
     # In order of definition, which is an order of need.
     steps = [s for s in STEPS if s in needed]
-    return ("WITH " + ",\n".join(f"{s} AS ({STEPS[s]})" for s in steps) + "\n" if steps else "") + query
+    return ("WITH " + ",\n".join(f"{s} AS {'MATERIALIZED ' if s in ONCE else ''}({STEPS[s]})" for s in steps) + "\n" if steps else "") + query
 
 
 _RENAME = "CASE " + " ".join(f"WHEN starts_with(name, '{a}_') THEN '{b}' || substr(name, {len(a) + 1})" for a, b in RENAMES.items()) + " ELSE name END"
@@ -165,6 +172,10 @@ ORACLE = {
         concat_ws(' ', px0, py0, px1, py1) AS bbox FROM boxes""",
     "all_class_grid": """SELECT scene_id, d.class_id, round(1 / (1 + exp(-((scene_id * 31 + d.class_id * 7) % 41 - 20) / 5.0::DOUBLE)), 6) AS score, greatest(0.0::DOUBLE, ((scene_id * 17 + d.class_id * 3) % 21 - 10) / 4.0::DOUBLE) AS size FROM (SELECT DISTINCT scene_id FROM samples) s, dim d""",
     "class_routing": "SELECT idx, class_id, idx * 35 + class_id AS code FROM samples",
+    "subset_weights": "SELECT idx, class_id, round(1 / sqrt(n), 6) AS weight FROM samples JOIN counts USING (class_id) WHERE idx < 100",
+    "files_per_folder": "SELECT 'crops' AS source_dir, '.png' AS suffix, count(*) AS n FROM crops",
+    "annotate_files": """SELECT s.scene_id, source_dir, CAST(512 + 256 * (s.scene_id % 4) AS INTEGER) AS width, CAST(384 + 128 * (s.scene_id % 3) AS INTEGER) AS height, coalesce(k, 0) AS num_instances, CAST(coalesce(area, 0) AS BIGINT) AS area
+        FROM scenes s LEFT JOIN (SELECT scene_id, count(*) AS k, sum((px1 - px0) * (py1 - py0)) AS area FROM file_boxes WHERE px1 - px0 >= 8 AND py1 - py0 >= 8 GROUP BY 1) b USING (scene_id) WHERE s.scene_id % 11 <> 0""",
     "pixel_denorm": "SELECT vec_id, pos - 1 AS pos, CAST(trunc(greatest(0, least(255, (embedding[pos]::DOUBLE * 0.5 + 0.5) * 255))) AS INTEGER) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)",
     "first_n_slice": "SELECT scene_id, array_to_string((list(class_name ORDER BY ord))[1:4], ',') AS first_four FROM boxes GROUP BY 1",
     "hash_sample": f"SELECT doc_id FROM documents ORDER BY {_UNIFORM.format(a='doc_id', b=3)}, doc_id LIMIT 200",
