@@ -19,14 +19,16 @@ def local_maxima(cells: DataFrame, grid: int = GRID) -> DataFrame:
     its own: one aggregate, which stays in place for cells that are dealt by image and class.
     """
     near = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    own = (F.col("_n.dy") == 0) & (F.col("_n.dx") == 0)
     others = [c for c in cells.columns if c not in (*KEYS, "score")]
     sent = cells.select("*", F.explode(near).alias("_n")).select(
-        "scene_id", "class_id", (F.col("y") + F.col("_n.dy")).alias("y"), (F.col("x") + F.col("_n.dx")).alias("x"), "score",
-        F.when((F.col("_n.dy") == 0) & (F.col("_n.dx") == 0), F.struct("score", *others)).alias("_own"),
+        "scene_id", "class_id", (F.col("y") + F.col("_n.dy")).alias("y"), (F.col("x") + F.col("_n.dx")).alias("x"), F.col("score").alias("_near"),
+        *(F.when(own, F.col(c)).alias(c) for c in ("score", *others)),
     )
     sent = sent.where(F.col("x").between(0, grid - 1) & F.col("y").between(0, grid - 1))
-    best = sent.groupBy(*KEYS).agg(F.max("score").alias("_best"), F.max("_own").alias("_own"))
-    return best.where("_own is not null and _own.score = _best").select(*KEYS, "_own.*").select(*cells.columns)
+    # Numbers of one row a key: plain columns keep the aggregate by hash.
+    best = sent.groupBy(*KEYS).agg(F.max("_near").alias("_best"), *(F.max(c).alias(c) for c in ("score", *others)))
+    return best.where("score = _best").select(*cells.columns)
 
 
 def ranked(peaks: DataFrame, top: int = TOP, least_score: float = LEAST_SCORE, grid: int = GRID) -> DataFrame:
