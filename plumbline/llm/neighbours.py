@@ -55,27 +55,29 @@ class Block:
         numbers = unit @ directions
         order = np.argsort(numbers, axis=0, kind="stable")
         self.numbers = np.take_along_axis(numbers, order, 0).T.copy()
-        self.order = order.T.astype(np.int32)
+        # Of each vector its place in every sorted array.
+        self.place = np.empty(order.T.shape, np.uint16)
+        np.put_along_axis(self.place, order.T, np.arange(len(vectors), dtype=np.uint16)[None], 1)
 
-    def candidates(self, at: np.ndarray, least: int, enough: int) -> np.ndarray:
-        """Vectors that collide with the query in ``least`` windows or more, after as many rehashings as ``enough`` of them take.
-
-        A wider window counts only what it adds at its two ends.
-        """
+    def candidates(self, at: np.ndarray, least: int, enough: int) -> list[np.ndarray]:
+        """For each query (a row of ``at``) the vectors that collide with it in ``least`` windows or more, after as many rehashings as ``enough`` of them take."""
         width, n = FIRST_WIDTH, len(self.vectors)
-        low = high = [row.searchsorted(x) for row, x in zip(self.numbers, at)]
-        seen = np.zeros(n, np.int64)
-        while True:
-            lower = [row.searchsorted(x - width) for row, x in zip(self.numbers, at)]
-            higher = [row.searchsorted(x + width, "right") for row, x in zip(self.numbers, at)]
-            added = [row[a:b] for row, a, b in zip(self.order, lower, low)] + [row[a:b] for row, a, b in zip(self.order, high, higher)]
-            seen += np.bincount(np.concatenate(added), minlength=n)
-            low, high = lower, higher
-            found = np.flatnonzero(seen >= least)
-            # Windows that hold all numbers cannot grow.
-            if len(found) >= min(enough, n) or all(a == 0 and b == n for a, b in zip(low, high)):
-                return found
+        found, pending = [np.zeros(0, np.int64)] * len(at), np.arange(len(at))
+        while len(pending):
+            low, high = (np.stack([row.searchsorted(x + side * width, how) for row, x in zip(self.numbers, at[pending].T)], 1).astype(np.uint16) for side, how in ((-1, "left"), (1, "right")))
+            left = []
+            for i, a, b in zip(pending.tolist(), low, high):
+                # Places before the window wrap around to large ones.
+                seen = ((self.place - a[:, None]) < (b - a)[:, None]).sum(0, dtype=np.uint8)
+                hits = np.flatnonzero(seen >= least)
+                # Windows that hold all numbers cannot grow.
+                if len(hits) >= min(enough, n) or ((a == 0) & (b == n)).all():
+                    found[i] = hits
+                else:
+                    left.append(i)
+            pending = np.array(left, np.int64)
             width *= GROWTH
+        return found
 
 
 def search_group(data: pd.DataFrame, queries: pd.DataFrame, top: int, peak: float) -> pd.DataFrame:
@@ -107,8 +109,7 @@ def search_group(data: pd.DataFrame, queries: pd.DataFrame, top: int, peak: floa
     for at in range(0, len(x), BLOCK):
         block = Block(unit[at : at + BLOCK], x[at : at + BLOCK], owners[at : at + BLOCK], directions)
         enough = max(ENOUGH * (top + 1), int(ENOUGH_SHARE * len(block.vectors)))
-        for i, (vector, query_id) in enumerate(zip(q, query_ids)):
-            found = block.candidates(numbers[i], least, enough)
+        for i, (vector, query_id, found) in enumerate(zip(q, query_ids, block.candidates(numbers, least, enough))):
             # Summed row by row, so that equal vectors score equally wherever they stand.
             with np.errstate(over="ignore", invalid="ignore"):
                 score = (block.vectors[found] * vector).sum(1)
