@@ -113,17 +113,18 @@ def is_held_out(column: str) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
     """(text, label) of at most ``most`` documents with labels that are not held out, chosen by hash of the id.
 
-    Null labels are left out; of several labels of a document the lowest counts.
+    Null labels, and labels without a document, are left out; of several labels
+    of a document the lowest counts, of several texts the first in order.
     """
-    chosen = (
+    marked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~is_held_out("doc_id"))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(label_col).cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
+    # Ids meet before texts are read: as many are chosen as there are documents for.
+    chosen = docs.select("doc_id").join(marked, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most `most` rows are broadcast.
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> Voters:
@@ -138,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
 
         return step
 
-    rows = map_batches(labelled_sample(docs, labels, label_col, most), make, "x binary, label double").limit(2 * most).toPandas()
+    rows = map_batches(labelled_sample(docs, labels, label_col, most), make, "x binary, label double").toPandas()
     x = np.frombuffer(b"".join(rows.x), np.float16).reshape(len(rows), TRIGRAMS + 9).astype(np.float32)
     return fit(x, rows.label.to_numpy())
 

@@ -569,6 +569,45 @@ def test_classifier_on_held_out_rows(spark, odd_docs):
     assert classifier.score_quality(odd_docs, spark.createDataFrame([(1, 1), (1, 0), (6, 1), (None, 1)], "doc_id long, quality int")).where("score between 0 and 1").count() == odd_docs.count()
 
 
+def test_votes_equal_plain_ones(spark):
+    """Every score against cosines one by one: all labelled texts, in the directions of their own features."""
+    docs, marks = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    learnt = {r.doc_id: r.quality for r in marks.collect() if r.quality is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    x = np.array([classifier.features([texts[i]])[0].astype(np.float16) for i in learnt], float)
+    _, _, right = np.linalg.svd(x, full_matrices=False)
+
+    def unit(row):
+        y = right[: classifier.DIMENSIONS] @ row
+        return y / max(np.linalg.norm(y), 1e-12)
+
+    voters = [(unit(row), mark) for row, mark in zip(x, learnt.values())]
+
+    def score(text):
+        near = sorted(((float(unit(classifier.features([text])[0]) @ v), mark) for v, mark in voters), reverse=True)[: classifier.NEIGHBOURS]
+        weights = [max(c, 0.0) ** classifier.SHARPNESS for c, _ in near]
+        return sum(w * mark for w, (_, mark) in zip(weights, near)) / sum(weights)
+
+    found = queries.op2_quality_classifier(spark, SF).toPandas()
+    assert len(found) == len(texts) and len(voters) > 2 * classifier.NEIGHBOURS
+    plain = np.array([score(texts[i]) for i in found.doc_id])
+    assert np.quantile(abs(found.score - plain), 0.95) < 1e-3 and abs(found.score - plain).max() < 0.1
+    assert (found.predicted == (found.score >= 0.7)).all()
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found.doc_id]).all()
+
+
+def test_the_sample_is_of_documents(spark):
+    """Labels without a document take no place; repeated documents count once; the same rows are chosen whatever the partitions."""
+    rows = [(i, passage(i, 5)) for i in range(40)] * 2 + [(3, "a later text"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(4, 0), (5, None)], "doc_id long, quality int")
+    sample = [sorted(map(tuple, classifier.labelled_sample(docs.repartition(n), marks, most=20).collect())) for n in (1, 7)]
+    learnt = {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sample[0] == sample[1] and len(sample[0]) == 20
+    everything = Counter(map(tuple, classifier.labelled_sample(docs, marks).collect()))
+    assert everything == Counter(("a later text" if i == 3 else passage(i, 5), float(i % 2 and i != 4)) for i in learnt)
+
+
 # -- neighbours -------------------------------------------------------------
 
 
