@@ -9,7 +9,7 @@ from plumbline.functions import geometry, svg, text
 from plumbline.functions.dims import class_dim, prompt
 from plumbline.operators import annotate, decode, losses, samples, stats, targets
 from plumbline.plans.scene import IMAGE_H, IMAGE_W, VIEW, paths, source_dir, table
-from plumbline.sources import files
+from plumbline.sources import files, images, legacy
 from plumbline.streaming import build
 
 SCENE_BLOCK = 64
@@ -360,10 +360,43 @@ def query_annotate_files(spark, sf_dir):
     return files.scene_metadata(scenes.select("scene_id", "source_dir", "width", "height"), boxes).select("scene_id", "source_dir", "width", "height", F.col("num_instances").cast("long").alias("num_instances"), area.alias("area"))
 
 
+def query_index_files(spark, sf_dir):
+    """Image files with their metadata files, and the classes in each."""
+    pictures, _ = drawing_files(spark, sf_dir)
+    documents = files.metadata_json(_boxes(spark, sf_dir), IMAGE_W, IMAGE_H, VIEW, VIEW, paths(spark, sf_dir))
+    path = F.concat(F.lit("scans/"), source_dir(), F.lit("/"), F.col("scene_id").cast("string"), F.lit("_meta.json"))
+    return files.classes_in(files.with_metadata(pictures, documents.select(path.alias("path"), F.col("document").cast("binary").alias("content"))))
+
+
+def _as_byte(v):
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v.cast("double") * 0.5 + 0.5) * 255)).cast("int")
+
+
 def query_pixel_denorm(spark, sf_dir):
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
-    value = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("v").cast("double") * 0.5 + 0.5) * 255)).cast("int")
-    return cells.select("vec_id", F.col("pos").cast("long").alias("pos"), value.alias("value"))
+    return cells.select("vec_id", F.col("pos").cast("long").alias("pos"), _as_byte(F.col("v")).alias("value"))
+
+
+def query_image_normalise(spark, sf_dir):
+    """Vectors as grey images of eight pixels a row, halved and normalised."""
+    pixels = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(_as_byte(v)), 2, "0")), ""))
+    size = [F.lit(8).alias(c) for c in ("width", "height")]
+    grey = table(spark, sf_dir, "embeddings").select("vec_id", *size, F.lit(1).alias("channels"), pixels.alias("pixels"))
+    values = images.normalised(grey, 4).select("vec_id", F.posexplode("values").alias("pos", "value"))
+    return values.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+def query_heat_image(spark, sf_dir):
+    return images.heat_squares(_heat(spark, sf_dir)).drop("heat", "y", "x")
+
+
+def query_legacy_labels(spark, sf_dir):
+    """Counts of the labels in metadata documents of 64 samples each."""
+    sample = F.struct(F.col("doc_id").alias("idx"), F.concat(F.lit("images/"), F.col("doc_id").cast("string")).alias("image_path"), "lang", "source", "n_chars", F.array("n_chars").alias("sizes"))
+    written = table(spark, sf_dir, "documents").groupBy(F.expr("doc_id div 64").alias("part")).agg(F.to_json(F.struct(F.collect_list(sample).alias("samples"))).alias("document"))
+    layout = "samples array<struct<idx: long, image_path: string, lang: string, source: string, n_chars: long, sizes: array<long>>>"
+    parsed = written.select(F.from_json("document", layout).alias("d")).select("d.samples")
+    return legacy.label_counts(legacy.coerced(legacy.samples_of(parsed)))
 
 
 def query_first_n_slice(spark, sf_dir):

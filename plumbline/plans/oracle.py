@@ -177,6 +177,19 @@ ORACLE = {
     "annotate_files": """SELECT s.scene_id, source_dir, CAST(512 + 256 * (s.scene_id % 4) AS INTEGER) AS width, CAST(384 + 128 * (s.scene_id % 3) AS INTEGER) AS height, coalesce(k, 0) AS num_instances, CAST(coalesce(area, 0) AS BIGINT) AS area
         FROM scenes s LEFT JOIN (SELECT scene_id, count(*) AS k, sum((px1 - px0) * (py1 - py0)) AS area FROM file_boxes WHERE px1 - px0 >= 8 AND py1 - py0 >= 8 GROUP BY 1) b USING (scene_id) WHERE s.scene_id % 11 <> 0""",
     "pixel_denorm": "SELECT vec_id, pos - 1 AS pos, CAST(trunc(greatest(0, least(255, (embedding[pos]::DOUBLE * 0.5 + 0.5) * 255))) AS INTEGER) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)",
+    "index_files": """SELECT CASE WHEN scene_id % 5 = 0 THEN 'test_set' WHEN scene_id % 5 <= 2 THEN 'train_set_1' ELSE 'train_set_2' END AS source_dir, CAST(scene_id AS VARCHAR) AS stem, class_name, class_id
+        FROM samples WHERE scene_id % 11 <> 0""",
+    "image_normalise": """WITH px AS (SELECT vec_id, CAST(trunc(greatest(0, least(255, (embedding[p + 1]::DOUBLE * 0.5 + 0.5) * 255))) AS DOUBLE) AS v, p // 8 AS y, p % 8 AS x FROM embeddings, range(64) r(p)),
+        taps AS (SELECT o, i, greatest(0, 1 - abs(i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * 2) / 2) AS w FROM range(4) a(o), range(8) b(i)),
+        across AS (SELECT vec_id, y, o AS x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM px JOIN taps ON i = x GROUP BY 1, 2, 3),
+        square AS (SELECT vec_id, o AS y, x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM across JOIN taps ON i = y GROUP BY 1, 2, 3)
+        SELECT vec_id, c * 16 + y * 4 + x AS pos, round(CAST(CAST(v / 127.5 - 1 AS FLOAT) AS DOUBLE), 5) AS value FROM square, range(3) k(c)""",
+    "heat_image": """SELECT scene_id, class_id, CAST(floor(heat * 255) AS INTEGER) AS red, CAST(floor(heat * 80) AS INTEGER) AS green, CAST(floor(heat * 170) AS INTEGER) AS alpha,
+        x * 8 AS px0, y * 8 AS py0, (x + 1) * 8 AS px1, (y + 1) * 8 AS py1 FROM heat""",
+    "legacy_labels": " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS label, {c} AS value, count(*) AS n, repeat('█', CAST(trunc(count(*) / (SELECT count(*) FROM documents) * 30) AS INTEGER)) AS bar FROM documents WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, min(doc_id) LIMIT 10)"
+        for c in ("lang", "source")
+    ) + " UNION ALL SELECT * FROM (SELECT 'sizes' AS label, '[' || n_chars || ']' AS value, count(*) AS n, repeat('█', CAST(trunc(count(*) / (SELECT count(*) FROM documents) * 30) AS INTEGER)) AS bar FROM documents GROUP BY n_chars ORDER BY n DESC, min(doc_id) LIMIT 10)",
     "first_n_slice": "SELECT scene_id, array_to_string((list(class_name ORDER BY ord))[1:4], ',') AS first_four FROM boxes GROUP BY 1",
     "hash_sample": f"SELECT doc_id FROM documents ORDER BY {_UNIFORM.format(a='doc_id', b=3)}, doc_id LIMIT 200",
     "hash_shuffle": f"SELECT idx, CAST(row_number() OVER (ORDER BY CAST(floor({_UNIFORM.format(a='idx', b=4)} * 64) AS INTEGER), {_UNIFORM.format(a='idx', b=4)}, idx) - 1 AS BIGINT) AS place FROM samples",

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.dims import class_dim
+
 #: Archives of at most this many bytes are taken for failed downloads.
 LEAST_ARCHIVE = 10_000
 
@@ -119,6 +121,21 @@ def paired(images: DataFrame, drawings: DataFrame) -> DataFrame:
     return sizes.join(texts, ["source_dir", "stem"])
 
 
+def with_metadata(images: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Image files and the ``_meta.json`` files (path, content) of the same folder and stem: source_dir, stem, document. An image alone is left out."""
+    texts = located(metadata).where("suffix = '.json' and endswith(stem, '_meta')")
+    documents = texts.select("source_dir", F.expr("left(stem, length(stem) - 5)").alias("stem"), F.col("content").cast("string").alias("document"))
+    return located(images).where("suffix = '.png'").select("source_dir", "stem").join(documents, ["source_dir", "stem"])
+
+
+def classes_in(documents: DataFrame) -> DataFrame:
+    """The known classes of each image's metadata, once each: source_dir, stem, class_name, class_id. Images without one have no row."""
+    instances = documents.select("source_dir", "stem", F.explode(F.from_json("document", METADATA)["instances"]).alias("i"))
+    named = instances.select("source_dir", "stem", F.col("i.class").alias("class_name")).distinct()
+    # The classes are a fixed table.
+    return named.join(F.broadcast(class_dim(documents.sparkSession).select("class_name", "class_id")), "class_name")
+
+
 def files_per_folder(files: DataFrame) -> DataFrame:
     """How many files of each suffix every folder has."""
     return located(files).groupBy("source_dir", "suffix").agg(F.count("*").alias("n"))

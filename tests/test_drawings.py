@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import math
 import re
 import struct
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dims, geometry, kernels, svg, text
 from plumbline.operators import annotate, decode, losses, samples, stats, targets
 from plumbline.plans import catalog
-from plumbline.sources import files
+from plumbline.sources import files, images, legacy
 from plumbline.streaming import build
 from tests.conftest import SF
 
@@ -192,6 +193,60 @@ def test_files(spark, tmp_path):
     assert sorted(r.k for r in kinds) == ["gz", "zip", "zip"]
 
 
+def drawn_png(pixels):
+    """An image file of an array of height, width and channels: 1, 3 or, with transparency, 4."""
+    h, w, c = pixels.shape
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + row.tobytes() for row in pixels))) + chunk(b"IEND", b"")
+
+
+def test_images_are_read_resized_and_overlaid(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    drawn = {"grey": rng.integers(0, 256, (6, 9, 1), np.uint8), "rgb": rng.integers(0, 256, (4, 5, 3), np.uint8), "rgba": rng.integers(0, 256, (3, 3, 4), np.uint8)}
+    for name, pixels in drawn.items():
+        (tmp_path / f"{name}.png").write_bytes(drawn_png(pixels))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    rows = images.images(spark, str(tmp_path)).withColumn("name", F.regexp_extract("path", r"(\w+)\.png$", 1)).drop("path")
+    found = {r.name: images.rgb(bytes(r.pixels), r.width, r.height, r.channels) for r in rows.collect()}
+    assert set(found) == set(drawn)
+    for name, pixels in drawn.items():
+        assert (found[name] == (np.repeat(pixels, 3, 2) if name == "grey" else pixels[:, :, :3])).all()
+    out = {r.name: np.array(r["values"]).reshape(3, 8, 8) for r in images.normalised(rows, 8).collect()}
+    for name, values in out.items():
+        assert np.allclose(values, images.resized(found[name], 8).transpose(2, 0, 1) / 127.5 - 1, atol=1e-6)
+    heat = spark.createDataFrame([("rgb", 0, 0, 1.0), ("rgb", 1, 1, 0.5)], "name string, y int, x int, heat double")
+    laid = {r.name: np.frombuffer(bytes(r.overlay), np.uint8).reshape(8, 8, 3) for r in images.overlaid(rows, heat, "name", 8, 2).collect()}
+    assert (laid["grey"] == images.resized(found["grey"], 8)).all()
+    base, corner = images.resized(found["rgb"], 8)[0, 0].astype(float), laid["rgb"][0, 0]
+    assert (corner == np.floor(base * (85 / 255) + np.array([255, 0, 0]) * (170 / 255) + 0.5)).all()
+    none = rows.withColumn("pixels", F.lit(None).cast("binary"))
+    assert images.normalised(none, 8).count() == 0
+
+
+def test_resizing():
+    same = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    assert (images.resized(same, 4) == same).all()
+    assert (images.resized(np.full((7, 3, 3), 9, np.uint8), 5) == 9).all()
+    row = np.array([0, 0, 100, 100], np.uint8).reshape(1, 4, 1).repeat(3, 2)
+    # Halved: weights .75, .75, .25 of 1.75 at the ends; doubled: quarter steps.
+    assert images.resized(row, 2)[0, :, 0].tolist() == [14, 86]
+    assert images.resized(row[:, 1:3], 4)[0, :, 0].tolist() == [0, 25, 75, 100]
+
+
+def test_legacy_metadata(spark, tmp_path):
+    made = {"dataset": "d", "samples": [{"idx": i, "image_path": f"{i}.jpg", "kind": "ab"[i % 3 == 0], "note": None, "box": {"w": i}, "n": i} for i in range(9)]}
+    (tmp_path / "metadata.json").write_text(json.dumps(made, indent=2))
+    rows = legacy.read_samples(spark, str(tmp_path / "metadata.json"))
+    assert rows.count() == 9
+    assert {tuple(r) for r in legacy.label_counts(rows).collect()} == {("kind", "a", 6, "█" * 20), ("kind", "b", 3, "█" * 10)}
+    assert {r.box for r in legacy.coerced(rows).collect()} == {f'{{"w":{i}}}' for i in range(9)}
+    assert legacy.label_counts(rows.select("idx", "image_path", "n")).count() == 0
+
+
 def test_pending_downloads(spark):
     manifest = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     found = spark.createDataFrame([("a", 20_000), ("b", 10_000)], "name string, length long")
