@@ -15,20 +15,14 @@ TOP, LEAST_SCORE = 50, 0.3
 def local_maxima(cells: DataFrame, grid: int = GRID) -> DataFrame:
     """Cells whose score is the greatest of their 3 x 3 surroundings; equal neighbours all stay.
 
-    Every cell sends its score to its nine neighbours' keys, and all it has to
-    its own: one aggregate, which stays in place for cells that are dealt by image and class.
+    Cells are sorted once by image, class and place; a place counts rows of
+    ``grid`` + 1 cells, so that ends of rows are no neighbours. The rows above, of and below a cell are
+    three ranges of that order; nothing is sent but the cells themselves, and ``ranked`` finds them dealt by image and class.
     """
-    near = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    own = (F.col("_n.dy") == 0) & (F.col("_n.dx") == 0)
-    others = [c for c in cells.columns if c not in (*KEYS, "score")]
-    sent = cells.select("*", F.explode(near).alias("_n")).select(
-        "scene_id", "class_id", (F.col("y") + F.col("_n.dy")).alias("y"), (F.col("x") + F.col("_n.dx")).alias("x"), F.col("score").alias("_near"),
-        *(F.when(own, F.col(c)).alias(c) for c in ("score", *others)),
-    )
-    sent = sent.where(F.col("x").between(0, grid - 1) & F.col("y").between(0, grid - 1))
-    # Numbers of one row a key: plain columns keep the aggregate by hash.
-    best = sent.groupBy(*KEYS).agg(F.max("_near").alias("_best"), *(F.max(c).alias(c) for c in ("score", *others)))
-    return best.where("score = _best").select(*cells.columns)
+    row = grid + 1
+    by_place = Window.partitionBy("scene_id", "class_id").orderBy(F.col("y") * row + F.col("x"))
+    near = F.greatest(*(F.max("score").over(by_place.rangeBetween(at - 1, at + 1)) for at in (-row, 0, row)))
+    return cells.withColumn("_best", near).where("score = _best").select(*cells.columns)
 
 
 def ranked(peaks: DataFrame, top: int = TOP, least_score: float = LEAST_SCORE, grid: int = GRID) -> DataFrame:
