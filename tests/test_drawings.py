@@ -88,6 +88,13 @@ def test_maxima_match_a_dense_filter(spark):
     assert {(r.y, r.x) for r in decode.local_maxima(cells).collect()} == expected
 
 
+def test_ends_of_rows_are_no_neighbours(spark):
+    rows = [(1, 0, 5, 63, 0.5), (1, 0, 6, 0, 0.9), (1, 0, 8, 0, 0.4), (1, 0, 6, 63, 0.6), (1, 1, 5, 62, 0.1), (2, 0, 5, 62, 0.2)]
+    cells = spark.createDataFrame(rows, "scene_id long, class_id int, y int, x int, score double")
+    kept = {(r.scene_id, r.class_id, r.y, r.x) for r in decode.local_maxima(cells).collect()}
+    assert kept == {(1, 0, 6, 0), (1, 0, 8, 0), (1, 0, 6, 63), (1, 1, 5, 62), (2, 0, 5, 62)}
+
+
 def test_focal_loss_from_listed_cells_equals_the_dense_one(spark):
     rng = np.random.default_rng(5)
     target, score = np.zeros((64, 64)), np.zeros((64, 64))
