@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, classifier, jaccard, neighbours, packing, pii, quality_rules, substrings, suffixes, token_counts
+from plumbline.llm import bpe, classifier, jaccard, language, neighbours, packing, pii, quality_rules, repair, substrings, suffixes, token_counts, trie
 from plumbline.llm.rows import table
 
 
@@ -53,6 +53,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents")).select("doc_id", language.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_digests(rows, repair.audited(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +79,9 @@ QUERIES = {
         op8_quality_rules,
         op9_suffix_arrays,
         op10_token_counts,
+        op11_language_spans,
+        op12_prefix_trie,
+        op13_structure_repair,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
