@@ -174,10 +174,10 @@ def labelled_sample(docs: DataFrame, per_language: int = MOST_OF_LANGUAGE, most:
     """(lang, text) of documents that are not held out: at most ``per_language`` of each language and ``most`` in all, by hash of the id; of at most ``MOST_LANGUAGES`` languages."""
     marked = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
     # At most MOST_LANGUAGES rows are broadcast.
-    usual = marked.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    marked = marked.join(F.broadcast(usual), "lang")
+    usual = marked.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
+    # About twice the rows that a language may have are ranked, whatever its size.
+    marked = marked.join(F.broadcast(usual), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_n")) < 2 * per_language).drop("_n")
     order = (F.xxhash64("doc_id"), "doc_id")
-    # Spark keeps the first rows of each task before it sends them.
     ranked = marked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= per_language)
     chosen = ranked.orderBy("place", "lang", *order).limit(most).select("doc_id", "lang")
     # At most ``most`` rows are broadcast.
