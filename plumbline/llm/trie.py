@@ -298,7 +298,9 @@ def prefix_nodes(paths: DataFrame, most_below: int = MOST_BELOW, levels: int = L
     tops = light.where("heavy_parent is not null").join(parents, "heavy_parent").withColumn("parent_conv_id", F.col("_parent"))
     nodes = light.where("heavy_parent is null").select(columns).unionByName(tops.select(columns)).unionByName(upper.select(columns))
     digests = distinct.select("sequence", "ends_sha256").join(_long_lists(parts, distinct), "sequence", "left").select("sequence", F.coalesce("ends_sha256", "long_sha256").alias("ends_sha256"))
-    return nodes.join(digests, "sequence", "left").select(*columns[:-1], F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"))
+    # Nodes where nothing ends have no key, and would all meet in one task.
+    ending = nodes.where("sequence is not null").join(digests, "sequence").select(*columns[:-1], "ends_sha256")
+    return ending.unionByName(nodes.where("sequence is null").select(*columns[:-1], F.sha2(F.lit(b""), 256).alias("ends_sha256")))
 
 
 def shared_prefixes(conversations: DataFrame, **options) -> DataFrame:
