@@ -35,20 +35,21 @@ def view_box(svg: str | None) -> str | None:
         return None
 
 
-def elements(docs: DataFrame, id_col: str = "scene_id", svg_col: str = "svg", view: bool = False) -> DataFrame:
+def elements(docs: DataFrame, id_col: str = "scene_id", svg_col: str = "svg", view: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each usable element; ids parsed, a missing or empty instance id is -1, a semantic id that is no number drops the row.
 
-    ``view``: with the size of the drawing's own viewBox, ``view_w`` and ``view_h``.
+    ``view``: with the size of the drawing's own viewBox, ``view_w`` and ``view_h``. ``keep``: further columns of ``docs``.
     """
 
     def parse(column: pd.Series) -> pd.Series:
         return column.map(lambda s: [dict(zip(("ord", "d", "semantic_id", "instance_id", "view_box"), row)) for row in elements_of(s)])
 
     parsed = F.pandas_udf(parse, "array<struct<ord:int,d:string,semantic_id:string,instance_id:string,view_box:string>>")
-    rows = docs.select(F.col(id_col), F.explode(parsed(F.col(svg_col))).alias("e")).select(id_col, "e.*")
+    rows = docs.select(F.col(id_col), *keep, F.explode(parsed(F.col(svg_col))).alias("e")).select(id_col, *keep, "e.*")
     sizes = [size.alias(name) for size, name in zip(view_size(F.col("view_box")), ("view_w", "view_h"))] if view else []
     return rows.select(
         id_col,
+        *keep,
         "ord",
         "d",
         F.col("semantic_id").try_cast("int").alias("sid"),

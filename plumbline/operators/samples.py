@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.dims import CLASS_IDS
+from plumbline.sources.shared import saved
 
 BATCH = 4
 #: Positions of a class that one task ranks.
 RANK_BLOCK = 65_536
+#: Weights that are given count in these units.
+WEIGHT_UNIT = 2.0**-30
 
 
 def with_index(df: DataFrame, block: list[str], within: list[str], name: str = "idx", apart: tuple[str, ...] = ()) -> DataFrame:
@@ -28,6 +31,23 @@ def with_index(df: DataFrame, block: list[str], within: list[str], name: str = "
     return df.withColumn("_inside", inside).join(starts, keys).withColumn(name, F.col("_before") + F.col("_inside")).drop("_inside", "_before")
 
 
+def ordinals(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """``df`` with its gapless position in ``order``, from 0.
+
+    Ranges of the order are dealt to tasks, which sort them and number their
+    rows; the result is written once, and a range starts where the counts of
+    those before it end. Only those counts, one a range, meet in one task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    # The number has the range in its upper bits and the place in the lower 33.
+    placed = saved(ranged.withColumns({"_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND((1 << 33) - 1)}))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # One row a range: as many as there are shuffle partitions.
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
 def expanded(boxes: DataFrame) -> DataFrame:
     """Distinct known classes of each image: scene_id, class_name, class_id."""
     return boxes.where("class_id >= 0").select("scene_id", "class_name", "class_id").distinct()
@@ -78,6 +98,41 @@ def weighted_draws(samples: DataFrame, power: float = 0.5) -> DataFrame:
     )
 
 
+def draws_by_weight(samples: DataFrame, draws: int | None = None, seed: int = 5) -> DataFrame:
+    """(draw, pick): draws with replacement of ``samples`` (idx, weight) by weights that are given; as many as samples, or ``draws``.
+
+    Weights become whole numbers of ``WEIGHT_UNIT``, so that their running sums
+    are exact: sums by block of idx first, then within a block. The range of
+    all sums is cut into as many bins as samples. A draw is a point, which lies
+    in one bin, and meets the samples whose ranges reach into that bin: an
+    equi-join on keys that draws fill evenly, however the weights are spread.
+    A sample without a weight, or with 0 or less, is never drawn; if none has
+    one there are no draws. idx has no repeats.
+    """
+    units = F.round(F.col("weight") / F.lit(WEIGHT_UNIT)).cast("long")
+    rows = samples.select("idx", units.alias("_units"), F.expr(f"idx div {RANK_BLOCK}").alias("_block")).where("_units > 0")
+    blocks = rows.groupBy("_block").agg(F.sum("_units").alias("_sum"), F.count("*").alias("_rows"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a block of 65,536 samples.
+    starts = saved(blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), "_sum", "_rows"))
+    found = starts.agg(F.sum("_sum").alias("total"), F.sum("_rows").alias("n")).first()
+    total, n = found.total or 1, found.n or 1
+    draws = (samples.count() if draws is None else draws) if found.n else 0
+    width = -(-total // n)
+    inside = F.sum("_units").over(Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    ranged = rows.withColumn("_upto", inside).join(starts.select("_block", "_start"), "_block").select("idx", (F.col("_start") + F.col("_upto") - F.col("_units")).alias("low"), (F.col("_start") + F.col("_upto")).alias("high"))
+    ranged = ranged.withColumns({"first": F.expr(f"low div {width}"), "last": F.expr(f"(high - 1) div {width}")})
+    # A heavy sample reaches into very many bins: its bins are dealt out in pieces.
+    heavy = ranged.where(F.col("last") - F.col("first") >= RANK_BLOCK).withColumn("piece", F.explode(F.sequence("first", "last", F.lit(RANK_BLOCK)))).repartition("idx", "piece")
+    heavy = heavy.withColumn("bin", F.explode(F.sequence("piece", F.least(F.col("piece") + (RANK_BLOCK - 1), "last"))))
+    light = ranged.where(F.col("last") - F.col("first") < RANK_BLOCK).withColumn("bin", F.explode(F.sequence("first", "last")))
+    reach = light.unionByName(heavy.select(light.columns)).select("idx", "low", "high", "bin")
+    u = hash_uniform("draw", F.lit(seed))
+    points = samples.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("point", F.least(F.floor(u * float(total)), F.lit(total - 1)).cast("long"))
+    hits = points.withColumn("bin", F.expr(f"point div {width}")).join(reach, "bin").where("point >= low and point < high")
+    return hits.select("draw", F.col("idx").alias("pick"))
+
+
 def batches(samples: DataFrame, size: int = BATCH) -> DataFrame:
     """Batch number by position; the last batch may be smaller."""
     return samples.withColumn("batch_id", F.expr(f"idx div {int(size)}"))

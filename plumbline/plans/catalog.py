@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, svg, text
 from plumbline.functions.dims import class_dim, prompt
-from plumbline.operators import annotate, decode, losses, samples, stats, targets
+from plumbline.operators import annotate, decode, losses, routing, samples, stats, targets
 from plumbline.plans.scene import IMAGE_H, IMAGE_W, VIEW, paths, source_dir, table
-from plumbline.sources import files, images, legacy
+from plumbline.sources import archives, files, folders, images, legacy, records
+from plumbline.sources.shared import exists, folder_of
+from plumbline.sources.sink import write_files
 from plumbline.streaming import build
 
-SCENE_BLOCK = 64
-
-
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -24,8 +29,7 @@ def _boxes(spark, sf_dir, mode="by_path"):
 
 
 def _samples(spark, sf_dir):
-    rows = samples.expanded(_boxes(spark, sf_dir)).withColumn("block", F.expr(f"scene_id div {SCENE_BLOCK}"))
-    return samples.with_index(rows, ["block"], ["scene_id", "class_name"]).select("idx", "scene_id", "class_name", "class_id")
+    return samples.ordinals(samples.expanded(_boxes(spark, sf_dir)), "scene_id", "class_name").select("idx", "scene_id", "class_name", "class_id")
 
 
 def _centres(spark, sf_dir):
@@ -319,9 +323,34 @@ def query_all_class_grid(spark, sf_dir):
     return grid.select("scene_id", "class_id", F.round(geometry.sigmoid(logit), 6).alias("score"), geometry.relu(raw).alias("size"))
 
 
+def _vectors(spark, sf_dir):
+    """Vectors as samples of their label's class."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("int").alias("class_id"), "embedding")
+
+
+def _kernels(vectors):
+    """Of each class its vectors' mean."""
+    means = vectors.select("class_id", F.posexplode("embedding").alias("pos", "v")).groupBy("class_id", "pos").agg(F.avg("v").alias("m"))
+    return routing.kernels_of(means.groupBy("class_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("values")))
+
+
+def _head(x, mean):
+    """Score and size of vectors against their class's mean."""
+    near = x @ mean
+    return {"score": 1 / (1 + np.exp(-near)), "size": np.maximum(near - 0.25, 0.0)}
+
+
 def query_class_routing(spark, sf_dir):
-    """Each sample with the code of its class's kernel."""
-    return _samples(spark, sf_dir).select("idx", "class_id", (F.col("idx") * 35 + F.col("class_id")).alias("code"))
+    """Each vector through the kernel of its own class."""
+    vectors = _vectors(spark, sf_dir)
+    out = routing.by_class(vectors, _kernels(vectors), _head, "score double, size double", values="embedding")
+    return rounded(out, "score", "size").select("sample_id", "class_id", "score", "size")
+
+
+def query_class_routing_every(spark, sf_dir):
+    """Each vector through every class's kernel, as inference does."""
+    vectors = _vectors(spark, sf_dir)
+    return rounded(routing.by_every_class(vectors, _kernels(vectors), _head, "score double, size double", values="embedding"), "score", "size")
 
 
 def query_subset_weights(spark, sf_dir):
@@ -330,8 +359,20 @@ def query_subset_weights(spark, sf_dir):
     return rounded(samples.first_samples(samples.required(samples.weights(indexed)), 100), "weight").select("idx", "class_id", "weight")
 
 
+#: Samples of the subset that is drawn from.
+SUBSET = 1000
+
+
+def query_subset_draws(spark, sf_dir):
+    """Draws from the first samples by the weights that they have among all."""
+    weighted = samples.weights(_samples(spark, sf_dir)).select("idx", "weight")
+    return samples.draws_by_weight(samples.first_samples(weighted, SUBSET))
+
+
 def query_files_per_folder(spark, sf_dir):
-    return files.files_per_folder(_crops(spark, sf_dir))
+    pictures, drawings = drawing_files(spark, sf_dir)
+    sidecars = _sidecars(spark, sf_dir).withColumn("path", F.concat(F.lit("scans/"), "path"))
+    return files.files_per_folder(pictures.unionByName(drawings).unionByName(sidecars))
 
 
 def _view_size():
@@ -339,33 +380,136 @@ def _view_size():
 
 
 def drawing_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Image headers and drawings (path, content) of sizes that differ; some drawings are empty, some have no image."""
+    """Image headers and drawings (path, content) of sizes that differ; some drawings are empty, some have no image, some images are too small for any box."""
     documents = svg_documents(spark, sf_dir)
     view = F.concat_ws(" ", F.lit('<svg viewBox="0 0'), _view_size(), F.concat(_view_size(), F.lit('">')))
     body = F.when(F.col("scene_id") % 7 == 0, "<g></g></svg>").otherwise(F.regexp_replace("svg", "^<svg[^>]*>", ""))
     path = F.concat(F.lit("scans/"), source_dir(), F.lit("/"), F.col("scene_id").cast("string"))
     drawings = documents.select(F.concat(path, F.lit(".svg")).alias("path"), F.concat(view, body).cast("binary").alias("content"))
     number = lambda c: F.lpad(F.hex(c), 8, "0")
-    width, height = 512 + 256 * (F.col("scene_id") % 4), 384 + 128 * (F.col("scene_id") % 3)
+    width, height = (F.when(F.col("scene_id") % 13 == 6, 8).otherwise(c) for c in (512 + 256 * (F.col("scene_id") % 4), 384 + 128 * (F.col("scene_id") % 3)))
     header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(width), number(height), F.lit("0803000000")))
     images = documents.where("scene_id % 11 <> 0").select(F.concat(path, F.lit(".png")).alias("path"), header.alias("content"))
     return images, drawings
 
 
+def _sidecars(spark, sf_dir):
+    return folders.sidecars(files.paired(*drawing_files(spark, sf_dir)))
+
+
+def _documents(sidecars):
+    """Parsed metadata files by folder and stem."""
+    parsed = F.from_json(F.col("content").cast("string"), files.METADATA)
+    return files.located(sidecars).select("source_dir", F.regexp_replace("stem", "_meta$", "").alias("stem"), parsed.alias("m"))
+
+
 def query_annotate_files(spark, sf_dir):
-    """Files to scenes: image and drawing paired, each drawing scaled by its own viewBox and image size, scenes without boxes kept."""
-    scenes = files.paired(*drawing_files(spark, sf_dir)).withColumn("scene_id", F.col("stem").cast("long"))
-    boxes = build.annotated(scenes.select("scene_id", "svg"), 0, 0, sizes=scenes.select("scene_id", "width", "height"))
-    area = F.aggregate(F.coalesce("instances", F.array().cast("array<struct<ord:int,class_name:string,class_id:int,iid:int,px0:int,py0:int,px1:int,py1:int>>")), F.lit(0).cast("long"), lambda a, b: a + (b["px1"] - b["px0"]) * (b["py1"] - b["py0"]))
-    return files.scene_metadata(scenes.select("scene_id", "source_dir", "width", "height"), boxes).select("scene_id", "source_dir", "width", "height", F.col("num_instances").cast("long").alias("num_instances"), area.alias("area"))
+    """Files to scenes: image and drawing paired, each drawing scaled by its own viewBox and image size, scenes kept whose boxes are all too small."""
+    area = F.aggregate("m.instances", F.lit(0).cast("long"), lambda a, i: a + (i["bbox_px"][2] - i["bbox_px"][0]) * (i["bbox_px"][3] - i["bbox_px"][1]))
+    return _documents(_sidecars(spark, sf_dir)).select(
+        F.col("stem").cast("long").alias("scene_id"), "source_dir", F.col("m.image_size")[0].alias("width"), F.col("m.image_size")[1].alias("height"),
+        F.col("m.num_instances").cast("long").alias("num_instances"), area.alias("area"),
+    )
 
 
 def query_index_files(spark, sf_dir):
     """Image files with their metadata files, and the classes in each."""
     pictures, _ = drawing_files(spark, sf_dir)
-    documents = files.metadata_json(_boxes(spark, sf_dir), IMAGE_W, IMAGE_H, VIEW, VIEW, paths(spark, sf_dir))
-    path = F.concat(F.lit("scans/"), source_dir(), F.lit("/"), F.col("scene_id").cast("string"), F.lit("_meta.json"))
-    return files.classes_in(files.with_metadata(pictures, documents.select(path.alias("path"), F.col("document").cast("binary").alias("content"))))
+    return files.classes_in(files.with_metadata(pictures, _sidecars(spark, sf_dir)))
+
+
+def scan_folder(spark: SparkSession, sf_dir: str, name: str = "scans") -> str:
+    """A root with the files of ``drawing_files``, written once an application."""
+    root = folder_of(spark, sf_dir, name)
+    if not exists(spark, f"{root}/_ready"):
+        pictures, drawings = (df.withColumn("path", F.regexp_replace("path", "^scans/", "")) for df in drawing_files(spark, sf_dir))
+        write_files(pictures.unionByName(drawings), root)
+        write_files(spark.createDataFrame([("_ready", b"")], "path string, content binary"), root)
+    return root
+
+
+def query_sidecar_files(spark, sf_dir):
+    """Metadata written beside the drawings, twice, and read back from the folders."""
+    root = scan_folder(spark, sf_dir)
+    folders.annotate_folders(spark, root)
+    folders.annotate_folders(spark, root)
+    number = lambda i: F.format_string("%s:%d:%s", i["class"], i["instance_id"], F.array_join(F.transform(i["bbox_px"], lambda v: v.cast("string")), " "))
+    return _documents(files.listing(spark, root, "_meta.json", recursive=True)).select(
+        "source_dir", "stem", F.array_join(F.transform("m.image_size", lambda v: v.cast("string")), "x").alias("image_size"), F.col("m.svg_viewbox")[2].alias("view_w"),
+        F.col("m.num_instances").alias("num_instances"), F.array_join(F.transform("m.instances", number), ",").alias("instances"),
+    )
+
+
+def query_sidecar_files_by_class(spark, sf_dir):
+    """The variant that merges by class: drawings without an image take 1000 x 1000 pixels."""
+    root = scan_folder(spark, sf_dir, "scans-by-class")
+    folders.annotate_folders(spark, root, "by_class", default_size=1000)
+    parsed = _documents(files.listing(spark, root, "_meta.json", recursive=True))
+    rows = parsed.select("source_dir", "stem", F.col("m.image_size")[0].alias("width"), F.posexplode_outer("m.instances").alias("pos", "i"))
+    return rows.select("source_dir", "stem", "width", "pos", F.col("i.class").alias("class"), F.col("i.instance_id").alias("instance_id"), F.array_join(F.transform("i.bbox_px", lambda v: v.cast("string")), " ").alias("bbox"))
+
+
+def query_file_index(spark, sf_dir):
+    """The sample index of both splits, from annotated folders."""
+    root = scan_folder(spark, sf_dir)
+    folders.annotate_folders(spark, root)
+    return folders.sample_index(spark, root, "train").withColumn("split", F.lit("train")).unionByName(folders.sample_index(spark, root, "test").withColumn("split", F.lit("test")))
+
+
+RECORDS = "doc_id long, image binary"
+
+
+def query_record_ordinals(spark, sf_dir):
+    """Documents as records, three of four with an image (their text's bytes), numbered by the record reader."""
+    folder = folder_of(spark, sf_dir, "records")
+    if not exists(spark, f"{folder}/_SUCCESS"):
+        image = F.when(F.col("doc_id") % 4 != 0, F.encode("text", "UTF-8"))
+        table(spark, sf_dir, "documents").select("doc_id", image.alias("image")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(folder)
+    return records.records(spark, folder, RECORDS).select("ordinal", "doc_id", F.length("image").alias("n_bytes"), F.md5("image").alias("digest"))
+
+
+#: Documents of one archive.
+ARCHIVED = 64
+
+
+def archive_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A root whose ``zips`` are archives of 64 documents each, every fifth one a packed tar."""
+    root = folder_of(spark, sf_dir, "archives")
+    if not exists(spark, f"{root}/_ready"):
+        docs = table(spark, sf_dir, "documents").select((F.col("doc_id") / ARCHIVED).cast("long").alias("part"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.encode("text", "UTF-8").alias("content"))
+
+        def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+            part, out = key[0], io.BytesIO()
+            members = sorted(zip(rows.member, rows.content))
+            if part % 5 == 4:
+                with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as packed:
+                    for name, content in members:
+                        info = tarfile.TarInfo(name)
+                        info.size = len(content)
+                        packed.addfile(info, io.BytesIO(content))
+            else:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as packed:
+                    for name, content in members:
+                        packed.writestr(name, content)
+            return pd.DataFrame({"path": [f"zips/part{part}{'.tar.gz' if part % 5 == 4 else '.zip'}"], "content": [out.getvalue()]})
+
+        write_files(docs.groupBy("part").applyInPandas(pack, "path string, content binary"), root)
+        write_files(spark.createDataFrame([("_ready", b"")], "path string, content binary"), root)
+    return root
+
+
+def query_archive_members(spark, sf_dir):
+    """Archives read member by member, in ranges of 16 KiB by tasks of 20 members."""
+    rows = archives.contents(spark, f"{archive_folder(spark, sf_dir)}/zips", partMembers=20, rangeBytes=1 << 14)
+    return rows.select("archive", "member", "size", "offset", F.md5("content").alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+def query_ingested_folders(spark, sf_dir):
+    """Archives unpacked below their root, twice, and the files in each folder."""
+    root = archive_folder(spark, sf_dir)
+    archives.ingest(spark, root)
+    archives.ingest(spark, root)
+    return archives.inventory(spark, root)
 
 
 def _as_byte(v):
@@ -386,6 +530,18 @@ def query_image_normalise(spark, sf_dir):
     return values.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+def query_composited(spark, sf_dir):
+    """Vectors as pixels over white: transparent colours, grey ones, and colours of a palette, in turn."""
+    as_bytes = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(_as_byte(v)), 2, "0")), ""))
+    kind = F.col("vec_id") % 3
+    picked = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(_as_byte(v) % 20), 2, "0")), ""))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(kind == 0, 4).when(kind == 1, 2).otherwise(1).alias("channels"), F.when(kind == 2, picked).otherwise(as_bytes).alias("pixels"), F.when(kind == 2, as_bytes).alias("palette")
+    )
+    values = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("int"))
+    return images.composited(rows).select("vec_id", F.posexplode(values).alias("pos", "value"))
+
+
 def query_heat_image(spark, sf_dir):
     return images.heat_squares(_heat(spark, sf_dir)).drop("heat", "y", "x")
 

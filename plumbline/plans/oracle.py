@@ -81,7 +81,17 @@ STEPS = {
         WHEN 5 THEN 'class_35' WHEN 6 THEN 'wall' WHEN 7 THEN 'door_single' ELSE 'class_060' END || '_' || CAST(o_orderkey % 1000 AS VARCHAR) END || '.png' AS path, o_orderkey FROM orders""",
     "file_boxes": """SELECT *, greatest(0, CAST(trunc(x0 * (width / view)) AS INTEGER)) AS px0, greatest(0, CAST(trunc(y0 * (height / view)) AS INTEGER)) AS py0,
         least(width, CAST(trunc(x1 * (width / view)) AS INTEGER)) AS px1, least(height, CAST(trunc(y1 * (height / view)) AS INTEGER)) AS py1
-        FROM (SELECT *, 512 + 256 * (scene_id % 4) AS width, 384 + 128 * (scene_id % 3) AS height, 100 * (1 + scene_id % 2)::DOUBLE AS view FROM unions WHERE scene_id % 7 <> 0)""",
+        FROM (SELECT *, CAST(CASE WHEN scene_id % 13 = 6 THEN 8 ELSE 512 + 256 * (scene_id % 4) END AS INTEGER) AS width, CAST(CASE WHEN scene_id % 13 = 6 THEN 8 ELSE 384 + 128 * (scene_id % 3) END AS INTEGER) AS height,
+        100 * (1 + scene_id % 2)::DOUBLE AS view, CASE WHEN scene_id % 5 = 0 THEN 'test_set' WHEN scene_id % 5 <= 2 THEN 'train_set_1' ELSE 'train_set_2' END AS source_dir FROM unions WHERE scene_id % 7 <> 0)""",
+    "file_instances": """SELECT b.*, coalesce(class_name, 'class_' || lpad(CAST(b.sid AS VARCHAR), 2, '0')) AS class_name, class_id, px1 - px0 >= 8 AND py1 - py0 >= 8 AS kept FROM file_boxes b LEFT JOIN dim USING (sid) WHERE scene_id % 11 <> 0""",
+    "class_boxes": """SELECT *, greatest(0, CAST(trunc(x0 * (width / view)) AS INTEGER)) AS px0, greatest(0, CAST(trunc(y0 * (height / view)) AS INTEGER)) AS py0,
+        least(width, CAST(trunc(x1 * (width / view)) AS INTEGER)) AS px1, least(height, CAST(trunc(y1 * (height / view)) AS INTEGER)) AS py1
+        FROM (SELECT m.*, class_name, CAST(CASE WHEN scene_id % 11 = 0 THEN 1000 WHEN scene_id % 13 = 6 THEN 8 ELSE 512 + 256 * (scene_id % 4) END AS INTEGER) AS width,
+        CAST(CASE WHEN scene_id % 11 = 0 THEN 1000 WHEN scene_id % 13 = 6 THEN 8 ELSE 384 + 128 * (scene_id % 3) END AS INTEGER) AS height, 100 * (1 + scene_id % 2)::DOUBLE AS view,
+        CASE WHEN scene_id % 5 = 0 THEN 'test_set' WHEN scene_id % 5 <= 2 THEN 'train_set_1' ELSE 'train_set_2' END AS source_dir FROM merged m LEFT JOIN dim USING (sid) WHERE scene_id % 7 <> 0)""",
+    "subset": "SELECT idx, CAST(round(pow(greatest(1, n), -0.5) * 1073741824) AS BIGINT) AS units FROM samples JOIN counts USING (class_id) WHERE idx < 1000",
+    "vectors": "SELECT vec_id, CAST(label AS INTEGER) AS class_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    "means": "SELECT class_id, list(a ORDER BY pos) AS v FROM (SELECT class_id, pos, avg(v[pos]) AS a FROM vectors, range(1, 65) r(pos) GROUP BY 1, 2) GROUP BY 1",
     "names": "SELECT path, o_orderkey, regexp_extract(path, '([^/]+)\\.[^./]+$', 1) AS name FROM crops",
 }
 
@@ -118,6 +128,8 @@ def _tokens(text: str) -> str:
 
 _UNIFORM = "((((12345 * 48271 + {a}) % 2147483647) * 48271 + {b}) % 2147483647 * 48271) % 2147483647 / 2147483647.0::DOUBLE"
 
+_HEAD = "round(1 / (1 + exp(-list_dot_product(e.v, m.v))), 6) AS score, round(greatest(list_dot_product(e.v, m.v) - 0.25, 0.0::DOUBLE), 6) AS size"
+
 ORACLE = {
     "class_dim": "SELECT sid, class_name, class_id, 'Find ' || class_name || ' in this floor plan drawing' AS prompt FROM dim",
     "pixel_boxes": "SELECT scene_id, ord, sid, iid, px0, py0, px1, py1 FROM pixel_paths",
@@ -171,14 +183,33 @@ ORACLE = {
     "metadata_json_roundtrip": """SELECT scene_id, CAST(count(*) OVER (PARTITION BY scene_id) AS INTEGER) AS num_instances, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY ord) - 1 AS INTEGER) AS pos, class_name AS class, class_id, CAST(iid AS BIGINT) AS instance_id,
         concat_ws(' ', px0, py0, px1, py1) AS bbox FROM boxes""",
     "all_class_grid": """SELECT scene_id, d.class_id, round(1 / (1 + exp(-((scene_id * 31 + d.class_id * 7) % 41 - 20) / 5.0::DOUBLE)), 6) AS score, greatest(0.0::DOUBLE, ((scene_id * 17 + d.class_id * 3) % 21 - 10) / 4.0::DOUBLE) AS size FROM (SELECT DISTINCT scene_id FROM samples) s, dim d""",
-    "class_routing": "SELECT idx, class_id, idx * 35 + class_id AS code FROM samples",
+    "class_routing": f"SELECT vec_id AS sample_id, e.class_id, {_HEAD} FROM vectors e JOIN means m USING (class_id)",
+    "class_routing_every": f"SELECT vec_id AS sample_id, m.class_id, {_HEAD} FROM vectors e, means m",
     "subset_weights": "SELECT idx, class_id, round(1 / sqrt(n), 6) AS weight FROM samples JOIN counts USING (class_id) WHERE idx < 100",
-    "files_per_folder": "SELECT 'crops' AS source_dir, '.png' AS suffix, count(*) AS n FROM crops",
-    "annotate_files": """SELECT s.scene_id, source_dir, CAST(512 + 256 * (s.scene_id % 4) AS INTEGER) AS width, CAST(384 + 128 * (s.scene_id % 3) AS INTEGER) AS height, coalesce(k, 0) AS num_instances, CAST(coalesce(area, 0) AS BIGINT) AS area
-        FROM scenes s LEFT JOIN (SELECT scene_id, count(*) AS k, sum((px1 - px0) * (py1 - py0)) AS area FROM file_boxes WHERE px1 - px0 >= 8 AND py1 - py0 >= 8 GROUP BY 1) b USING (scene_id) WHERE s.scene_id % 11 <> 0""",
+    "files_per_folder": """SELECT source_dir, suffix, count(*) AS n FROM (SELECT source_dir, unnest(CASE WHEN scene_id % 11 = 0 THEN ['.svg'] ELSE ['.svg', '.png'] END) AS suffix FROM scenes
+        UNION ALL SELECT source_dir, '.json' FROM (SELECT DISTINCT source_dir, scene_id FROM file_instances)) GROUP BY 1, 2""",
+    "subset_draws": f"""SELECT draw, pick FROM (SELECT idx AS draw, least(CAST(floor({_UNIFORM.format(a="idx", b=5)} * CAST(total AS DOUBLE)) AS BIGINT), total - 1) AS point FROM subset, (SELECT CAST(sum(units) AS BIGINT) AS total FROM subset)) d
+        ASOF JOIN (SELECT idx AS pick, CAST(sum(units) OVER (ORDER BY idx) AS BIGINT) - units AS low FROM subset) c ON d.point >= c.low""",
+    "record_ordinals": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes, md5(text) AS digest FROM documents WHERE doc_id % 4 <> 0",
+    "archive_members": """SELECT 'part' || part || CASE WHEN part % 5 = 4 THEN '.tar.gz' ELSE '.zip' END AS archive, 'docs/' || doc_id || '.txt' AS member, size, "offset", md5(content[CAST("offset" + 1 AS INTEGER):CAST("offset" + 16384 AS INTEGER)]) AS digest, false AS failed
+        FROM (SELECT doc_id, doc_id // 64 AS part, encode(text) AS content, octet_length(encode(text)) AS size, unnest(range(0, greatest(1, octet_length(encode(text))), 16384)) AS "offset" FROM documents)""",
+    "ingested_folders": "SELECT 'part' || (doc_id // 64) AS folder, count(*) AS n_files FROM documents GROUP BY 1",
+    "composited": """WITH px AS (SELECT vec_id, vec_id % 3 AS kind, list_transform(embedding, lambda v: CAST(trunc(greatest(0, least(255, (v::DOUBLE * 0.5 + 0.5) * 255))) AS INTEGER)) AS b FROM embeddings),
+        flat AS (SELECT vec_id, CASE kind WHEN 0 THEN b[p // 3 * 4 + p % 3 + 1] WHEN 1 THEN b[p // 3 * 2 + 1] ELSE CASE WHEN b[p // 3 + 1] % 20 < 16 THEN b[b[p // 3 + 1] % 20 * 4 + p % 3 + 1] ELSE 0 END END AS v,
+        CASE kind WHEN 0 THEN b[p // 3 * 4 + 4] WHEN 1 THEN b[p // 3 * 2 + 2] ELSE CASE WHEN b[p // 3 + 1] % 20 < 16 THEN b[b[p // 3 + 1] % 20 * 4 + 4] ELSE 0 END END AS a, p
+        FROM px, range(192) r(p) WHERE p < CASE kind WHEN 0 THEN 48 WHEN 1 THEN 96 ELSE 192 END)
+        SELECT vec_id, CAST(p AS INTEGER) AS pos, CAST((255 * (255 - a) + v * a + 127) // 255 AS INTEGER) AS value FROM flat""",
+    "annotate_files": """SELECT scene_id, source_dir, width, height, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS num_instances, CAST(sum(CASE WHEN kept THEN (px1 - px0) * (py1 - py0) ELSE 0 END) AS BIGINT) AS area
+        FROM file_instances GROUP BY 1, 2, 3, 4""",
+    "sidecar_files": """SELECT source_dir, CAST(scene_id AS VARCHAR) AS stem, width || 'x' || height AS image_size, view AS view_w, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS INTEGER) AS num_instances,
+        coalesce(string_agg(class_name || ':' || iid || ':' || concat_ws(' ', px0, py0, px1, py1), ',' ORDER BY ord) FILTER (kept), '') AS instances FROM file_instances GROUP BY source_dir, scene_id, width, height, view""",
+    "sidecar_files_by_class": """SELECT s.source_dir, CAST(s.scene_id AS VARCHAR) AS stem, s.width, CAST(k.pos AS INTEGER) AS pos, k.class_name AS class, CAST(k.iid AS BIGINT) AS instance_id, CASE WHEN k.pos IS NOT NULL THEN concat_ws(' ', k.px0, k.py0, k.px1, k.py1) END AS bbox
+        FROM (SELECT DISTINCT source_dir, scene_id, width FROM class_boxes) s LEFT JOIN
+        (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY iid <> -1, ord) - 1 AS pos FROM class_boxes WHERE class_name IS NOT NULL AND px1 > px0 AND py1 > py0) k USING (scene_id)""",
+    "file_index": """SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY source_dir, stem || '.png', class_name) - 1 AS BIGINT) AS idx FROM (
+        SELECT DISTINCT CASE WHEN source_dir = 'test_set' THEN 'test' ELSE 'train' END AS split, source_dir, CAST(scene_id AS VARCHAR) AS stem, class_name, class_id FROM file_instances WHERE kept AND class_id IS NOT NULL)""",
     "pixel_denorm": "SELECT vec_id, pos - 1 AS pos, CAST(trunc(greatest(0, least(255, (embedding[pos]::DOUBLE * 0.5 + 0.5) * 255))) AS INTEGER) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)",
-    "index_files": """SELECT CASE WHEN scene_id % 5 = 0 THEN 'test_set' WHEN scene_id % 5 <= 2 THEN 'train_set_1' ELSE 'train_set_2' END AS source_dir, CAST(scene_id AS VARCHAR) AS stem, class_name, class_id
-        FROM samples WHERE scene_id % 11 <> 0""",
+    "index_files": "SELECT DISTINCT source_dir, CAST(scene_id AS VARCHAR) AS stem, class_name, class_id FROM file_instances WHERE kept AND class_id IS NOT NULL",
     "image_normalise": """WITH px AS (SELECT vec_id, CAST(trunc(greatest(0, least(255, (embedding[p + 1]::DOUBLE * 0.5 + 0.5) * 255))) AS DOUBLE) AS v, p // 8 AS y, p % 8 AS x FROM embeddings, range(64) r(p)),
         taps AS (SELECT o, i, greatest(0, 1 - abs(i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * 2) / 2) AS w FROM range(4) a(o), range(8) b(i)),
         across AS (SELECT vec_id, y, o AS x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM px JOIN taps ON i = x GROUP BY 1, 2, 3),

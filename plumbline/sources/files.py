@@ -89,8 +89,8 @@ def to_download(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return manifest.join(found.where(F.col("length") > LEAST_ARCHIVE), "name", "left_anti")
 
 
-def metadata_json(boxes: DataFrame, width: int, height: int, view_w: float, view_h: float, scenes: DataFrame | None = None) -> DataFrame:
-    """One JSON document a scene, its instances in order; with ``scenes`` (scene_id) also an empty one for each that has no boxes."""
+def metadata_json(boxes: DataFrame, width: int, height: int, view_w: float, view_h: float) -> DataFrame:
+    """One JSON document for each scene that has boxes, its instances in order."""
     rows = F.sort_array(F.collect_list(F.struct("ord", "sid", "class_name", "class_id", "iid", "px0", "py0", "px1", "py1")))
     instances = F.transform(
         "rows",
@@ -107,18 +107,21 @@ def metadata_json(boxes: DataFrame, width: int, height: int, view_w: float, view
         F.size("rows").alias("num_instances"),
         instances.alias("instances"),
     )
-    found = boxes.groupBy("scene_id").agg(rows.alias("rows"))
-    if scenes is not None:
-        found = scenes.select("scene_id").distinct().join(found, "scene_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast(found.schema["rows"].dataType)))
-    return found.select("scene_id", F.to_json(document).alias("document"))
+    return boxes.groupBy("scene_id").agg(rows.alias("rows")).select("scene_id", F.to_json(document).alias("document"))
 
 
-def paired(images: DataFrame, drawings: DataFrame) -> DataFrame:
-    """Image and drawing files (path, content) of the same folder and stem: source_dir, stem, width, height (of the PNG header) and svg. A file alone is left out."""
+def paired(images: DataFrame, drawings: DataFrame, default_size: int | None = None) -> DataFrame:
+    """Image and drawing files (path, content) of the same folder and stem: source_dir, stem, width, height (of the PNG header) and svg.
+
+    A file alone is left out; with ``default_size`` a drawing without an image takes that width and height.
+    """
     width, height = png_size(F.col("content"))
-    sizes = located(images).where("suffix = '.png'").select("source_dir", "stem", width.alias("width"), height.alias("height"))
+    sizes = located(images).where("suffix = '.png'").select("source_dir", "stem", width.alias("width"), height.alias("height"), F.lit(True).alias("drawn"))
     texts = located(drawings).where("suffix = '.svg'").select("source_dir", "stem", F.col("content").cast("string").alias("svg"))
-    return sizes.join(texts, ["source_dir", "stem"])
+    if default_size is None:
+        return texts.join(sizes, ["source_dir", "stem"]).drop("drawn")
+    both = texts.join(sizes, ["source_dir", "stem"], "left")
+    return both.withColumns({c: F.when(F.col("drawn"), F.col(c)).otherwise(default_size) for c in ("width", "height")}).drop("drawn")
 
 
 def with_metadata(images: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -141,13 +144,6 @@ def files_per_folder(files: DataFrame) -> DataFrame:
     return located(files).groupBy("source_dir", "suffix").agg(F.count("*").alias("n"))
 
 
-def scene_metadata(scenes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``scenes`` (scene_id, ...) with ``num_instances`` and the ``instances`` of ``boxes`` in order; none, but a row, for a scene without boxes."""
-    rows = F.sort_array(F.collect_list(F.struct("ord", "class_name", "class_id", "iid", "px0", "py0", "px1", "py1")))
-    found = boxes.groupBy("scene_id").agg(rows.alias("instances"))
-    return scenes.join(found, "scene_id", "left").withColumn("num_instances", F.coalesce(F.size("instances"), F.lit(0)))
-
-
 def metadata_rows(documents: DataFrame) -> DataFrame:
     """The instances of ``metadata_json``, one row each, with their position."""
     parsed = documents.select("scene_id", F.from_json("document", METADATA).alias("m"))
