@@ -5,27 +5,71 @@ from __future__ import annotations
 import cmath
 import math
 import re
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from plumbline.functions.pathboxes import path_boxes
 
 TOKEN = re.compile(r"([MmLlHhVvCcSsQqTtAaZz])|([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|([\s,]+)|(.)")
 ARGUMENTS = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
 
-ELEMENTS = "ord int, d string, semantic_id string, instance_id string"
+#: Bytes of a drawing, or of path data, that are looked at together.
+PART_BYTES = 1 << 20
 BOX = "x0 double, y0 double, x1 double, y1 double"
 
 
-def elements_of(svg: str | None) -> list[tuple]:
-    """(ord, d, semantic_id, instance_id, the root's viewBox) of every element with path data and a semantic id, in document order; none if it is no XML."""
+def events(svg: bytes | memoryview) -> Iterator[list[tuple]]:
+    """(ord, d, semantic_id, instance_id, the root's viewBox) of every element with path data and a semantic id, in document order.
+
+    Elements are told as they are read, a part of the text at a time; no tree
+    is made. Raises ExpatError where the text is no XML.
+    """
+    found: list[tuple] = []
+    seen, view = 0, None
+
+    def element(_, attributes: dict[str, str]) -> None:
+        nonlocal seen, view
+        if not seen:
+            view = attributes.get("viewBox")
+        if "d" in attributes and "semantic-id" in attributes:
+            found.append((seen, attributes["d"], attributes["semantic-id"], attributes.get("instance-id"), view))
+        seen += 1
+
+    def unknown(*_) -> None:
+        raise expat.ExpatError("undefined entity")
+
+    parser = expat.ParserCreate("utf-8", "}")
+    parser.StartElementHandler, parser.SkippedEntityHandler = element, unknown
+    for at in range(0, len(svg), PART_BYTES):
+        parser.Parse(bytes(svg[at : at + PART_BYTES]), False)
+        if found:
+            yield found
+            found = []
+    parser.Parse(b"", True)
+    if found:
+        yield found
+
+
+def elements_of(svg: bytes | memoryview) -> Iterator[list[tuple]]:
+    """``events`` of a text that is XML to its end; none of another. A text of one part is read once, a longer one is checked first."""
     try:
-        root = ElementTree.fromstring(svg or "")
-    except ElementTree.ParseError:
-        return []
-    found = ((i, e.get("d"), e.get("semantic-id"), e.get("instance-id"), root.get("viewBox")) for i, e in enumerate(root.iter()))
-    return [row for row in found if row[1] is not None and row[2] is not None]
+        if len(svg) <= PART_BYTES:
+            whole: Iterable[list[tuple]] = list(events(svg))
+        else:
+            for _ in events(svg):
+                pass
+            whole = events(svg)
+    except expat.ExpatError:
+        return
+    yield from whole
 
 
 def view_box(svg: str | None) -> str | None:
@@ -41,11 +85,20 @@ def elements(docs: DataFrame, id_col: str = "scene_id", svg_col: str = "svg", vi
     ``view``: with the size of the drawing's own viewBox, ``view_w`` and ``view_h``. ``keep``: further columns of ``docs``.
     """
 
-    def parse(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: [dict(zip(("ord", "d", "semantic_id", "instance_id", "view_box"), row)) for row in elements_of(s)])
+    kept = [id_col, *keep]
+    made = pa.schema([("ord", pa.int32()), *((c, pa.string()) for c in ("d", "semantic_id", "instance_id", "view_box"))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(svg_col)
+            for i in range(batch.num_rows):
+                for part in elements_of(memoryview(texts[i].as_buffer())) if texts[i].is_valid else ():
+                    columns = [pa.array(values, kind) for values, kind in zip(zip(*part), made.types)]
+                    same = [batch.column(c).take(pa.array(np.full(len(part), i))) for c in kept]
+                    yield pa.RecordBatch.from_arrays(same + columns, kept + made.names)
 
-    parsed = F.pandas_udf(parse, "array<struct<ord:int,d:string,semantic_id:string,instance_id:string,view_box:string>>")
-    rows = docs.select(F.col(id_col), *keep, F.explode(parsed(F.col(svg_col))).alias("e")).select(id_col, *keep, "e.*")
+    schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("ord int, d string, semantic_id string, instance_id string, view_box string")])
+    rows = docs.select(*kept, svg_col).mapInArrow(read, schema)
     sizes = [size.alias(name) for size, name in zip(view_size(F.col("view_box")), ("view_w", "view_h"))] if view else []
     return rows.select(
         id_col,
@@ -196,8 +249,14 @@ def with_boxes(paths: DataFrame, d_col: str = "d") -> DataFrame:
     """``paths`` with x0, y0, x1, y1; paths without a box are dropped."""
 
     def boxes(column: pd.Series) -> pd.DataFrame:
-        found = [path_box(d) or (None,) * 4 for d in column]
-        return pd.DataFrame(found, columns=["x0", "y0", "x1", "y1"], dtype="float64")
+        found, start, size = [], 0, 0
+        for i, d in enumerate(column):
+            size += len(d or "")
+            if size > PART_BYTES or i + 1 == len(column):
+                found.append(path_boxes(column.iloc[start : i + 1].tolist()))
+                start, size = i + 1, 0
+        whole = np.concatenate(found) if found else np.zeros((0, 4))
+        return pd.DataFrame(whole, columns=["x0", "y0", "x1", "y1"])
 
     box = F.pandas_udf(boxes, BOX)
     return paths.withColumn("box", box(F.col(d_col))).where("box.x0 is not null").select(*paths.columns, "box.*")

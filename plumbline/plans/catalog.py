@@ -18,7 +18,7 @@ from plumbline.plans.scene import IMAGE_H, IMAGE_W, VIEW, paths, source_dir, tab
 from plumbline.sources import archives, files, folders, images, legacy, records
 from plumbline.sources.shared import exists, folder_of
 from plumbline.sources.sink import write_files
-from plumbline.streaming import build
+from plumbline.streaming import build, totals
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
@@ -230,6 +230,17 @@ def query_progress_cumsum(spark, sf_dir):
     return stats.progress(_scenes(spark, sf_dir))
 
 
+def query_stream_totals(spark, sf_dir):
+    """Totals by folder kept by a stream to which scenes come in three parts, each taken by a run that goes on from the last; a seventh of the scenes is skipped."""
+    folder = folder_of(spark, sf_dir, "totals")
+    scenes = _scenes(spark, sf_dir).select("source_dir", F.when(F.col("scene_id") % 7 != 0, F.col("n")).alias("n"), (F.col("scene_id") % 3).alias("part"))
+    for part in range(3):
+        if not exists(spark, f"{folder}/in/{part}/_SUCCESS"):
+            scenes.where(F.col("part") == part).drop("part").write.mode("overwrite").parquet(f"{folder}/in/{part}")
+        totals.follow(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return totals.latest(spark.read.parquet(f"{folder}/out"))
+
+
 def query_union_splits(spark, sf_dir):
     scenes = _scenes(spark, sf_dir).select("split", "source_dir", "scene_id")
     parts = [scenes.where(F.col("source_dir") == d) for d in ("train_set_1", "train_set_2", "test_set")]
@@ -293,21 +304,29 @@ def query_file_inventory(spark, sf_dir):
     return files.located(_crops(spark, sf_dir)).where("stem <> 'original'").select("source_dir", "stem", "suffix", "o_orderkey")
 
 
-def svg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each scene drawn as SVG text, its paths in a group."""
+def svg_documents(spark: SparkSession, sf_dir: str, curved: bool = False) -> DataFrame:
+    """Each scene drawn as SVG text, its paths in a group: straight lines, or also curves and arcs that fill their boxes."""
+    data = lambda form, *parts: F.format_string(form, *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
     number = lambda c: F.col(c).cast("string")
     instance = F.when(F.col("iid") != -1, F.concat(F.lit(' instance-id="'), number("iid"), F.lit('"'))).otherwise("")
-    drawn = F.concat(
-        F.lit('<path d="M '), number("x0"), F.lit(" "), number("y0"), F.lit(" L "), number("x1"), F.lit(" "), number("y1"),
-        F.lit('" semantic-id="'), number("sid"), F.lit('"'), instance, F.lit("/>"),
-    )
+    w, h, shape = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("ord") % 5
+    line = data("M %s %s L %s %s", "x0", "y0", "x1", "y1")
+    if curved:
+        line = (
+            F.when(shape == 1, data("M %s %s H %s V %s h %s z", "x0", "y0", "x1", "y1", -w))
+            .when(shape == 2, data("M %s %s Q %s %s %s %s", "x0", "y0", F.col("x0") + w / 2, F.col("y0") + 2 * h, "x1", "y0"))
+            .when(shape == 3, data("M %s %s A %s %s 0 0 0 %s %s", "x0", "y0", w / 2, h, "x1", "y0"))
+            .when(shape == 4, data("m %s %s c %s %s %s %s %s 0", "x0", "y0", w / 4, h * 4 / 3, w * 3 / 4, h * 4 / 3, w))
+            .otherwise(line)
+        )
+    drawn = F.concat(F.lit('<path d="'), line, F.lit('" semantic-id="'), number("sid"), F.lit('"'), instance, F.lit("/>"))
     rows = paths(spark, sf_dir).select("scene_id", F.struct("ord", drawn.alias("path")).alias("p"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["path"]), "")
     return rows.groupBy("scene_id").agg(F.concat(F.lit('<svg viewBox="0 0 100 100"><g>'), body, F.lit("</g></svg>")).alias("svg"))
 
 
 def query_svg_roundtrip(spark, sf_dir):
-    found = svg.with_boxes(svg.elements(svg_documents(spark, sf_dir)))
+    found = svg.with_boxes(svg.elements(svg_documents(spark, sf_dir, curved=True)))
     return rounded(found, "x0", "y0", "x1", "y1").drop("d")
 
 

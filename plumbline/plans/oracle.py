@@ -166,6 +166,8 @@ ORACLE = {
     "periodic_epochs": "SELECT run, epoch, round(loss, 6) AS loss FROM epochs WHERE epoch % 5 = 0",
     "run_totals_rollup": "SELECT split, source_dir, count(*) AS samples, CAST(sum(n) AS BIGINT) AS instances, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM scenes GROUP BY ROLLUP (split, source_dir)",
     "progress_cumsum": "SELECT source_dir, scene_id, CAST(sum(n) OVER w AS BIGINT) AS running, count(*) OVER w AS done FROM scenes WINDOW w AS (PARTITION BY source_dir ORDER BY scene_id ROWS UNBOUNDED PRECEDING)",
+    "stream_totals": """SELECT source_dir, CAST(sum(CASE WHEN scene_id % 7 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS processed, CAST(sum(CASE WHEN scene_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
+        CAST(sum(CASE WHEN scene_id % 7 <> 0 THEN n ELSE 0 END) AS BIGINT) AS instances FROM scenes GROUP BY 1""",
     "union_splits": "SELECT split, source_dir, scene_id FROM scenes",
     "tokenize_prompts": f"SELECT class_id, {_tokens(chr(39) + 'Find ' + chr(39) + ' || class_name || ' + chr(39) + ' in this floor plan drawing' + chr(39))} AS ids FROM dim",
     "tokenize_documents": f"SELECT doc_id, {_tokens('text')} AS ids FROM documents",

@@ -4,11 +4,14 @@ import hashlib
 import io
 import json
 import math
+import random
 import re
 import struct
 import tarfile
+import tracemalloc
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,11 +19,12 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions import dims, geometry, kernels, svg, text
-from plumbline.operators import annotate, decode, losses, samples, stats, targets
+from plumbline.functions import dims, geometry, svg, text
+from plumbline.functions.pathboxes import path_boxes
+from plumbline.operators import annotate, decode, losses, routing, samples, stats, targets
 from plumbline.plans import catalog
 from plumbline.sources import files, images, legacy
-from plumbline.streaming import build
+from plumbline.streaming import build, totals
 from tests.conftest import SF
 
 
@@ -118,6 +122,59 @@ def test_draws_follow_the_weights(spark):
     assert samples.weighted_draws(rows).count() == 1000
 
 
+def test_draws_by_given_weights(spark, monkeypatch):
+    """Frequencies follow the weights, however uneven; heavy samples are dealt in pieces; nothing without a weight is drawn."""
+    for block in (65_536, 50):
+        monkeypatch.setattr(samples, "RANK_BLOCK", block)
+        weights = {i: (0.0 if i % 11 == 0 else None if i % 13 == 0 else 400.0 if i == 5 else 1.0 + i % 3) for i in range(600)}
+        rows = spark.createDataFrame(list(weights.items()), "idx long, weight double").repartition(3)
+        found = samples.draws_by_weight(rows, 20_000).collect()
+        assert sorted(r.draw for r in found) == list(range(20_000))
+        counts, total = Counter(r.pick for r in found), sum(w or 0 for w in weights.values())
+        assert all(weights[i] for i in counts)
+        for group in ([5], [i for i in weights if i % 3 == 0 and i != 5], [i for i in weights if i % 3 == 2 and i != 5]):
+            share = sum(weights[i] or 0 for i in group) / total
+            assert sum(counts[i] for i in group) == pytest.approx(20_000 * share, abs=5 * math.sqrt(20_000 * share))
+    assert samples.draws_by_weight(rows.where("idx % 11 = 0")).count() == 0 and samples.draws_by_weight(rows.limit(0)).count() == 0
+    assert samples.draws_by_weight(rows.where("idx = 5"), 7).count() == 7
+
+
+def test_hot_classes_go_to_several_tasks(spark):
+    rows = [(i, 3 if i % 2 else i % 5 + 10, [float(i), 1.0]) for i in range(2000)] + [(5000, 99, [1.0, 1.0]), (5001, None, [1.0, 1.0]), (5002, 3, None)]
+    data = spark.createDataFrame(rows, "sample_id long, class_id int, values array<double>").repartition(4)
+    kernels = routing.kernels_of(spark.createDataFrame([(c, [float(c), 2.0]) for c in (3, 10, 11, 12, 13, 14)], "class_id int, values array<double>"))
+    kernel = lambda x, w: {"out": x @ w, "group": np.full(len(x), len(x))}
+    found = {r.sample_id: r for r in routing.by_class(data, kernels, kernel, "out double, group long", group_rows=150).collect()}
+    assert len(found) == len(rows) and all(found[i].out is None for i in (5000, 5001, 5002))
+    assert all(found[i].out == i * c + 2 for i, c, _ in rows[:2000])
+    # Half of all rows have class 3: dealt by hash into parts of about the size asked for.
+    assert max(found[i].group for i, c, _ in rows[:2000] if c == 3) < 250
+    every = routing.by_every_class(data, kernels, kernel, "out double, group long").collect()
+    assert {(r.sample_id, r.class_id): r.out for r in every} == {(i, c): v[0] * c + 2 for i, _, v in rows if v for c in kernels}
+    with pytest.raises(ValueError, match="classes"):
+        routing.kernels_of(spark.range(1001).selectExpr("id as class_id", "array(1.0) as values"))
+
+
+def test_totals_follow_a_stream(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(f"set_{i % 3 % 2}", None if i % 10 == 0 else i % 4) for i in range(2400)] + [(None, 5)]
+    listener = totals.ProgressLines()
+    spark.streams.addListener(listener)
+    for part in range(3):
+        spark.createDataFrame(rows[part::3] if part < 2 else rows[2::3], "source_dir string, n long").repartition(3).write.parquet(f"{source}/{part}")
+        # Every run starts anew from what the last one left.
+        totals.follow(spark, source, target, state).awaitTermination()
+    totals.follow(spark, source, target, state).awaitTermination()
+    written = spark.read.parquet(target)
+    expected = {(d, sum(a == d and n is not None for a, n in rows), sum(a == d and n is None for a, n in rows), sum(n or 0 for a, n in rows if a == d)) for d in ("set_0", "set_1")}
+    assert {tuple(r) for r in totals.latest(written).collect()} == expected
+    # A line whenever a multiple of 500 is passed, once.
+    lines = [(r.source_dir, r.line) for r in written.where("line is not null").collect()]
+    assert sorted(lines) == sorted(set(lines)) and max(n for d, n in lines if d == "set_0") == 1000
+    spark.streams.removeListener(listener)
+    assert sum("rows" in line for line in listener.lines) == 3
+
+
 def test_index_is_gapless_on_any_blocks(spark):
     rows = spark.range(100).withColumn("block", F.col("id") % 7)
     found = samples.with_index(rows, ["block"], ["id"]).orderBy("block", "id").collect()
@@ -153,6 +210,55 @@ def test_polyline_boxes(points):
     assert box == (min(xs), min(ys), max(xs), max(ys))
 
 
+def random_path(draw, segments, wrong):
+    """Path data of all commands, numbers written in all ways, now and then one that cannot be read."""
+    number = lambda: draw.choice([str(draw.randint(-50, 50)), f"{draw.uniform(-90, 90):.3f}", f".{draw.randint(0, 99)}", f"{draw.randint(1, 9)}.", f"{draw.uniform(-9, 9):.2e}", "+3", "1e1"])
+    out = []
+    for i in range(segments):
+        command = "M" if i == 0 and draw.random() < 0.97 else draw.choice("MLHVCSQTAZ")
+        size = svg.ARGUMENTS[command]
+        numbers = [draw.choice("01") if command == "A" and k % 7 in (3, 4) else number() for k in range(size * draw.choice([1, 1, 2, 3]))]
+        text = draw.choice([command, command.lower()])
+        for k, n in enumerate(numbers[: -1 if draw.random() < wrong else None]):
+            text += (draw.choice([" ", ",", ", "]) if k and not (n[0] in "+-" and draw.random() < 0.5) else "") + n
+        out.append(text + (draw.choice(["x", "é", "e5", "-", "1e", ".", "..5", "--1", "2e3e4"]) if draw.random() < wrong / 2 else ""))
+    return draw.choice(["", " "]).join(out)
+
+
+def test_boxes_of_many_paths_equal_those_one_by_one():
+    draw = random.Random(4)
+    many = [random_path(draw, draw.randint(0, 9), 0.02) for _ in range(3000)] + [random_path(draw, 200, 0) for _ in range(4)] + ["", None, "M 0 0", "M 0 0z", "1 2", "M1.5.5.5e1.5L0 0", *GOLDEN]
+    plain = [svg.path_box(d) for d in many]
+    found = path_boxes(many)
+    assert 0.1 < sum(p is None for p in plain) / len(plain) < 0.5
+    for d, p, box in zip(many, plain, found.tolist()):
+        assert math.isnan(box[0]) if p is None else box == pytest.approx(p, rel=1e-6, abs=1e-6), d
+    # Few paths at a time go on one by one, and a path by itself is the same as among others.
+    for d, box in list(zip(many, found))[::40]:
+        assert np.array_equal(path_boxes([d])[0], box, equal_nan=True)
+    lines = [f"M {draw.uniform(0, 99)} {draw.uniform(0, 99)} L {draw.uniform(0, 99)} {draw.uniform(0, 99)}" for _ in range(500)]
+    assert path_boxes(lines).tolist() == [list(svg.path_box(d)) for d in lines]
+    assert path_boxes([]).shape == (0, 4) and np.isnan(path_boxes(["", None])).all()
+
+
+def test_long_drawings_are_read_in_parts(monkeypatch):
+    path = b'<g><path d="M 0 0 L 1 1" semantic-id="%d" instance-id="2"/></g>'
+    long = b'<svg viewBox="0 0 5 5">' + b"".join(path % (i % 30) for i in range(400_000)) + b"</svg>"
+    tracemalloc.start()
+    n = sum(len(part) for part in svg.elements_of(memoryview(long)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400_000 and len(long) > 24_000_000 and peak < 16_000_000
+    # In parts or whole: the same elements, and none where the end is missing.
+    short = b'<?xml version="1.0"?><svg viewBox="0 0 5 5"><!-- x --><g><g>' + path % 3 + b"<path/></g>" + path % 4 + b'</g><a:b xmlns:a="u" d="z" semantic-id="5" a:d="no"/></svg>'
+    whole = [row for part in svg.elements_of(short) for row in part]
+    assert [(r[0], r[2], r[4]) for r in whole] == [(4, "3", "0 0 5 5"), (7, "4", "0 0 5 5"), (8, "5", "0 0 5 5")]
+    monkeypatch.setattr(svg, "PART_BYTES", 7)
+    assert [row for part in svg.elements_of(short) for row in part] == whole
+    for broken in (short[:-3], short + b"<", short.replace(b"</g>", b"", 1), b"<svg>&no;</svg>", b""):
+        assert list(svg.elements_of(broken)) == []
+
+
 def test_elements(spark):
     drawing = '<svg viewBox="10 10 50 50"><g><path d="M0 0L1 1" semantic-id="3" instance-id=""/><path d="M0 0L1 1"/><rect semantic-id="4"/><path d="M0 0L2 2" semantic-id="x"/><path d="M0 0L2 2" semantic-id="5" instance-id="9"/></g></svg>'
     docs = spark.createDataFrame([(1, drawing), (2, "<svg><path"), (3, None)], "scene_id long, svg string")
@@ -317,14 +423,3 @@ def test_ranks_and_sums_go_block_by_block(spark, monkeypatch):
         totals[d] = (total if n is None else (total or 0) + n, done + 1)
         expected.add((d, s, *totals[d]))
     assert {tuple(r) for r in out.collect()} == expected
-
-
-def test_kernels():
-    rng = np.random.default_rng(0)
-    x, w = rng.standard_normal((5, 16)), [rng.standard_normal((16, 16)) for _ in range(4)]
-    assert kernels.self_attention(x, *w, heads=4).shape == (5, 16)
-    same = kernels.self_attention(np.ones((3, 16)), np.eye(16), np.eye(16), np.eye(16), np.eye(16), 4)
-    assert np.allclose(same, 1)
-    assert np.allclose(kernels.film(x, np.zeros((2, 16)), w[0], w[1]), x)
-    assert np.allclose(kernels.layer_norm(x, np.ones(16), np.zeros(16)).mean(-1), 0, atol=1e-9)
-    assert np.allclose(kernels.mean_pool(x), x.mean(0)) and kernels.silu(np.zeros(1))[0] == 0
