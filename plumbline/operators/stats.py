@@ -65,9 +65,16 @@ def best_so_far(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_mean(metrics: DataFrame, keys: list[str], every: int = 20) -> DataFrame:
-    """Mean loss up to a step, at every ``every``-th step."""
-    upto = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return metrics.withColumn("mean_loss", F.avg("loss").over(upto)).where(F.col("step") % every == 0)
+    """Mean loss up to a step, at every ``every``-th step: of a block of steps, on top of the blocks before it. Null losses do not count; steps have no repeats."""
+    blocks = metrics.withColumn("_block", F.expr(f"step div {SCENE_BLOCK}"))
+    totals = blocks.groupBy(*keys, "_block").agg(F.sum("loss").alias("_sum"), F.count("loss").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    starts = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier), zero).alias("_before"), F.coalesce(F.sum("_n").over(earlier), zero).alias("_n_before"))
+    upto = Window.partitionBy(*keys, "_block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    inside = blocks.withColumns({"_inside": F.coalesce(F.sum("loss").over(upto), zero), "_n_inside": F.count("loss").over(upto)}).where(F.col("step") % every == 0)
+    mean = F.try_divide(F.col("_before") + F.col("_inside"), F.col("_n_before") + F.col("_n_inside"))
+    return inside.join(starts, [*keys, "_block"]).select(*metrics.columns, mean.alias("mean_loss"))
 
 
 def periodic(metrics: DataFrame, every: int = 5) -> DataFrame:

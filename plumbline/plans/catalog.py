@@ -106,8 +106,14 @@ def _crops(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("crops/"), name, F.lit(".png")).alias("path"), "o_orderkey")
 
 
+def _classes(spark, sf_dir):
+    """The classes that have samples, and how many."""
+    counts = samples.class_counts(samples.expanded(_boxes(spark, sf_dir))).select("class_id", "n")
+    return class_dim(spark).join(counts, "class_id")
+
+
 def query_class_dim(spark, sf_dir):
-    return class_dim(spark).withColumn("prompt", prompt(F.col("class_name")))
+    return _classes(spark, sf_dir).select("sid", "class_name", "class_id", "n", prompt(F.col("class_name")).alias("prompt"))
 
 
 def query_pixel_boxes(spark, sf_dir):
@@ -185,6 +191,12 @@ def query_decode_topk(spark, sf_dir):
     return rounded(top, "score", "x0", "y1").select("scene_id", "class_id", "rank", "y", "x", "score", "x0", "y1")
 
 
+def query_decode_top5(spark, sf_dir):
+    """Few peaks and a high bar, so that both the limit and the threshold leave boxes out."""
+    top = decode.boxes(decode.ranked(decode.local_maxima(_preds(spark, sf_dir)), 5, 0.7))
+    return rounded(top, "score", "x0", "y1").select("scene_id", "class_id", "rank", "y", "x", "score", "x0", "y1")
+
+
 def query_class_best_score(spark, sf_dir):
     return rounded(decode.best_classes(_preds(spark, sf_dir)), "score")
 
@@ -207,7 +219,9 @@ def query_epoch_means(spark, sf_dir):
 
 
 def query_lr_schedule(spark, sf_dir):
-    return rounded(losses.lr_schedule(spark, 44_229, 16, 10, 500, 1e-4), "lr", digits=10)
+    """The rates of every step of ten epochs over the table's samples."""
+    n = samples.expanded(_boxes(spark, sf_dir)).count()
+    return rounded(losses.lr_schedule(spark, n, 4, 10, 500, 1e-4), "lr", digits=10)
 
 
 def query_running_best(spark, sf_dir):
@@ -215,7 +229,9 @@ def query_running_best(spark, sf_dir):
 
 
 def query_running_mean_log(spark, sf_dir):
-    return rounded(stats.running_mean(_metrics(spark, sf_dir), ["run", "epoch"]), "mean_loss").drop("loss")
+    means = stats.running_mean(_metrics(spark, sf_dir), ["run", "epoch"])
+    # Means of cents tie at the sixth decimal, and sums in another order would fall on either side.
+    return means.select("run", "epoch", "step", F.round(F.col("mean_loss") + 1e-9, 6).alias("mean_loss"))
 
 
 def query_periodic_epochs(spark, sf_dir):
@@ -252,7 +268,7 @@ def _joined_ids(column):
 
 
 def query_tokenize_prompts(spark, sf_dir):
-    return class_dim(spark).select("class_id", _joined_ids(text.word_ids(prompt(F.col("class_name")))).alias("ids"))
+    return _classes(spark, sf_dir).select("class_id", _joined_ids(text.word_ids(prompt(F.col("class_name")))).alias("ids"))
 
 
 def query_tokenize_documents(spark, sf_dir):
@@ -549,6 +565,14 @@ def query_image_normalise(spark, sf_dir):
     return values.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+def query_image_normalise_colour(spark, sf_dir):
+    """Vectors as colour images of 7 x 3 pixels, made 5 x 5 and normalised: neither size is a multiple of the other."""
+    pixels = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda v: F.lpad(F.hex(_as_byte(v)), 2, "0")), ""))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(7).alias("width"), F.lit(3).alias("height"), F.lit(3).alias("channels"), pixels.alias("pixels"))
+    values = images.normalised(rows, 5).select("vec_id", F.posexplode("values").alias("pos", "value"))
+    return values.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 def query_composited(spark, sf_dir):
     """Vectors as pixels over white: transparent colours, grey ones, and colours of a palette, in turn."""
     as_bytes = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(_as_byte(v)), 2, "0")), ""))
@@ -592,28 +616,34 @@ def query_hash_shuffle(spark, sf_dir):
     return samples.with_index(dealt, ["block"], ["u", "idx"], "place").select("idx", "place")
 
 
-HEADERS = {
-    "a.zip": "504b030414000600", "b.xz": "fd377a585a000004", "c.xz": "79377a585a000004", "d.gz": "1f8b080000000000",
-    "e.png": "89504e470d0a1a0a0000000d4948445200000400000003000802000000", "f.bin": "00", "g.empty": "",
-}
+#: Beginnings of files of each format, of others, and none.
+HEADERS = ("504b0304", "fd377a585a00", "79377a585a", "1f8b", "89504e470d0a1a0a", "00", "")
 
 
-def _headers(spark):
-    return spark.createDataFrame([(k, bytearray.fromhex(v)) for k, v in HEADERS.items()], "name string, content binary")
+def _headed(spark, sf_dir):
+    """Documents as files that begin like one format or another."""
+    head = F.get(F.array(*map(F.lit, HEADERS)), (F.col("doc_id") % len(HEADERS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(head), F.encode("text", "UTF-8")).alias("content"))
 
 
 def query_magic_bytes(spark, sf_dir):
-    return _headers(spark).select("name", files.file_format(F.col("content")).alias("format"))
+    return _headed(spark, sf_dir).select("doc_id", files.file_format(F.col("content")).alias("format"))
+
+
+def query_archive_formats(spark, sf_dir):
+    """Formats of the archives and images that lie in folders."""
+    found = files.listing(spark, f"{archive_folder(spark, sf_dir)}/zips", ".*").unionByName(files.listing(spark, scan_folder(spark, sf_dir), ".png", recursive=True))
+    return files.located(found).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), files.file_format(F.col("content")).alias("format"))
 
 
 def query_png_dims(spark, sf_dir):
+    """Sizes in image headers made from documents: as wide as the text is long; every fifth one is no image, every seventh is cut short."""
+    number = lambda c: F.lpad(F.hex(c), 8, "0")
+    begin = F.when(F.col("doc_id") % 5 == 0, "504b0304504b0304").otherwise("89504e470d0a1a0a")
+    header = F.unhex(F.concat(begin, F.lit("0000000d49484452"), number(F.col("n_chars")), number(F.col("doc_id") + 1)))
+    content = F.when(F.col("doc_id") % 7 == 0, F.substring(header, 1, 20)).otherwise(header)
     w, h = files.png_size(F.col("content"))
-    return _headers(spark).select("name", w.alias("width"), h.alias("height"))
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content")).select("doc_id", w.alias("width"), h.alias("height"))
 
 
 QUERIES = {name.removeprefix("query_"): f for name, f in list(globals().items()) if name.startswith("query_")}
-
-LITERAL_ORACLE = {
-    "magic_bytes": "SELECT * FROM (VALUES ('a.zip', 'zip'), ('b.xz', 'xz'), ('c.xz', 'xz'), ('d.gz', 'gz'), ('e.png', 'unknown'), ('f.bin', 'unknown'), ('g.empty', 'unknown')) t(name, format)",
-    "png_dims": "SELECT * FROM (VALUES ('a.zip', NULL, NULL), ('b.xz', NULL, NULL), ('c.xz', NULL, NULL), ('d.gz', NULL, NULL), ('e.png', 1024, 768), ('f.bin', NULL, NULL), ('g.empty', NULL, NULL)) t(name, width, height)",
-}

@@ -70,8 +70,9 @@ STEPS = {
         sum((CASE WHEN abs(dx - tdx) < 1 THEN 0.5 * (dx - tdx) * (dx - tdx) ELSE abs(dx - tdx) - 0.5 END + CASE WHEN abs(dy - tdy) < 1 THEN 0.5 * (dy - tdy) * (dy - tdy) ELSE abs(dy - tdy) - 0.5 END) * mask) / (sum(mask * 2) + 1e-4::DOUBLE) AS offset_l1
         FROM cells GROUP BY epoch, batch_id""",
     "losses": "SELECT epoch, batch_id, 10 * focal + size_l1 + offset_l1 AS loss, focal, size_l1, offset_l1, num_pos FROM focal JOIN l1 USING (epoch, batch_id)",
-    "maxima": """SELECT p.* FROM preds p JOIN (SELECT scene_id, class_id, preds.y + a.j AS y, preds.x + b.i AS x, max(score) AS best FROM preds, range(-1, 2) a(j), range(-1, 2) b(i) GROUP BY ALL) n
-        USING (scene_id, class_id, y, x) WHERE score = best""",
+    "maxima": """SELECT * FROM (SELECT *, greatest(score, coalesce(max(score) OVER (PARTITION BY scene_id, class_id ORDER BY y * 65 + x RANGE BETWEEN 66 PRECEDING AND 64 PRECEDING), score),
+        max(score) OVER (PARTITION BY scene_id, class_id ORDER BY y * 65 + x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING),
+        coalesce(max(score) OVER (PARTITION BY scene_id, class_id ORDER BY y * 65 + x RANGE BETWEEN 64 FOLLOWING AND 66 FOLLOWING), score)) AS best FROM preds) WHERE score = best""",
     "ranked": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scene_id, class_id ORDER BY score DESC, y * 64 + x) AS INTEGER) AS rank FROM maxima) WHERE rank <= 50 AND score >= 0.3",
     "metrics": "SELECT user_id % 5 AS run, event_id % 50 AS epoch, event_id AS step, value AS loss FROM events",
     "epochs": "SELECT run, epoch, avg(loss) AS loss FROM metrics GROUP BY 1, 2",
@@ -131,7 +132,7 @@ _UNIFORM = "((((12345 * 48271 + {a}) % 2147483647) * 48271 + {b}) % 2147483647 *
 _HEAD = "round(1 / (1 + exp(-list_dot_product(e.v, m.v))), 6) AS score, round(greatest(list_dot_product(e.v, m.v) - 0.25, 0.0::DOUBLE), 6) AS size"
 
 ORACLE = {
-    "class_dim": "SELECT sid, class_name, class_id, 'Find ' || class_name || ' in this floor plan drawing' AS prompt FROM dim",
+    "class_dim": "SELECT sid, class_name, class_id, n, 'Find ' || class_name || ' in this floor plan drawing' AS prompt FROM dim JOIN (SELECT class_id, n FROM counts) USING (class_id)",
     "pixel_boxes": "SELECT scene_id, ord, sid, iid, px0, py0, px1, py1 FROM pixel_paths",
     "instance_union": "SELECT scene_id, sid, iid, ord, class_name, class_id, px0, py0, px1, py1 FROM boxes",
     "instance_union_merged": "SELECT scene_id, sid, iid, ord, class_name, class_id, px0, py0, px1, py1 FROM merged_boxes",
@@ -155,21 +156,24 @@ ORACLE = {
         round((x + dx) * 8 + w * 4, 6) AS x1, round((y + dy) * 8 + h * 4, 6) AS y1 FROM winners""",
     "local_maxima": "SELECT scene_id, class_id, y, x, round(score, 6) AS score FROM maxima",
     "decode_topk": "SELECT scene_id, class_id, rank, y, x, round(score, 6) AS score, round((x + dx) * 8 - w * 4, 6) AS x0, round((y + dy) * 8 + h * 4, 6) AS y1 FROM ranked",
+    "decode_top5": """SELECT scene_id, class_id, rank, y, x, round(score, 6) AS score, round((x + dx) * 8 - w * 4, 6) AS x0, round((y + dy) * 8 + h * 4, 6) AS y1
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scene_id, class_id ORDER BY score DESC, y * 64 + x) AS INTEGER) AS rank FROM maxima) WHERE rank <= 5 AND score >= 0.7""",
     "class_best_score": "SELECT class_id, round(max(score), 6) AS score FROM preds GROUP BY 1 ORDER BY max(score) DESC, class_id LIMIT 5",
     "focal_loss": "SELECT batch_id, num_pos, round(focal, 6) AS focal FROM focal",
     "smooth_l1_masked": "SELECT batch_id, round(size_l1, 6) AS size_l1, round(offset_l1, 6) AS offset_l1 FROM l1",
     "total_loss": "SELECT batch_id, round(loss, 5) AS loss, num_pos FROM losses",
     "epoch_means": "SELECT epoch, round(avg(loss), 5) AS loss, round(avg(focal), 6) AS focal, round(avg(num_pos), 6) AS num_pos, count(*) AS n_batches FROM losses GROUP BY 1",
-    "lr_schedule": """SELECT t AS step, round(CASE WHEN t < 500 THEN 1e-4::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * t / 500) ELSE 1e-6::DOUBLE + (1e-4::DOUBLE - 1e-6::DOUBLE) * (1 + cos(pi() * (t - 500) / (27650 - 500))) / 2 END, 10) AS lr FROM range(27650) r(t)""",
+    "lr_schedule": """SELECT t AS step, round(CASE WHEN t < rise THEN 1e-4::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * t / rise) ELSE 1e-6::DOUBLE + (1e-4::DOUBLE - 1e-6::DOUBLE) * (1 + cos(pi() * (t - rise) / greatest(1, total - rise))) / 2 END, 10) AS lr
+        FROM (SELECT total, least(500, greatest(1, total - 1)) AS rise, unnest(range(total)) AS t FROM (SELECT greatest(1, 10 * ((count(*) + 3) // 4)) AS total FROM expanded))""",
     "running_best": """SELECT run, epoch, round(loss, 6) AS loss FROM (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM epochs) WHERE before IS NULL OR loss < before""",
-    "running_mean_log": """SELECT run, epoch, step, round(m, 6) AS mean_loss FROM (SELECT *, avg(loss) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING) AS m FROM metrics) WHERE step % 20 = 0""",
+    "running_mean_log": """SELECT run, epoch, step, round(m + 1e-9, 6) AS mean_loss FROM (SELECT *, avg(loss) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING) AS m FROM metrics) WHERE step % 20 = 0""",
     "periodic_epochs": "SELECT run, epoch, round(loss, 6) AS loss FROM epochs WHERE epoch % 5 = 0",
     "run_totals_rollup": "SELECT split, source_dir, count(*) AS samples, CAST(sum(n) AS BIGINT) AS instances, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM scenes GROUP BY ROLLUP (split, source_dir)",
     "progress_cumsum": "SELECT source_dir, scene_id, CAST(sum(n) OVER w AS BIGINT) AS running, count(*) OVER w AS done FROM scenes WINDOW w AS (PARTITION BY source_dir ORDER BY scene_id ROWS UNBOUNDED PRECEDING)",
     "stream_totals": """SELECT source_dir, CAST(sum(CASE WHEN scene_id % 7 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS processed, CAST(sum(CASE WHEN scene_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
         CAST(sum(CASE WHEN scene_id % 7 <> 0 THEN n ELSE 0 END) AS BIGINT) AS instances FROM scenes GROUP BY 1""",
     "union_splits": "SELECT split, source_dir, scene_id FROM scenes",
-    "tokenize_prompts": f"SELECT class_id, {_tokens(chr(39) + 'Find ' + chr(39) + ' || class_name || ' + chr(39) + ' in this floor plan drawing' + chr(39))} AS ids FROM dim",
+    "tokenize_prompts": f"SELECT class_id, {_tokens(chr(39) + 'Find ' + chr(39) + ' || class_name || ' + chr(39) + ' in this floor plan drawing' + chr(39))} AS ids FROM dim WHERE class_id IN (SELECT class_id FROM counts)",
     "tokenize_documents": f"SELECT doc_id, {_tokens('text')} AS ids FROM documents",
     "extract_class": "SELECT o_orderkey, CASE WHEN name <> 'original' THEN regexp_replace(name, '_[0-9]+$', '') END AS class_name FROM names",
     "collect_classes": "SELECT string_agg(c, ',' ORDER BY c) AS classes, count(*) AS n FROM (SELECT DISTINCT regexp_replace(name, '_[0-9]+$', '') AS c FROM names WHERE name <> 'original')",
@@ -196,6 +200,16 @@ ORACLE = {
     "archive_members": """SELECT 'part' || part || CASE WHEN part % 5 = 4 THEN '.tar.gz' ELSE '.zip' END AS archive, 'docs/' || doc_id || '.txt' AS member, size, "offset", md5(content[CAST("offset" + 1 AS INTEGER):CAST("offset" + 16384 AS INTEGER)]) AS digest, false AS failed
         FROM (SELECT doc_id, doc_id // 64 AS part, encode(text) AS content, octet_length(encode(text)) AS size, unnest(range(0, greatest(1, octet_length(encode(text))), 16384)) AS "offset" FROM documents)""",
     "ingested_folders": "SELECT 'part' || (doc_id // 64) AS folder, count(*) AS n_files FROM documents GROUP BY 1",
+    "image_normalise_colour": """WITH px AS (SELECT vec_id, CAST(trunc(greatest(0, least(255, (embedding[p + 1]::DOUBLE * 0.5 + 0.5) * 255))) AS DOUBLE) AS v, p // 21 AS y, p // 3 % 7 AS x, 2 - p % 3 AS c FROM embeddings, range(63) r(p)),
+        wide AS (SELECT o, i, greatest(0, 1 - abs(i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * (7 / 5.0::DOUBLE)) / (7 / 5.0::DOUBLE)) AS w FROM range(5) a(o), range(7) b(i)),
+        high AS (SELECT o, i, greatest(0, 1 - abs(i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * (3 / 5.0::DOUBLE))) AS w FROM range(5) a(o), range(3) b(i)),
+        across AS (SELECT vec_id, c, y, o AS x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM px JOIN wide ON i = x GROUP BY 1, 2, 3, 4),
+        square AS (SELECT vec_id, c, o AS y, x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM across JOIN high ON i = y GROUP BY 1, 2, 3, 4)
+        SELECT vec_id, c * 25 + y * 5 + x AS pos, round(CAST(CAST(v / 127.5 - 1 AS FLOAT) AS DOUBLE), 5) AS value FROM square""",
+    "magic_bytes": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'zip' WHEN 1 THEN 'xz' WHEN 2 THEN 'xz' WHEN 3 THEN 'gz' ELSE 'unknown' END AS format FROM documents",
+    "archive_formats": """SELECT 'part' || part || CASE WHEN part % 5 = 4 THEN '.tar.gz' ELSE '.zip' END AS name, CASE WHEN part % 5 = 4 THEN 'gz' ELSE 'zip' END AS format FROM (SELECT DISTINCT doc_id // 64 AS part FROM documents)
+        UNION ALL SELECT scene_id || '.png', 'unknown' FROM scenes WHERE scene_id % 11 <> 0""",
+    "png_dims": "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN CAST(n_chars AS INTEGER) END AS width, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN CAST(doc_id + 1 AS INTEGER) END AS height FROM documents",
     "composited": """WITH px AS (SELECT vec_id, vec_id % 3 AS kind, list_transform(embedding, lambda v: CAST(trunc(greatest(0, least(255, (v::DOUBLE * 0.5 + 0.5) * 255))) AS INTEGER)) AS b FROM embeddings),
         flat AS (SELECT vec_id, CASE kind WHEN 0 THEN b[p // 3 * 4 + p % 3 + 1] WHEN 1 THEN b[p // 3 * 2 + 1] ELSE CASE WHEN b[p // 3 + 1] % 20 < 16 THEN b[b[p // 3 + 1] % 20 * 4 + p % 3 + 1] ELSE 0 END END AS v,
         CASE kind WHEN 0 THEN b[p // 3 * 4 + 4] WHEN 1 THEN b[p // 3 * 2 + 2] ELSE CASE WHEN b[p // 3 + 1] % 20 < 16 THEN b[b[p // 3 + 1] % 20 * 4 + 4] ELSE 0 END END AS a, p

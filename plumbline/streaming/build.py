@@ -25,20 +25,26 @@ def annotated(docs: DataFrame, width: int, height: int, view_w: float | None = N
     return annotate.annotated(paths, width, height, "view_w" if view_w is None else view_w, "view_h" if view_h is None else view_h, min_size=min_size)
 
 
-def run_incrementally(spark: SparkSession, source: str, target: str, checkpoint: str, width: int, height: int, min_size: int = annotate.MIN_SIZE, sizes: DataFrame | None = None) -> StreamingQuery:
-    """Annotates what arrives in ``source`` (Parquet of ``DOCS``) and appends to ``target``; what is done is never done again.
+def last_versions(batch: DataFrame, version: str | None = None) -> DataFrame:
+    """One drawing of each scene: the one with the greatest ``version``, a column of whole numbers; ties, and all without one, by the text. Null texts count last."""
+    rank = F.struct(F.col(version).cast("long").alias("v"), "svg") if version else F.struct("svg")
+    return batch.groupBy("scene_id").agg(F.max_by("svg", rank).alias("svg"))
+
+
+def run_incrementally(spark: SparkSession, source: str, target: str, checkpoint: str, width: int, height: int, min_size: int = annotate.MIN_SIZE, sizes: DataFrame | None = None, version: str | None = None) -> StreamingQuery:
+    """Annotates what arrives in ``source`` (Parquet of ``DOCS``, and ``version`` where one is named) and appends to ``target``; what is done is never done again.
 
     A scene's drawing arrives in one piece, so each micro-batch is complete in
-    itself. The batch number names its folder, which makes a repeated batch
+    itself; of several drawings of a scene in a batch the last version counts.
+    The batch number names its folder, which makes a repeated batch
     overwrite itself. Ends when all that is there is done.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["scene_id"])
-        boxes = annotated(fresh, width, height, min_size=min_size, sizes=sizes).withColumn("min_size", F.lit(min_size))
+        boxes = annotated(last_versions(batch, version), width, height, min_size=min_size, sizes=sizes).withColumn("min_size", F.lit(min_size))
         boxes.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(DOCS).parquet(source)
+    stream = spark.readStream.schema(DOCS + (f", {version} long" if version else "")).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

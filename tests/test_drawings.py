@@ -378,6 +378,27 @@ def test_incremental_build_does_each_drawing_once(spark, tmp_path):
     assert 0 < first < both.count() == catalog.QUERIES["instance_union"](spark, SF).count()
 
 
+def test_the_last_version_of_a_drawing_counts(spark, tmp_path):
+    path = '<svg><path d="M 0 0 L {0} {0}" semantic-id="1" instance-id="1"/></svg>'
+    rows = [(1, path.format(20), 1), (1, path.format(60), 3), (1, path.format(40), 2), (2, path.format(30), None), (2, path.format(50), 0), (3, None, 5)]
+    source, target, done = (str(tmp_path / n) for n in ("in", "out", "done"))
+    spark.createDataFrame(rows, "scene_id long, svg string, version long").repartition(4).write.parquet(source)
+    build.run_incrementally(spark, source, target, done, 100, 100, version="version").awaitTermination()
+    assert {(r.scene_id, r.px1) for r in spark.read.parquet(target).collect()} == {(1, 60), (2, 50)}
+    found = build.last_versions(spark.createDataFrame(rows, "scene_id long, svg string, version long")).collect()
+    assert {(r.scene_id, r.svg) for r in found} == {(1, path.format(60)), (2, path.format(50)), (3, None)}
+
+
+def test_running_means_go_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SCENE_BLOCK", 7)
+    rows = [(r, i, None if i % 9 == 0 else float(i % 5)) for r in ("a", None) for i in range(50)]
+    found = {(r.run, r.step): r.mean_loss for r in stats.running_mean(spark.createDataFrame([x for x in rows if x[0]], "run string, step long, loss double"), ["run"], 4).collect()}
+    assert set(found) == {("a", i) for i in range(0, 50, 4)} and found["a", 0] is None
+    for i in range(4, 50, 4):
+        seen = [x for r, k, x in rows if r == "a" and k <= i and x is not None]
+        assert found["a", i] == pytest.approx(sum(seen) / len(seen))
+
+
 def test_each_drawing_has_its_own_view_and_image(spark, tmp_path):
     path = '<path d="M 5 5 L 25 45" semantic-id="1" instance-id="1"/>'
     views = {1: 'viewBox="0 0 100 100"', 2: 'viewBox="10 10 50 50"', 3: "", 4: 'viewBox="0 0"', 5: 'viewBox="0 0 0 0"', 6: 'viewBox="0 0 50 100"'}

@@ -8,7 +8,7 @@ from plumbline.plans import catalog, oracle
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = oracle.ORACLE_SQL | catalog.LITERAL_ORACLE
+SQL = oracle.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
