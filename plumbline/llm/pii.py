@@ -8,6 +8,7 @@ context nearby must lift it to ``least_score``.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -128,18 +129,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def scored_spans(text: str, least_score: float = LEAST_SCORE) -> list[Span]:
     """Base spans with their scores, and added spans that reach ``least_score`` and overlap no base span."""
     spans = [(a, b, kind, _score(text, a, b, kind, kind == "card")) for a, b, kind in base_spans(text)]
-    taken = [(a, b) for a, b, _, _ in spans]
+    starts, ends = _covered(spans)
     extra = []
     matches = ((kind, (m.span() for m in pattern.finditer(text))) for kind, pattern in (("national_id", NATIONAL_ID), ("local_phone", LOCAL_PHONE)))
     for kind, places in (("iban", accounts(text)), *matches):
         for a, b in places:
             score = _score(text, a, b, kind, kind == "iban")
-            if score >= least_score and all(b <= x or a >= y for x, y in taken):
-                extra.append((a, b, kind, score))
-                taken.append((a, b))
+            if score >= least_score:
+                # What is taken lies apart and in order: only the last one that starts before the span's end can overlap it.
+                place = bisect.bisect_left(starts, b)
+                if not place or ends[place - 1] <= a:
+                    extra.append((a, b, kind, score))
+                    starts.insert(place, a)
+                    ends.insert(place, b)
     return sorted(spans + extra, key=lambda s: (s[0], RANK[s[2]], s[1]))
 
 
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges that spans in order of start cover, apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _, _ in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def _score(text: str, start: int, end: int, kind: str, checked: bool) -> float:
     near = (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).lower()
     return min(1.0, START[kind] + CHECKED * checked + NEARBY * any(re.search(rf"\b{re.escape(w)}", near) for w in CONTEXT[kind] if w in near))
