@@ -8,6 +8,7 @@ wherever it stands in the word; words without a pair left drop out.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -23,6 +24,8 @@ from plumbline.llm.rows import map_batches, texts
 
 NO_RANK = np.int64(1) << 40
 WORD_END = "</w>"
+#: Words of more bytes are merged one by one, with a heap.
+LONG_WORD = 256
 #: Above these code points letter classes depend on the Unicode version.
 UNUSUAL = regex.compile("[^\x00-ɏ̀-ͅ]")
 
@@ -71,6 +74,8 @@ class WordBpe:
         np.maximum.at(made, product, np.arange(len(product)))
         #: A merge that only joins older symbols never undercuts the round's rank.
         self.all_at_once = bool(np.all(np.maximum(made[left], made[right]) < np.arange(len(product)))) and len(set(product.tolist())) == len(product)
+        #: Rank and product of each pair, for long words; made when one comes.
+        self.merged: dict[int, tuple[int, int]] | None = None
         self.known: dict[str, bytes] = {}
         #: Of a word's ids: their decimal form and their decoded form.
         self.shown: dict[bytes, tuple[str, str]] = {}
@@ -119,11 +124,16 @@ class WordBpe:
         for w in new:
             if w in self.special:
                 self.known[w] = self.special[w].to_bytes(4, "little")
-        if plain:
-            ids, ends = self.merge([w.encode("utf-8", "surrogateescape") for w in plain])
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for w, end in zip(plain, (4 * ends).tolist()):
-                self.known[w] = raw[at:end]
+        raws = [w.encode("utf-8", "surrogateescape") for w in plain]
+        short = [(w, raw) for w, raw in zip(plain, raws) if len(raw) <= LONG_WORD]
+        for w, raw in zip(plain, raws):
+            if len(raw) > LONG_WORD:
+                self.known[w] = self.merge_long(raw).astype("<u4").tobytes()
+        if short:
+            ids, ends = self.merge([raw for _, raw in short])
+            whole, at = ids.astype("<u4").tobytes(), 0
+            for (w, _), end in zip(short, (4 * ends).tolist()):
+                self.known[w] = whole[at:end]
                 at = end
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +172,32 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return symbols[order], np.cumsum(np.bincount(word, minlength=len(words)))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: the same merges, but after each one only the pairs beside it are looked up anew, and a heap has the lowest rank."""
+        flat = np.frombuffer(word, np.uint8)
+        symbols = self.inner[flat].tolist()
+        symbols[-1] = int(self.final[flat[-1]])
+        n = len(symbols)
+        if self.merged is None:
+            self.merged = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.products.tolist())))
+        merged = self.merged
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (found := merged.get(a << 32 | b))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = merged[a << 32 | b][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (found := merged.get(symbols[left] << 32 | symbols[right])):
+                    heapq.heappush(heap, (found[0], left, symbols[left], symbols[right]))
+        return np.array([s for s in symbols if s >= 0], np.int64)
+
     def _apart(self, take: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Of overlapping pairs in a row every other one, from the left; or each word's first pair."""
         if not self.all_at_once:
