@@ -1,7 +1,10 @@
 """Each operator against a brute-force version, on odd rows and on the smallest tables."""
 
 import hashlib
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -70,6 +73,22 @@ def test_one_pair_a_round_gives_the_same_ids():
     assert [x.tolist() for x in ours.merge(words)] == at_once
 
 
+def test_long_words_equal_the_library(library, monkeypatch):
+    """One word of a million letters, random ones, and every short word by the way of long ones."""
+    encoder = bpe.WordBpe(open(bpe.default_tokenizer(), "rb").read())
+    draw = random.Random(3)
+    long = ["x" * 1000, "ab" * 700, "".join(draw.choices("etaoinshrdlu", k=5000)), "".join(draw.choices("abé🙂", k=900)), "a" * 257, "a" * 256]
+    for text in long:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    ids = np.frombuffer(encoder.encode(["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))])[0], "<u4")
+    assert time.time() - began < 30 and len(ids) > 100_000
+    words = ["the", "quick", "hello", "unbelievable", "x", "naïve", "aaaaaaa", "mississippi"] + ["".join(draw.choices("abcde", k=draw.randint(1, 20))) for _ in range(200)]
+    short = bpe.WordBpe(open(bpe.default_tokenizer(), "rb").read()).encode(words)
+    monkeypatch.setattr(bpe, "LONG_WORD", 0)
+    assert bpe.WordBpe(open(bpe.default_tokenizer(), "rb").read()).encode(words) == short
+
+
 def test_round_trip(odd_docs, plain_rows, library):
     def row(doc_id, text):
         ids = library.encode(text or "", add_special_tokens=False).ids
@@ -195,6 +214,28 @@ def test_long_runs_take_linear_time():
     assert pii.base_spans("a" * 300_000 + "1" * 300_000 + "1." * 100_000 + "@" * 1000) is not None
 
 
+def test_added_spans_by_brute_force():
+    """Each added span against every span before it, on texts where all kinds crowd and overlap."""
+    draw = random.Random(11)
+    pieces = ["call 020 7946 0958", "ssn 123-45-6789", "iban GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "+44 20 7946 0958", "a.b@c.example", "10.0.0.1", "4539 1488 0343 6467", "555-123-4567", "(020) 794-6095", "phone", "bank", "x", "12", "DE89 3704 0044 0532 0130 00 EUR"]
+    for _ in range(300):
+        text = draw.choice([" ", ", ", ""]).join(draw.choices(pieces, k=draw.randint(0, 25)))
+        taken = [(a, b, k) for a, b, k in pii.base_spans(text)]
+        for kind, places in (("iban", list(pii.accounts(text))), ("national_id", [m.span() for m in pii.NATIONAL_ID.finditer(text)]), ("local_phone", [m.span() for m in pii.LOCAL_PHONE.finditer(text)])):
+            for a, b in places:
+                near = (text[max(0, a - pii.CONTEXT_CHARS) : a] + " " + text[b : b + pii.CONTEXT_CHARS]).lower()
+                score = pii.START[kind] + pii.CHECKED * (kind == "iban") + pii.NEARBY * any(re.search(rf"\b{re.escape(w)}", near) for w in pii.CONTEXT[kind])
+                if score >= pii.LEAST_SCORE and all(b <= x or a >= y for x, y, _ in taken):
+                    taken.append((a, b, kind))
+        assert [s[:3] for s in pii.scored_spans(text)] == sorted(taken, key=lambda s: (s[0], pii.RANK[s[2]], s[1]))
+
+
+def test_dense_contacts_take_linear_time():
+    text = "phone 020 7946 0958, ssn 123-45-6789; call 555-123-4567\n" * 20_000
+    began = time.time()
+    assert len(pii.scored_spans(text)) >= 40_000 and time.time() - began < 30
+
+
 def test_personal_data_query(odd_docs, plain_rows):
     rows = pii.span_digest(pii.find_personal_data(odd_docs)).collect()
     assert Counter((r.doc_id, r.base_sha256) for r in rows) == Counter((i, sha(",".join(plain_base(t or "")))) for i, t in plain_rows)
@@ -553,6 +594,39 @@ def test_verdicts(odd_docs, labels):
     assert kept.columns == odd_docs.columns and 0 < kept.count() < odd_docs.count()
 
 
+def plain_shares(text):
+    n_words, chars, n_symbols, n_dup, n_repeat = plain_counts(text)
+    lines = sum(bool(WORDS.search(x)) for x in (text or "").split("\n"))
+    values = {"symbol_share": n_symbols / max(1, chars), "capital_share": len(re.findall("[A-Z]", text or "")) / max(1, chars), "bang_share": (text or "").count("!") / max(1, n_words)}
+    values |= {"repeat_share": n_repeat / max(1, n_words), "dup_line_share": n_dup / max(1, lines)}
+    return n_words < 50 or 100 * n_repeat > 50 * n_words, values
+
+
+def test_kept_by_plain_rules(spark):
+    """``kept`` of a whole table: shares, exact binomial tails, cutoffs in their order and verdicts, one by one."""
+    q = quality_rules
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = {r.doc_id: (r.lang if r.lang in q.STRATA[:-1] else q.STRATA[-1], *plain_shares(r.text)) for r in docs.collect()}
+    quality = {r.doc_id: r.quality for r in marks.collect() if r.quality is not None}
+    cutoffs, share = {}, q.LEVEL / (len(q.STRATA) * len(q.GRID))
+    for stratum in q.STRATA:
+        held = [(rows[i][2], y) for i, y in quality.items() if i in rows and rows[i][0] == stratum and not rows[i][1]]
+        n = sum(y == 1 for _, y in held)
+        for rule, cuts in q.GRID.items():
+            best, sound = None, True
+            for step, cut in enumerate(cuts):
+                k, bad = (sum(v[rule] > cut for v, y in held if y == mark) for mark in (1, 0))
+                sound = sound and k < n * q.MOST_REJECTED and sum(math.comb(n, j) * q.MOST_REJECTED**j * (1 - q.MOST_REJECTED) ** (n - j) for j in range(k + 1)) <= share
+                if sound and bad > k and (best is None or bad - k > best[0]):
+                    best = (bad - k, cut)
+            if best:
+                cutoffs[stratum, rule] = best[1]
+    assert cutoffs
+    expected = {i: not failed and not any(values[rule] > cutoffs.get((stratum, rule), math.inf) for rule in q.GRID) for i, (stratum, failed, values) in rows.items()}
+    out = queries.op8_quality_rules(spark, "/root/testdata/sf0.1").collect()
+    assert {r.doc_id: (r.base_failed, r.kept) for r in out} == {i: (rows[i][1], kept) for i, kept in expected.items()}
+
+
 def test_quality_rules_run_no_python(documents, labels):
     plan = quality_rules.judged(documents, labels)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
