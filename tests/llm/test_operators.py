@@ -500,6 +500,47 @@ def test_frequent_passages_with_rare_additions(spark):
     assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == expected
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_documents_of_common_sentences(spark, monkeypatch, few):
+    """Documents put together from a few sentences: unlike ones share every token with many, and among them lie near copies of some."""
+    monkeypatch.setattr(jaccard, "FEW_DOCS", few)
+    draw = random.Random(5)
+    pool = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(30)]
+    texts = [" ".join(draw.sample(pool, 12)) for _ in range(150)]
+    for i in range(0, 60, 3):
+        words = texts[i].split()
+        words[draw.randrange(len(words))] = f"new{i}"
+        texts.append(" ".join(words))
+    texts += ["a b c d", "a b c d e", "b c d e"] + [pool[0], pool[0] + " end"]
+    sets = [set(zip(*(t.split()[k:] for k in range(3)))) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    found = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 90, 100)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(label)) and len(set(label)) < len(texts) - 15
+
+
+def test_similar_sets_share_parts():
+    draw = np.random.default_rng(2)
+    for numerator, denominator in ((90, 100), (4, 5)):
+        parts, none = jaccard.Parts(numerator, denominator), 0
+        for _ in range(1500):
+            common = draw.integers(0, 2**64, int(draw.integers(5, 300)), np.uint64)
+            spare = int(len(common) * (denominator - numerator) / numerator)
+            extra = draw.integers(0, 2**64, spare, np.uint64)
+            cut = int(draw.integers(0, spare + 1))
+            x, y = np.unique(np.concatenate([common, extra[:cut]])), np.unique(np.concatenate([common, extra[cut:]]))
+            assert len(np.intersect1d(x, y)) * denominator >= numerator * len(np.union1d(x, y))
+            a, b = parts.keys(x), parts.keys(y)
+            none += a is None or b is None
+            if a is not None and b is not None:
+                assert max(len(np.intersect1d(p, q)) for p in a for q in b) >= jaccard.MOST_PARTS
+        assert none < 500
+
+
 @pytest.mark.parametrize("n, num, den", [(3, 90, 100), (5, 4, 5)])
 def test_copies_near_the_threshold(spark, n, num, den):
     """Groups whose members are nearly similar: edits from few words, cuts and additions, so that rounds by hubs and neighbours leave links."""
