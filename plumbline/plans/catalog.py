@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from plumbline.functions.dims import class_dim, prompt
 from plumbline.operators import annotate, decode, losses, routing, samples, stats, targets
 from plumbline.plans.scene import IMAGE_H, IMAGE_W, VIEW, paths, source_dir, table
 from plumbline.sources import archives, files, folders, images, legacy, records
-from plumbline.sources.shared import exists, folder_of
+from plumbline.sources.shared import exists, folder_of, saved
 from plumbline.sources.sink import write_files
 from plumbline.streaming import build, totals
 
@@ -513,7 +514,7 @@ def archive_folder(spark: SparkSession, sf_dir: str) -> str:
     if not exists(spark, f"{root}/_ready"):
         docs = table(spark, sf_dir, "documents").select((F.col("doc_id") / ARCHIVED).cast("long").alias("part"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.encode("text", "UTF-8").alias("content"))
 
-        def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def pack(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
             part, out = key[0], io.BytesIO()
             members = sorted(zip(rows.member, rows.content))
             if part % 5 == 4:
@@ -528,14 +529,15 @@ def archive_folder(spark: SparkSession, sf_dir: str) -> str:
                         packed.writestr(name, content)
             return pd.DataFrame({"path": [f"zips/part{part}{'.tar.gz' if part % 5 == 4 else '.zip'}"], "content": [out.getvalue()]})
 
-        write_files(docs.groupBy("part").applyInPandas(pack, "path string, content binary"), root)
+        # Written first, so that a task has one Python worker at a time.
+        write_files(saved(docs.groupBy("part").applyInPandas(pack, "path string, content binary")), root)
         write_files(spark.createDataFrame([("_ready", b"")], "path string, content binary"), root)
     return root
 
 
 def query_archive_members(spark, sf_dir):
-    """Archives read member by member, in ranges of 16 KiB by tasks of 20 members."""
-    rows = archives.contents(spark, f"{archive_folder(spark, sf_dir)}/zips", partMembers=20, rangeBytes=1 << 14)
+    """Archives read member by member, in ranges of 16 KiB."""
+    rows = archives.contents(spark, f"{archive_folder(spark, sf_dir)}/zips", rangeBytes=1 << 14)
     return rows.select("archive", "member", "size", "offset", F.md5("content").alias("digest"), F.col("error").isNotNull().alias("failed"))
 
 

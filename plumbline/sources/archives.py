@@ -29,13 +29,21 @@ FAILURES = (tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, EO
 
 
 @dataclass
-class Part(InputPartition):
+class Piece:
     path: str
     #: Positions in the zip's directory; none for a tar, which is read from end to end.
     members: tuple[int, int] | None
+    bytes: int
     error: str | None = None
 
 
+@dataclass
+class Part(InputPartition):
+    """What a task reads: a piece of a large archive, or several small ones."""
+
+    pieces: list[Piece]
+
+
 class Archives(DataSource):
     """``spark.read.format("archives")``: rows of ``CONTENT``, a member in ranges of bytes; an archive or member that cannot be read has one with an error.
 
@@ -61,39 +69,63 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         system, root = store(self.path)
         found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        return [part for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.path.endswith(SUFFIXES) for part in self._parts(system, f.path)]
-
-    def _parts(self, system: fs.FileSystem, path: str) -> Iterator[Part]:
+        parts: list[Part] = []
+        held = members = 0
+        for file in sorted(found, key=lambda f: f.path):
+            if file.type != fs.FileType.File or not file.path.endswith(SUFFIXES):
+                continue
+            for piece in self._pieces(system, file):
+                count = piece.members[1] - piece.members[0] if piece.members else 1
+                if not parts or held + piece.bytes > self.part_bytes or members + count > self.part_members:
+                    parts.append(Part([]))
+                    held = members = 0
+                parts[-1].pieces.append(piece)
+                held, members = held + piece.bytes, members + count
+        return parts
+
+    def _pieces(self, system: fs.FileSystem, file: fs.FileInfo) -> Iterator[Piece]:
         try:
-            with system.open_input_file(path) as f:
+            with system.open_input_file(file.path) as f:
                 if f.read(4) not in (b"PK\x03\x04", b"PK\x05\x06"):
-                    yield Part(path, None)
+                    yield Piece(file.path, None, file.size)
                     return
                 f.seek(0)
                 sizes = [i.compress_size for i in zipfile.ZipFile(f).infolist()]
         except FAILURES as e:
-            yield Part(path, None, str(e) or type(e).__name__)
+            yield Piece(file.path, None, 0, str(e) or type(e).__name__)
             return
         start = packed = 0
         for i, size in enumerate(sizes):
             if i > start and (packed + size > self.part_bytes or i - start >= self.part_members):
-                yield Part(path, (start, i))
+                yield Piece(file.path, (start, i), packed)
                 start, packed = i, 0
             packed += size
         if sizes:
-            yield Part(path, (start, len(sizes)))
+            yield Piece(file.path, (start, len(sizes)), packed)
 
     def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # Spark's part where there are none
-            return
-        if part.error is not None:
-            yield _failure(part.path, None, part.error)
-        elif part.members is None:
-            yield from self._tar(part.path)
+        """Rows leave together up to the bytes of one range."""
+        rows: list[dict] = []
+        size = 0
+        for piece in part.pieces if part else ():  # Spark's part is None where there are none
+            for row in self._rows(piece):
+                rows.append(row)
+                size += len(row["content"] or b"")
+                if size >= self.range_bytes or len(rows) >= self.part_members:
+                    yield pa.RecordBatch.from_pylist(rows, schema=TYPES)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=TYPES)
+
+    def _rows(self, piece: Piece) -> Iterator[dict]:
+        if piece.error is not None:
+            yield _failure(piece.path, None, piece.error)
+        elif piece.members is None:
+            yield from self._tar(piece.path)
         else:
-            yield from self._zip(part.path, *part.members)
+            yield from self._zip(piece.path, *piece.members)
 
-    def _zip(self, path: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    def _zip(self, path: str, start: int, end: int) -> Iterator[dict]:
         with store(self.path)[0].open_input_file(path) as f, zipfile.ZipFile(f) as archive:
             for info in archive.infolist()[start:end]:
                 if info.is_dir():
@@ -104,7 +136,7 @@ class ArchiveReader(DataSourceReader):
                 except FAILURES as e:
                     yield _failure(path, info.filename, str(e) or type(e).__name__)
 
-    def _tar(self, path: str) -> Iterator[pa.RecordBatch]:
+    def _tar(self, path: str) -> Iterator[dict]:
         name = None
         try:
             with store(self.path)[0].open_input_stream(path, compression=None) as f, tarfile.open(fileobj=f, mode="r|*") as archive:
@@ -115,7 +147,7 @@ class ArchiveReader(DataSourceReader):
         except FAILURES as e:
             yield _failure(path, name, str(e) or type(e).__name__)
 
-    def _ranges(self, path: str, name: str, size: int, member) -> Iterator[pa.RecordBatch]:
+    def _ranges(self, path: str, name: str, size: int, member) -> Iterator[dict]:
         offset = 0
         while (content := member.read(self.range_bytes)) or not offset:
             yield _row(path, name, size, offset, content, None)
@@ -124,11 +156,11 @@ class ArchiveReader(DataSourceReader):
                 break
 
 
-def _row(path: str, member: str | None, size: int | None, offset: int, content: bytes | None, error: str | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"archive": path.rpartition("/")[2], "member": member, "size": size, "offset": offset, "content": content, "error": error}], schema=TYPES)
+def _row(path: str, member: str | None, size: int | None, offset: int, content: bytes | None, error: str | None) -> dict:
+    return {"archive": path.rpartition("/")[2], "member": member, "size": size, "offset": offset, "content": content, "error": error}
 
 
-def _failure(path: str, member: str | None, error: str) -> pa.RecordBatch:
+def _failure(path: str, member: str | None, error: str) -> dict:
     return _row(path, member, None, 0, None, error)
 
 

@@ -208,6 +208,16 @@ def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
         assert found == {i.filename: z.read(i) for i in z.infolist() if not i.is_dir()} == members
 
 
+def test_small_archives_share_a_task(spark, tmp_path):
+    for i in range(30):
+        with zipfile.ZipFile(tmp_path / f"{i:02}.zip", "w") as z:
+            for k in range(5):
+                z.writestr(f"{k}", f"{i} {k}")
+    rows = archives.contents(spark, str(tmp_path), partMembers=20)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    assert {(r.archive, r.member, bytes(r.content)) for r in rows.collect()} == {(f"{i:02}.zip", f"{k}", f"{i} {k}".encode()) for i in range(30) for k in range(5)}
+
+
 def test_ingest_goes_on_after_failures_and_does_nothing_twice(spark, tmp_path):
     (tmp_path / "zips").mkdir()
     with zipfile.ZipFile(tmp_path / "zips/a.zip", "w") as z:
