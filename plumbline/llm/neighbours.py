@@ -26,7 +26,8 @@ COLLISIONS = 0.75
 #: Half width of the first windows, for unit queries and vectors of length 1; and their growth.
 FIRST_WIDTH, GROWTH = 1.2, 1.1
 #: Collided vectors that end a query's search in a block, for each neighbour asked for; a share of the block in any case.
-ENOUGH, ENOUGH_SHARE = 15, 0.15
+#: The last widening may bring more: those that collide most often are verified, ties included.
+ENOUGH, ENOUGH_SHARE = 20, 0.12
 #: Vectors of a block, and what a task holds of either side about.
 BLOCK, GROUP_VECTORS, GROUP_QUERIES = 8192, 65_536, 8192
 SEED = 7
@@ -60,7 +61,7 @@ class Block:
         np.put_along_axis(self.place, order.T, np.arange(len(vectors), dtype=np.uint16)[None], 1)
 
     def candidates(self, at: np.ndarray, least: int, enough: int) -> list[np.ndarray]:
-        """For each query (a row of ``at``) the vectors that collide with it in ``least`` windows or more, after as many rehashings as ``enough`` of them take."""
+        """For each query (a row of ``at``) the vectors that collide with it most often, in ``least`` windows or more, after as many rehashings as ``enough`` of them take."""
         width, n = FIRST_WIDTH, len(self.vectors)
         found, pending = [np.zeros(0, np.int64)] * len(at), np.arange(len(at))
         while len(pending):
@@ -72,6 +73,9 @@ class Block:
                 hits = np.flatnonzero(seen >= least)
                 # Windows that hold all numbers cannot grow.
                 if len(hits) >= min(enough, n) or ((a == 0) & (b == n)).all():
+                    if len(hits) > enough:
+                        often = seen[hits]
+                        hits = hits[often >= np.partition(often, len(hits) - enough)[len(hits) - enough]]
                     found[i] = hits
                 else:
                     left.append(i)
