@@ -765,6 +765,25 @@ def test_recall_where_the_floor_of_candidates_ends(spark):
     assert recall_of(found, data.vec_id.to_numpy(), np.stack(data.embedding.to_numpy()).astype(float), 20) >= 0.9
 
 
+def test_few_vectors_are_verified():
+    """The share of a block that is verified, and the recall there, on unlike vectors and on ones with neighbours; printed with -s."""
+    rng = np.random.default_rng(3)
+    for n, planted in ((2000, 0), (8192, 0), (8192, 40)):
+        x = rng.normal(size=(n, 64))
+        for q in range(0, n if planted else 0, 500):
+            x[q + 1 : q + 1 + planted] = x[q] + 0.5 * rng.normal(size=(min(planted, n - q - 1), 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        directions = np.random.default_rng(neighbours.SEED).standard_normal((65, neighbours.PROJECTIONS))
+        block = neighbours.Block(np.column_stack([x, np.zeros(n)]), x, [np.array([i]) for i in range(n)], directions)
+        asked = range(0, n, 500)
+        enough = max(neighbours.ENOUGH * 21, int(neighbours.ENOUGH_SHARE * n))
+        found = block.candidates(x[list(asked)] @ directions[:-1], int(np.ceil(neighbours.COLLISIONS * neighbours.PROJECTIONS)), enough)
+        share = np.mean([len(f) for f in found]) / n
+        recall = np.mean([len(set(f) & set(np.argsort(-(x @ x[q]))[1:21])) / 20 for q, f in zip(asked, found)])
+        print(f"{n} vectors, {planted} neighbours: {share:.3f} verified, recall {recall:.3f}")
+        assert share < 1.35 * enough / n and recall > (0.99 if planted else 0.85)
+
+
 def test_recall_on_full_blocks(spark):
     """Vectors made here, more than fill several blocks: every query has 25 planted neighbours."""
     rng, n, every = np.random.default_rng(7), 60_000, 1000
@@ -772,7 +791,7 @@ def test_recall_on_full_blocks(spark):
     for q in range(0, n, every):
         x[q + 1 : q + 26] = x[q] + 0.5 * rng.normal(size=(25, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<double>").repartition(4)
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>").repartition(4)
     assert n >= 4 * neighbours.BLOCK
     found = neighbours.nearest(vectors, vectors.where(F.col("vec_id") % every == 0)).toPandas()
     assert recall_of(found, np.arange(n), x, every) >= 0.9
