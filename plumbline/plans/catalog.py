@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import struct
 import tarfile
 import zipfile
+import zlib
 from typing import Any
 
 import numpy as np
@@ -347,6 +349,17 @@ def query_svg_roundtrip(spark, sf_dir):
     return rounded(found, "x0", "y0", "x1", "y1").drop("d")
 
 
+def query_incremental_build(spark, sf_dir):
+    """Boxes of drawings that come in two parts, each annotated by a run that goes on from the last."""
+    folder = folder_of(spark, sf_dir, "build")
+    docs = svg_documents(spark, sf_dir)
+    for part in range(2):
+        if not exists(spark, f"{folder}/in/{part}/_SUCCESS"):
+            docs.where(F.col("scene_id") % 2 == part).write.mode("overwrite").parquet(f"{folder}/in/{part}")
+        build.run_incrementally(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/state", IMAGE_W, IMAGE_H).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(*BOX_COLUMNS)
+
+
 def query_metadata_json_roundtrip(spark, sf_dir):
     rows = files.metadata_rows(files.metadata_json(_boxes(spark, sf_dir), IMAGE_W, IMAGE_H, VIEW, VIEW))
     return rows.withColumn("bbox", F.array_join(F.transform("bbox_px", lambda v: v.cast("string")), " ")).drop("bbox_px")
@@ -587,6 +600,32 @@ def query_composited(spark, sf_dir):
     return images.composited(rows).select("vec_id", F.posexplode(values).alias("pos", "value"))
 
 
+def _png(width: int, height: int, colour: int, pixels: bytes) -> bytes:
+    """A small image file whose rows are stored as they are."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    across = len(pixels) // height
+    lines = b"".join(b"\0" + pixels[y * across : (y + 1) * across] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def query_image_files(spark, sf_dir):
+    """Vectors as transparent image files of 4 x 4 pixels, every fourth as a file that is none; read back and laid over white."""
+    root = folder_of(spark, sf_dir, "images")
+    if not exists(spark, f"{root}/_ready"):
+        pixels = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(_as_byte(v)), 2, "0")), ""))
+        drawn = F.pandas_udf(lambda column: column.map(lambda p: _png(4, 4, 6, bytes(p))), "binary")
+        path = F.format_string("%d/%d.png", F.col("vec_id") % 7, F.col("vec_id"))
+        rows = table(spark, sf_dir, "embeddings").select("vec_id", path.alias("path"), pixels.alias("pixels"))
+        write_files(rows.select("path", F.when(F.col("vec_id") % 4 == 0, F.col("pixels")).otherwise(drawn("pixels")).alias("content")), root)
+        write_files(spark.createDataFrame([("_ready", b"")], "path string, content binary"), root)
+    found = images.composited(images.png_images(files.listing(spark, root, ".png", recursive=True)))
+    values = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("int"))
+    return files.located(found).select(F.col("stem").cast("long").alias("vec_id"), "width", "height", F.posexplode(values).alias("pos", "value"))
+
+
 def query_heat_image(spark, sf_dir):
     return images.heat_squares(_heat(spark, sf_dir)).drop("heat", "y", "x")
 

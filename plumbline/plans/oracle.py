@@ -186,6 +186,7 @@ ORACLE = {
     "size_default_left": "SELECT o_orderkey, coalesce(CAST(trunc(w) AS INTEGER), 1000) AS width FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS w FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
     "file_inventory": """SELECT regexp_extract(path, '([^/]+)/[^/]+$', 1) AS source_dir, name AS stem, '.png' AS suffix, o_orderkey FROM names WHERE name <> 'original'""",
     "svg_roundtrip": "SELECT scene_id, ord + 2 AS ord, sid, iid, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM paths",
+    "incremental_build": "SELECT scene_id, sid, iid, ord + 2 AS ord, class_name, class_id, px0, py0, px1, py1 FROM boxes",
     "metadata_json_roundtrip": """SELECT scene_id, CAST(count(*) OVER (PARTITION BY scene_id) AS INTEGER) AS num_instances, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY ord) - 1 AS INTEGER) AS pos, class_name AS class, class_id, CAST(iid AS BIGINT) AS instance_id,
         concat_ws(' ', px0, py0, px1, py1) AS bbox FROM boxes""",
     "all_class_grid": """SELECT scene_id, d.class_id, round(1 / (1 + exp(-((scene_id * 31 + d.class_id * 7) % 41 - 20) / 5.0::DOUBLE)), 6) AS score, greatest(0.0::DOUBLE, ((scene_id * 17 + d.class_id * 3) % 21 - 10) / 4.0::DOUBLE) AS size FROM (SELECT DISTINCT scene_id FROM samples) s, dim d""",
@@ -231,6 +232,8 @@ ORACLE = {
         across AS (SELECT vec_id, y, o AS x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM px JOIN taps ON i = x GROUP BY 1, 2, 3),
         square AS (SELECT vec_id, o AS y, x, floor(sum(w * v) / sum(w) + 0.5) AS v FROM across JOIN taps ON i = y GROUP BY 1, 2, 3)
         SELECT vec_id, c * 16 + y * 4 + x AS pos, round(CAST(CAST(v / 127.5 - 1 AS FLOAT) AS DOUBLE), 5) AS value FROM square, range(3) k(c)""",
+    "image_files": """WITH px AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(trunc(greatest(0, least(255, (v::DOUBLE * 0.5 + 0.5) * 255))) AS INTEGER)) AS b FROM embeddings WHERE vec_id % 4 <> 0)
+        SELECT vec_id, 4 AS width, 4 AS height, CAST(p AS INTEGER) AS pos, CAST((255 * (255 - b[p // 3 * 4 + 4]) + b[p // 3 * 4 + p % 3 + 1] * b[p // 3 * 4 + 4] + 127) // 255 AS INTEGER) AS value FROM px, range(48) r(p)""",
     "heat_image": """SELECT scene_id, class_id, CAST(floor(heat * 255) AS INTEGER) AS red, CAST(floor(heat * 80) AS INTEGER) AS green, CAST(floor(heat * 170) AS INTEGER) AS alpha,
         x * 8 AS px0, y * 8 AS py0, (x + 1) * 8 AS px1, (y + 1) * 8 AS py1 FROM heat""",
     "legacy_labels": " UNION ALL ".join(
