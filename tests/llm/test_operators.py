@@ -504,6 +504,7 @@ def test_frequent_passages_with_rare_additions(spark):
 def test_documents_of_common_sentences(spark, monkeypatch, few):
     """Documents put together from a few sentences: unlike ones share every token with many, and among them lie near copies of some."""
     monkeypatch.setattr(jaccard, "FEW_DOCS", few)
+    monkeypatch.setattr(jaccard, "DOCS_A_SHINGLE", 0.0)
     draw = random.Random(5)
     pool = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(30)]
     texts = [" ".join(draw.sample(pool, 12)) for _ in range(150)]
