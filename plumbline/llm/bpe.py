@@ -52,7 +52,7 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file with word ends."""
 
-    def __init__(self, spec: bytes, most_words: int = 500_000):
+    def __init__(self, spec: bytes, most_words: int = 250_000):
         self.spec, self.most_words = spec, most_words
         parsed = json.loads(spec)
         vocab: dict[str, int] = parsed["model"]["vocab"]
@@ -76,7 +76,9 @@ class WordBpe:
         self.all_at_once = bool(np.all(np.maximum(made[left], made[right]) < np.arange(len(product)))) and len(set(product.tolist())) == len(product)
         #: Rank and product of each pair, for long words; made when one comes.
         self.merged: dict[int, tuple[int, int]] | None = None
+        #: Ids of the words met, and of those met before ``known`` was last full: what is met again moves over, the rest goes.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Of a word's ids: their decimal form and their decoded form.
         self.shown: dict[bytes, tuple[str, str]] = {}
 
@@ -117,9 +119,14 @@ class WordBpe:
     def learn(self, words: Iterable[str]) -> None:
         """Encodes the words that are not known yet; afterwards ``known`` has them all."""
         if len(self.known) > self.most_words:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in set(words):
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         plain = [w for w in new if w not in self.special]
         for w in new:
             if w in self.special:
@@ -226,7 +233,7 @@ def encoder(spec: bytes) -> WordBpe:
     return WordBpe(spec)
 
 
-def batches_of_text(batch: pa.RecordBatch, most_chars: int = 4_000_000, most_rows: int = 1024) -> Iterator[tuple[list, list[str]]]:
+def batches_of_text(batch: pa.RecordBatch, most_chars: int = 1_000_000, most_rows: int = 256) -> Iterator[tuple[list, list[str]]]:
     """doc_id and text of an Arrow batch in parts of bounded size."""
     for at in range(0, batch.num_rows, most_rows):
         some = batch.slice(at, most_rows)

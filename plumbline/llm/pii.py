@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import batches_of_text
-from plumbline.llm.rows import map_batches, texts
+from plumbline.llm.rows import map_batches, release_memory, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "national_id", "local_phone")
@@ -58,6 +58,8 @@ CONTEXT = {
 START = {"email": 0.9, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.3, "national_id": 0.3, "local_phone": 0.3}
 CHECKED, NEARBY = 0.5, 0.3
 CONTEXT_CHARS = 40
+#: Texts that a task masks before their memory is given back.
+MASKED_ROWS = 256
 LEAST_SCORE = 0.6
 
 Span = tuple[int, int, str, float]
@@ -216,6 +218,15 @@ def mask(text: str, least_score: float = LEAST_SCORE) -> str:
 
 def masked(docs: DataFrame, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """``docs`` with masked texts and all columns kept; null texts stay null. ``n_chars``, where there is one, follows the text."""
-    masker = F.pandas_udf(lambda column: column.map(lambda t: None if t is None else mask(t, least_score)), "string")
+
+    @F.arrow_udf("string")
+    def masker(column: pa.Array) -> pa.Array:
+        parts = [
+            pa.array([None if t is None else mask(t, least_score) for t in column.slice(at, MASKED_ROWS).to_pylist()], pa.string())
+            for at in range(0, len(column), MASKED_ROWS)
+        ]
+        release_memory()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
     out = docs.withColumn(text_col, masker(F.col(text_col)))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -89,6 +89,24 @@ def test_long_words_equal_the_library(library, monkeypatch):
     assert bpe.WordBpe(open(bpe.default_tokenizer(), "rb").read()).encode(words) == short
 
 
+def test_a_full_word_cache_changes_no_ids():
+    """Words that are met again stay known while the cache turns over; the others are encoded anew."""
+    spec = open(bpe.default_tokenizer(), "rb").read()
+    small, large = bpe.WordBpe(spec, most_words=3), bpe.WordBpe(spec)
+    draw = random.Random(5)
+    for _ in range(200):
+        batch = ["the " + " ".join("".join(draw.choices("abc", k=draw.randint(1, 3))) for _ in range(draw.randint(0, 6))) for _ in range(3)]
+        assert small.encode(batch) == large.encode(batch)
+        assert len(small.known) <= 3 + 18 + 1 and ("the" in small.known)
+
+
+def test_masking_in_parts(spark):
+    """Nulls, empty texts and more texts than a part keep their rows."""
+    texts = [None, "", "plain", "mail a.b@example.org now"] * 300
+    masked = pii.masked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1))
+    assert dict(masked.collect()) == {i: None if t is None else pii.mask(t) for i, t in enumerate(texts)}
+
+
 def test_round_trip(odd_docs, plain_rows, library):
     def row(doc_id, text):
         ids = library.encode(text or "", add_special_tokens=False).ids
