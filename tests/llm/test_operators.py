@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, classifier, components, jaccard, neighbours, packing, pii, quality_rules, queries, substrings, suffixes, superkmers, token_counts
-from plumbline.llm.rows import keyed_texts
+from plumbline.llm.rows import keyed_texts, saved
 from tests.conftest import SF
 from tests.llm.conftest import passage
 
@@ -582,6 +584,26 @@ def test_copies_near_the_threshold(spark, n, num, den):
     assert {tuple(r) for r in jaccard.near_duplicates(docs, n, num, den).collect()} == expected
 
 
+def shuffle_files(spark):
+    conf = spark.sparkContext.getConf()
+    tops = {conf.get("spark.local.dir", "/tmp"), *os.environ.get("SPARK_LOCAL_DIRS", "").split(",")} - {""}
+    mine = [d for top in tops for d in Path(top).glob("blockmgr-*")]
+    return {f for d in mine for f in d.rglob("shuffle_*")}
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    df = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    before = shuffle_files(spark)
+    found = saved(df)
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    # What has no files any more is made again where it is asked for.
+    assert found.count() == df.count() == saved(df).count() == 1000
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, plain_rows):
     found = jaccard.near_duplicates(odd_docs).collect()
     assert len(found) == len(plain_rows)
