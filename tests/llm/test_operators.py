@@ -584,6 +584,27 @@ def test_copies_near_the_threshold(spark, n, num, den):
     assert {tuple(r) for r in jaccard.near_duplicates(docs, n, num, den).collect()} == expected
 
 
+@pytest.mark.parametrize("few, bitmaps", [(100_000, 2000), (0, 2000), (0, 0)])
+def test_ids_as_bits(spark, monkeypatch, few, bitmaps):
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", few)
+    monkeypatch.setattr(jaccard, "MOST_BITMAPS", bitmaps)
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, -1, -32768, -32769, 2**62, 2**63 - 1, -(2**63)]
+    near = sorted({i + d for i in ids for d in (-8, -1, 0, 1, 8) if -(2**63) <= i + d < 2**63})
+    rows = spark.createDataFrame([(i,) for i in [*near, near[3], None]], "doc_id long")
+    picked = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    inside = [r.doc_id for r in jaccard.among(rows, picked).collect()]
+    outside = [r.doc_id for r in jaccard.among(rows, picked, but=True).collect()]
+    assert Counter(inside) == Counter(r.doc_id for r in rows.collect() if r.doc_id in ids)
+    assert Counter(outside) == Counter(r.doc_id for r in rows.collect() if r.doc_id not in ids)
+
+
+def test_what_is_broadcast_of_many_ids_is_bits(spark):
+    ids = jaccard.saved(spark.range(jaccard.MOST_BROADCAST + 1).select((F.col("id") * 3).alias("doc_id")))
+    found = jaccard.among(spark.range(400_000).select(F.col("id").alias("doc_id")), ids)
+    assert "_bits" in found._jdf.queryExecution().toString()
+    assert found.count() == jaccard.MOST_BROADCAST + 1 and found.where("doc_id % 3 <> 0").isEmpty()
+
+
 def shuffle_files(spark):
     conf = spark.sparkContext.getConf()
     tops = {conf.get("spark.local.dir", "/tmp"), *os.environ.get("SPARK_LOCAL_DIRS", "").split(",")} - {""}
