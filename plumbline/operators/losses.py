@@ -41,7 +41,7 @@ def _l1_terms() -> dict[str, Column]:
 
 
 def _sums(cells: DataFrame, keys: list[str], terms: dict[str, Column]) -> DataFrame:
-    """Sums of ``terms`` by sample, which cells dealt by image and class have in place, and then by group."""
+    """Sums of ``terms`` by sample, of which a row each travels, and then by group."""
     samples = list(dict.fromkeys([*keys, "scene_id", "class_id"]))
     by_sample = cells.groupBy(*samples).agg(*(F.sum(c).alias(f"sum_{name}") for name, c in terms.items()))
     return by_sample.groupBy(*keys).agg(*(F.sum(f"sum_{name}").alias(name) for name in terms), F.count("*").alias("n_samples"))

@@ -5,7 +5,6 @@ import io
 import json
 import math
 import random
-import re
 import struct
 import tarfile
 import tracemalloc
@@ -82,6 +81,54 @@ def test_collision_keeps_the_later_of_equal_areas_and_both_boxes(spark):
     assert len(targets.kept_boxes(centres).first().boxes) == 2
 
 
+def test_cells_of_samples_that_batches_cut_apart(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if s == 3 else s, c, i, int(x), int(y), int(r), float(w), float(w) / 2, 0.25, 0.5) for s in range(5) for c in range(3) for i, (x, y, r, w) in enumerate(zip(*rng.integers(0, 64, (2, 40)), rng.integers(1, 9, 40), rng.integers(1, 30, 40)))]
+    rows += [(9, 0, i, 5, 63, 1 + i % 4, 3.0, 4.0, 0.5, 0.5) for i in range(300)]
+    centres = spark.createDataFrame(rows, "scene_id long, class_id int, ord int, x int, y int, radius int, w double, h double, dx double, dy double")
+    heat, won = {}, {}
+    for s, c, i, x, y, r, w, h, _, _ in rows:
+        for gy in range(-r, r + 1):
+            for gx in range(-r, r + 1):
+                if 0 <= x + gx < 64 and 0 <= y + gy < 64:
+                    v = math.exp(-(gx * gx + gy * gy) / (2 * max(r / 3, 0.5) ** 2))
+                    heat[s, c, y + gy, x + gx] = max(v, heat.get((s, c, y + gy, x + gx), 0))
+        won[s, c, y, x] = max((w * h, i, w), won.get((s, c, y, x), (0, 0, 0)))
+    with_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "7", lambda: check_cells(centres, heat, won))
+
+
+def with_conf(spark, key, value, run):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        run()
+    finally:
+        spark.conf.set(key, before)
+
+
+def check_cells(centres, heat, won):
+    found = targets.target_cells(centres).collect()
+    assert len(found) == len(heat) and all(math.isclose(r.heat, heat[r.scene_id, r.class_id, r.y, r.x], rel_tol=1e-12) for r in found)
+    assert {(r.scene_id, r.class_id, r.y, r.x): r.w for r in found if r.mask} == {k: v[2] for k, v in won.items()}
+    assert all(r.w is None and r.dx is None for r in found if not r.mask)
+    assert {tuple(r) for r in targets.heat_cells(centres).collect()} == {(r.scene_id, r.class_id, r.y, r.x, r.heat) for r in found}
+    scored = targets.target_cells(centres).select(*targets.KEYS, F.col("heat").alias("score"))
+    near = lambda k: [heat.get((*k[:2], k[2] + i, k[3] + j), 0) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    score = {(r.scene_id, r.class_id, r.y, r.x): r.heat for r in found}
+    heat.update(score)
+    peaks = {k for k, v in score.items() if v == max(near(k))}
+    for together in (True, False):
+        assert {(r.scene_id, r.class_id, r.y, r.x) for r in decode.local_maxima(scored, together=together).collect()} == peaks
+
+
+def test_cells_are_not_sent_or_sorted(spark):
+    for query in ("local_maxima", "heatmap_target", "class_best_score", "focal_loss", "total_loss"):
+        plan = catalog.QUERIES[query](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        # What is above the pass that makes cells: sums and ranks of whole samples or classes only.
+        above = plan[: plan.rindex("MapInArrow")]
+        assert "Window" not in above and "SortMergeJoin" not in above and "Expand" not in above and "Generate" not in plan
+
+
 def test_maxima_match_a_dense_filter(spark):
     rng = np.random.default_rng(3)
     grid = np.where(rng.random((64, 64)) < 0.2, np.round(rng.random((64, 64)), 1), 0)
