@@ -216,8 +216,9 @@ ORACLE = {
         CASE kind WHEN 0 THEN b[p // 3 * 4 + 4] WHEN 1 THEN b[p // 3 * 2 + 2] ELSE CASE WHEN b[p // 3 + 1] % 20 < 16 THEN b[b[p // 3 + 1] % 20 * 4 + 4] ELSE 0 END END AS a, p
         FROM px, range(192) r(p) WHERE p < CASE kind WHEN 0 THEN 48 WHEN 1 THEN 96 ELSE 192 END)
         SELECT vec_id, CAST(p AS INTEGER) AS pos, CAST((255 * (255 - a) + v * a + 127) // 255 AS INTEGER) AS value FROM flat""",
-    "annotate_files": """SELECT scene_id, source_dir, width, height, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS num_instances, CAST(sum(CASE WHEN kept THEN (px1 - px0) * (py1 - py0) ELSE 0 END) AS BIGINT) AS area
-        FROM file_instances GROUP BY 1, 2, 3, 4""",
+    "annotate_files": """SELECT s.scene_id, source_dir, CAST(CASE WHEN s.scene_id % 13 = 6 THEN 8 ELSE 512 + 256 * (s.scene_id % 4) END AS INTEGER) AS width, CAST(CASE WHEN s.scene_id % 13 = 6 THEN 8 ELSE 384 + 128 * (s.scene_id % 3) END AS INTEGER) AS height,
+        coalesce(k, 0) AS num_instances, CAST(coalesce(area, 0) AS BIGINT) AS area
+        FROM scenes s LEFT JOIN (SELECT scene_id, count(*) AS k, sum((px1 - px0) * (py1 - py0)) AS area FROM file_instances WHERE kept GROUP BY 1) b USING (scene_id) WHERE s.scene_id % 11 <> 0""",
     "sidecar_files": """SELECT source_dir, CAST(scene_id AS VARCHAR) AS stem, width || 'x' || height AS image_size, view AS view_w, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS INTEGER) AS num_instances,
         coalesce(string_agg(class_name || ':' || iid || ':' || concat_ws(' ', px0, py0, px1, py1), ',' ORDER BY ord) FILTER (kept), '') AS instances FROM file_instances GROUP BY source_dir, scene_id, width, height, view""",
     "sidecar_files_by_class": """SELECT s.source_dir, CAST(s.scene_id AS VARCHAR) AS stem, s.width, CAST(k.pos AS INTEGER) AS pos, k.class_name AS class, CAST(k.iid AS BIGINT) AS instance_id, CASE WHEN k.pos IS NOT NULL THEN concat_ws(' ', k.px0, k.py0, k.px1, k.py1) END AS bbox

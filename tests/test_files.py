@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dims import CLASS_IDS
 from plumbline.operators import samples
+from plumbline.plans import catalog
 from plumbline.sources import archives, files, folders, images, records, sink
+from tests.conftest import SF
 from tests.test_drawings import drawn_png, png
 
 BOX = '<path d="M 10 10 L 60 60" semantic-id="{sid}" instance-id="{iid}"/>'
@@ -305,3 +307,10 @@ def test_images_over_white(spark, tmp_path):
     two_bits = [(v >> s) & 3 for v in packed[0] for s in (6, 4, 2, 0)]
     assert list(next(r for r in rows.collect() if r.name == "bits").pixels[:8]) == two_bits
     assert images.composited(rows.withColumn("pixels", F.lit(None).cast("binary"))).count() == 0
+
+
+def test_empty_drawings_are_annotated_too(spark):
+    rows = {r.scene_id: r for r in catalog.query_annotate_files(spark, SF).collect()}
+    scenes = {r.scene_id for r in catalog.paths(spark, SF).select("scene_id").distinct().collect()}
+    assert set(rows) == {s for s in scenes if s % 11} and len({s for s in rows if s % 7 == 0}) > 0
+    assert all((rows[s].num_instances, rows[s].area) == (0, 0) for s in rows if s % 7 == 0)
