@@ -5,7 +5,7 @@ from __future__ import annotations
 import cmath
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -105,12 +105,69 @@ def elements(docs: DataFrame, id_col: str = "scene_id", svg_col: str = "svg", vi
         *keep,
         "ord",
         "d",
-        F.col("semantic_id").try_cast("int").alias("sid"),
-        F.coalesce(F.nullif(F.col("instance_id"), F.lit("")).try_cast("int"), F.lit(-1)).alias("iid"),
+        *ids_of(),
         *sizes,
     ).where("sid is not null")
 
 
+def boxed(docs: DataFrame, svg_col: str = "svg", keep: tuple[str, ...] = (), opened: Callable[[pa.RecordBatch, int], tuple[bytes | memoryview | None, bytes | None]] | None = None) -> DataFrame:
+    """``elements`` and ``with_boxes`` in one pass, so that path data never leaves it: a row for each part of a drawing, with ``keep``, ``view_box`` and ``paths``.
+
+    ``opened`` gives the text of a row of a batch, and bytes that come with it
+    as column ``header``; without it the text is ``svg_col``'s. Drawings leave
+    together up to ``PART_BYTES`` of their text.
+    """
+    made = pa.schema([("ord", pa.int32()), ("semantic_id", pa.string()), ("instance_id", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1"))])
+    columns = (*keep, *(("header",) if opened else ()), "view_box", "paths")
+
+    def text_of(batch: pa.RecordBatch, i: int) -> tuple[memoryview | None, None]:
+        value = batch.column(svg_col)[i]
+        return (memoryview(value.as_buffer()) if value.is_valid else None), None
+
+    def built(batch: pa.RecordBatch, held: list[tuple[int, bytes | None, list[tuple]]]) -> pa.RecordBatch:
+        orders, data, *ids, views = zip(*(path for _, _, part in held for path in part))
+        boxes = path_boxes(data)
+        has = np.isfinite(boxes[:, 0])
+        ends = np.cumsum([0, *(len(part) for *_, part in held)])
+        fields = [pa.array(values, kind) for values, kind in zip((orders, *ids), made.types)] + [pa.array(boxes[:, i]) for i in range(4)]
+        paths = pa.ListArray.from_arrays(np.append(0, np.cumsum(has))[ends].astype(np.int32), pa.StructArray.from_arrays(fields, made.names).filter(pa.array(has)))
+        rows = pa.array([i for i, *_ in held])
+        headers = [pa.array([header for _, header, _ in held], pa.binary())] if opened else []
+        views = pa.array([views[at] for at in ends[:-1]], pa.string())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), *headers, views, paths], list(columns))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                text, header = (opened or text_of)(batch, i)
+                for part in elements_of(text) if text is not None else ():
+                    held.append((i, header, part))
+                    size += sum(len(path[1]) for path in part)
+                    if size >= PART_BYTES:
+                        yield built(batch, held)
+                        held, size = [], 0
+            if held:
+                yield built(batch, held)
+
+    paths = "paths array<struct<ord: int, semantic_id: string, instance_id: string, x0: double, y0: double, x1: double, y1: double>>"
+    schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(f"{'header binary, ' if opened else ''}view_box string, {paths}")])
+    return docs.mapInArrow(read, schema) if opened else docs.select(*{*keep, svg_col}).mapInArrow(read, schema)
+
+
+def boxed_paths(drawings: DataFrame, *keep: str) -> DataFrame:
+    """One row for each path of ``boxed`` that has a semantic id, with ``keep``, the ids and box as of ``with_boxes`` and the size of the drawing's viewBox."""
+    sizes = [size.alias(name) for size, name in zip(view_size(F.col("view_box")), ("view_w", "view_h"))]
+    # Sizes are told once a drawing, not once a path.
+    return drawings.select(*keep, *sizes, F.inline("paths")).select(*keep, "ord", *ids_of(), "view_w", "view_h", "x0", "y0", "x1", "y1").where("sid is not null")
+
+
+def ids_of() -> tuple[Column, Column]:
+    """Semantic and instance id of their texts; a missing or empty instance id is -1."""
+    iid = F.coalesce(F.nullif(F.col("instance_id"), F.lit("")).try_cast("int"), F.lit(-1))
+    return F.col("semantic_id").try_cast("int").alias("sid"), iid.alias("iid")
+
+
 def view_size(box: Column) -> tuple[Column, Column]:
     """Width and height of a viewBox; its origin is not used. Fewer than four numbers, or none: 100."""
     parts = F.split(F.trim(F.coalesce(box, F.lit("0 0 100 100"))), r"\s+")

@@ -118,17 +118,24 @@ def paired(images: DataFrame, drawings: DataFrame, default_size: int | None = No
     width, height = png_size(F.col("content"))
     sizes = located(images).where("suffix = '.png'").select("source_dir", "stem", width.alias("width"), height.alias("height"), F.lit(True).alias("drawn"))
     texts = located(drawings).where("suffix = '.svg'").select("source_dir", "stem", F.col("content").cast("string").alias("svg"))
+    # Sizes are small: what is built is their table, and texts are not sorted.
+    sizes = sizes.hint("shuffle_hash")
     if default_size is None:
         return texts.join(sizes, ["source_dir", "stem"]).drop("drawn")
     both = texts.join(sizes, ["source_dir", "stem"], "left")
     return both.withColumns({c: F.when(F.col("drawn"), F.col(c)).otherwise(default_size) for c in ("width", "height")}).drop("drawn")
 
 
-def with_metadata(images: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Image files and the ``_meta.json`` files (path, content) of the same folder and stem: source_dir, stem, document. An image alone is left out."""
+def metadata_of(metadata: DataFrame) -> DataFrame:
+    """source_dir, stem and document of the ``_meta.json`` files (path, content)."""
     texts = located(metadata).where("suffix = '.json' and endswith(stem, '_meta')")
-    documents = texts.select("source_dir", F.expr("left(stem, length(stem) - 5)").alias("stem"), F.col("content").cast("string").alias("document"))
-    return located(images).where("suffix = '.png'").select("source_dir", "stem").join(documents, ["source_dir", "stem"])
+    return texts.select("source_dir", F.expr("left(stem, length(stem) - 5)").alias("stem"), F.col("content").cast("string").alias("document"))
+
+
+def classes_beside(images: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``classes_in`` the ``_meta.json`` files (path, content) that have an image (source_dir, stem) beside them. Names of classes meet images, documents do not travel."""
+    found = classes_in(metadata_of(metadata))
+    return found.join(images.select("source_dir", "stem"), ["source_dir", "stem"], "left_semi").select(*found.columns)
 
 
 def classes_in(documents: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import svg
 from plumbline.functions.dims import CLASS_IDS
 from plumbline.operators import samples
 from plumbline.plans import catalog
@@ -84,6 +85,29 @@ def test_sample_index(spark, scans):
         folders.sample_index(spark, str(scans), "validation")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drawings_are_parsed_and_measured_in_one_pass(spark):
+    texts = [drawing((1, 1), (5, 2), (36, 3)), "<svg><path", None, '<svg viewBox="0 0 7 9"><path d="" semantic-id="1"/><path d="M 1 2 L 3 4" semantic-id="x"/><path d="M 1 2 L 3 4" semantic-id="2"/></svg>', drawing(*[(2, 1)] * 30_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "scene_id int, svg string").coalesce(1)
+    found = svg.boxed_paths(svg.boxed(docs, keep=("scene_id",)), "scene_id")
+    apart = svg.with_boxes(svg.elements(docs, view=True)).select(*found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, apart.collect())) and found.count() == 30_004
+    sized = docs.withColumns({"source_dir": F.lit("a"), "stem": F.col("scene_id").cast("string"), "width": F.lit(9), "height": F.lit(9)})
+    assert plan_of(folders.sidecars(sized)).count("MapInArrow") == 1 and "ArrowEvalPython" not in plan_of(folders.sidecars(sized))
+
+
+def test_names_of_scenes_are_told_once_a_scene(spark):
+    grouped = None
+    for line in plan_of(files.paired(*catalog.drawing_files(spark, SF))).splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        grouped = None if grouped is not None and depth <= grouped else grouped
+        assert grouped is None or "regexp" not in line
+        grouped = depth if grouped is None and line.lstrip(" :+-").startswith("Aggregate") else grouped
+
+
 def test_first_samples_and_empty_indexes(spark):
     rows = spark.range(5).withColumnRenamed("id", "idx")
     assert [samples.first_samples(rows, n).count() for n in (0, -1, 3, 9)] == [5, 5, 3, 5]
