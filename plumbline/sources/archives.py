@@ -6,7 +6,7 @@ import lzma
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,6 +22,9 @@ CONTENT = "archive string, member string, size long, offset long, content binary
 TYPES = pa.schema([("archive", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("offset", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 #: Packed bytes and members that a task reads of a zip, and bytes of a member in one row.
 PART_BYTES, PART_MEMBERS, RANGE_BYTES = 64 << 20, 1000, 4 << 20
+#: Names of files in one batch.
+NAMES = 10_000
+PIECE = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.int64()), ("error", pa.string())])
 SUFFIXES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.xz", ".txz", ".gz", ".xz")
 #: Where archives lie below a root; it is no folder of drawings.
 ARCHIVES = "zips"
@@ -58,14 +61,17 @@ class Archives(DataSource):
         return CONTENT
 
     def reader(self, schema) -> ArchiveReader:
-        sizes = [int(self.options.get(name, default)) for name, default in (("partMembers", PART_MEMBERS), ("partBytes", PART_BYTES), ("rangeBytes", RANGE_BYTES))]
-        return ArchiveReader(self.options["path"], *sizes)
+        return ArchiveReader.of(self.options["path"], self.options)
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, part_members: int, part_bytes: int, range_bytes: int) -> None:
         self.path, self.part_members, self.part_bytes, self.range_bytes = path, part_members, part_bytes, range_bytes
 
+    @classmethod
+    def of(cls, path: str, options: Mapping[str, int | str]) -> ArchiveReader:
+        return cls(path, *(int(options.get(name, default)) for name, default in (("partMembers", PART_MEMBERS), ("partBytes", PART_BYTES), ("rangeBytes", RANGE_BYTES))))
+
     def partitions(self) -> list[Part]:
         system, root = store(self.path)
         found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
@@ -74,7 +80,7 @@ class ArchiveReader(DataSourceReader):
         for file in sorted(found, key=lambda f: f.path):
             if file.type != fs.FileType.File or not file.path.endswith(SUFFIXES):
                 continue
-            for piece in self._pieces(system, file):
+            for piece in self.pieces(system, file.path, file.size):
                 count = piece.members[1] - piece.members[0] if piece.members else 1
                 if not parts or held + piece.bytes > self.part_bytes or members + count > self.part_members:
                     parts.append(Part([]))
@@ -83,25 +89,25 @@ class ArchiveReader(DataSourceReader):
                 held, members = held + piece.bytes, members + count
         return parts
 
-    def _pieces(self, system: fs.FileSystem, file: fs.FileInfo) -> Iterator[Piece]:
+    def pieces(self, system: fs.FileSystem, path: str, size: int) -> Iterator[Piece]:
         try:
-            with system.open_input_file(file.path) as f:
+            with system.open_input_file(path) as f:
                 if f.read(4) not in (b"PK\x03\x04", b"PK\x05\x06"):
-                    yield Piece(file.path, None, file.size)
+                    yield Piece(path, None, size)
                     return
                 f.seek(0)
                 sizes = [i.compress_size for i in zipfile.ZipFile(f).infolist()]
         except FAILURES as e:
-            yield Piece(file.path, None, 0, str(e) or type(e).__name__)
+            yield Piece(path, None, 0, str(e) or type(e).__name__)
             return
         start = packed = 0
-        for i, size in enumerate(sizes):
-            if i > start and (packed + size > self.part_bytes or i - start >= self.part_members):
-                yield Piece(file.path, (start, i), packed)
+        for i, packed_size in enumerate(sizes):
+            if i > start and (packed + packed_size > self.part_bytes or i - start >= self.part_members):
+                yield Piece(path, (start, i), packed)
                 start, packed = i, 0
-            packed += size
+            packed += packed_size
         if sizes:
-            yield Piece(file.path, (start, len(sizes)), packed)
+            yield Piece(path, (start, len(sizes)), packed)
 
     def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
         """Rows leave together up to the bytes of one range."""
@@ -175,12 +181,56 @@ def target_of(archive: str = "archive"):
     return F.regexp_replace(archive, r"\.(zip|tar\.gz|tar\.xz|tgz|txz|tar|gz|xz)$", "")
 
 
-def filled(spark: SparkSession, root: str) -> DataFrame:
-    """(target) of each folder right below ``root`` that has anything in it, but the archives' own."""
-    system, base = store(root)
-    folders = [f.path for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.type == fs.FileType.Directory and f.base_name != ARCHIVES]
-    names = [(p.rpartition("/")[2],) for p in folders if system.get_file_info(fs.FileSelector(p))]
-    return spark.createDataFrame(names, "target string")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows that stand for much work, dealt by number."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns)
+
+
+def _names(spark: SparkSession, root: str, folder: str, kind: fs.FileType) -> DataFrame:
+    """(name, size) of what is right in a folder below ``root``: one task's work, of names alone."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = store(root)
+        for _ in (row for batch in batches for row in range(batch.num_rows)):
+            here = [f for f in system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}", allow_not_found=True)) if f.type == kind]
+            for at in range(0, len(here), NAMES):
+                some = here[at : at + NAMES]
+                yield pa.RecordBatch.from_pydict({"name": [f.base_name for f in some], "size": pa.array([f.size for f in some], pa.int64())})
+
+    return spark.range(1, numPartitions=1).mapInArrow(found, "name string, size long")
+
+
+def pieces_to_do(spark: SparkSession, root: str, **options: int) -> DataFrame:
+    """(archive, start, end, bytes, error): pieces of the archives in ``{root}/zips`` whose folder has nothing in it yet. Zip directories are read by tasks; an archive that is done is not opened."""
+    known = _names(spark, root, ARCHIVES, fs.FileType.File).select(F.col("name").alias("archive"), "size", target_of("name").alias("target"))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = store(root)
+        reader = ArchiveReader.of(root, options)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                target = f"{base.rstrip('/')}/{row['target']}"
+                done = row["target"] != ARCHIVES and system.get_file_info(target).type == fs.FileType.Directory and system.get_file_info(fs.FileSelector(target))
+                for piece in reader.pieces(system, f"{base.rstrip('/')}/{ARCHIVES}/{row['archive']}", row["size"]) if row["archive"].endswith(SUFFIXES) and not done else ():
+                    rows.append((row["archive"], *(piece.members or (None, None)), piece.bytes, piece.error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(PIECE.types)], schema=PIECE)
+
+    return _dealt(known).mapInArrow(plan, "archive string, start long, end long, bytes long, error string")
+
+
+def read_pieces(pieces: DataFrame, root: str, content: bool = True, **options: int) -> DataFrame:
+    """Rows of ``CONTENT`` of the pieces, a member's together and in order; without ``content`` that column is null."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = store(root)[1].rstrip("/")
+        reader = ArchiveReader.of(root, options)
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            members = None if row["start"] is None else (row["start"], row["end"])
+            for out in reader.read(Part([Piece(f"{base}/{ARCHIVES}/{row['archive']}", members, row["bytes"], row["error"])])):
+                yield out if content else out.set_column(out.schema.get_field_index("content"), "content", pa.nulls(out.num_rows, pa.binary()))
+
+    return _dealt(pieces).mapInArrow(read, CONTENT)
 
 
 def ingest(spark: SparkSession, root: str, **options: int) -> DataFrame:
@@ -190,30 +240,32 @@ def ingest(spark: SparkSession, root: str, **options: int) -> DataFrame:
     A failure ends neither the others nor the archive's other members. Names
     that lead out of the folder are failures.
     """
-    rows = contents(spark, f"{root.rstrip('/')}/{ARCHIVES}", **options).withColumn("target", target_of())
-    # One row for each folder below the root.
-    fresh = rows.join(F.broadcast(filled(spark, root)), "target", "left_anti")
+    # Planned before anything is written: once members are written, their folder is filled.
+    pieces = saved(pieces_to_do(spark, root, **options))
     outside = F.col("member").rlike(r"(^|/)\.\.(/|$)|^/")
-    checked = fresh.withColumn("error", F.when(outside, "the name leads out of the folder").otherwise(F.col("error")))
-    # The report comes first: once members are written, their folder is filled.
-    report = checked.groupBy("archive", "target").agg(
+
+    def checked(content: bool) -> DataFrame:
+        rows = read_pieces(pieces, root, content, **options).withColumn("target", target_of())
+        return rows.withColumn("error", F.when(outside, "the name leads out of the folder").otherwise(F.col("error")))
+
+    report = checked(False).groupBy("archive", "target").agg(
         F.count(F.when(F.col("error").isNull() & (F.col("offset") == 0), 1)).alias("members"), F.count("error").alias("failures"), F.min("error").alias("error")
     )
     kept = saved(report)
-    write_files(checked.where("error is null").select(F.concat_ws("/", "target", "member").alias("path"), "offset", "content"), root)
+    # Ranges of a member come together and in order, so that contents need not be shuffled.
+    write_files(checked(True).where("error is null").select(F.concat_ws("/", "target", "member").alias("path"), "content"), root)
     return kept
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, n_files): how many files lie in each folder right below ``root``, at any depth; the archives' folder is left out. A folder is a task's work."""
-    system, base = store(root)
-    folders = [(f.path,) for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.type == fs.FileType.Directory and f.base_name[:1] not in "._" and f.base_name != ARCHIVES]
+    """(folder, n_files): how many files lie in each folder right below ``root``, at any depth; the archives' folder is left out. A folder is listed by one task."""
+    folders = _names(spark, root, "", fs.FileType.Directory).where((~F.substring("name", 1, 1).isin(".", "_")) & (F.col("name") != ARCHIVES)).select("name")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = store(root)
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                found = store(root)[0].get_file_info(fs.FileSelector(path, recursive=True))
-                yield pa.RecordBatch.from_pydict({"folder": [path.rpartition("/")[2]], "n_files": pa.array([sum(f.type == fs.FileType.File for f in found)], pa.int64())})
+            names = batch.column("name").to_pylist()
+            counts = [sum(f.type == fs.FileType.File for f in system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{n}", recursive=True))) for n in names]
+            yield pa.RecordBatch.from_pydict({"folder": names, "n_files": pa.array(counts, pa.int64())})
 
-    paths = spark.createDataFrame(folders, "path string").repartition(max(1, len(folders)))
-    return paths.mapInArrow(count, "folder string, n_files long")
+    return _dealt(folders).mapInArrow(count, "folder string, n_files long")

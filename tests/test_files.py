@@ -270,6 +270,19 @@ def test_ingest_goes_on_after_failures_and_does_nothing_twice(spark, tmp_path):
     assert again == {"d"} and tree(tmp_path) == there
 
 
+def test_archives_that_are_unpacked_are_not_opened_again(spark, tmp_path):
+    (tmp_path / "zips").mkdir()
+    for i in range(40):
+        with zipfile.ZipFile(tmp_path / f"zips/{i}.zip", "w") as z:
+            z.writestr("m", os.urandom(5000) if i == 7 else b"1")
+    assert archives.ingest(spark, str(tmp_path), rangeBytes=1000).count() == 40 and os.path.getsize(tmp_path / "7/m") == 5000
+    assert archives.pieces_to_do(spark, str(tmp_path)).count() == 0
+    (tmp_path / "3/m").unlink()
+    assert [r.archive for r in archives.pieces_to_do(spark, str(tmp_path)).collect()] == ["3.zip"]
+    # Folders are many and small: tasks do not grow with them.
+    assert archives.inventory(spark, str(tmp_path)).rdd.getNumPartitions() == 4 and archives.inventory(spark, str(tmp_path)).count() == 40
+
+
 def test_no_archives(spark, tmp_path):
     assert archives.contents(spark, str(tmp_path)).count() == 0 and archives.ingest(spark, str(tmp_path)).count() == 0 and archives.inventory(spark, str(tmp_path)).count() == 0
 
