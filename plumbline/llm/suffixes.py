@@ -31,6 +31,8 @@ from plumbline.llm.rows import NULL_ID, dropped, keyed_texts, saved, shared_fold
 
 #: Bytes of a match, and of the gram whose least hash is a window's minimiser.
 LENGTH, GRAM = 50, 20
+#: Grams that are hashed together, so that their arrays stay near a core.
+BLOCK = 1 << 15
 #: Batches, by id, that a table of documents is taken in.
 BATCHES = 3
 
@@ -40,6 +42,8 @@ def byte_grams(flat: np.ndarray, gram: int = GRAM) -> np.ndarray:
     n = len(flat) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if n > BLOCK:
+        return np.concatenate([byte_grams(flat[at : at + BLOCK + gram - 1], gram) for at in range(0, n, BLOCK)])
     words = eights(flat)
     h = words[:n] * sk.MIX_A
     for at in offsets(gram)[1:]:
@@ -82,6 +86,9 @@ class ByteStrings(sk.Strings):
     def packed(self, flat: bytes, begin: int, end: int) -> bytes:
         return flat[begin:end]
 
+    def cut(self, flat: bytes, begins: list[int], ends: list[int]) -> list[bytes]:
+        return [flat[a:b] for a, b in zip(begins, ends)]
+
     def windows(self, packed: bytes) -> list[bytes]:
         return [packed[i : i + self.length] for i in range(len(packed) - self.length + 1)]
 
@@ -156,7 +163,7 @@ def scan(group: pa.Table, kind: sk.Strings, layout: sk.Layout, merge: int, last:
     for level in sorted(levels, key=lambda x: (x < 0, x)):
         if level < 0:
             rest, okey, place = sk.placed(levels[level])
-            order = np.lexsort((place, okey, rest))
+            order = sk.order_by(rest)
             rest, okey, place = rest[order], okey[order], place[order]
         else:
             (delta, okey, place), _ = sk.unpack(levels[level][0], LEVEL_KINDS)

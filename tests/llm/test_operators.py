@@ -12,7 +12,9 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -435,6 +437,61 @@ def test_different_windows_with_one_hash_are_told_apart():
     assert group[0] == group[2] != group[1]
 
 
+def sent_of(rows, kind, layout):
+    """What a part of the corpus with all ``rows`` sends if every place is asked for: its strings' places by bucket."""
+    okey, raws = np.array([i for i, _ in rows]), [t for _, t in rows]
+    table = pa.table({"part": pa.array([0] * len(rows), pa.int32()), "okey": okey, "nul": [False] * len(rows), "body": [zstandard.compress(t) for t in raws]})
+    places = [(okey[f.row], f.place) for f in superkmers.found_in(kind, raws)]
+    okeys, place = (np.concatenate(c) for c in zip(*places))
+    blob = superkmers.pack(zip((superkmers.steps(okeys), place, np.zeros(len(place))), superkmers.ASKED_KINDS))
+    out = superkmers.sent_strings(kind, layout, table, pa.table({"copies": [False], "blob": [blob]}))
+    return [(b, superkmers.unpack(x, superkmers.STRING_KINDS)) for b, x in zip(out.column("bucket").to_pylist(), out.column("blob").to_pylist()) if b >= 0]
+
+
+def test_asked_places_are_not_hashed_again_for_every_part(monkeypatch):
+    """F op9: with every piece of the texts all places that are asked for went into a hash table."""
+    kind, layout = suffixes.ByteStrings(), superkmers.Layout(2, 1)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(97, 123, 700, np.uint8).tobytes()) for i in (9, 4, 6, 1)]
+    monkeypatch.setattr(superkmers, "PART_TOKENS", 600)
+    n = sum(int(f.windows.sum()) for f in superkmers.found_in(kind, [t for _, t in rows]))
+    looked, isin = [], np.isin
+    monkeypatch.setattr(np, "isin", lambda a, b, **how: looked.append(len(b)) or isin(a, b, **how))
+    sent = sent_of(rows, kind, layout)
+    assert not looked
+    # Unlike texts: each super-k-mer travels, with all its windows.
+    texts = dict(rows)
+    assert sum(int(columns[1].sum()) for _, (columns, _) in sent) == n == 4 * 651
+    for _, (columns, tail) in sent:
+        ends = np.cumsum(columns[0].astype(np.int64))
+        strings = [tail[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        for number, okey, start in zip(np.cumsum(columns[2]), columns[3], columns[5]):
+            assert texts[okey][start : start + len(strings[number])] == strings[number]
+
+
+def test_orders_by_packed_places():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 50, 1000)
+    assert superkmers.order_by(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+    # Hashes that differ in their low bits only are no two runs, minimisers are.
+    hashes = (rng.integers(0, 9, 1000).astype(np.uint64) << np.uint64(55)) + rng.integers(0, 2, 1000).astype(np.uint64)
+    order, fresh = superkmers.order_by_hash(hashes)
+    assert order.tolist() == np.argsort(hashes >> np.uint64(10), kind="stable").tolist() and fresh.sum() == 9
+    row = np.sort(rng.integers(0, 30, 1000))
+    order, head = superkmers.Found(b"", row, row, row, row, row, hashes).groups()
+    assert order.tolist() == np.argsort(hashes, kind="stable").tolist()
+    assert len(head) == len(set(zip(hashes.tolist(), row.tolist())))
+    # Windows of three tokens; the hash tells the first one alone, and the second by its lowest bit.
+    tokens = rng.integers(0, 3, 1003)
+    hashes = (tokens[:1000].astype(np.uint64) << np.uint64(55)) + (tokens[1:1001] % 2).astype(np.uint64)
+    group = superkmers.exact_groups(hashes, np.arange(1000), 3, tokens, lambda t, a, b: np.logical_and.reduce([t[a + i] == t[b + i] for i in range(3)]))
+    plain = [tuple(tokens[i : i + 3].tolist()) for i in range(1000)]
+    assert len(set(zip(group.tolist(), plain))) == len(set(group.tolist())) == len(set(plain))
+    kind, number, rank = suffixes.ByteStrings(), rng.integers(0, 40, 200), rng.integers(0, 60, 200)
+    zero = np.zeros(200, np.int64)
+    assert superkmers.is_later(kind, number, rank, zero, zero).tolist() == [bool(r > rank[number == n].min()) for n, r in zip(number, rank)]
+
+
 def test_ranges_merge_by_document():
     okey, flag = np.array([5, 1, 1, 1, 5]), np.array([0, 0, 0, 1, 0])
     found = superkmers.merged(okey, flag, np.array([7, 4, 0, 0, 1]), np.array([9, 6, 4, 2, 8]))
