@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -28,6 +29,8 @@ WORD_END = "</w>"
 LONG_WORD = 256
 #: Above these code points letter classes depend on the Unicode version.
 UNUSUAL = regex.compile("[^\x00-ɏ̀-ͅ]")
+#: A splitter that ``split_pattern`` knows.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -49,6 +52,20 @@ def byte_characters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def split_pattern(pattern: str, most: int) -> regex.Pattern | re.Pattern:
+    """``pattern`` for texts without code points above ``most`` (at most U+FFFF).
+
+    ``SPLIT`` becomes a pattern of ``re``, which is several times as fast: its
+    classes are listed as ``regex`` has them, and branches that start with
+    different characters change places.
+    """
+    if pattern != SPLIT:
+        return regex.compile(pattern)
+    every = "".join(map(chr, range(most + 1)))
+    letters, numbers, spaces = ("".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in regex.findall(f"{c}+", every)) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{spaces}{letters}{numbers}]+")
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file with word ends."""
 
@@ -59,7 +76,9 @@ class WordBpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in parsed["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words_of = regex.compile(parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        #: For ASCII texts, and for others; what UNUSUAL leaves is composed and lower-cased within U+FFFF.
+        self.ascii_words_of, self.words_of = split_pattern(pattern, 0x7F), split_pattern(pattern, 0xFFFF)
         self.library = None
         self.token = dict(zip(vocab.values(), vocab)) | {i: s for s, i in self.special.items()}
         chars = byte_characters()
@@ -98,7 +117,7 @@ class WordBpe:
 
     def _plain_words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.words_of.findall(text.lower())
+            return self.ascii_words_of.findall(text.lower())
         if UNUSUAL.search(text):
             return self._library_words(text)
         text = unicodedata.normalize("NFC", text)
@@ -121,12 +140,11 @@ class WordBpe:
         if len(self.known) > self.most_words:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for w in set(words):
-            if w not in known:
-                if (ids := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
+        for w in (words if isinstance(words, set) else set(words)).difference(known):
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = ids
         plain = [w for w in new if w not in self.special]
         for w in new:
             if w in self.special:
@@ -153,11 +171,14 @@ class WordBpe:
         symbols[ends[filled] - 1] = self.final[flat[ends[filled] - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
+        # Of the pair that a symbol begins: its rank, and its place in ``keys``. After a round only pairs with a new symbol are looked up.
+        rank, at = np.full(len(symbols), NO_RANK), np.zeros(len(symbols), np.int64)
+        look = np.arange(len(symbols) - 1)
         while len(symbols):
-            pair = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == pair) & (word[1:] == word[:-1]), self.ranks[at], NO_RANK)
-            rank = np.append(rank, NO_RANK)
+            pair = symbols[look] << 32 | symbols[look + 1]
+            found = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            rank[look] = np.where((self.keys[found] == pair) & (word[look + 1] == word[look]), self.ranks[found], NO_RANK)
+            at[look] = found
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(starts, len(word)))
             best = np.minimum.reduceat(rank, starts)
@@ -172,7 +193,13 @@ class WordBpe:
             symbols[take] = self.products[at[take]]
             keep = ~over
             keep[take + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            new = np.zeros(len(symbols), bool)
+            new[take] = True
+            new[np.maximum(take - 1, 0)] = True
+            symbols, word, rank, at = symbols[keep], word[keep], rank[keep], at[keep]
+            look = np.flatnonzero(new[keep])
+            if len(look) and look[-1] == len(symbols) - 1:
+                rank[-1], look = NO_RANK, look[:-1]
         if not done_symbols:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
@@ -218,9 +245,9 @@ class WordBpe:
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         words = list(map(self.words, batch))
-        self.learn({w for ws in words for w in ws})
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        self.learn(set().union(*words))
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, ws)) for ws in words]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library without a decoder: the tokens, special ones too, joined by spaces."""
@@ -313,7 +340,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         def step(batch):
             for doc_ids, values in batches_of_text(batch):
                 words = list(map(bpe.words, values))
-                bpe.learn({w for ws in words for w in ws})
+                bpe.learn(set().union(*words))
                 known = bpe.known
                 if len(shown) > 250_000:
                     shown.clear()
