@@ -1,9 +1,13 @@
 """The pipeline's stages by brute force, each on its own input."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import pii, quality_rules
+from plumbline.llm import pii, quality_rules, rows, suffixes
+from plumbline.llm import superkmers as sk
 from tests.conftest import SF
 from tests.llm.test_operators import NULL, WORDS, key, plain_components
 
@@ -65,3 +69,38 @@ def test_run_on_odd_and_on_empty_tables(spark, odd_docs, tmp_path):
         kept = {r.doc_id for r in quality_rules.filtered(docs, labels).collect()}
         assert {r.doc_id for r in packed} <= kept
         assert bool(packed) == bool(kept)
+
+
+@pytest.mark.parametrize("stage", [f for name, f in corpus_pipeline.STAGES if name != "quality rules"])
+def test_texts_go_to_python_in_small_batches(spark, stage):
+    """Many long texts are no large batch, neither in what a stage runs itself nor in what it returns; a session's own limit stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 100_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    try:
+        spark.conf.unset(setting)
+        stage(spark, docs.limit(1).withColumn("text", F.lit("a few words")), SF)
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 4 << 20
+        spark.conf.set(setting, "3m")
+        stage(spark, docs.limit(0), SF)
+        assert spark.conf.get(setting) == "3m"
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_small_batches_do_not_make_more_places(spark):
+    """What a task gathers for a bucket goes on from batch to batch."""
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2(F.concat_ws(" ", "id", F.lit(i)), 256) for i in range(4))).alias("text"))
+    found = sk.sampled(rows.keyed_texts(docs), suffixes.ByteStrings(), sk.Layout(3, 4))
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = found.count()
+    try:
+        spark.conf.set(records, 50)
+        cut = sk.sampled(rows.keyed_texts(docs), suffixes.ByteStrings(), sk.Layout(3, 4))
+        assert cut.count() == whole == 8
+    finally:
+        spark.conf.unset(records)
