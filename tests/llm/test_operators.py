@@ -672,6 +672,37 @@ def test_copies_near_the_threshold(spark, n, num, den):
     assert {tuple(r) for r in jaccard.near_duplicates(docs, n, num, den).collect()} == expected
 
 
+def test_words_met_by_chance_make_no_partners(spark):
+    """Each document shares a tenth of its words with others, which two of a short prefix are often and all that a long one asks for never."""
+    draw = random.Random(4)
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(180)] + draw.sample([f"pool{j}" for j in range(2000)], 20))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1].replace(f"own{i}x7 ", f"new{i} ")) for i in range(0, 400, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets, counts = jaccard.counted_sets(docs, 1)
+    # As in a large corpus, classes of hashes do not tell rare words from others.
+    prefixes = jaccard.Prefixes(np.ones_like(counts), sets.count(), 90, 100)
+    found = {r.doc_id for r in jaccard.partners(docs, prefixes, 1).collect()}
+    assert found == {k + i for i in range(0, 400, 40) for k in (0, 1000)}
+    assert {tuple(r) for r in jaccard.near_duplicates(docs, 1, 90, 100).collect()} == plain_components(rows, 1, 90, 100)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_shingles_of_odd_texts(n):
+    """Words are cut and told apart as by bytes.split(), whatever texts lie beside them and however long they are."""
+    draw = random.Random(n)
+    pieces = [b"a", b"B", b"b", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\0", "\u00a0".encode(), "\u00c9".encode(), b"abcdefgh"]
+    long = [b"x" * k for k in (7, 8, 9, 16, 255, 256, 257, 600)]
+    texts = [b"".join(draw.choice(pieces + long) for _ in range(draw.randrange(0, 25))) for _ in range(600)] + [b"y z " * 200_000, b""]
+    ids = {}
+    for text, found in zip(texts, jaccard.shingle_sets(texts, n), strict=True):
+        words = text.lower().split()
+        grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+        assert found.dtype == np.uint64 and (np.diff(found.astype(object)) > 0).all() and len(found) == len(grams)
+        assert (found == jaccard.shingle_sets([text], n)[0]).all()
+        assert ids.setdefault(frozenset(grams), found.tobytes()) == found.tobytes()
+    assert len(set(ids.values())) == len(ids)
+
+
 @pytest.mark.parametrize("few, bitmaps", [(100_000, 2000), (0, 2000), (0, 0)])
 def test_ids_as_bits(spark, monkeypatch, few, bitmaps):
     monkeypatch.setattr(jaccard, "MOST_BROADCAST", few)
